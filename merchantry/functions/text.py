@@ -18,7 +18,9 @@ IDS = r"(?i)(#\d+|TXN\d+)"
 PAREN = r"\([^)]*\)"
 EDGE_WS = r"^\s+|\s+$"
 DANGLING = r"^[\s\-]+|[\s\-]+$"
-TRAILING_HOSPITAL = r"(?i)(\S)\s+Hospital$"
+# Drops a trailing "Hospital" after another token, except when the whole text is a
+# hospital merchant (exact, case-sensitive). \x01 anchors the exception at the start.
+HOSPITAL_MARK = "\x01"
 NON_ALNUM = r"[^a-z0-9]"
 POSSESSIVE = r"['’]s\b"
 PARK = "\ue000"  # private-use marker that parks protected names
@@ -34,6 +36,8 @@ def words_pattern(words) -> str:
     return r"(?i)\b(" + "|".join(regex_escape(w) for w in words) + r")\b"
 
 
+TRAILING_HOSPITAL = ("^" + HOSPITAL_MARK + "(" + "|".join(regex_escape(h) for h in K.HOSPITAL_MERCHANTS)
+                     + r")$|(?i:(\S)\s+Hospital)$")
 TIME_RE = words_pattern(K.TIME_PHRASES)
 FORMAT_RE = words_pattern(K.FORMAT_WORDS)
 COUNTRY_RE = words_pattern(K.COUNTRIES)
@@ -73,8 +77,8 @@ def derive_canonical(c) -> Column:
     s = F.replace(s, F.lit(" - "), F.lit(" "))
     s = F.regexp_replace(s, r"\s+", " ")
     s = strip_ws(F.regexp_replace(s, DANGLING, ""))
-    return F.when(s.isin(*K.HOSPITAL_MERCHANTS), s).otherwise(
-        F.regexp_replace(s, TRAILING_HOSPITAL, "$1"))
+    s = F.regexp_replace(F.concat(F.lit(HOSPITAL_MARK), s), TRAILING_HOSPITAL, "$1$2")
+    return F.replace(s, F.lit(HOSPITAL_MARK), F.lit(""))
 
 
 def residual_noise(c) -> Column:
