@@ -27,10 +27,10 @@ def gold_merchant(canonical, category) -> Column:
     is_type = canonical.isin(*K.NON_MERCHANT_LABELS)
     split = None
     for label, by_cat in K.CATEGORY_SPLIT_LABELS.items():
-        v = F.element_at(_map(by_cat), category)
+        v = F.try_element_at(_map(by_cat), category)
         cond = (canonical == label)
         split = F.when(cond, v) if split is None else split.when(cond, v)
-    merged = F.coalesce(F.element_at(_map(K.LABEL_MERGES), canonical), canonical)
+    merged = F.coalesce(F.try_element_at(_map(K.LABEL_MERGES), canonical), canonical)
     merchant = F.when(is_type, F.lit(None).cast("string")).otherwise(
         F.coalesce(split, merged))
     return F.struct(merchant.alias("merchant"),
@@ -38,11 +38,11 @@ def gold_merchant(canonical, category) -> Column:
 
 
 def parent_of(gold) -> Column:
-    return F.element_at(_map({k: v[0] for k, v in K.PARENT_BRANDS.items()}), _c(gold))
+    return F.try_element_at(_map({k: v[0] for k, v in K.PARENT_BRANDS.items()}), _c(gold))
 
 
 def same_line(gold) -> Column:
-    return F.element_at(_map({k: v[1] for k, v in K.PARENT_BRANDS.items()}), _c(gold))
+    return F.try_element_at(_map({k: v[1] for k, v in K.PARENT_BRANDS.items()}), _c(gold))
 
 
 def category_ok(pred, gold) -> Column:

@@ -26,7 +26,7 @@ def type_code(method, dirn) -> Column:
     """``I``/``O`` + ``-`` + payment-method code."""
     code = F.create_map(*[x for kv in K.METHOD_CODES.items() for x in map(F.lit, kv)])
     return F.concat(F.when(_c(dirn) == "incoming", "I").otherwise("O"), F.lit("-"),
-                    F.element_at(code, _c(method)))
+                    F.try_element_at(code, _c(method)))
 
 
 def choose(items, idx: Column) -> Column:
@@ -77,7 +77,7 @@ def noisy_mcc(category, key: Column, coverage=K.MCC_COVERAGE, noise=K.MCC_NOISE)
 def lognormal_amount(category, key: Column, sigma: float = 0.6) -> Column:
     """``round(exp(N(ln median, sigma)), 2)`` with a Box-Muller normal."""
     med = F.create_map(*[x for kv in K.AMOUNT_MEDIAN.items() for x in map(F.lit, kv)])
-    mu = F.log(F.coalesce(F.element_at(med, _c(category)), F.lit(50.0)))
+    mu = F.log(F.coalesce(F.try_element_at(med, _c(category)), F.lit(50.0)))
     u1 = F.greatest(uniform(hkey(key, "n1")), F.lit(1e-300))
     u2 = uniform(hkey(key, "n2"))
     z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(6.283185307179586) * u2)

@@ -46,3 +46,268 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from merchantry.operators.aggregates import rollup_by_merchant
     g = feed.join(gold.select("txn_id", "canonical_merchant"), "txn_id")
     return rollup_by_merchant(g)
+
+
+# ------------------------------------------------------------------ imports for queries
+from merchantry import constants as K  # noqa: E402
+from merchantry.functions import text as TX  # noqa: E402
+from merchantry.functions.hashing import hkey, in_eval, uniform  # noqa: E402
+from merchantry.functions.labels import merchant_ok  # noqa: E402
+from merchantry.operators import aggregates as AG  # noqa: E402
+from merchantry.operators import metrics as M  # noqa: E402
+from merchantry.operators.routes import CleanerRoute  # noqa: E402
+from merchantry.plans import sql as Q  # noqa: E402
+from merchantry.plans.sql import Sql  # noqa: E402
+
+W = O.with_feed
+
+
+# ------------------------------------------------------------------ scalar functions (B)
+@register("b1_strip_prefix", W(f"SELECT txn_id, {Q.strip_processor_prefix('description')} AS stripped FROM feed"))
+def q_b1(spark, sf_dir):
+    return fg(spark, sf_dir)[0].select("txn_id", TX.strip_processor_prefix("description").alias("stripped"))
+
+
+@register("b2_clean_description", W(f"SELECT txn_id, {Q.clean_description('description')} AS cleaned FROM feed"))
+def q_b2(spark, sf_dir):
+    return fg(spark, sf_dir)[0].select("txn_id", TX.clean_description("description").alias("cleaned"))
+
+
+@register("b3_canonical", W(
+    f"SELECT txn_id, {Q.derive_canonical(Q.strip_processor_prefix('description'))} AS canonical FROM feed"))
+def q_b3(spark, sf_dir):
+    return fg(spark, sf_dir)[0].select(
+        "txn_id", TX.derive_canonical(TX.strip_processor_prefix("description")).alias("canonical"))
+
+
+@register("b5_strip_coverage", W(
+    "SELECT coalesce(avg(CASE WHEN c <> '' AND NOT (regexp_matches(c, " + Q.q(TX.IDS) + ") OR "
+    "regexp_matches(c, " + Q.q(TX.PAREN) + ") OR regexp_matches(c, " + Q.q(TX.COUNTRY_RE) + ")) "
+    "THEN 1.0 ELSE 0.0 END), 0.0) AS strip_coverage FROM (SELECT "
+    + Q.derive_canonical("transaction_description") + " AS c FROM raw)"))
+def q_b5(spark, sf_dir):
+    raw = raw_labelled(spark, sf_dir).select(TX.derive_canonical("transaction_description").alias("c"))
+    ok = (F.col("c") != "") & ~TX.residual_noise("c")
+    return raw.agg(F.coalesce(F.avg(ok.cast("double")), F.lit(0.0)).alias("strip_coverage"))
+
+
+@register("b6_b11_merchant_norm_tokens", W(
+    f"SELECT canonical_merchant, {Q.norm_merchant('canonical_merchant')} AS norm, "
+    f"{Q.name_tokens_sorted('canonical_merchant')} AS tokens "
+    "FROM (SELECT DISTINCT canonical_merchant FROM gold WHERE canonical_merchant IS NOT NULL)"))
+def q_b6(spark, sf_dir):
+    g = fg(spark, sf_dir)[1].select("canonical_merchant").filter(F.col("canonical_merchant").isNotNull()).distinct()
+    return g.select("canonical_merchant", TX.norm_merchant("canonical_merchant").alias("norm"),
+                    F.array_sort(TX.name_tokens("canonical_merchant")).alias("tokens"))
+
+
+@register("b12_in_eval", W(f"SELECT txn_id, {Q.in_eval('txn_id', 0.2)} AS is_eval FROM feed"))
+def q_b12(spark, sf_dir):
+    return fg(spark, sf_dir)[0].select("txn_id", in_eval("txn_id", 0.2).alias("is_eval"))
+
+
+@register("b13_abbreviate", W(
+    f"SELECT canonical_merchant, {Q.abbreviate('upper(canonical_merchant)')} AS abbreviated "
+    "FROM (SELECT DISTINCT canonical_merchant FROM gold WHERE canonical_merchant IS NOT NULL)"))
+def q_b13(spark, sf_dir):
+    g = fg(spark, sf_dir)[1].select("canonical_merchant").filter(F.col("canonical_merchant").isNotNull()).distinct()
+    return g.select("canonical_merchant", TX.abbreviate(F.upper("canonical_merchant")).alias("abbreviated"))
+
+
+@register("b7_b8_merchant_ok", W(
+    "SELECT f.txn_id, " + Q.merchant_ok(Q.derive_canonical(Q.strip_processor_prefix("f.description")),
+                                         "g.canonical_merchant", "FALSE") + " AS merchant_ok, "
+    + Q.category_ok("NULL", "g.category") + " AS category_ok "
+    "FROM feed f JOIN gold g ON f.txn_id = g.txn_id"))
+def q_b7(spark, sf_dir):
+    feed, gold = fg(spark, sf_dir)
+    j = feed.join(gold, "txn_id")
+    pred = TX.derive_canonical(TX.strip_processor_prefix("description"))
+    from merchantry.functions.labels import category_ok
+    return j.select("txn_id", merchant_ok(pred, F.col("canonical_merchant"), F.lit(False)).alias("merchant_ok"),
+                    category_ok(F.lit(None).cast("string"), F.col("category")).alias("category_ok"))
+
+
+# ------------------------------------------------------------------ aggregates (D)
+ROLLUP_SQL = W("""SELECT customer_id, canonical_merchant,
+    round(sum(abs(amount)::DECIMAL(18,2)), 2)::DOUBLE AS total_spend, count(*) AS txn_count
+  FROM feed JOIN gold USING (txn_id) WHERE canonical_merchant IS NOT NULL
+  GROUP BY customer_id, canonical_merchant""")
+
+
+@register("d1_rollup_gold", ROLLUP_SQL)
+def q_d1(spark, sf_dir):
+    feed, gold = fg(spark, sf_dir)
+    g = feed.join(gold.select("txn_id", "canonical_merchant"), "txn_id").filter(
+        F.col("canonical_merchant").isNotNull())
+    return AG.rollup_by_merchant(g)
+
+
+@register("d2_conflicts", W(f"""SELECT description, count(DISTINCT key) AS k, count(*) AS n FROM
+  (SELECT f.description, coalesce(g.canonical_merchant, '') || chr(31) || coalesce(g.txn_type, '') AS key
+   FROM feed f JOIN gold g USING (txn_id)) GROUP BY description HAVING count(DISTINCT key) > 1"""))
+def q_d2(spark, sf_dir):
+    return AG.conflicting_descriptors(*fg(spark, sf_dir))
+
+
+@register("d3_composition", W("""
+  SELECT 'category' AS dimension, category AS value, count(*) AS n FROM gold GROUP BY category
+  UNION ALL SELECT 'origin', coalesce(origin, 'none'), count(*) FROM gold GROUP BY coalesce(origin, 'none')
+  UNION ALL SELECT 'rows', NULL, count(*) FROM gold
+  UNION ALL SELECT 'merchants', NULL, count(DISTINCT canonical_merchant) FROM gold"""))
+def q_d3(spark, sf_dir):
+    return AG.composition(fg(spark, sf_dir)[1])
+
+
+_MAJ_SQL = """SELECT {key}, arg_min(category, (-n, first)) AS category FROM (
+    SELECT {key}, category, count(*) AS n, min(txn_id) AS first FROM ({src}) WHERE {key} IS NOT NULL
+    GROUP BY {key}, category) GROUP BY {key}"""
+
+
+@register("d4_mcc_prior", W(_MAJ_SQL.format(
+    key="mcc", src="SELECT f.txn_id, f.mcc, g.category FROM feed f JOIN gold g USING (txn_id)")))
+def q_d4_mcc(spark, sf_dir):
+    feed, gold = fg(spark, sf_dir)
+    return AG.majority_category(feed.select("txn_id", "mcc").join(gold.select("txn_id", "category"), "txn_id"), "mcc")
+
+
+@register("d4_label_prior", W(_MAJ_SQL.format(
+    key="label", src="SELECT txn_id, coalesce(canonical_merchant, txn_type) AS label, category FROM gold")))
+def q_d4_label(spark, sf_dir):
+    gold = fg(spark, sf_dir)[1]
+    return AG.majority_category(gold.withColumn("label", F.coalesce("canonical_merchant", "txn_type")), "label")
+
+
+@register("d5_global_majority", W(
+    "SELECT arg_min(category, (-n, category)) AS category FROM "
+    "(SELECT category, count(*) AS n FROM gold GROUP BY category)"))
+def q_d5(spark, sf_dir):
+    return AG.global_majority(fg(spark, sf_dir)[1])
+
+
+@register("d6_known_list", W("""
+  SELECT key, arg_max(name, kind = 'merchant') AS name, arg_max(kind, kind = 'merchant') AS kind,
+         min(CASE WHEN kind = 'type' THEN 0 ELSE 1 END) AS ord_k,
+         arg_min(first, (CASE WHEN kind = 'type' THEN 0 ELSE 1 END, first)) AS ord_f
+  FROM per GROUP BY key""", [
+    """lab AS (SELECT txn_id, CASE WHEN canonical_merchant IS NOT NULL THEN 'merchant'
+                 WHEN txn_type IS NOT NULL THEN 'type' END AS kind,
+                 coalesce(canonical_merchant, txn_type) AS name FROM gold)""",
+    f"""per AS (SELECT {Q.clean_description('name')} AS key, kind, arg_max(name, txn_id) AS name,
+                 min(txn_id) AS first FROM lab WHERE kind IS NOT NULL GROUP BY ALL)"""]))
+def q_d6(spark, sf_dir):
+    kl = AG.known_list(fg(spark, sf_dir)[1])
+    return kl.select("key", "name", "kind", F.col("ord.k").alias("ord_k"), F.col("ord.f").alias("ord_f"))
+
+
+@register("d7_one_per_descriptor", W("SELECT description, min(txn_id) AS txn_id FROM feed GROUP BY description"))
+def q_d7(spark, sf_dir):
+    return AG.one_per_descriptor(fg(spark, sf_dir)[0])
+
+
+@register("d8_first_label_per_descriptor", W("""
+  SELECT description, min(txn_id) AS txn_id, arg_min(canonical_merchant, txn_id) AS canonical_merchant,
+         arg_min(category, txn_id) AS category
+  FROM feed JOIN gold USING (txn_id) GROUP BY description"""))
+def q_d8(spark, sf_dir):
+    feed, gold = fg(spark, sf_dir)
+    j = feed.select("txn_id", "description").join(gold.select("txn_id", "canonical_merchant", "category"), "txn_id")
+    return AG.first_per_group(j, "description", "txn_id", ["canonical_merchant", "category"])
+
+
+@register("d27_seen_twice", W("SELECT description, count(*) AS n FROM feed GROUP BY description HAVING count(*) >= 2"))
+def q_d27(spark, sf_dir):
+    return AG.seen_at_least(fg(spark, sf_dir)[0], "description", 2)
+
+
+@register("d39_synth_stats", W("""
+  SELECT org AS origin, count(DISTINCT canonical_merchant) AS merchants, count(*) AS rows,
+         count(DISTINCT description) AS descriptors, round(count(DISTINCT description) / count(*), 6) AS descriptors_per_row
+  FROM j GROUP BY org
+  UNION ALL SELECT 'all', count(DISTINCT canonical_merchant), count(*), count(DISTINCT description),
+         round(count(DISTINCT description) / count(*), 6) FROM j""",
+    ["j AS (SELECT g.*, f.description, coalesce(g.origin, 'none') AS org FROM gold g JOIN feed f USING (txn_id))"]))
+def q_d39(spark, sf_dir):
+    feed, gold = fg(spark, sf_dir)
+    return AG.synth_stats(gold, feed)
+
+
+@register("d40_busiest_customer", W(
+    "SELECT arg_min(customer_id, (-n, customer_id)) AS customer_id, max(n) AS n FROM "
+    "(SELECT customer_id, count(*) AS n FROM feed GROUP BY customer_id)"))
+def q_d40(spark, sf_dir):
+    return AG.busiest(fg(spark, sf_dir)[0])
+
+
+# ------------------------------------------------------------------ cleaner route + metrics
+CLEANER_PRED = (f"SELECT txn_id, {Q.derive_canonical(Q.strip_processor_prefix('description'))} AS canonical_merchant, "
+                "NULL::VARCHAR AS category, CASE WHEN amount > 0 THEN 'incoming' ELSE 'outgoing' END AS direction FROM feed")
+
+
+@register("r1_cleaner_preds", W(CLEANER_PRED))
+def q_r1(spark, sf_dir):
+    return CleanerRoute().transform(fg(spark, sf_dir)[0])
+
+
+@register("d10_d11_cleaner_scores", W(f"""
+  SELECT avg(CASE WHEN g.canonical_merchant IS NOT NULL THEN
+             ({Q.merchant_ok('p.canonical_merchant', 'g.canonical_merchant', 'FALSE')})::INT END) AS merchant_norm,
+         avg(CASE WHEN g.canonical_merchant IS NOT NULL THEN
+             coalesce(p.canonical_merchant = g.canonical_merchant, FALSE)::INT END) AS merchant_exact,
+         avg(coalesce(p.direction = g.direction, FALSE)::INT) AS direction_accuracy,
+         count(*) AS n
+  FROM p JOIN gold g USING (txn_id)""", [f"p AS ({CLEANER_PRED})"]))
+def q_d10(spark, sf_dir):
+    feed, gold = fg(spark, sf_dir)
+    row = M.leaderboard_row(CleanerRoute().transform(feed).drop("category"), gold, "cleaner", "all", "full")
+    return row.select("merchant_norm", "merchant_exact", "direction_accuracy", "n")
+
+
+@register("d13_dedup_ratio", W(f"""
+  SELECT CASE WHEN count(DISTINCT f.description) = 0 THEN 0.0 ELSE
+    (count(DISTINCT p.canonical_merchant) + coalesce(max((p.canonical_merchant IS NULL)::INT), 0))
+    / count(DISTINCT f.description) END AS dedup_ratio
+  FROM p JOIN feed f USING (txn_id)""", [f"p AS ({CLEANER_PRED})"]))
+def q_d13(spark, sf_dir):
+    feed = fg(spark, sf_dir)[0]
+    p = CleanerRoute().transform(feed).join(feed.select("txn_id", "description"), "txn_id")
+    return M.dedup_ratio(p)
+
+
+KPI_SQL = W("""
+  SELECT coalesce(avg(CASE WHEN total_spend IS NOT NULL THEN abs(total_spend - coalesce(pred_spend, 0.0)) END), 0.0) AS mae,
+         coalesce(avg(CASE WHEN total_spend IS NOT NULL THEN
+           (abs(total_spend - coalesce(pred_spend, 0.0)) / greatest(abs(total_spend), 1e-9) <= 0.01)::INT END), 0.0)
+           AS within_tolerance,
+         count(*) FILTER (WHERE total_spend IS NULL) AS pred_only_buckets
+  FROM merged""", [
+    f"p AS ({CLEANER_PRED})",
+    f"gm AS (SELECT txn_id, {Q.norm_merchant('canonical_merchant')} AS m FROM gold WHERE canonical_merchant IS NOT NULL)",
+    "base AS (SELECT f.txn_id, f.customer_id, f.amount FROM feed f WHERE f.txn_id IN (SELECT txn_id FROM gm))",
+    """groll AS (SELECT customer_id, m, round(sum(abs(amount)::DECIMAL(18,2)), 2)::DOUBLE AS total_spend
+            FROM base JOIN gm USING (txn_id) GROUP BY ALL)""",
+    f"""proll AS (SELECT customer_id, {Q.norm_merchant('p.canonical_merchant')} AS m,
+                   round(sum(abs(amount)::DECIMAL(18,2)), 2)::DOUBLE AS pred_spend
+            FROM base JOIN p USING (txn_id) GROUP BY ALL)""",
+    "merged AS (SELECT * FROM groll FULL OUTER JOIN proll USING (customer_id, m))"])
+
+
+@register("d14_spend_kpi_cleaner", KPI_SQL)
+def q_d14(spark, sf_dir):
+    feed, gold = fg(spark, sf_dir)
+    return M.spend_kpi(feed, CleanerRoute().transform(feed), gold)
+
+
+@register("d15_subsets_cleaner", W(f"""
+  SELECT subset, avg(ok) AS accuracy, count(*) AS n FROM (
+    SELECT unnest(list_filter([
+        CASE WHEN NOT coalesce(g.noise_abbrev, FALSE) AND NOT coalesce(g.noise_trunc, FALSE) THEN 'recoverable' END,
+        CASE WHEN coalesce(g.noise_abbrev, FALSE) THEN 'abbreviated' END,
+        CASE WHEN coalesce(g.noise_trunc, FALSE) THEN 'truncated' END,
+        CASE WHEN g.origin IS NOT NULL THEN 'origin:' || g.origin END], lambda t: t IS NOT NULL)) AS subset,
+      ({Q.merchant_ok('p.canonical_merchant', 'g.canonical_merchant', 'FALSE')})::DOUBLE AS ok
+    FROM p JOIN gold g USING (txn_id) WHERE g.canonical_merchant IS NOT NULL) GROUP BY subset""",
+    [f"p AS ({CLEANER_PRED})"]))
+def q_d15(spark, sf_dir):
+    feed, gold = fg(spark, sf_dir)
+    return M.merchant_subsets(CleanerRoute().transform(feed).drop("category"), gold)

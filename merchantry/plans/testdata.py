@@ -50,7 +50,7 @@ def raw_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.initcap(F.col("p_name"))
     is_type = F.col("event_type") == "signup"
     tlabel = S.choose(TYPE_LABELS, pick(hkey("type", eid), len(TYPE_LABELS)))
-    tcat = F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_CATEGORY.items() for x in kv]),
+    tcat = F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPE_CATEGORY.items() for x in kv]),
                         tlabel)
     mcat = S.choose(MERCHANT_CATEGORIES, pick(hkey("category", name), len(MERCHANT_CATEGORIES)))
     d = (d.withColumn("label", F.when(is_type, tlabel).otherwise(name))
@@ -71,7 +71,7 @@ def raw_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(u("paren") < DECOR_P["paren"], F.concat(F.lit(" ("), S.choose(
             PAREN_HINTS, pick(hkey("parenword", eid), len(PAREN_HINTS))), F.lit(")")))
          .otherwise(F.lit("")))
-    cur = F.element_at(F.create_map(*[F.lit(x) for kv in CURRENCY.items() for x in kv]),
+    cur = F.try_element_at(F.create_map(*[F.lit(x) for kv in CURRENCY.items() for x in kv]),
                        F.col("country"))
     return d.select(
         eid.alias("row_id"), desc.alias("transaction_description"), "category", "country",

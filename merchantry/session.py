@@ -19,7 +19,6 @@ LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.driver.memory": "16g",
-    "spark.sql.ansi.enabled": "false",
 }
 
 
