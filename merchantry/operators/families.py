@@ -50,8 +50,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 50,
     """(name, family) where family = the smallest name of the component.
     ``nodes`` has ``name``; ``edges`` has (a, b), treated as undirected."""
     und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    und = und.distinct()
+    und = und.distinct().persist()
     labels = nodes.select("name").distinct().withColumn("family", F.col("name"))
+    labels = labels.checkpoint() if checkpoint else labels.cache()
     for _ in range(max_iter):
         nb = (und.join(labels.withColumnRenamed("name", "a"), "a")
               .groupBy(F.col("b").alias("name")).agg(F.min("family").alias("_nf")))

@@ -207,3 +207,93 @@ def cascade(first: DataFrame, second: DataFrame, gate: Column, cols=("canonical_
 def run_route(route: Route, train_feed: DataFrame, train_gold: DataFrame, feed: DataFrame) -> DataFrame:
     """Fit then predict a whole frame."""
     return route.fit(train_feed, train_gold).transform(feed)
+
+
+# ------------------------------------------------------------------ Spark ML routes
+def _logreg(n_rows: int, features: str = "features", label: str = "label_idx"):
+    """Multinomial logistic regression with the penalty of the usual C=1 default:
+    regParam = 1/n, L2, no standardisation."""
+    from pyspark.ml.classification import LogisticRegression
+    return LogisticRegression(featuresCol=features, labelCol=label, maxIter=1000,
+                              regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0,
+                              standardization=False, family="multinomial")
+
+
+class MetadataRoute(Route):
+    """R2 (B33): category from metadata only — one-hot(type code), one-hot(mcc or
+    'none') with unseen values ignored, log1p(|amount|) — through a Spark ML pipeline.
+    Merchant is always null."""
+    name = "metadata"
+
+    def fit(self, train_feed, train_gold):
+        from pyspark.ml import Pipeline
+        from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+        j = self._prep(train_feed).join(train_gold.select("txn_id", "category"), "txn_id")
+        n = j.count()
+        stages = [
+            StringIndexer(inputCols=["transaction_type_code", "mcc_s"], outputCols=["tc_i", "mcc_i"],
+                          handleInvalid="keep"),
+            OneHotEncoder(inputCols=["tc_i", "mcc_i"], outputCols=["tc_v", "mcc_v"],
+                          handleInvalid="keep", dropLast=True),
+            VectorAssembler(inputCols=["tc_v", "mcc_v", "log_amt"], outputCol="features"),
+            StringIndexer(inputCol="category", outputCol="label_idx"),
+            _logreg(n),
+        ]
+        self.model = Pipeline(stages=stages).fit(j)
+        self.labels = self.model.stages[3].labels
+        return self
+
+    @staticmethod
+    def _prep(feed):
+        return feed.select("txn_id", "transaction_type_code", "amount",
+                           F.coalesce(F.col("mcc").cast("string"), F.lit("none")).alias("mcc_s"),
+                           F.log1p(F.abs("amount")).alias("log_amt"))
+
+    def transform(self, feed):
+        from pyspark.ml.feature import IndexToString
+        p = self.model.transform(self._prep(feed).withColumn("category", F.lit(None).cast("string")))
+        p = IndexToString(inputCol="prediction", outputCol="pred_category", labels=self.labels).transform(p)
+        return p.select("txn_id", F.lit(None).cast("string").alias("canonical_merchant"),
+                        F.col("pred_category").alias("category"), direction("amount").alias("direction"))
+
+
+class EmbeddingRoute(Route):
+    """Vocabulary vectors of the sorted train merchants; each query text takes the
+    nearest name by cosine (C8); category from logistic regression on description
+    vectors. ``encoder`` maps a string Column to an ARRAY<FLOAT> Column (the default
+    is the 26-letter count vector, B34; a pandas_udf model encoder plugs in the same way)."""
+    name = "embedding"
+
+    def __init__(self, encoder=None):
+        from merchantry.functions.text import letter_counts
+        self.encoder = encoder or letter_counts
+
+    def fit(self, train_feed, train_gold):
+        from pyspark.ml import Pipeline
+        from pyspark.ml.feature import StringIndexer
+        from pyspark.ml.functions import array_to_vector
+        j = train_feed.select("txn_id", "description").join(
+            train_gold.select("txn_id", "canonical_merchant", "category"), "txn_id")
+        self.vocab = (j.select(F.col("canonical_merchant").alias("name")).filter(F.col("name").isNotNull())
+                      .distinct().withColumn("vec", self.encoder(F.col("name"))))
+        x = j.withColumn("features", array_to_vector(self.encoder(F.col("description"))))
+        n = x.count()
+        self.clf = Pipeline(stages=[StringIndexer(inputCol="category", outputCol="label_idx"),
+                                    _logreg(n)]).fit(x)
+        self.labels = self.clf.stages[0].labels
+        return self
+
+    def transform(self, feed):
+        from pyspark.ml.feature import IndexToString
+        from pyspark.ml.functions import array_to_vector
+        from merchantry.operators.vectors import nearest_vector
+        q = feed.select("txn_id", "amount", "description",
+                        derive_canonical(strip_processor_prefix("description")).alias("query"))
+        dq = q.select("query").distinct().withColumn("vec", self.encoder(F.col("query")))
+        near = nearest_vector(dq, self.vocab, id_col="query")
+        c = self.clf.transform(q.withColumn("features", array_to_vector(self.encoder(F.col("description"))))
+                               .withColumn("category", F.lit(None).cast("string")))
+        c = IndexToString(inputCol="prediction", outputCol="pred_category", labels=self.labels).transform(c)
+        return (c.join(near.select("query", F.col("name").alias("canonical_merchant"), "cosine"), "query", "left")
+                .select("txn_id", "canonical_merchant", F.col("pred_category").alias("category"),
+                        direction("amount").alias("direction"), "cosine"))

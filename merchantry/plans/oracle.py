@@ -160,8 +160,9 @@ def feed_ctes(hard: bool = True) -> str:
     return ",\n".join(ctes)
 
 
-def with_feed(select: str, extra_ctes: list[str] | None = None, hard: bool = True) -> str:
+def with_feed(select: str, extra_ctes: list[str] | None = None, hard: bool = True,
+              recursive: bool = False) -> str:
     body = feed_ctes(hard)
     if extra_ctes:
         body += ",\n" + ",\n".join(extra_ctes)
-    return f"WITH {body}\n{select}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{body}\n{select}"

@@ -206,9 +206,9 @@ def q_d7(spark, sf_dir):
 
 
 @register("d8_first_label_per_descriptor", W("""
-  SELECT description, min(txn_id) AS txn_id, arg_min(canonical_merchant, txn_id) AS canonical_merchant,
-         arg_min(category, txn_id) AS category
-  FROM feed JOIN gold USING (txn_id) GROUP BY description"""))
+  SELECT description, txn_id, r.m AS canonical_merchant, r.c AS category FROM (
+    SELECT description, min(txn_id) AS txn_id, arg_min({'m': canonical_merchant, 'c': category}, txn_id) AS r
+    FROM feed JOIN gold USING (txn_id) GROUP BY description)"""))
 def q_d8(spark, sf_dir):
     feed, gold = fg(spark, sf_dir)
     j = feed.select("txn_id", "description").join(gold.select("txn_id", "canonical_merchant", "category"), "txn_id")
@@ -311,3 +311,377 @@ def q_d14(spark, sf_dir):
 def q_d15(spark, sf_dir):
     feed, gold = fg(spark, sf_dir)
     return M.merchant_subsets(CleanerRoute().transform(feed).drop("category"), gold)
+
+
+# ------------------------------------------------------------------ windows (E)
+from merchantry.operators import windows as WN  # noqa: E402
+from merchantry.operators import splits as SP  # noqa: E402
+from merchantry.operators import views as VW  # noqa: E402
+from merchantry.operators import families as FM  # noqa: E402
+from merchantry.operators import stats as ST  # noqa: E402
+
+NEW_SQL = """SELECT f.txn_id, (f.posted_date, f.txn_id) = (m.d, m.t) AS is_new FROM feed f JOIN
+  (SELECT description, arg_min(posted_date, (posted_date, txn_id)) AS d, arg_min(txn_id, (posted_date, txn_id)) AS t
+   FROM feed GROUP BY description) m USING (description)"""
+
+
+@register("e1_new_flags", W(NEW_SQL))
+def q_e1(spark, sf_dir):
+    return WN.running_new_flags(fg(spark, sf_dir)[0]).select("txn_id", "is_new")
+
+
+@register("e3_hit_rate_by_month", W(f"""SELECT strftime(f.posted_date, '%Y-%m') AS month,
+  round(avg((NOT n.is_new)::INT), 3) AS hit_rate, count(*) AS n
+  FROM feed f JOIN ({NEW_SQL}) n USING (txn_id) GROUP BY month"""))
+def q_e3(spark, sf_dir):
+    return WN.cache_hit_rate_by_month(fg(spark, sf_dir)[0])
+
+
+@register("e3_hit_rate_by_day", W(f"""SELECT f.posted_date AS day,
+  round(avg((NOT n.is_new)::INT), 3) AS hit_rate, count(*) AS n
+  FROM feed f JOIN ({NEW_SQL}) n USING (txn_id) GROUP BY day"""))
+def q_e3d(spark, sf_dir):
+    flagged = WN.running_new_flags(fg(spark, sf_dir)[0]).withColumn("hit", ~F.col("is_new"))
+    return WN.rate_by(flagged, "hit", "posted_date", "hit_rate", "day")
+
+
+def statement(feed: DataFrame) -> DataFrame:
+    """The feed as a bank statement: DD for outgoing ACH, DEB for other outgoing, CR for
+    incoming; debit / credit amounts; row_no = file order (txn_id)."""
+    t = (F.when((F.col("amount") < 0) & (F.col("payment_method") == "ach"), "DD")
+         .when(F.col("amount") < 0, "DEB").otherwise("CR"))
+    return feed.select(F.col("posted_date").alias("date"), t.alias("type"), "description",
+                       F.when(F.col("amount") < 0, -F.col("amount")).alias("debit"),
+                       F.when(F.col("amount") > 0, F.col("amount")).alias("credit"),
+                       F.col("txn_id").alias("row_no"), "customer_id")
+
+
+STATEMENT_SQL = """stmt AS (SELECT posted_date AS date,
+  CASE WHEN amount < 0 AND payment_method = 'ach' THEN 'DD' WHEN amount < 0 THEN 'DEB' ELSE 'CR' END AS type,
+  description, CASE WHEN amount < 0 THEN -amount END AS debit, CASE WHEN amount > 0 THEN amount END AS credit,
+  txn_id AS row_no, customer_id FROM feed)"""
+
+
+@register("e2_new_rate_by_year", W("""SELECT year(s.date) AS year, round(avg(((s.date, s.row_no) = (m.d, m.r))::INT), 3)
+  AS new_rate, count(*) AS n FROM (SELECT * FROM stmt WHERE type IN ('DEB', 'DD')) s JOIN
+  (SELECT description, arg_min(date, (date, row_no)) AS d, arg_min(row_no, (date, row_no)) AS r
+   FROM stmt WHERE type IN ('DEB', 'DD') GROUP BY description) m USING (description) GROUP BY year""",
+    [STATEMENT_SQL]))
+def q_e2(spark, sf_dir):
+    return WN.new_descriptor_rate_by_year(statement(fg(spark, sf_dir)[0]))
+
+
+@register("d25_spend_by_descriptor", W("""SELECT description,
+  round(sum(abs(coalesce(debit, 0.0))::DECIMAL(18,2)), 2)::DOUBLE AS spend, count(*) AS n,
+  count(*) FILTER (WHERE debit IS NULL) AS n_null_debit
+  FROM stmt WHERE type IN ('DEB', 'DD') GROUP BY description""", [STATEMENT_SQL]))
+def q_d25(spark, sf_dir):
+    return AG.spend_by_descriptor(statement(fg(spark, sf_dir)[0]))
+
+
+# ------------------------------------------------------------------ sampling and splits (F)
+ORDER_U = Q.uniform(Q.hkey(str(K.SEED), "order", Sql("txn_id")))
+
+
+@register("f2_seeded_cap", W(f"SELECT txn_id, description FROM feed ORDER BY {ORDER_U}, txn_id LIMIT 500"))
+def q_f2(spark, sf_dir):
+    return SP.seeded_cap(fg(spark, sf_dir)[0], 500).select("txn_id", "description")
+
+
+@register("f3_split_random", W(f"SELECT txn_id, {ORDER_U} >= 0.8 AS is_eval FROM feed"))
+def q_f3(spark, sf_dir):
+    return SP.split_random(fg(spark, sf_dir)[0])
+
+
+def _customer_strata(spark, sf_dir):
+    from merchantry.plans.testdata import table
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+
+
+@register("f4_stratified_sample", f"""
+  WITH c AS (SELECT c_custkey, c_mktsegment, c_nationkey,
+                    {Q.uniform(Q.hkey(str(K.SEED), 'strat', Sql('c_custkey::VARCHAR')))} AS u FROM customer),
+  s AS (SELECT c_mktsegment, c_nationkey, count(*) AS size FROM c GROUP BY ALL),
+  t AS (SELECT sum(size) AS total FROM s),
+  k AS (SELECT s.*, least(size, greatest(1, round_even(300 * size / total, 0)::BIGINT)) AS take FROM s, t)
+  SELECT c_custkey, c_mktsegment, c_nationkey FROM (
+    SELECT c.*, k.take, row_number() OVER (PARTITION BY c.c_mktsegment, c.c_nationkey ORDER BY c.u) AS rn
+    FROM c JOIN k USING (c_mktsegment, c_nationkey)) WHERE rn <= take""")
+def q_f4(spark, sf_dir):
+    from merchantry.operators.synth import stratified_sample
+    c = _customer_strata(spark, sf_dir)
+    u = uniform(hkey(str(K.SEED), "strat", F.col("c_custkey")))
+    return stratified_sample(c, 300, ["c_mktsegment", "c_nationkey"], u)
+
+
+def _families_sql() -> list[str]:
+    links = " UNION ALL ".join(f"SELECT {Q.q(a)} AS a, {Q.q(b)} AS b" for a, b in K.FAMILY_LINKS)
+    return [
+        "m AS (SELECT DISTINCT canonical_merchant AS name FROM gold WHERE canonical_merchant IS NOT NULL)",
+        f"tt AS (SELECT name, {Q.name_tokens_sorted('name')} AS toks FROM m)",
+        "tokf AS (SELECT tok, count(DISTINCT name) AS f FROM (SELECT name, unnest(toks) AS tok FROM tt) GROUP BY tok)",
+        "hub AS (SELECT t.name FROM tt t JOIN tokf f ON len(t.toks) = 1 AND t.toks[1] = f.tok WHERE f.f - 1 >= 3)",
+        "nt AS (SELECT * FROM tt WHERE name NOT IN (SELECT name FROM hub) AND len(toks) > 0)",
+        "edges AS (SELECT a.name AS a, b.name AS b FROM nt a JOIN nt b ON a.name <> b.name AND list_has_all(b.toks, a.toks))",
+        f"lk AS (SELECT * FROM ({links}) WHERE a IN (SELECT name FROM m) AND b IN (SELECT name FROM m))",
+        "und AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges UNION SELECT a, b FROM lk UNION SELECT b, a FROM lk)",
+        "reach(name, label) AS (SELECT name, name FROM m UNION SELECT u.b, r.label FROM reach r JOIN und u ON r.name = u.a)",
+        "fam AS (SELECT name, min(label) AS family FROM reach GROUP BY name)",
+    ]
+
+
+@register("c9_containment_edges", W("SELECT a, b FROM edges", _families_sql()[:6]))
+def q_c9(spark, sf_dir):
+    g = fg(spark, sf_dir)[1]
+    names = g.select(F.col("canonical_merchant").alias("name")).filter(F.col("name").isNotNull()).distinct()
+    return FM.containment_edges(names)
+
+
+@register("g5_brand_families", W("SELECT name, family FROM fam", _families_sql(), recursive=True))
+def q_g5(spark, sf_dir):
+    return FM.brand_families(fg(spark, sf_dir)[1].select(F.col("canonical_merchant").alias("name")))
+
+
+UNSEEN_MEM_SQL = (f"mem AS (SELECT g.txn_id, CASE WHEN g.canonical_merchant IS NULL THEN {Q.in_eval('g.txn_id', 0.2)} "
+                  f"ELSE {Q.in_eval('f.family', 0.2)} END AS is_eval FROM gold g LEFT JOIN fam f ON g.canonical_merchant = f.name)")
+
+
+@register("f5_split_unseen", W("SELECT txn_id, is_eval FROM mem", _families_sql() + [UNSEEN_MEM_SQL], recursive=True))
+def q_f5(spark, sf_dir):
+    return SP.split_unseen(fg(spark, sf_dir)[1])
+
+
+def _views_sql(mem_sql: str, cap: int = 5000) -> list[str]:
+    return [
+        mem_sql,
+        "tf AS (SELECT f.* FROM feed f JOIN mem m USING (txn_id) WHERE NOT m.is_eval)",
+        "ef AS (SELECT f.* FROM feed f JOIN mem m USING (txn_id) WHERE m.is_eval)",
+        """conf AS (SELECT description FROM (SELECT f.description, coalesce(g.canonical_merchant, '') || chr(31)
+             || coalesce(g.txn_type, '') AS key FROM feed f JOIN gold g USING (txn_id))
+             GROUP BY description HAVING count(DISTINCT key) > 1)""",
+        "tdesc AS (SELECT DISTINCT description FROM tf)",
+        """miss AS (SELECT * FROM ef WHERE description NOT IN (SELECT description FROM tdesc)
+             AND description NOT IN (SELECT description FROM conf))""",
+        "reps AS (SELECT description, min(txn_id) AS txn_id FROM miss GROUP BY description)",
+        "pool AS (SELECT m.* FROM miss m JOIN reps r USING (description, txn_id))",
+        f"model AS (SELECT * FROM pool ORDER BY {ORDER_U}, txn_id LIMIT {cap})",
+        """trep AS (SELECT t.description, min(t.txn_id) AS rep_txn_id,
+             arg_min({'m': g.canonical_merchant, 'c': g.category}, t.txn_id) AS r
+             FROM tf t JOIN gold g USING (txn_id) WHERE t.description NOT IN (SELECT description FROM conf)
+             GROUP BY t.description)""",
+        """cache AS (SELECT e.txn_id, TRUE AS cache_hit, r.rep_txn_id, r.r.m AS cache_merchant, r.r.c AS cache_category
+             FROM ef e JOIN trep r USING (description) WHERE e.description NOT IN (SELECT description FROM conf)
+           UNION ALL SELECT e.txn_id, FALSE, mo.txn_id, NULL, NULL FROM ef e JOIN model mo USING (description))""",
+    ]
+
+
+RANDOM_MEM_SQL = f"mem AS (SELECT txn_id, {ORDER_U} >= 0.8 AS is_eval FROM feed)"
+
+
+def _views(spark, sf_dir, split="random"):
+    key = ("views", id(spark), sf_dir, split)
+    if key not in _CACHE:
+        feed, gold = fg(spark, sf_dir)
+        mem = SP.split_random(feed) if split == "random" else SP.split_unseen(gold)
+        _CACHE[key] = VW.build_views(feed, gold, mem.cache())
+    return _CACHE[key]
+
+
+@register("f7_model_view_random", W("SELECT txn_id, description FROM model", _views_sql(RANDOM_MEM_SQL)))
+def q_f7(spark, sf_dir):
+    return _views(spark, sf_dir).model_feed.select("txn_id", "description")
+
+
+@register("f8_ideal_cache_random", W("SELECT * FROM cache", _views_sql(RANDOM_MEM_SQL)))
+def q_f8(spark, sf_dir):
+    return _views(spark, sf_dir).cache
+
+
+@register("f7_model_view_unseen", W("SELECT txn_id, description FROM model",
+                                    _families_sql() + _views_sql(UNSEEN_MEM_SQL), recursive=True))
+def q_f7u(spark, sf_dir):
+    return _views(spark, sf_dir, "unseen").model_feed.select("txn_id", "description")
+
+
+@register("f8_ideal_cache_unseen", W("SELECT * FROM cache", _families_sql() + _views_sql(UNSEEN_MEM_SQL),
+                                     recursive=True))
+def q_f8u(spark, sf_dir):
+    return _views(spark, sf_dir, "unseen").cache
+
+
+@register("d36_view_stats_random", W(f"""SELECT count(*) AS n_eval,
+    count(*) FILTER (WHERE description IN (SELECT description FROM tdesc)) AS removed_verbatim,
+    round((SELECT count(*) FROM cache WHERE cache_hit) / greatest(count(*), 1), 4) AS cache_hit_rate,
+    count(*) FILTER (WHERE description IN (SELECT description FROM conf)) AS conflict_eval_rows,
+    (SELECT count(*) FROM pool) AS model_view_n, (SELECT count(*) FROM model) AS capped_n FROM ef""",
+    _views_sql(RANDOM_MEM_SQL)))
+def q_d36(spark, sf_dir):
+    return _views(spark, sf_dir).stats
+
+
+# ------------------------------------------------------------------ statistics on documents + labels
+def conf_rows(spark, sf_dir) -> DataFrame:
+    """Confidence rows: documents with a quality label; a length score is the
+    confidence, choices 'high'/'low' (none for very short texts), gold from quality."""
+    from merchantry.plans.testdata import table
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    j = d.join(lab, "doc_id")
+    conf = F.round(F.least(F.lit(1.0), F.log(1 + F.col("n_chars")) / 10.0), 6)
+    choice = (F.when(F.col("n_chars") < 20, F.lit(K.NONE_OPTION))
+              .when(conf >= 0.6, "high").otherwise("low"))
+    gold = F.when(F.col("quality") == 1, "high").otherwise("low")
+    return j.select("doc_id", F.col("lang").alias("dataset"), F.lit("length").alias("setting"),
+                    "source", conf.alias("confidence"), choice.alias("choice"), gold.alias("gold"),
+                    (choice == gold).alias("correct"),
+                    ((conf >= 0.6) == (F.col("quality") == 1)).alias("a_ok"),
+                    ((F.col("toxic") == 0) == (F.col("quality") == 1)).alias("b_ok"))
+
+
+CONF_SQL = f"""cr AS (SELECT doc_id, lang AS dataset, 'length' AS setting, source,
+    round(least(1.0, ln(1 + n_chars) / 10.0), 6) AS confidence,
+    CASE WHEN n_chars < 20 THEN {Q.q(K.NONE_OPTION)} WHEN round(least(1.0, ln(1 + n_chars) / 10.0), 6) >= 0.6
+         THEN 'high' ELSE 'low' END AS choice,
+    CASE WHEN quality = 1 THEN 'high' ELSE 'low' END AS gold,
+    (round(least(1.0, ln(1 + n_chars) / 10.0), 6) >= 0.6) = (quality = 1) AS a_ok,
+    (toxic = 0) = (quality = 1) AS b_ok
+  FROM documents JOIN labels USING (doc_id)),
+crc AS (SELECT *, choice = gold AS correct FROM cr)"""
+
+
+def _boot_sql(k_expr: str, n_boot: int, seed: int) -> str:
+    return (f"draws AS (SELECT range // {k_expr} AS b, "
+            f"{Q.hash52(Q.hkey(str(seed), 'boot', Sql('range::VARCHAR')))} % {k_expr} AS idx "
+            f"FROM range(0, {n_boot} * {k_expr}))")
+
+
+@register("d17_cluster_sums", "WITH " + CONF_SQL + """
+  SELECT source AS cluster, sum(a_ok::INT - b_ok::INT)::DOUBLE AS num, count(*)::DOUBLE AS den, count(*) AS rows
+  FROM crc GROUP BY source""")
+def q_d17(spark, sf_dir):
+    return ST.cluster_sums(conf_rows(spark, sf_dir), "a_ok", "b_ok", "source")
+
+
+N_BOOT_Q = 1000
+
+
+@register("d19_paired_bootstrap", f"""WITH {CONF_SQL},
+  sums AS (SELECT source AS cluster, sum(a_ok::INT - b_ok::INT)::DOUBLE AS num, count(*)::DOUBLE AS den,
+           count(*) AS rows FROM crc GROUP BY source),
+  idx AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS idx FROM sums),
+  kk AS (SELECT count(*) AS k FROM sums),
+  draws AS (SELECT range // (SELECT k FROM kk) AS b,
+            {Q.hash52(Q.hkey('0', 'boot', Sql('range::VARCHAR')))} % (SELECT k FROM kk) AS idx
+            FROM range(0, {N_BOOT_Q} * (SELECT k FROM kk))),
+  cnt AS (SELECT b, idx, count(*) AS cnt FROM draws GROUP BY b, idx),
+  rep AS (SELECT b, CASE WHEN sum(cnt * den) <> 0 THEN sum(cnt * num) / sum(cnt * den) ELSE 0.0 END AS r
+          FROM cnt JOIN idx USING (idx) GROUP BY b),
+  q AS (SELECT quantile_cont(r, [0.025, 0.975]) AS q FROM rep)
+  SELECT coalesce(sum(num) / nullif(sum(den), 0.0), 0.0) AS diff, (SELECT q[1] FROM q) AS lo,
+         (SELECT q[2] FROM q) AS hi, count(*) AS n_clusters, sum(rows) AS n_rows FROM sums""")
+def q_d19(spark, sf_dir):
+    return ST.paired_bootstrap(conf_rows(spark, sf_dir), "a_ok", "b_ok", "source", n_boot=N_BOOT_Q, seed=0)
+
+
+@register("d20_leave_one_out", f"""WITH {CONF_SQL},
+  sums AS (SELECT source, sum(a_ok::INT - b_ok::INT)::DOUBLE AS num, count(*)::DOUBLE AS den FROM crc GROUP BY source),
+  t AS (SELECT sum(num) AS n, sum(den) AS d FROM sums)
+  SELECT min(CASE WHEN t.d - den <> 0 THEN (t.n - num) / (t.d - den) END) AS lo,
+         max(CASE WHEN t.d - den <> 0 THEN (t.n - num) / (t.d - den) END) AS hi FROM sums, t""")
+def q_d20(spark, sf_dir):
+    return ST.leave_one_cluster_out(conf_rows(spark, sf_dir), "a_ok", "b_ok", "source")
+
+
+@register("d21_mcnemar", f"""WITH {CONF_SQL},
+  c AS (SELECT count(*) FILTER (WHERE a_ok AND NOT b_ok) AS only_a, count(*) FILTER (WHERE NOT a_ok AND b_ok) AS only_b FROM crc),
+  t AS (SELECT only_a, only_b, only_a + only_b AS n, least(only_a, only_b) AS m FROM c)
+  SELECT only_a, only_b, CASE WHEN only_a = only_b THEN 1.0 ELSE least(1.0, 2 * (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))) FROM range(0, m + 1) r(i))) END
+    AS p_value FROM t""")
+def q_d21(spark, sf_dir):
+    return ST.mcnemar(conf_rows(spark, sf_dir), "a_ok", "b_ok")
+
+
+@register("d28_auroc", f"""WITH {CONF_SQL},
+  acc AS (SELECT * FROM crc WHERE choice <> {Q.q(K.NONE_OPTION)}),
+  per AS (SELECT dataset, confidence AS s, count(*) FILTER (WHERE correct) AS p, count(*) FILTER (WHERE NOT correct) AS n
+          FROM acc GROUP BY dataset, confidence),
+  cum AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY dataset ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM per)
+  SELECT dataset, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(p * (below + 0.5 * n)) / (sum(p) * sum(n)) END AS auroc
+  FROM cum GROUP BY dataset""")
+def q_d28(spark, sf_dir):
+    r = conf_rows(spark, sf_dir).filter(F.col("choice") != K.NONE_OPTION)
+    return ST.auroc(r, "confidence", F.col("correct"), ["dataset"])
+
+
+@register("d29_quantiles", f"""WITH {CONF_SQL}
+  SELECT dataset, correct, list_transform(quantile_cont(confidence, [0.1, 0.25, 0.5, 0.75, 0.9]), lambda x: round(x, 3))
+    AS quantiles FROM crc WHERE choice <> {Q.q(K.NONE_OPTION)} GROUP BY dataset, correct""")
+def q_d29(spark, sf_dir):
+    r = conf_rows(spark, sf_dir).filter(F.col("choice") != K.NONE_OPTION)
+    return ST.quantiles(r, "confidence", ["dataset", "correct"])
+
+
+def _sweep_sql():
+    parts = []
+    for t in K.CONFIDENCE_THRESHOLDS:
+        acc = f"(choice <> {Q.q(K.NONE_OPTION)} AND confidence >= {Q.dbl(t)})"
+        parts.append(f"""SELECT dataset, {Q.dbl(t)} AS threshold,
+          round(count(*) FILTER (WHERE {acc}) / count(*), 3) AS auto_accepted,
+          CASE WHEN count(*) FILTER (WHERE {acc}) > 0 THEN round(count(*) FILTER (WHERE {acc} AND correct)
+            / count(*) FILTER (WHERE {acc}), 3) END AS precision_of_accepted,
+          round((count(*) FILTER (WHERE {acc}) - count(*) FILTER (WHERE {acc} AND correct)) / count(*), 3)
+            AS wrong_accepts_of_all_rows,
+          round(1 - count(*) FILTER (WHERE {acc}) / count(*), 3) AS escalated FROM crc GROUP BY dataset""")
+    return f"WITH {CONF_SQL}\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("d30_threshold_sweep", _sweep_sql())
+def q_d30(spark, sf_dir):
+    r = conf_rows(spark, sf_dir)
+    return ST.threshold_sweep(r, F.col("choice") != K.NONE_OPTION, "confidence", "correct", group=["dataset"])
+
+
+@register("d12_macro_f1", f"""WITH {CONF_SQL},
+  c AS (SELECT gold AS label, (choice = gold)::INT AS tp, 0 AS fp, (choice <> gold)::INT AS fn FROM crc
+        UNION ALL SELECT choice, 0, (choice <> gold)::INT, 0 FROM crc),
+  per AS (SELECT label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM c GROUP BY label)
+  SELECT coalesce(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END), 0.0)
+    AS category_macro_f1 FROM per""")
+def q_d12(spark, sf_dir):
+    r = conf_rows(spark, sf_dir)
+    pred = r.select(F.col("doc_id").alias("txn_id"), F.col("choice").alias("category"))
+    gold = r.select(F.col("doc_id").alias("txn_id"), F.col("gold").alias("category"))
+    return M.macro_f1(pred, gold)
+
+
+@register("d22_d23_binomial_invalid", f"""WITH {CONF_SQL}
+  SELECT dataset, avg(correct::INT) AS accuracy, 1.96 * sqrt(avg(correct::INT) * (1 - avg(correct::INT)) / count(*))
+    AS half_width, count(*) FILTER (WHERE choice NOT IN ('high', 'low')) AS invalid FROM crc GROUP BY dataset""")
+def q_d22(spark, sf_dir):
+    r = conf_rows(spark, sf_dir)
+    return (r.groupBy("dataset").agg(F.avg(F.col("correct").cast("double")).alias("accuracy"),
+                                     F.count(F.lit(1)).alias("_n"),
+                                     F.count_if(~F.col("choice").isin("high", "low")).alias("invalid"))
+            .select("dataset", "accuracy", ST.binomial_halfwidth(F.col("accuracy"), F.col("_n")).alias("half_width"),
+                    "invalid"))
+
+
+# ------------------------------------------------------------------ vectors on embeddings
+@register("c8_nearest_centroid", """WITH emb AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v,
+      generate_subscripts(embedding, 1) AS i FROM embeddings),
+  cent AS (SELECT label::VARCHAR AS cand, i, avg(v) AS c FROM emb GROUP BY label, i),
+  dots AS (SELECT e.vec_id, c.cand, sum(e.v * c.c) AS dot FROM emb e JOIN cent c ON e.i = c.i GROUP BY e.vec_id, c.cand),
+  qn AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM emb GROUP BY vec_id),
+  cn AS (SELECT cand, sqrt(sum(c * c)) AS n FROM cent GROUP BY cand),
+  sc AS (SELECT d.vec_id, d.cand, d.dot / (q.n * c.n) AS cos FROM dots d JOIN qn q USING (vec_id) JOIN cn c USING (cand))
+  SELECT e.vec_id, e.label, s.pred FROM (SELECT DISTINCT vec_id, label FROM emb) e JOIN
+    (SELECT vec_id, arg_min(cand, (-cos, cand)) AS pred FROM sc GROUP BY vec_id) s USING (vec_id)""")
+def q_c8(spark, sf_dir):
+    from merchantry.operators.vectors import centroids, nearest_vector
+    from merchantry.plans.testdata import table
+    e = table(spark, sf_dir, "embeddings")
+    vocab = centroids(e.select(F.col("label").cast("string").alias("name"), F.col("embedding").alias("vec")),
+                      "vec", "name")
+    near = nearest_vector(e.select(F.col("vec_id"), F.col("embedding").alias("vec")), vocab, id_col="vec_id")
+    return e.select("vec_id", "label").join(near.select("vec_id", F.col("name").alias("pred")), "vec_id")
