@@ -32,6 +32,11 @@ class Route:
         raise NotImplementedError
 
 
+def with_gold_defaults(gold: DataFrame) -> DataFrame:
+    """Gold frames without a txn_type column get a null one."""
+    return gold if "txn_type" in gold.columns else gold.withColumn("txn_type", F.lit(None).cast("string"))
+
+
 def query_text(desc) -> Column:
     """The cleaned text routes match on: B2(B3(B1(description)))."""
     return clean_description(derive_canonical(strip_processor_prefix(desc)))
@@ -57,6 +62,7 @@ class RulesRoute(Route):
         self.cutoff = cutoff
 
     def fit(self, train_feed: DataFrame, train_gold: DataFrame) -> "RulesRoute":
+        train_gold = with_gold_defaults(train_gold)
         j = train_feed.select("txn_id", "mcc").join(
             train_gold.select("txn_id", "category", "canonical_merchant", "txn_type"), "txn_id")
         self.names = known_list(j)
@@ -147,6 +153,7 @@ class ChoiceRoute(Route):
         self.categories, self.k = list(categories), k
 
     def fit(self, train_feed, train_gold):
+        train_gold = with_gold_defaults(train_gold)
         j = train_feed.select("txn_id").join(
             train_gold.select("txn_id", "canonical_merchant", "txn_type"), "txn_id")
         self.names = known_list(j).filter(F.col("kind") == "merchant")

@@ -41,13 +41,6 @@ def q_synth_gold(spark, sf_dir):
     return fg(spark, sf_dir)[1]
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed, gold = fg(spark, sf_dir)
-    from merchantry.operators.aggregates import rollup_by_merchant
-    g = feed.join(gold.select("txn_id", "canonical_merchant"), "txn_id")
-    return rollup_by_merchant(g)
-
-
 # ------------------------------------------------------------------ imports for queries
 from merchantry import constants as K  # noqa: E402
 from merchantry.functions import text as TX  # noqa: E402
@@ -685,3 +678,77 @@ def q_c8(spark, sf_dir):
                       "vec", "name")
     near = nearest_vector(e.select(F.col("vec_id"), F.col("embedding").alias("vec")), vocab, id_col="vec_id")
     return e.select("vec_id", "label").join(near.select("vec_id", F.col("name").alias("pred")), "vec_id")
+
+
+# ------------------------------------------------------------------ rules route, fuzzy joins
+from merchantry.operators.fuzzy import fuzzy_top1, fuzzy_topk  # noqa: E402
+from merchantry.operators.routes import RulesRoute, candidates, query_text  # noqa: E402
+
+
+def _rules(spark, sf_dir, split="random"):
+    key = ("rules", id(spark), sf_dir, split)
+    if key not in _CACHE:
+        v = _views(spark, sf_dir, split)
+        _CACHE[key] = RulesRoute().fit(v.train_feed, v.train_gold)
+    return _CACHE[key]
+
+
+@register("r3_rules_preds_random")
+def q_r3(spark, sf_dir):
+    v = _views(spark, sf_dir)
+    return _rules(spark, sf_dir).transform(v.eval_feed)
+
+
+@register("c5_fuzzy_top1_random")
+def q_c5(spark, sf_dir):
+    v = _views(spark, sf_dir)
+    q = v.eval_feed.select(query_text("description").alias("query"))
+    return fuzzy_top1(q, _rules(spark, sf_dir).names)
+
+
+@register("c6_candidates_model_view")
+def q_c6(spark, sf_dir):
+    v = _views(spark, sf_dir)
+    names = _rules(spark, sf_dir).names.filter(F.col("kind") == "merchant")
+    return candidates(v.model_feed, names)
+
+
+@register("d16_retrieval_recall")
+def q_d16(spark, sf_dir):
+    v = _views(spark, sf_dir)
+    names = _rules(spark, sf_dir).names.filter(F.col("kind") == "merchant")
+    c = candidates(v.model_feed, names).join(
+        v.model_gold.select("txn_id", F.col("canonical_merchant").alias("gold")), "txn_id")
+    return M.retrieval_recall(c.filter(F.col("gold").isNotNull()))
+
+
+@register("d37_leaderboard_random")
+def q_d37(spark, sf_dir):
+    v = _views(spark, sf_dir)
+    rules = _rules(spark, sf_dir)
+    from merchantry.operators.views import ideal_preds
+    rows = []
+    for name, route in [("cleaner", CleanerRoute()), ("rules", rules)]:
+        mp = route.transform(v.model_feed)
+        rows.append(M.leaderboard_row(mp, v.model_gold, name, "random", "model"))
+        ip = ideal_preds(route.transform(v.model_feed), v.cache)
+        ip = ip.join(v.ideal_feed.select("txn_id", "amount"), "txn_id").withColumn(
+            "direction", F.when(F.col("amount") > 0, "incoming").otherwise("outgoing"))
+        rows.append(M.leaderboard_row(ip, v.ideal_gold, name, "random", "ideal_cache"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules route fitted on the random split's train rows, applied to the held-out rows,
+    then spend rolled up per customer and predicted merchant (D1)."""
+    v = _views(spark, sf_dir)
+    pred = _rules(spark, sf_dir).transform(v.eval_feed)
+    rows = v.eval_feed.select("txn_id", "customer_id", "amount").join(
+        pred.select("txn_id", "canonical_merchant"), "txn_id")
+    return AG.rollup_by_merchant(rows)
+
+
+register("flagship_rules_rollup")(flagship)

@@ -44,3 +44,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="merchantry-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(conf)
     return spark.sparkContext.getCheckpointDir() or conf
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``merchantry`` importable on executors (Python UDFs and mapInPandas run
+    our functions there): zip the package once and ship it with ``addPyFile``."""
+    sc = spark.sparkContext
+    key = id(sc)
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="merchantry-pkg-")
+    base = shutil.make_archive(os.path.join(out, "merchantry"), "zip", os.path.dirname(pkg), "merchantry")
+    sc.addPyFile(base)
+    _SHIPPED.add(key)
