@@ -7,20 +7,19 @@ s = len(" ".join(I)), la = s + [s>0] + |x|, lb = s + [s>0] + |y|:
   * r0 = 100 - 100 * (|x| + |y| - 2 LCS(x, y)) / (la + lb);
   * if s > 0 also 100 - 100 (1+|x|)/(s+la) and 100 - 100 (1+|y|)/(s+lb);
   * score = the maximum.
-Everything but LCS is native array/string functions; LCS runs in an Arrow-batched
-pandas UDF (bit-parallel, one Python int per pair).
-
-C5 avoids the all-pairs product with a lossless blocking step: a pair scoring >= the
-cutoff either shares a token, or (no shared token) its sorted-token strings X, Y have
-indel distance <= (1 - c/100)(|X| + |Y|), which forces a shared 2-gram whenever
-max(|X|, |Y|) >= 3 (q-gram lemma) and equality otherwise; it also bounds ||X| - |Y||.
-So candidates come from two equi joins (on token and on 2-gram) plus a length test,
-and only candidates are scored.
-
-C6 has no cutoff, so every list entry is a candidate: each partition of distinct
-queries is scored against the broadcast list inside ``mapInPandas`` (the list size is
-checked first; a longer list is processed in chunks whose per-chunk top-k are merged
-by an aggregation).
+``token_set_score`` is that formula as a Column expression over two token arrays
+(native array functions plus an Arrow UDF for LCS) for scoring given pairs.
+
+C5 and C6 never build a pair table. The list (key, name, ord) is checked for size and
+broadcast; every partition of distinct queries is scored against it by one kernel:
+  * pairs sharing a token come from an inverted token index and are scored exactly;
+  * for pairs without a shared token the score is 200 LCS(X, Y) / (|X| + |Y|) on the
+    sorted-token strings, bounded above by the letter-bag overlap
+    (LCS <= sum_c min(count_X(c), count_Y(c))), computed for the whole list at once
+    with numpy; exact LCS runs in bound order only while the bound can still beat
+    the cutoff (C5) or the current k-th best (C6).
+Both are exact (ties: earliest list entry). A list longer than the broadcast limit is
+scored in chunks whose winners are merged by an aggregation.
 """
 from __future__ import annotations
 
@@ -115,81 +114,125 @@ def _grams(s: Column) -> Column:
         F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(s, i, 2))))
 
 
-# ------------------------------------------------------------------ C5
-def fuzzy_top1(queries: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF
-               ) -> DataFrame:
-    """Best list entry scoring >= ``cutoff`` for every distinct query.
-
-    ``queries``: (query STRING); ``names``: (key STRING, name STRING, ord) where ``ord``
-    orders the list (earliest wins ties). Returns (query, name, score) for matched
-    queries only."""
-    q = queries.select("query").distinct().withColumn("qt", ws_tokens("query"))
-    n = names.select("key", "name", "ord").withColumn("kt", ws_tokens("key"))
-    q = q.withColumn("qx", F.array_join(F.array_sort("qt"), " "))
-    n = n.withColumn("kx", F.array_join(F.array_sort("kt"), " "))
-    by_tok = (q.select("query", F.explode("qt").alias("t"))
-              .join(n.select("key", F.explode("kt").alias("t")), "t").select("query", "key"))
-    slack = 1.0 - cutoff / 100.0
-    qg = q.select("query", F.length("qx").alias("lq"), F.explode(_grams(F.col("qx"))).alias("g"))
-    kg = n.select("key", F.length("kx").alias("lk"), F.explode(_grams(F.col("kx"))).alias("g"))
-    by_gram = (qg.join(kg, "g")
-               .filter(F.abs(F.col("lq") - F.col("lk")) <= F.lit(slack) * (F.col("lq") + F.col("lk")))
-               .select("query", "key"))
-    cand = by_tok.unionByName(by_gram).distinct()
-    pairs = cand.join(q, "query").join(n, "key")
-    scored = pairs.withColumn("score", token_set_score(F.col("qt"), F.col("kt")))
-    best = (scored.filter(F.col("score") >= F.lit(float(cutoff)))
-            .groupBy("query")
-            .agg(F.min_by(F.struct("name", "score"),
-                          F.struct((-F.col("score")).alias("s"), F.col("ord").alias("o"))).alias("b")))
-    return best.select("query", "b.name", "b.score")
-
-
-# ------------------------------------------------------------------ C6
-def _topk_kernel(names: list[str], keys: list[str], ords: list, k: int):
-    key_tokens = [set(x.split()) for x in keys]
-
-    def run(it):
-        for pdf in it:
-            out_q, out_c, out_s = [], [], []
-            for qv in pdf["query"]:
-                qs = qv or ""
-                scores = np.fromiter((token_set_ratio_py(qs, key) if kt else 0.0
-                                      for key, kt in zip(keys, key_tokens)), dtype=float,
-                                     count=len(keys))
-                order = np.lexsort((np.arange(len(keys)), -scores))[:k]
-                out_q.append(qv)
-                out_c.append([names[i] for i in order])
-                out_s.append([float(scores[i]) for i in order])
-            yield pd.DataFrame({"query": out_q, "candidates": out_c, "scores": out_s})
-    return run
+# ------------------------------------------------------------------ list kernel
+class ListIndex:
+    """The broadcast side of C5/C6: token postings and a letter-count matrix."""
+
+    def __init__(self, keys: list[str], names: list[str]):
+        self.names = names
+        self.tok = [frozenset((k or "").split()) for k in keys]
+        self.sx = [" ".join(sorted(t)) for t in self.tok]
+        self.lens = np.array([len(x) for x in self.sx], dtype=np.float64)
+        alphabet = sorted({ch for x in self.sx for ch in x})
+        self.col = {ch: i for i, ch in enumerate(alphabet)}
+        self.counts = np.zeros((len(keys), max(len(alphabet), 1)), dtype=np.int32)
+        for r, x in enumerate(self.sx):
+            for ch in x:
+                self.counts[r, self.col[ch]] += 1
+        self.post: dict[str, list[int]] = {}
+        for r, t in enumerate(self.tok):
+            for w in t:
+                self.post.setdefault(w, []).append(r)
+        self.empty = np.array([len(t) == 0 for t in self.tok])
+
+    def best(self, query: str, k: int, cutoff: float | None) -> list[tuple[float, int]]:
+        """Top-k (score, index) for one query, score desc then index; only scores >=
+        cutoff when a cutoff is given."""
+        n = len(self.names)
+        tq = frozenset((query or "").split())
+        if n == 0:
+            return []
+        if not tq:
+            return [] if cutoff is not None and cutoff > 0 else [(0.0, i) for i in range(min(k, n))]
+        shared = sorted({r for w in tq for r in self.post.get(w, ())})
+        scored = {r: token_set_ratio_py(query, " ".join(self.tok[r])) for r in shared}
+        xq = " ".join(sorted(tq))
+        qv = np.zeros(self.counts.shape[1], dtype=np.int32)
+        for ch in xq:
+            c = self.col.get(ch)
+            if c is not None:
+                qv[c] += 1
+        bag = np.minimum(self.counts, qv).sum(axis=1)
+        upper = 200.0 * bag / (len(xq) + self.lens)
+        upper[self.empty] = 0.0
+        if shared:
+            upper[np.array(shared)] = -1.0          # already exact
+        order = np.lexsort((np.arange(n), -upper))
+        floor = cutoff if cutoff is not None else -1.0
+
+        def kth():
+            if len(scored) < k:
+                return floor
+            return max(floor, sorted(scored.values(), reverse=True)[k - 1])
+        for r in order:
+            ub = upper[r]
+            if ub < 0:
+                break
+            if ub < kth():
+                break
+            scored[r] = 200.0 * lcs_len(xq, self.sx[r]) / (len(xq) + len(self.sx[r]))
+        res = sorted(((sc, r) for r, sc in scored.items() if cutoff is None or sc >= cutoff),
+                     key=lambda t: (-t[0], t[1]))
+        if cutoff is None and len(res) < k:
+            seen = {r for _, r in res}
+            res += [(float(scored.get(r, 0.0)), r) for r in range(n) if r not in seen][: k - len(res)]
+            res.sort(key=lambda t: (-t[0], t[1]))
+        return res[:k]
+
+
+def _broadcast_chunks(names: DataFrame, max_broadcast: int):
+    """Yield ListIndex broadcasts of the list in ``ord`` order, after a size check."""
+    spark = names.sparkSession
+    n = names.count()
+    ordered = names.select("key", "name", "ord").orderBy("ord")
+    for start in range(0, max(n, 1), max_broadcast):
+        rows = ordered.offset(start).limit(max_broadcast).collect()
+        yield spark.sparkContext.broadcast(ListIndex([r["key"] for r in rows], [r["name"] for r in rows]))
+
+
+def _scan(queries: DataFrame, names: DataFrame, k: int, cutoff, max_broadcast: int) -> DataFrame:
+    schema = "query string, _chunk int, _pos array<int>, candidates array<string>, scores array<double>"
+    q = queries.select("query").distinct()
+    parts = []
+    for ci, bc in enumerate(_broadcast_chunks(names, max_broadcast)):
+        def run(it, bc=bc, ci=ci):
+            idx = bc.value
+            for pdf in it:
+                out = {"query": [], "_chunk": [], "_pos": [], "candidates": [], "scores": []}
+                for qv in pdf["query"]:
+                    best = idx.best(qv, k, cutoff)
+                    out["query"].append(qv)
+                    out["_chunk"].append(ci)
+                    out["_pos"].append([r for _, r in best])
+                    out["candidates"].append([idx.names[r] for _, r in best])
+                    out["scores"].append([float(sc) for sc, _ in best])
+                yield pd.DataFrame(out)
+        parts.append(q.mapInPandas(run, schema))
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    if len(parts) == 1:
+        return res.drop("_chunk", "_pos")
+    flat = res.select("query", "_chunk", F.posexplode(F.arrays_zip("candidates", "scores", "_pos")))
+    top = flat.groupBy("query").agg(F.sort_array(F.collect_list(F.struct(
+        (-F.col("col.scores")).alias("s"), F.col("_chunk").alias("c"), F.col("col._pos").alias("p"),
+        F.col("col.candidates").alias("n")))).alias("all"))
+    return top.select("query", F.transform(F.slice("all", 1, k), lambda x: x["n"]).alias("candidates"),
+                      F.transform(F.slice("all", 1, k), lambda x: -x["s"]).alias("scores"))
 
 
-def fuzzy_topk(queries: DataFrame, names: DataFrame, k: int = K.TOP_K,
+def fuzzy_top1(queries: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF,
                max_broadcast: int = MAX_BROADCAST_LIST) -> DataFrame:
-    """The ``k`` best list names per distinct query (score desc, then list order).
+    """Best list entry scoring >= ``cutoff`` for every distinct query (earliest list
+    entry on ties). ``queries``: (query); ``names``: (key, name, ord). Returns
+    (query, name, score) for matched queries only."""
+    res = _scan(queries, names, 1, float(cutoff), max_broadcast)
+    return (res.filter(F.size("candidates") > 0)
+            .select("query", F.col("candidates")[0].alias("name"), F.col("scores")[0].alias("score")))
 
-    The list (key, name, ord) is collected in list order only after its size is
-    checked against ``max_broadcast``; a longer list is split into chunks of that size
-    and the chunk winners are merged per query by an aggregation."""
-    n_names = names.count()
-    q = queries.select("query").distinct()
-    schema = "query string, candidates array<string>, scores array<double>"
-    chunks = []
-    for start in range(0, max(n_names, 1), max_broadcast):
-        part = (names.select("key", "name", "ord").orderBy("ord")
-                .offset(start).limit(max_broadcast).collect())
-        kernel = _topk_kernel([r["name"] for r in part], [r["key"] for r in part],
-                              [r["ord"] for r in part], k)
-        chunks.append(q.mapInPandas(kernel, schema).withColumn("_chunk", F.lit(len(chunks))))
-    res = chunks[0]
-    if len(chunks) == 1:
-        return res.drop("_chunk")
-    for c in chunks[1:]:
-        res = res.unionByName(c)
-    flat = res.select("query", "_chunk", F.posexplode(F.arrays_zip("candidates", "scores")))
-    top = (flat.groupBy("query").agg(F.sort_array(F.collect_list(F.struct(
-        (-F.col("col.scores")).alias("s"), F.col("_chunk").alias("c"), F.col("pos").alias("p"),
-        F.col("col.candidates").alias("n")))).alias("all")))
-    return top.select("query", F.transform(F.slice("all", 1, k), lambda x: x["n"]).alias("candidates"),
-                      F.transform(F.slice("all", 1, k), lambda x: -x["s"]).alias("scores"))
+
+def fuzzy_topk(queries: DataFrame, names: DataFrame, k: int = K.TOP_K,
+               max_broadcast: int = MAX_BROADCAST_LIST) -> DataFrame:
+    """The ``k`` best list names per distinct query (score desc, then list order),
+    no cutoff. Returns (query, candidates, scores)."""
+    return _scan(queries, names, k, None, max_broadcast)
