@@ -236,3 +236,30 @@ def fuzzy_topk(queries: DataFrame, names: DataFrame, k: int = K.TOP_K,
     """The ``k`` best list names per distinct query (score desc, then list order),
     no cutoff. Returns (query, candidates, scores)."""
     return _scan(queries, names, k, None, max_broadcast)
+
+
+def fuzzy_top1_rows(df: DataFrame, query_col: str, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF,
+                    out: str = "_match", max_broadcast: int = MAX_BROADCAST_LIST) -> DataFrame:
+    """C5 row by row: adds ``out`` (best name >= cutoff or null) to every row, keeping all
+    columns. No distinct and no join back, so it also runs on a stream (S4)."""
+    chunks = list(_broadcast_chunks(names, max_broadcast))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    schema = f"{fields}, `{out}` string, `{out}_score` double"
+
+    def run(it):
+        idxs = [bc.value for bc in chunks]
+        for pdf in it:
+            names_out, scores_out = [], []
+            for qv in pdf[query_col]:
+                best = None
+                for idx in idxs:
+                    b = idx.best(qv, 1, float(cutoff))
+                    if b and (best is None or b[0][0] > best[0]):
+                        best = (b[0][0], idx.names[b[0][1]])
+                names_out.append(best[1] if best else None)
+                scores_out.append(best[0] if best else None)
+            pdf = pdf.copy()
+            pdf[out] = names_out
+            pdf[f"{out}_score"] = scores_out
+            yield pdf
+    return df.mapInPandas(run, schema)

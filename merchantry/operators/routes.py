@@ -78,8 +78,13 @@ class RulesRoute(Route):
             "_stripped", strip_processor_prefix("description"))
         d = (d.withColumn("_fallback", derive_canonical("_stripped"))
              .withColumn("query", clean_description("_fallback")))
-        best = fuzzy_top1(d.select("query"), self.names, self.cutoff)
-        d = d.join(best.select("query", F.col("name").alias("_match")), "query", "left")
+        if d.isStreaming:
+            # Per-row scoring; a stream cannot be de-duplicated and joined back
+            from merchantry.operators.fuzzy import fuzzy_top1_rows
+            d = fuzzy_top1_rows(d, "query", self.names, self.cutoff).drop("_match_score")
+        else:
+            best = fuzzy_top1(d.select("query"), self.names, self.cutoff)
+            d = d.join(best.select("query", F.col("name").alias("_match")), "query", "left")
         d = (d.withColumn("canonical_merchant", F.coalesce("_match", "_fallback"))
              .withColumn("no_match", F.col("_match").isNull()))
         d = (d.join(self.mcc_prior, "mcc", "left")

@@ -759,3 +759,59 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("flagship_rules_rollup")(flagship)
+
+
+# ------------------------------------------------------------------ streaming
+from merchantry.streaming import cache as SC  # noqa: E402
+
+
+def _stream_source(spark, sf_dir):
+    key = ("stream_src", id(spark), sf_dir)
+    if key not in _CACHE:
+        feed = fg(spark, sf_dir)[0]
+        _CACHE[key] = (SC.write_stream_source(feed), feed.schema)
+    return _CACHE[key]
+
+
+def _s1(spark, sf_dir):
+    key = ("s1", id(spark), sf_dir)
+    if key not in _CACHE:
+        src, schema = _stream_source(spark, sf_dir)
+        _CACHE[key] = SC.descriptor_cache_stream(spark, src, schema)
+    return _CACHE[key]
+
+
+@register("s1_descriptor_cache_stream", W(NEW_SQL))
+def q_s1(spark, sf_dir):
+    return _s1(spark, sf_dir).select("txn_id", "is_new")
+
+
+@register("s2_hit_rate_windows_stream", W(f"""SELECT f.posted_date AS window_start,
+  round(avg((NOT n.is_new)::INT), 3) AS hit_rate, count(*) AS n
+  FROM feed f JOIN ({NEW_SQL}) n USING (txn_id) GROUP BY f.posted_date"""))
+def q_s2(spark, sf_dir):
+    return SC.hit_rate_windows(_s1(spark, sf_dir))
+
+
+@register("s3_spend_rollup_stream", W("""SELECT posted_date AS day, customer_id, canonical_merchant,
+    round(sum(abs(amount)::DECIMAL(18,2)), 2)::DOUBLE AS total_spend, count(*) AS txn_count
+  FROM feed JOIN gold USING (txn_id) GROUP BY ALL"""))
+def q_s3(spark, sf_dir):
+    src, schema = _stream_source(spark, sf_dir)
+    gold = fg(spark, sf_dir)[1].select("txn_id", "canonical_merchant")
+    return SC.spend_rollup_stream(spark, src, schema, lambda s: s.join(gold, "txn_id", "left"))
+
+
+@register("s4_enrich_stream")
+def q_s4(spark, sf_dir):
+    src, schema = _stream_source(spark, sf_dir)
+    rules = _rules(spark, sf_dir)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 5).parquet(src)
+    enriched = SC.enrich_stream(stream, rules)
+    import uuid
+    from merchantry.session import ensure_checkpoint_dir
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/s4-{uuid.uuid4().hex[:10]}"
+    q = (enriched.writeStream.format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/_ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
