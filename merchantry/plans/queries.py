@@ -815,3 +815,162 @@ def q_s4(spark, sf_dir):
          .option("checkpointLocation", f"{root}/_ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out")
+
+
+# ------------------------------------------------------------------ more scalar functions
+from merchantry.functions import synth as SY  # noqa: E402
+from merchantry.functions import labels as LB  # noqa: E402
+from merchantry.functions import prompts as PR  # noqa: E402
+
+
+@register("b9_b10_direction_type_code", W(f"""SELECT txn_id,
+    CASE WHEN amount > 0 THEN 'incoming' ELSE 'outgoing' END AS direction,
+    {Q.type_code('payment_method', "CASE WHEN amount > 0 THEN 'incoming' ELSE 'outgoing' END")} AS type_code
+  FROM feed"""))
+def q_b9(spark, sf_dir):
+    f = fg(spark, sf_dir)[0]
+    d = SY.direction("amount")
+    return f.select("txn_id", d.alias("direction"), SY.type_code(F.col("payment_method"), d).alias("type_code"))
+
+
+@register("b18_zipf_draws", W(f"""SELECT f.txn_id, z.k AS rank FROM
+  (SELECT txn_id, least({K.LOCATIONS_CAP}, ceil(count(*) OVER (PARTITION BY customer_id) / {K.LOCATIONS_ROWS_PER}))::BIGINT AS n,
+          {Q.hash52(Q.hkey('zipf', Sql('txn_id')))} AS h FROM feed) f
+  JOIN _zipf_loc z ON f.n = z.n AND f.h % z.total >= z.lo AND f.h % z.total < z.hi"""))
+def q_b18(spark, sf_dir):
+    """A Zipf(1.5) rank per feed row over min(200, ceil(rows of its customer / 3))."""
+    from merchantry.operators.synth import zipf_pick, zipf_table
+    from merchantry.operators.windows import count_per_key
+    f = count_per_key(fg(spark, sf_dir)[0].select("txn_id", "customer_id"), "customer_id", "_rows")
+    f = f.withColumn("_n", F.least(F.lit(K.LOCATIONS_CAP), F.ceil(F.col("_rows") / K.LOCATIONS_ROWS_PER)).cast("bigint"))
+    z = zipf_pick(f, "_n", hkey("zipf", F.col("txn_id")), "rank", zipf_table(spark, K.LOCATIONS_CAP, K.LOCATIONS_ZIPF_S))
+    return z.select("txn_id", "rank")
+
+
+@register("b22_accepted_names", W(f"""SELECT canonical_merchant, list_sort(list_distinct(list_filter(
+    [{Q.norm_merchant('canonical_merchant')}, CASE WHEN coalesce({Q.same_line('canonical_merchant')}, FALSE)
+      THEN {Q.norm_merchant(Q.parent_of('canonical_merchant'))} END], lambda x: x IS NOT NULL AND x <> ''))) AS accepted
+  FROM (SELECT DISTINCT canonical_merchant FROM gold WHERE canonical_merchant IS NOT NULL)"""))
+def q_b22(spark, sf_dir):
+    g = fg(spark, sf_dir)[1].select("canonical_merchant").filter(F.col("canonical_merchant").isNotNull()).distinct()
+    return g.select("canonical_merchant", F.array_sort(LB.accepted_names(F.col("canonical_merchant"))).alias("accepted"))
+
+
+@register("b23_prompts_model_view", W(
+    "SELECT txn_id, " + Q.q(PR.FEWSHOT_HEAD + "Allowed categories: " + ", ".join(K.CATEGORIES) + "\n" + PR.FEWSHOT
+                            + 'Now do this one. Description: "') + " || "
+    + Q.strip_processor_prefix("description") + " || " + Q.q('"\n' + PR.REPLY_RULE) + " AS prompt FROM model",
+    _views_sql(RANDOM_MEM_SQL)))
+def q_b23(spark, sf_dir):
+    m = _views(spark, sf_dir).model_feed
+    return m.select("txn_id", PR.build_prompt(TX.strip_processor_prefix("description")).alias("prompt"))
+
+
+@register("b30_headline_rows", W("""SELECT txn_id FROM gold
+  WHERE NOT (coalesce(origin = 'local', FALSE) AND coalesce(noise_abbrev, FALSE))"""))
+def q_b30(spark, sf_dir):
+    g = fg(spark, sf_dir)[1]
+    return g.filter(F.coalesce(LB.headline_keep(F.col("origin"), F.col("noise_abbrev")), F.lit(True))).select("txn_id")
+
+
+@register("b34_letter_counts", W(
+    "SELECT canonical_merchant, [" + ", ".join(
+        f"(length(lower(canonical_merchant)) - length(replace(lower(canonical_merchant), '{c}', '')))::FLOAT"
+        for c in "abcdefghijklmnopqrstuvwxyz") + "] AS vec FROM (SELECT DISTINCT canonical_merchant FROM gold "
+    "WHERE canonical_merchant IS NOT NULL)"))
+def q_b34(spark, sf_dir):
+    g = fg(spark, sf_dir)[1].select("canonical_merchant").filter(F.col("canonical_merchant").isNotNull()).distinct()
+    return g.select("canonical_merchant", TX.letter_counts("canonical_merchant").alias("vec"))
+
+
+@register("h1_local_merchants", O.with_feed("SELECT name, category, rank FROM _locals"))
+def q_h1(spark, sf_dir):
+    from merchantry.operators.synth import local_merchants
+    gold = fg(spark, sf_dir)[1]
+    # labels before reassignment: source merchants + types (locals never share their tokens)
+    raw = raw_labelled(spark, sf_dir)
+    canon = raw.select(TX.derive_canonical("transaction_description").alias("c"), "category")
+    gm = canon.select(LB.gold_merchant(F.col("c"), F.col("category")).alias("g"))
+    labels = gm.select(F.coalesce("g.merchant", "g.txn_type").alias("label")).distinct()
+    _ = gold
+    return local_merchants(spark, labels)
+
+
+# ------------------------------------------------------------------ D18, D24, D26, D41
+@register("d18_cluster_bootstrap_cleaner", W(f"""
+  SELECT round((q_c[2] - q_c[1]) / 2, 3) AS category, round((q_m[2] - q_m[1]) / 2, 3) AS merchant_norm FROM (
+    SELECT quantile_cont(cat, [0.025, 0.975]) AS q_c, quantile_cont(m, [0.025, 0.975]) AS q_m FROM (
+      SELECT b, sum(cnt * cat_sum) / greatest(1.0, sum(cnt * n_all)) AS cat,
+                sum(cnt * m_sum) / greatest(1.0, sum(cnt * n_m)) AS m
+      FROM cnt JOIN idx USING (idx) GROUP BY b))""", [
+    f"p AS ({CLEANER_PRED})",
+    f"""j AS (SELECT coalesce(g.canonical_merchant, g.txn_type, '?') AS cluster,
+          FALSE AS cat_ok, g.canonical_merchant IS NOT NULL AS has_m,
+          {Q.merchant_ok('p.canonical_merchant', 'g.canonical_merchant', 'FALSE')} AS m_ok
+        FROM p JOIN gold g USING (txn_id))""",
+    """sums AS (SELECT cluster, sum(cat_ok::INT)::DOUBLE AS cat_sum, count(*)::DOUBLE AS n_all,
+          sum((m_ok AND has_m)::INT)::DOUBLE AS m_sum, sum(has_m::INT)::DOUBLE AS n_m FROM j GROUP BY cluster)""",
+    "idx AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS idx FROM sums)",
+    "kk AS (SELECT count(*) AS k FROM sums)",
+    f"""draws AS (SELECT range // (SELECT k FROM kk) AS b,
+          {Q.hash52(Q.hkey('0', 'boot', Sql('range::VARCHAR')))} % (SELECT k FROM kk) AS idx
+          FROM range(0, {N_BOOT_Q} * (SELECT k FROM kk)))""",
+    "cnt AS (SELECT b, idx, count(*) AS cnt FROM draws GROUP BY b, idx)"]))
+def q_d18(spark, sf_dir):
+    feed, gold = fg(spark, sf_dir)
+    p = CleanerRoute().transform(feed)
+    j = p.select("txn_id", F.col("canonical_merchant").alias("p_m")).join(gold, "txn_id")
+    m_ok = merchant_ok(F.col("p_m"), F.col("canonical_merchant"), F.lit(False))
+    return ST.cluster_bootstrap_ci(j, F.lit(False), m_ok, F.col("canonical_merchant").isNotNull(),
+                                   LB.cluster_key(F.col("canonical_merchant"), F.col("txn_type")),
+                                   n_boot=N_BOOT_Q, seed=0)
+
+
+DESC_SQL = f"""ds AS (SELECT f.description, count(*) AS n, sum(abs(f.amount)) AS spend,
+    arg_min(g.canonical_merchant, f.txn_id) AS canonical_merchant,
+    bool_and({Q.merchant_ok(Q.derive_canonical(Q.strip_processor_prefix('f.description')), 'g.canonical_merchant', 'FALSE')}) AS ok
+  FROM feed f JOIN gold g USING (txn_id) WHERE g.canonical_merchant IS NOT NULL GROUP BY f.description)"""
+
+
+def _desc_scores(spark, sf_dir):
+    feed, gold = fg(spark, sf_dir)
+    j = feed.join(gold.select("txn_id", "canonical_merchant"), "txn_id").filter(F.col("canonical_merchant").isNotNull())
+    pred = TX.derive_canonical(TX.strip_processor_prefix("description"))
+    j = j.withColumn("_ok", merchant_ok(pred, F.col("canonical_merchant"), F.lit(False)))
+    return j.groupBy("description").agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("amount")).alias("spend"),
+                                        F.min_by("canonical_merchant", "txn_id").alias("canonical_merchant"),
+                                        F.bool_and("_ok").alias("ok"))
+
+
+@register("d24_weighted_scores", W("""SELECT avg(ok::INT) AS "distinct",
+    sum(ok::INT * n) / nullif(sum(n), 0) AS row_weighted,
+    (SELECT avg(mm) FROM (SELECT avg(ok::INT) AS mm FROM ds GROUP BY canonical_merchant)) AS macro_merchant,
+    sum(ok::INT * spend) / nullif(sum(spend), 0.0) AS spend_weighted,
+    (sum(ok::INT * spend) - (SELECT arg_max(ok::INT * spend, spend) FROM ds))
+      / nullif(sum(spend) - (SELECT max(spend) FROM ds), 0.0) AS spend_weighted_no_top FROM ds""", [DESC_SQL]))
+def q_d24(spark, sf_dir):
+    return M.weighted_scores(_desc_scores(spark, sf_dir))
+
+
+@register("d26_top_descriptor_share", W("""SELECT arg_max(description, (spend, description)) AS top_description,
+    max(spend) / sum(spend) AS top_share FROM ds""", [DESC_SQL]))
+def q_d26(spark, sf_dir):
+    d = _desc_scores(spark, sf_dir)
+    return d.agg(F.max_by("description", F.struct("spend", "description")).alias("top_description"),
+                 (F.max("spend") / F.sum("spend")).alias("top_share"))
+
+
+@register("d41_busiest_customer_spend", W(f"""
+  SELECT canonical_merchant, gold_spend, coalesce(pred_spend, 0.0) AS pred_spend FROM
+   (SELECT g.canonical_merchant, round(sum(abs(f.amount)::DECIMAL(18,2)), 2)::DOUBLE AS gold_spend FROM feed f
+      JOIN gold g USING (txn_id) WHERE f.customer_id = (SELECT c FROM busy) AND g.canonical_merchant IS NOT NULL
+      GROUP BY ALL) gs
+   LEFT JOIN (SELECT p.canonical_merchant, round(sum(abs(f.amount)::DECIMAL(18,2)), 2)::DOUBLE AS pred_spend
+      FROM feed f JOIN p USING (txn_id) WHERE f.customer_id = (SELECT c FROM busy) GROUP BY ALL) ps
+   USING (canonical_merchant)""", [
+    f"p AS ({CLEANER_PRED})",
+    "busy AS (SELECT arg_min(customer_id, (-n, customer_id)) AS c FROM (SELECT customer_id, count(*) AS n FROM feed GROUP BY customer_id))"]))
+def q_d41(spark, sf_dir):
+    feed, gold = fg(spark, sf_dir)
+    cust = AG.busiest(feed).first()["customer_id"]
+    return AG.customer_spend_compare(feed, gold, CleanerRoute().transform(feed), cust)
