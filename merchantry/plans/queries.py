@@ -974,3 +974,220 @@ def q_d41(spark, sf_dir):
     feed, gold = fg(spark, sf_dir)
     cust = AG.busiest(feed).first()["customer_id"]
     return AG.customer_spend_compare(feed, gold, CleanerRoute().transform(feed), cust)
+
+
+# ------------------------------------------------------------------ more routes (R2, R4-R9, R13, R14) and reports
+from merchantry.operators import reports as RP  # noqa: E402
+from merchantry.operators.routes import (ChoiceRoute, EmbeddingRoute, GeneratorRoute,  # noqa: E402
+                                         MetadataRoute, cascade)
+from merchantry.plans.stand_in_models import echo_generator, first_candidate_chooser  # noqa: E402
+
+
+def _route_preds(spark, sf_dir, name):
+    key = ("route", name, id(spark), sf_dir)
+    if key not in _CACHE:
+        v = _views(spark, sf_dir)
+        if name == "metadata":
+            r = MetadataRoute().fit(v.train_feed, v.train_gold).transform(v.eval_feed)
+        elif name == "embedding":
+            r = EmbeddingRoute().fit(v.train_feed, v.train_gold).transform(v.model_feed)
+        elif name == "generator":
+            r = GeneratorRoute(echo_generator).fit(v.train_feed, v.train_gold).transform(v.model_feed)
+        elif name == "finetuned":
+            r = (GeneratorRoute(echo_generator, prompt_fn=PR.finetune_prompt, strip_prefix=False, name="finetuned")
+                 .fit(v.train_feed, v.train_gold).transform(v.model_feed))
+        elif name == "choice":
+            r = ChoiceRoute(first_candidate_chooser).fit(v.train_feed, v.train_gold).transform(v.model_feed)
+        elif name == "choice_generator":
+            r = (ChoiceRoute(first_candidate_chooser, fallback=GeneratorRoute(echo_generator))
+                 .fit(v.train_feed, v.train_gold).transform(v.model_feed))
+        elif name == "rules_model":
+            r = _rules(spark, sf_dir).transform(v.model_feed)
+        _CACHE[key] = materialize(r, f"preds_{name}")
+    return _CACHE[key]
+
+
+@register("r2_metadata_preds")
+def q_r2(spark, sf_dir):
+    return _route_preds(spark, sf_dir, "metadata")
+
+
+@register("r4_embedding_preds")
+def q_r4(spark, sf_dir):
+    return _route_preds(spark, sf_dir, "embedding")
+
+
+@register("r5_generator_preds")
+def q_r5(spark, sf_dir):
+    return _route_preds(spark, sf_dir, "generator")
+
+
+@register("r6_choice_preds")
+def q_r6(spark, sf_dir):
+    return _route_preds(spark, sf_dir, "choice")
+
+
+@register("r7_choice_then_generator")
+def q_r7(spark, sf_dir):
+    return _route_preds(spark, sf_dir, "choice_generator")
+
+
+@register("r9_finetuned_generator_preds")
+def q_r9(spark, sf_dir):
+    return _route_preds(spark, sf_dir, "finetuned")
+
+
+@register("r8_fuzzy_else_generator")
+def q_r8(spark, sf_dir):
+    rules = _route_preds(spark, sf_dir, "rules_model")
+    gen = _route_preds(spark, sf_dir, "generator")
+    return cascade(rules, gen, ~F.col("f_no_match"), cols=("canonical_merchant", "category"))
+
+
+def _gold_model(spark, sf_dir):
+    return _views(spark, sf_dir).model_gold
+
+
+@register("d32_cascade_sweep")
+def q_d32(spark, sf_dir):
+    ch = _route_preds(spark, sf_dir, "choice")
+    gen = _route_preds(spark, sf_dir, "generator").select("txn_id", F.col("canonical_merchant").alias("fallback"))
+    g = _gold_model(spark, sf_dir).select("txn_id", F.col("canonical_merchant").alias("gold"))
+    d = (RP.pair_routes(ch.select("txn_id", F.coalesce("canonical_merchant", F.lit(K.NONE_OPTION)).alias("choice"),
+                                  F.col("jev_confidence").alias("confidence"), "candidates"), gen)
+         .join(g, "txn_id").filter(F.col("gold").isNotNull())
+         .withColumn("in_list", F.array_contains(F.transform("candidates", lambda c: TX.norm_merchant(c)),
+                                                 TX.norm_merchant("gold"))))
+    return RP.cascade_sweep(d, lambda p: merchant_ok(p, F.col("gold")), in_list="in_list")
+
+
+@register("d33_r13_category_routing")
+def q_d33(spark, sf_dir):
+    ch = _route_preds(spark, sf_dir, "choice").select("txn_id", F.col("category").alias("choice_cat"), "none")
+    emb = _route_preds(spark, sf_dir, "embedding").select("txn_id", F.col("category").alias("embedding_cat"))
+    g = _gold_model(spark, sf_dir).select("txn_id", F.col("category").alias("gold"), "origin")
+    d = RP.pair_routes(ch, emb).join(g, "txn_id").withColumn(
+        "rule", F.when(F.col("none"), F.col("choice_cat")).otherwise(F.col("embedding_cat")))
+    d = d.withColumn("answer", F.when(F.col("none"), "none_of_these").otherwise("picked")).withColumn(
+        "origin", F.coalesce("origin", F.lit("no merchant")))
+    return RP.routing_summary(d, ["embedding_cat", "choice_cat", "rule"], "gold", ["answer", "origin"])
+
+
+@register("d34_gate_separation")
+def q_d34(spark, sf_dir):
+    v = _views(spark, sf_dir)
+    rules = _route_preds(spark, sf_dir, "rules_model").select("txn_id", "no_match")
+    emb = _route_preds(spark, sf_dir, "embedding").select("txn_id", "cosine")
+    ch = _route_preds(spark, sf_dir, "choice").select("txn_id", "none")
+    gen = _route_preds(spark, sf_dir, "generator").select("txn_id", F.col("canonical_merchant").alias("gen"))
+    g = v.model_gold.select("txn_id", F.col("canonical_merchant").alias("gold")).filter(F.col("gold").isNotNull())
+    listed = AG.seen_at_least(v.train_gold.filter(F.col("canonical_merchant").isNotNull()), "canonical_merchant", 2)
+    d = (g.join(rules, "txn_id").join(emb, "txn_id").join(ch, "txn_id").join(gen, "txn_id")
+         .join(listed.select(F.col("canonical_merchant").alias("gold"), F.lit(True).alias("_listed")), "gold", "left"))
+    return RP.gate_separation(d, {"choice_none": F.col("none"), "fuzzy_below_85": F.col("no_match"),
+                                  "embedding_below_0.6": F.coalesce(F.col("cosine"), F.lit(0.0)) < 0.6,
+                                  "embedding_below_0.7": F.coalesce(F.col("cosine"), F.lit(0.0)) < 0.7},
+                              F.col("_listed").isNull(), merchant_ok(F.col("gen"), F.col("gold")))
+
+
+@register("d35_r16_significance_report")
+def q_d35(spark, sf_dir):
+    v = _views(spark, sf_dir)
+    g = v.model_gold.select("txn_id", F.col("canonical_merchant").alias("gold"), F.col("category").alias("gcat"),
+                            "txn_type")
+    def ok_of(name, col="ok"):
+        p = _route_preds(spark, sf_dir, name)
+        return p.join(g, "txn_id").select(
+            "txn_id", merchant_ok(F.col("canonical_merchant"), F.col("gold"),
+                                  LB.category_ok(F.col("category"), F.col("gcat"))).alias(col),
+            LB.cluster_key(F.col("gold"), F.col("txn_type")).alias("cluster"))
+    rules, gen = ok_of("rules_model", "a"), ok_of("generator", "b")
+    emb, ch = ok_of("embedding", "a"), ok_of("choice", "b")
+    comps = [{"name": "rules_minus_generator_merchant", "df": RP.pair_routes(rules, gen.drop("cluster"), "txn_id"),
+              "a": "a", "b": "b", "cluster": "cluster"},
+             {"name": "embedding_minus_choice_merchant", "df": RP.pair_routes(emb, ch.drop("cluster"), "txn_id"),
+              "a": "a", "b": "b", "cluster": "cluster"}]
+    return RP.significance_report(comps, n_boot=N_BOOT_Q)
+
+
+@register("d31_confidence_summary", f"""WITH {CONF_SQL}
+  SELECT dataset, setting, count(*) AS rows, round(avg((gold IN ('high', 'low'))::INT), 3) AS gold_in_list,
+    round(avg((choice = {Q.q(K.NONE_OPTION)})::INT), 3) AS picked_none,
+    count(*) FILTER (WHERE choice <> {Q.q(K.NONE_OPTION)} AND correct) AS accepted_right,
+    count(*) FILTER (WHERE choice <> {Q.q(K.NONE_OPTION)} AND NOT correct) AS accepted_wrong
+  FROM crc GROUP BY dataset, setting""")
+def q_d31(spark, sf_dir):
+    r = conf_rows(spark, sf_dir).withColumn("gold_in_list", F.col("gold").isin("high", "low"))
+    return RP.confidence_summary(r)
+
+
+@register("r14_external_category_benchmark")
+def q_r14(spark, sf_dir):
+    """R14 on documents: keep-first dedupe of texts, a hash-sampled test set, the rest as
+    train; an embedding-style classifier (letter counts + logistic regression)
+    predicts the language; accuracy, macro-F1, McNemar against a majority baseline,
+    binomial half-width and invalid answers."""
+    from merchantry.plans.testdata import table
+    from merchantry.operators.splits import split_random
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IndexToString, StringIndexer
+    from pyspark.ml.functions import array_to_vector
+    from merchantry.operators.routes import _logreg
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    firsts = AG.first_per_group(docs, "text", "doc_id", ["lang"])
+    mem = split_random(firsts.withColumnRenamed("doc_id", "txn_id"))
+    d = firsts.join(mem.withColumnRenamed("txn_id", "doc_id"), "doc_id").withColumn(
+        "features", array_to_vector(TX.letter_counts("text")))
+    train, test = d.filter(~F.col("is_eval")), d.filter("is_eval")
+    model = Pipeline(stages=[StringIndexer(inputCol="lang", outputCol="label_idx"), _logreg(train.count())]).fit(train)
+    pred = IndexToString(inputCol="prediction", outputCol="pred", labels=model.stages[0].labels).transform(
+        model.transform(test))
+    major = AG.global_majority(train.withColumnRenamed("lang", "category")).first()[0]
+    p = pred.select(F.col("doc_id").alias("txn_id"), F.col("pred").alias("category"),
+                    F.lit(major).alias("base"), F.col("lang").alias("gold"))
+    acc = p.agg(F.avg((F.col("category") == F.col("gold")).cast("double")).alias("accuracy"),
+                F.count(F.lit(1)).alias("n"),
+                F.count_if(~F.col("category").isin("en", "de", "fr", "es")).alias("invalid"))
+    f1 = M.macro_f1(p.select("txn_id", "category"), p.select("txn_id", F.col("gold").alias("category")))
+    mc = ST.mcnemar(p, F.col("category") == F.col("gold"), F.col("base") == F.col("gold"))
+    a, f, m = acc.first(), f1.first()[0], mc.first()
+    return spark.createDataFrame([(a["accuracy"], f, a["n"], a["invalid"], m["only_a"], m["only_b"], m["p_value"])],
+                                 "accuracy double, macro_f1 double, n long, invalid long, only_model long, "
+                                 "only_majority long, mcnemar_p double").withColumn(
+        "half_width", ST.binomial_halfwidth(F.col("accuracy"), F.col("n")))
+
+
+@register("a5_a6_saved_preds_roundtrip")
+def q_a5(spark, sf_dir):
+    from merchantry.sources import contracts as C
+    from merchantry.session import ensure_checkpoint_dir
+    import uuid
+    v = _views(spark, sf_dir)
+    preds = _route_preds(spark, sf_dir, "rules_model")
+    m = C.build_manifest(seed=K.SEED, feed=C.fingerprint_str(fg(spark, sf_dir)[0]),
+                         model_view=C.fingerprint_str(v.model_feed.select("txn_id")))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/preds-{uuid.uuid4().hex[:8]}"
+    C.save_preds(preds, path, m["manifest_hash"], "random", "model", "rules")
+    return C.load_preds(spark, path, "random", "model", "rules", m, v.model_feed.select("txn_id"))
+
+
+@register("a7_a9_fingerprints")
+def q_a7(spark, sf_dir):
+    from merchantry.sources import contracts as C
+    feed, gold = fg(spark, sf_dir)
+    fp = C.table_fingerprint(feed).withColumn("table", F.lit("feed"))
+    gp = C.table_fingerprint(gold).withColumn("table", F.lit("gold"))
+    lp = C.list_fingerprint(gold.filter(F.col("canonical_merchant").isNotNull()), "canonical_merchant").withColumn(
+        "table", F.lit("merchant_list"))
+    return fp.unionByName(gp).unionByName(lp)
+
+
+@register("a10_chat_export")
+def q_a10(spark, sf_dir):
+    from merchantry.sources.io import export_chat_jsonl
+    from merchantry.session import ensure_checkpoint_dir
+    import uuid
+    v = _views(spark, sf_dir)
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chat-{uuid.uuid4().hex[:8]}"
+    export_chat_jsonl(v.train_feed, v.train_gold, out)
+    return spark.read.text(out)
