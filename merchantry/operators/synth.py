@@ -160,7 +160,13 @@ def hard_descriptors(d: DataFrame, zipf_loc: DataFrame) -> DataFrame:
 
 def build_feed(spark: SparkSession, raw: DataFrame, hard: bool = True, seed: int = K.SEED
                ) -> tuple[DataFrame, DataFrame]:
-    """H4: raw labelled rows -> (feed, gold) keyed by txn_id.
+    """H4: raw labelled rows -> (feed, gold) keyed by txn_id (see ``build_feed_wide``)."""
+    return split_feed_gold(build_feed_wide(spark, raw, hard, seed))
+
+
+def build_feed_wide(spark: SparkSession, raw: DataFrame, hard: bool = True, seed: int = K.SEED
+                    ) -> DataFrame:
+    """H4: raw labelled rows -> one frame with the feed and the gold columns.
 
     ``raw`` has (row_id BIGINT, transaction_description, category, country, currency,
     customer_no BIGINT, amount_abs DOUBLE, posted_date DATE). Labels come from B3+B4 on
@@ -189,7 +195,7 @@ def build_feed(spark: SparkSession, raw: DataFrame, hard: bool = True, seed: int
          .withColumn("payment_method",
                      S.weighted_choice(F.col("category"), uniform(hkey(str(seed), "pm", tid))))
          )
-    feed = d.select(
+    wide = d.select(
         "txn_id",
         S.customer_code(F.col("customer_no")).alias("customer_id"),
         "description",
@@ -197,13 +203,24 @@ def build_feed(spark: SparkSession, raw: DataFrame, hard: bool = True, seed: int
         S.noisy_mcc(F.col("category"), hkey(str(seed), "mcc", tid)).alias("mcc"),
         F.when(F.col("direction") == "incoming", F.col("amount_abs"))
          .otherwise(-F.col("amount_abs")).alias("amount"),
-        "payment_method", "posted_date", "country", "currency")
-    gold = d.select(
-        "txn_id", "category",
+        "payment_method", "posted_date", "country", "currency",
+        "category",
         F.when(F.col("origin").isNotNull(), F.col("name")).alias("canonical_merchant"),
         F.when(F.col("origin").isNull(), F.col("name")).alias("txn_type"),
         "direction", "origin", "noise_abbrev", "noise_trunc")
-    return feed, gold
+    return wide
+
+
+FEED_COLUMNS = ["txn_id", "customer_id", "description", "transaction_type_code", "mcc", "amount",
+                "payment_method", "posted_date", "country", "currency"]
+GOLD_COLUMNS = ["txn_id", "category", "canonical_merchant", "txn_type", "direction", "origin",
+                "noise_abbrev", "noise_trunc"]
+
+
+def split_feed_gold(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(feed, gold) projections of one wide synthesis frame (the feed never carries a
+    label column)."""
+    return wide.select(*FEED_COLUMNS), wide.select(*GOLD_COLUMNS)
 
 
 def stratified_sample(df: DataFrame, n: int, by: list[str], u: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from merchantry.plans import oracle as O
 from merchantry.plans.catalog import register
-from merchantry.plans.testdata import feed_gold, raw_labelled
+from merchantry.plans.testdata import raw_labelled
 
 _CACHE: dict = {}
 
@@ -17,15 +17,10 @@ def fg(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lineage if an executor holding blocks is lost)."""
     key = (id(spark), sf_dir)
     if key not in _CACHE:
-        feed, gold = feed_gold(spark, sf_dir)
-        # one synthesis job writes both tables; later queries read small plans
-        both = feed.join(gold.withColumnRenamed("category", "_g_category")
-                         .withColumnRenamed("direction", "_g_direction"), "txn_id")
-        both = materialize(both, "feed_gold")
-        feed = both.select(*feed.columns)
-        gold = both.select("txn_id", F.col("_g_category").alias("category"), "canonical_merchant",
-                           "txn_type", F.col("_g_direction").alias("direction"), "origin",
-                           "noise_abbrev", "noise_trunc")
+        from merchantry.operators.synth import split_feed_gold
+        from merchantry.plans.testdata import feed_gold_wide
+        # one synthesis job writes feed and gold together; later queries read small plans
+        feed, gold = split_feed_gold(materialize(feed_gold_wide(spark, sf_dir), "feed_gold"))
         _CACHE[key] = (feed, gold)
     return _CACHE[key]
 
@@ -731,15 +726,17 @@ def q_d16(spark, sf_dir):
 
 @register("d37_leaderboard_random")
 def q_d37(spark, sf_dir):
-    v = _views(spark, sf_dir)
-    rules = _rules(spark, sf_dir)
+    """One row per (route, view) on the random split: model view and the
+    ideal-cache view (hits take the cached train label, misses their representative's
+    prediction). Route predictions are computed once and reused by both views."""
     from merchantry.operators.views import ideal_preds
+    v = _views(spark, sf_dir)
     rows = []
-    for name, route in [("cleaner", CleanerRoute()), ("rules", rules)]:
-        mp = route.transform(v.model_feed)
+    for name in ("cleaner", "rules"):
+        mp = (materialize(CleanerRoute().transform(v.model_feed), "preds_cleaner") if name == "cleaner"
+              else _route_preds(spark, sf_dir, "rules_model"))
         rows.append(M.leaderboard_row(mp, v.model_gold, name, "random", "model"))
-        ip = ideal_preds(route.transform(v.model_feed), v.cache)
-        ip = ip.join(v.ideal_feed.select("txn_id", "amount"), "txn_id").withColumn(
+        ip = ideal_preds(mp, v.cache).join(v.ideal_feed.select("txn_id", "amount"), "txn_id").withColumn(
             "direction", F.when(F.col("amount") > 0, "incoming").otherwise("outgoing"))
         rows.append(M.leaderboard_row(ip, v.ideal_gold, name, "random", "ideal_cache"))
     out = rows[0]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from merchantry import constants as K
 from merchantry.functions import synth as S
 from merchantry.functions.hashing import hkey, int_between, pick, uniform
-from merchantry.operators.synth import build_feed
+from merchantry.operators.synth import build_feed, build_feed_wide
 
 # Test-data mapping choices (ours, not fixed values of the reference).
 TYPE_CATEGORY = {
@@ -81,3 +81,7 @@ def raw_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed_gold(spark: SparkSession, sf_dir: str, hard: bool = True) -> tuple[DataFrame, DataFrame]:
     return build_feed(spark, raw_labelled(spark, sf_dir), hard=hard)
+
+
+def feed_gold_wide(spark: SparkSession, sf_dir: str, hard: bool = True) -> DataFrame:
+    return build_feed_wide(spark, raw_labelled(spark, sf_dir), hard=hard)
