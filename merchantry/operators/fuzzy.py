@@ -129,12 +129,35 @@ class ListIndex:
         for r, x in enumerate(self.sx):
             for ch in x:
                 self.counts[r, self.col[ch]] += 1
+        width = max((len(x) for x in self.sx), default=0)
+        self.codes = np.full((len(keys), max(width, 1)), -1, dtype=np.int32)
+        for r, x in enumerate(self.sx):
+            for j, ch in enumerate(x):
+                self.codes[r, j] = self.col[ch]
         self.post: dict[str, list[int]] = {}
         for r, t in enumerate(self.tok):
             for w in t:
                 self.post.setdefault(w, []).append(r)
         self.empty = np.array([len(t) == 0 for t in self.tok])
 
+    def lcs_all(self, q: str) -> np.ndarray:
+        """LCS of ``q`` (<= 63 chars) with every sorted-token string of the list at once:
+        bit-parallel LCS with one uint64 lane per list entry."""
+        n_alpha = self.counts.shape[1]
+        masks = np.zeros(n_alpha + 1, dtype=np.uint64)
+        for i, ch in enumerate(q):
+            c = self.col.get(ch)
+            if c is not None:
+                masks[c] |= np.uint64(1 << i)
+        full = np.uint64((1 << len(q)) - 1)
+        v = np.full(len(self.names), full, dtype=np.uint64)
+        for j in range(self.codes.shape[1]):
+            c = self.codes[:, j]
+            m = masks[np.where(c >= 0, c, n_alpha)]
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+        return len(q) - np.bitwise_count(v).astype(np.int64)
+
     def best(self, query: str, k: int, cutoff: float | None) -> list[tuple[float, int]]:
         """Top-k (score, index) for one query, score desc then index; only scores >=
         cutoff when a cutoff is given."""
@@ -147,13 +170,24 @@ class ListIndex:
         shared = sorted({r for w in tq for r in self.post.get(w, ())})
         scored = {r: token_set_ratio_py(query, " ".join(self.tok[r])) for r in shared}
         xq = " ".join(sorted(tq))
+        if 0 < len(xq) <= 63:
+            tot = len(xq) + self.lens
+            r0 = 100.0 - 100.0 * (tot - 2 * self.lcs_all(xq)) / tot
+            r0[self.empty] = 0.0
+            if shared:
+                sh = np.array(shared)
+                r0[sh] = np.array([scored[r] for r in shared])
+            keep = np.nonzero(r0 >= cutoff)[0] if cutoff is not None else np.arange(n)
+            order = keep[np.lexsort((keep, -r0[keep]))][:k]
+            return [(float(r0[r]), int(r)) for r in order]
         qv = np.zeros(self.counts.shape[1], dtype=np.int32)
         for ch in xq:
             c = self.col.get(ch)
             if c is not None:
                 qv[c] += 1
         bag = np.minimum(self.counts, qv).sum(axis=1)
-        upper = 200.0 * bag / (len(xq) + self.lens)
+        tot_all = len(xq) + self.lens
+        upper = 100.0 - 100.0 * (tot_all - 2 * bag) / tot_all  # same float path as the exact score
         upper[self.empty] = 0.0
         if shared:
             upper[np.array(shared)] = -1.0          # already exact
@@ -170,7 +204,8 @@ class ListIndex:
                 break
             if ub < kth():
                 break
-            scored[r] = 200.0 * lcs_len(xq, self.sx[r]) / (len(xq) + len(self.sx[r]))
+            tot = len(xq) + len(self.sx[r])
+            scored[r] = 100.0 - 100.0 * (tot - 2 * lcs_len(xq, self.sx[r])) / tot
         res = sorted(((sc, r) for r, sc in scored.items() if cutoff is None or sc >= cutoff),
                      key=lambda t: (-t[0], t[1]))
         if cutoff is None and len(res) < k:

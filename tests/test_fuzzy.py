@@ -76,3 +76,21 @@ def test_fuzzy_topk_order(spark):
     res = fuzzy_topk(spark.createDataFrame([("red blt",)], "query string"), _names_df(spark), k=3).collect()[0]
     scored = sorted(((-token_set_ratio_py("red blt", n), i, n) for i, n in enumerate(NAMES)))[:3]
     assert res["candidates"] == [n for _, _, n in scored]
+
+
+def test_vectorized_lcs_and_topk_random(spark):
+    from merchantry.operators.fuzzy import ListIndex
+    rng = random.Random(3)
+    words = ["red", "bolt", "blue", "gear", "rod", "ring", "old", "new", "hot", "cold", "rd", "blt", "zq"]
+    names = sorted({" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(50)}) + [""]
+    idx = ListIndex(names, names)
+    for _ in range(100):
+        q = " ".join(rng.sample(words, rng.randint(1, 4)))
+        xq = " ".join(sorted(set(q.split())))
+        assert list(idx.lcs_all(xq)) == [_lcs_dp(xq, x) for x in idx.sx]
+        want = sorted(((token_set_ratio_py(q, n), i) for i, n in enumerate(names)), key=lambda t: (-t[0], t[1]))
+        got = idx.best(q, 5, None)
+        assert [i for _, i in got] == [i for _, i in want[:5]]
+        assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want[:5]]
+        cut = [(s, i) for s, i in want if s >= 85][:1]
+        assert [i for _, i in idx.best(q, 1, 85.0)] == [i for _, i in cut]
