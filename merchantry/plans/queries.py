@@ -474,11 +474,22 @@ RANDOM_MEM_SQL = f"mem AS (SELECT txn_id, {ORDER_U} >= 0.8 AS is_eval FROM feed)
 
 
 def _views(spark, sf_dir, split="random"):
+    """Views of one split; the membership, model view and cache are written once (they
+    feed many queries) and everything else is derived from them by semi joins."""
     key = ("views", id(spark), sf_dir, split)
     if key not in _CACHE:
         feed, gold = fg(spark, sf_dir)
         mem = SP.split_random(feed) if split == "random" else SP.split_unseen(gold)
-        _CACHE[key] = VW.build_views(feed, gold, mem.cache())
+        mem = materialize(mem, f"membership_{split}")
+        v = VW.build_views(feed, gold, mem)
+        model_feed = materialize(v.model_feed, f"model_view_{split}")
+        cache = materialize(v.cache, f"cache_{split}")
+        ids = cache.select("txn_id")
+        v = v._replace(model_feed=model_feed, cache=cache,
+                       model_gold=gold.join(model_feed.select("txn_id"), "txn_id", "left_semi"),
+                       ideal_feed=v.eval_feed.join(ids, "txn_id", "left_semi"),
+                       ideal_gold=gold.join(ids, "txn_id", "left_semi"))
+        _CACHE[key] = v
     return _CACHE[key]
 
 
