@@ -31,10 +31,18 @@ def rollup_by_merchant(df: DataFrame, merchant: str = "canonical_merchant",
     return out.orderBy("customer_id", F.desc("total_spend")) if ordered else out
 
 
-def conflicting_descriptors(feed: DataFrame, gold: DataFrame) -> DataFrame:
+def labelled(feed: DataFrame, gold: DataFrame | None, cols: list[str]) -> DataFrame:
+    """Feed rows with gold columns. ``gold=None`` means the feed already carries them
+    (one table holding both), which saves a join on txn_id."""
+    if gold is None:
+        return feed
+    return feed.join(gold.select("txn_id", *[c for c in cols if c != "txn_id"]), "txn_id")
+
+
+def conflicting_descriptors(feed: DataFrame, gold: DataFrame | None) -> DataFrame:
     """Descriptors carrying more than one distinct (merchant, txn_type), with rows."""
-    j = feed.select("txn_id", "description").join(
-        gold.select("txn_id", conflict_key("canonical_merchant", "txn_type").alias("key")), "txn_id")
+    j = labelled(feed, gold, ["canonical_merchant", "txn_type"]).select(
+        "description", conflict_key("canonical_merchant", "txn_type").alias("key"))
     return (j.groupBy("description")
             .agg(F.countDistinct("key").alias("k"), F.count(F.lit(1)).alias("n"))
             .filter(F.col("k") > 1))

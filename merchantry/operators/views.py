@@ -31,14 +31,17 @@ class Views(NamedTuple):
 
 
 def build_views(feed: DataFrame, gold: DataFrame, membership: DataFrame, cap: int = 5000,
-                seed: int = K.SEED) -> Views:
-    """F7 + F8 for one split. ``membership`` is (txn_id, is_eval)."""
+                seed: int = K.SEED, labelled_feed: DataFrame | None = None) -> Views:
+    """F7 + F8 for one split. ``membership`` is (txn_id, is_eval). ``labelled_feed``
+    (feed rows already carrying gold columns) spares the feed/gold join for the
+    conflict set."""
     ev = membership.filter("is_eval").select("txn_id")
     tf = feed.join(ev, "txn_id", "left_anti")
     tg = gold.join(ev, "txn_id", "left_anti")
     ef = feed.join(ev, "txn_id", "left_semi")
     eg = gold.join(ev, "txn_id", "left_semi")
-    conflicts = conflicting_descriptors(feed, gold).select("description")
+    conflicts = (conflicting_descriptors(labelled_feed, None) if labelled_feed is not None
+                 else conflicting_descriptors(feed, gold)).select("description")
     train_desc = tf.select("description").distinct()
 
     # misses only, one row (smallest txn_id) per descriptor, capped by seeded hash.
@@ -50,8 +53,11 @@ def build_views(feed: DataFrame, gold: DataFrame, membership: DataFrame, cap: in
     model_gold = eg.join(model_feed.select("txn_id"), "txn_id", "left_semi")
 
     # F8 + C12: hits take the first non-conflicting train row of their descriptor.
-    train_rep = (tf.select("txn_id", "description").join(conflicts, "description", "left_anti")
-                 .join(tg.select("txn_id", "canonical_merchant", "category"), "txn_id")
+    tl = (labelled_feed.join(ev, "txn_id", "left_anti").select("txn_id", "description", "canonical_merchant",
+                                                                "category")
+          if labelled_feed is not None else
+          tf.select("txn_id", "description").join(tg.select("txn_id", "canonical_merchant", "category"), "txn_id"))
+    train_rep = (tl.join(conflicts, "description", "left_anti")
                  .groupBy("description")
                  .agg(F.min_by(F.struct(F.col("txn_id").alias("rep_txn_id"),
                                         F.col("canonical_merchant").alias("cache_merchant"),

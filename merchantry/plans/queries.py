@@ -20,11 +20,19 @@ def fg(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         from merchantry.operators.synth import split_feed_gold
         from merchantry.plans.testdata import feed_gold_wide
         # one synthesis job writes feed and gold together; later queries read small plans
-        feed, gold = split_feed_gold(materialize(feed_gold_wide(spark, sf_dir), "feed_gold"))
+        wide = materialize(feed_gold_wide(spark, sf_dir), "feed_gold")
+        _CACHE[("wide", id(spark), sf_dir)] = wide
+        feed, gold = split_feed_gold(wide)
         _CACHE[key] = (feed, gold)
     return _CACHE[key]
 
 
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed and gold columns in one table (both are projections of it)."""
+    fg(spark, sf_dir)
+    return _CACHE[("wide", id(spark), sf_dir)]
+
+
 # ------------------------------------------------------------------ synthesis (H4, A1)
 @register("synth_raw", O.with_feed(
     "SELECT row_id, transaction_description, category, country, currency, customer_no, "
@@ -132,9 +140,7 @@ ROLLUP_SQL = W("""SELECT customer_id, canonical_merchant,
 
 @register("d1_rollup_gold", ROLLUP_SQL)
 def q_d1(spark, sf_dir):
-    feed, gold = fg(spark, sf_dir)
-    g = feed.join(gold.select("txn_id", "canonical_merchant"), "txn_id").filter(
-        F.col("canonical_merchant").isNotNull())
+    g = wide(spark, sf_dir).filter(F.col("canonical_merchant").isNotNull())
     return AG.rollup_by_merchant(g)
 
 
@@ -142,7 +148,7 @@ def q_d1(spark, sf_dir):
   (SELECT f.description, coalesce(g.canonical_merchant, '') || chr(31) || coalesce(g.txn_type, '') AS key
    FROM feed f JOIN gold g USING (txn_id)) GROUP BY description HAVING count(DISTINCT key) > 1"""))
 def q_d2(spark, sf_dir):
-    return AG.conflicting_descriptors(*fg(spark, sf_dir))
+    return AG.conflicting_descriptors(wide(spark, sf_dir), None)
 
 
 @register("d3_composition", W("""
@@ -205,8 +211,7 @@ def q_d7(spark, sf_dir):
     SELECT description, min(txn_id) AS txn_id, arg_min({'m': canonical_merchant, 'c': category}, txn_id) AS r
     FROM feed JOIN gold USING (txn_id) GROUP BY description)"""))
 def q_d8(spark, sf_dir):
-    feed, gold = fg(spark, sf_dir)
-    j = feed.select("txn_id", "description").join(gold.select("txn_id", "canonical_merchant", "category"), "txn_id")
+    j = wide(spark, sf_dir).select("txn_id", "description", "canonical_merchant", "category")
     return AG.first_per_group(j, "description", "txn_id", ["canonical_merchant", "category"])
 
 
@@ -481,7 +486,7 @@ def _views(spark, sf_dir, split="random"):
         feed, gold = fg(spark, sf_dir)
         mem = SP.split_random(feed) if split == "random" else SP.split_unseen(gold)
         mem = materialize(mem, f"membership_{split}")
-        v = VW.build_views(feed, gold, mem)
+        v = VW.build_views(feed, gold, mem, labelled_feed=wide(spark, sf_dir))
         model_feed = materialize(v.model_feed, f"model_view_{split}")
         cache = materialize(v.cache, f"cache_{split}")
         ids = cache.select("txn_id")
