@@ -45,15 +45,16 @@ def containment_edges(names: DataFrame, col: str = "name") -> DataFrame:
             .select("a", "b"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 50,
-                         checkpoint: bool = True) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, checkpoint: bool = True) -> DataFrame:
     """(name, family) where family = the smallest name of the component.
-    ``nodes`` has ``name``; ``edges`` has (a, b), treated as undirected."""
+    ``nodes`` has ``name``; ``edges`` has (a, b), treated as undirected. Rounds of
+    min-label propagation run until no label changes (no round cap: stopping early
+    would split components)."""
     und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     und = und.distinct().persist()
     labels = nodes.select("name").distinct().withColumn("family", F.col("name"))
     labels = labels.checkpoint() if checkpoint else labels.cache()
-    for _ in range(max_iter):
+    while True:
         nb = (und.join(labels.withColumnRenamed("name", "a"), "a")
               .groupBy(F.col("b").alias("name")).agg(F.min("family").alias("_nf")))
         new = (labels.join(nb, "name", "left")
