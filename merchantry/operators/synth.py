@@ -164,8 +164,8 @@ def build_feed(spark: SparkSession, raw: DataFrame, hard: bool = True, seed: int
     return split_feed_gold(build_feed_wide(spark, raw, hard, seed))
 
 
-def build_feed_wide(spark: SparkSession, raw: DataFrame, hard: bool = True, seed: int = K.SEED
-                    ) -> DataFrame:
+def build_feed_wide(spark: SparkSession, raw: DataFrame, hard: bool = True, seed: int = K.SEED,
+                    write_intermediate: bool = True) -> DataFrame:
     """H4: raw labelled rows -> one frame with the feed and the gold columns.
 
     ``raw`` has (row_id BIGINT, transaction_description, category, country, currency,
@@ -176,8 +176,16 @@ def build_feed_wide(spark: SparkSession, raw: DataFrame, hard: bool = True, seed
             .withColumn("_gm", gold_merchant(F.col("canonical"), F.col("category")))
             .withColumn("merchant", F.col("_gm.merchant"))
             .withColumn("txn_type", F.col("_gm.txn_type")).drop("_gm"))
+    if write_intermediate:
+        # base feeds three branches (labels, first rows, the rows themselves): write it
+        # once instead of re-running the scan, join and regex chain three times
+        from merchantry.session import materialize
+        base = materialize(base, "synth_base")
     labels = base.select(F.coalesce("merchant", "txn_type").alias("label")).distinct()
     locals_df = local_merchants(spark, labels, seed=seed)
+    if write_intermediate:
+        from merchantry.session import materialize
+        locals_df = materialize(locals_df, "synth_locals")
     zl = zipf_table(spark, K.LOCAL_MERCHANTS_N // len(LOCAL_CATEGORIES) + 1, K.LOCAL_ZIPF_S)
     d = assign_origin(base, locals_df, zl)
     if hard:
