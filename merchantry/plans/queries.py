@@ -1204,3 +1204,99 @@ def q_a10(spark, sf_dir):
     out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chat-{uuid.uuid4().hex[:8]}"
     export_chat_jsonl(v.train_feed, v.train_gold, out)
     return spark.read.text(out)
+
+
+# ------------------------------------------------------------------ remaining operators
+@register("b17_lognormal_amounts", W(f"""SELECT txn_id, round(exp(ln(coalesce({Q.case_map('category', {k: Q.dbl(v) for k, v in K.AMOUNT_MEDIAN.items()})}, 50.0))
+    + 0.6 * sqrt(-2.0 * ln(greatest({Q.uniform(Q.hkey(Sql("txn_id"), "n1"))}, 1e-300)))
+    * cos(6.283185307179586 * {Q.uniform(Q.hkey(Sql("txn_id"), "n2"))})), 2) AS amount FROM gold"""))
+def q_b17(spark, sf_dir):
+    g = fg(spark, sf_dir)[1]
+    return g.select("txn_id", SY.lognormal_amount(F.col("category"), F.col("txn_id")).alias("amount"))
+
+
+@register("e6_e7_first_row_and_rows_per_label", W("""SELECT txn_id, min(txn_id) OVER (PARTITION BY label) AS first_index,
+    count(*) OVER (PARTITION BY label) AS key_rows
+  FROM (SELECT txn_id, coalesce(canonical_merchant, txn_type) AS label FROM gold)"""))
+def q_e6(spark, sf_dir):
+    g = fg(spark, sf_dir)[1].select("txn_id", F.coalesce("canonical_merchant", "txn_type").alias("label"))
+    return WN.count_per_key(WN.first_index(g, "label", "txn_id"), "label").select("txn_id", "first_index", "key_rows")
+
+
+@register("f6_first_n_by_id", W("SELECT txn_id, description FROM feed ORDER BY txn_id LIMIT 100"))
+def q_f6(spark, sf_dir):
+    return SP.first_n(fg(spark, sf_dir)[0], 100).select("txn_id", "description")
+
+
+@register("f10_known_heldout_merchants", W("""SELECT g.txn_id, s.canonical_merchant IS NOT NULL AS known FROM gold g
+  LEFT JOIN (SELECT canonical_merchant FROM gold WHERE canonical_merchant IS NOT NULL GROUP BY canonical_merchant
+             HAVING count(*) >= 2) s USING (canonical_merchant) WHERE g.canonical_merchant IS NOT NULL"""))
+def q_f10(spark, sf_dir):
+    g = fg(spark, sf_dir)[1].filter(F.col("canonical_merchant").isNotNull())
+    known, held = SP.known_heldout(g, "canonical_merchant", 2)
+    return (known.select("txn_id", F.lit(True).alias("known"))
+            .unionByName(held.select("txn_id", F.lit(False).alias("known"))))
+
+
+@register("c15_spend_label_coverage", W("""SELECT round(avg((l.label IS NOT NULL)::INT), 6) AS matched_share,
+    round(sum(CASE WHEN l.label IS NOT NULL THEN s.spend ELSE 0 END) / sum(s.spend), 6) AS matched_spend_share
+  FROM (SELECT description, round(sum(abs(coalesce(debit, 0.0))::DECIMAL(18,2)), 2)::DOUBLE AS spend
+        FROM stmt WHERE type IN ('DEB', 'DD') GROUP BY description) s
+  LEFT JOIN (SELECT f.description, min(coalesce(g.canonical_merchant, g.txn_type)) AS label FROM feed f JOIN gold g USING (txn_id)
+             WHERE g.origin = 'source' GROUP BY f.description) l USING (description)""", [STATEMENT_SQL]))
+def q_c15(spark, sf_dir):
+    """Spend per descriptor joined to a label table (here: source-origin gold labels
+    per descriptor); share of descriptors and of spend that found a label."""
+    feed, gold = fg(spark, sf_dir)
+    spend = AG.spend_by_descriptor(statement(feed))
+    labels = (wide(spark, sf_dir).filter(F.col("origin") == "source")
+              .groupBy("description").agg(F.min(F.coalesce("canonical_merchant", "txn_type")).alias("label")))
+    j = spend.join(labels, "description", "left")
+    hit = F.col("label").isNotNull()
+    return j.agg(F.round(F.avg(hit.cast("double")), 6).alias("matched_share"),
+                 F.round(F.sum(F.when(hit, F.col("spend")).otherwise(0.0)) / F.sum("spend"), 6)
+                 .alias("matched_spend_share"))
+
+
+@register("c16_refit_agreement")
+def q_c16(spark, sf_dir):
+    """A refitted rules route must reproduce the saved predictions row for row
+    (null-aware); returns the disagreeing rows (expected: none)."""
+    v = _views(spark, sf_dir)
+    saved = _route_preds(spark, sf_dir, "rules_model").select("txn_id", F.col("canonical_merchant").alias("saved"))
+    refit = RulesRoute().fit(v.train_feed, v.train_gold).transform(v.model_feed).select(
+        "txn_id", F.col("canonical_merchant").alias("refit"))
+    return saved.join(refit, "txn_id", "full").filter(~F.col("saved").eqNullSafe(F.col("refit")))
+
+
+@register("c17_gold_in_known_list", W(f"""SELECT m.txn_id, k.key IS NOT NULL AS gold_in_list FROM
+  (SELECT g.txn_id, {Q.norm_merchant('g.canonical_merchant')} AS gn FROM model mo JOIN gold g USING (txn_id)
+   WHERE g.canonical_merchant IS NOT NULL) m
+  LEFT JOIN (SELECT DISTINCT {Q.norm_merchant('g.canonical_merchant')} AS key FROM tf JOIN gold g USING (txn_id)
+             WHERE g.canonical_merchant IS NOT NULL) k ON m.gn = k.key""", _views_sql(RANDOM_MEM_SQL)))
+def q_c17(spark, sf_dir):
+    v = _views(spark, sf_dir)
+    known = (v.train_gold.filter(F.col("canonical_merchant").isNotNull())
+             .select(TX.norm_merchant("canonical_merchant").alias("gn")).distinct().withColumn("_in", F.lit(True)))
+    m = v.model_gold.filter(F.col("canonical_merchant").isNotNull()).select(
+        "txn_id", TX.norm_merchant("canonical_merchant").alias("gn"))
+    return m.join(known, "gn", "left").select("txn_id", F.coalesce("_in", F.lit(False)).alias("gold_in_list"))
+
+
+@register("d38_best_route")
+def q_d38(spark, sf_dir):
+    lb = q_d37(spark, sf_dir).filter(F.col("view") == "model")
+    return lb.groupBy("split").agg(F.max_by("route", F.struct("merchant_norm", "route")).alias("best_route"),
+                                   F.max("merchant_norm").alias("merchant_norm"))
+
+
+@register("a11_a12_write_and_extract")
+def q_a11(spark, sf_dir):
+    """The leaderboard written as JSON; A12: the local-origin rows extracted to
+    their own Parquet set; returns the extracted rows read back."""
+    from merchantry.sources.io import extract_rows, write_json
+    from merchantry.session import ensure_checkpoint_dir
+    import uuid
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/out-{uuid.uuid4().hex[:8]}"
+    write_json(q_d37(spark, sf_dir), f"{base}/leaderboard")
+    return extract_rows(wide(spark, sf_dir), F.col("origin") == "local", f"{base}/local_rows")
