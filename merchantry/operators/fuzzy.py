@@ -13,11 +13,12 @@ s = len(" ".join(I)), la = s + [s>0] + |x|, lb = s + [s>0] + |y|:
 C5 and C6 never build a pair table. The list (key, name, ord) is checked for size and
 broadcast; every partition of distinct queries is scored against it by one kernel:
   * pairs sharing a token come from an inverted token index and are scored exactly;
-  * for pairs without a shared token the score is 200 LCS(X, Y) / (|X| + |Y|) on the
-    sorted-token strings, bounded above by the letter-bag overlap
-    (LCS <= sum_c min(count_X(c), count_Y(c))), computed for the whole list at once
-    with numpy; exact LCS runs in bound order only while the bound can still beat
-    the cutoff (C5) or the current k-th best (C6).
+  * for pairs without a shared token the score is 100 - 100 (|X| + |Y| - 2 LCS(X, Y)) /
+    (|X| + |Y|) on the sorted-token strings. For queries up to 63 characters LCS is
+    computed against the whole list at once (bit-parallel, one uint64 lane per list
+    entry, numpy); longer queries are pruned with the letter-bag bound
+    (LCS <= sum_c min(count_X(c), count_Y(c))) and scored exactly in bound order
+    while the bound can still beat the cutoff (C5) or the current k-th best (C6).
 Both are exact (ties: earliest list entry). A list longer than the broadcast limit is
 scored in chunks whose winners are merged by an aggregation.
 """
