@@ -1300,3 +1300,34 @@ def q_a11(spark, sf_dir):
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/out-{uuid.uuid4().hex[:8]}"
     write_json(q_d37(spark, sf_dir), f"{base}/leaderboard")
     return extract_rows(wide(spark, sf_dir), F.col("origin") == "local", f"{base}/local_rows")
+
+
+@register("r15_statement_benchmark")
+def q_r15(spark, sf_dir):
+    """R15 on the statement view: per debit descriptor (D25) its gold label (first row,
+    D8); a full known list and a realistic one (labels seen in >= 2 descriptors, D27/F10);
+    fuzzy top-1 (C5) of each descriptor against each list; scores weighted five ways
+    (D24) per list, plus the held-out subset (labels not on the realistic list)."""
+    feed = fg(spark, sf_dir)[0]
+    w = wide(spark, sf_dir)
+    spend = AG.spend_by_descriptor(statement(feed))
+    first = AG.first_per_group(w.select("txn_id", "description", "canonical_merchant"), "description", "txn_id",
+                               ["canonical_merchant"]).filter(F.col("canonical_merchant").isNotNull())
+    d = spend.join(first.select("description", "canonical_merchant"), "description")
+    names = (w.filter(F.col("canonical_merchant").isNotNull()).groupBy("canonical_merchant")
+             .agg(F.min("txn_id").alias("ord"), F.countDistinct("description").alias("n_desc")))
+    full = names.select(TX.clean_description("canonical_merchant").alias("key"),
+                        F.col("canonical_merchant").alias("name"), "ord")
+    realistic = names.filter(F.col("n_desc") >= 2).select(
+        TX.clean_description("canonical_merchant").alias("key"), F.col("canonical_merchant").alias("name"), "ord")
+    q = d.withColumn("query", query_text("description"))
+    out = None
+    for list_name, lst in (("full", full), ("realistic", realistic)):
+        best = fuzzy_top1(q.select("query"), lst)
+        scored = (q.join(best.select("query", F.col("name").alias("pred")), "query", "left")
+                  .withColumn("ok", F.coalesce(merchant_ok(F.col("pred"), F.col("canonical_merchant")), F.lit(False))))
+        held = scored.join(realistic.select(F.col("name").alias("canonical_merchant")), "canonical_merchant", "left_anti")
+        for subset, df in (("all", scored), ("held_out", held)):
+            row = M.weighted_scores(df).select(F.lit(list_name).alias("list"), F.lit(subset).alias("subset"), "*")
+            out = row if out is None else out.unionByName(row)
+    return out
