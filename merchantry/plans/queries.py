@@ -790,7 +790,8 @@ def _s1(spark, sf_dir):
     key = ("s1", id(spark), sf_dir)
     if key not in _CACHE:
         src, schema = _stream_source(spark, sf_dir)
-        _CACHE[key] = SC.descriptor_cache_stream(spark, src, schema)
+        # files arrive in date order, so any batch size keeps the batch-order semantics of E1
+        _CACHE[key] = SC.descriptor_cache_stream(spark, src, schema, max_files=5)
     return _CACHE[key]
 
 
