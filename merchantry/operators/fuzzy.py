@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from merchantry import constants as K
-from merchantry.functions.text import ws_tokens
 
 MAX_BROADCAST_LIST = 200_000   # list entries per broadcast chunk (C6)
 

@@ -699,7 +699,7 @@ def q_c8(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ rules route, fuzzy joins
-from merchantry.operators.fuzzy import fuzzy_top1, fuzzy_topk  # noqa: E402
+from merchantry.operators.fuzzy import fuzzy_top1  # noqa: E402
 from merchantry.operators.routes import RulesRoute, candidates, query_text  # noqa: E402
 
 
@@ -900,13 +900,11 @@ def q_b34(spark, sf_dir):
 @register("h1_local_merchants", O.with_feed("SELECT name, category, rank FROM _locals"))
 def q_h1(spark, sf_dir):
     from merchantry.operators.synth import local_merchants
-    gold = fg(spark, sf_dir)[1]
     # labels before reassignment: source merchants + types (locals never share their tokens)
     raw = raw_labelled(spark, sf_dir)
     canon = raw.select(TX.derive_canonical("transaction_description").alias("c"), "category")
     gm = canon.select(LB.gold_merchant(F.col("c"), F.col("category")).alias("g"))
     labels = gm.select(F.coalesce("g.merchant", "g.txn_type").alias("label")).distinct()
-    _ = gold
     return local_merchants(spark, labels)
 
 
