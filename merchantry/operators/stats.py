@@ -136,19 +136,32 @@ def invalid_answers(df: DataFrame, col: str, allowed) -> DataFrame:
     return df.agg(F.count_if(~F.coalesce(F.col(col).isin(*allowed), F.lit(False))).alias("invalid"))
 
 
-def auroc(df: DataFrame, score: str, positive, group: list[str] | None = None) -> DataFrame:
+def auroc(df: DataFrame, score: str, positive, group: list[str] | None = None, buckets: int = 64) -> DataFrame:
     """P(score of a positive > score of a negative) + 1/2 P(tie), per group; null
-    when a class is empty. Rows collapse to one row per distinct score first, then a
-    running count of negatives below each score replaces the all-pairs comparison."""
-    g = group or []
+    when a class is empty. Rows collapse to one row per distinct score; the count of
+    negatives below each score is then (negatives in lower score buckets) + (negatives
+    below it inside its bucket). Buckets come from approximate quantiles, so no task
+    orders more than one bucket's distinct scores; the result is exact whatever the
+    bucket edges are."""
+    g = list(group) if group else ["_all"]
+    if not group:
+        df = df.withColumn("_all", F.lit(0))
     per = (df.groupBy(*g, F.col(score).alias("_s"))
            .agg(F.count_if(_c(positive)).alias("_p"), F.count_if(~_c(positive)).alias("_n")))
-    w = Window.partitionBy(*g).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    qs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    edges = per.groupBy(*g).agg(F.percentile_approx("_s", qs, 10000).alias("_edges"))
+    per = per.join(edges, g, "left")
+    per = per.withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col("_s")))).drop("_edges")
+    btot = per.groupBy(*g, "_b").agg(F.sum("_n").alias("_bn"))
+    wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    btot = btot.withColumn("_lower", F.coalesce(F.sum("_bn").over(wb), F.lit(0))).drop("_bn")
+    ws = Window.partitionBy(*g, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    per = (per.join(btot, g + ["_b"])
+           .withColumn("_below", F.col("_lower") + F.coalesce(F.sum("_n").over(ws), F.lit(0))))
     agg = per.groupBy(*g).agg(F.sum(F.col("_p") * (F.col("_below") + 0.5 * F.col("_n"))).alias("_num"),
                               F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
-    return agg.select(*g, F.when((F.col("_P") > 0) & (F.col("_N") > 0),
-                                 F.col("_num") / (F.col("_P") * F.col("_N"))).alias("auroc"))
+    return agg.select(*(group or []), F.when((F.col("_P") > 0) & (F.col("_N") > 0),
+                                             F.col("_num") / (F.col("_P") * F.col("_N"))).alias("auroc"))
 
 
 def quantiles(df: DataFrame, col: str, group: list[str] | None = None, qs=K.QUANTILES) -> DataFrame:

@@ -211,3 +211,20 @@ def test_cascade_select(spark):
     b = spark.createDataFrame([("T1", "X"), ("T2", "Y")], "txn_id string, canonical_merchant string")
     out = {r["txn_id"]: r["canonical_merchant"] for r in cascade(a, b, F.col("f_score") >= 85).collect()}
     assert out == {"T1": "A", "T2": "Y"}
+
+
+def test_auroc_matches_all_pairs(spark):
+    import random
+    rng = random.Random(11)
+    rows = [(round(rng.random(), 2), rng.random() < 0.6, f"g{rng.randint(0, 2)}") for _ in range(600)]
+    df = spark.createDataFrame(rows, "s double, ok boolean, g string")
+    got = {r["g"]: r["auroc"] for r in ST.auroc(df, "s", F.col("ok"), ["g"], buckets=8).collect()}
+    for grp in {r[2] for r in rows}:
+        pos = [s for s, ok, g in rows if g == grp and ok]
+        neg = [s for s, ok, g in rows if g == grp and not ok]
+        want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+        assert got[grp] == pytest.approx(want)
+    one = ST.auroc(df, "s", F.col("ok"), buckets=5).first()["auroc"]
+    pos = [s for s, ok, _ in rows if ok]
+    neg = [s for s, ok, _ in rows if not ok]
+    assert one == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)))
