@@ -27,10 +27,22 @@ def cluster_sums(df: DataFrame, a_ok, b_ok, cluster, weight=None) -> DataFrame:
             .agg(F.sum(d * w).alias("num"), F.sum(w).alias("den"), F.count(F.lit(1)).alias("rows")))
 
 
-def number_clusters(sums: DataFrame) -> DataFrame:
-    """Dense 0..k-1 index by cluster name. One task orders the k cluster rows (k is
-    the number of clusters, not of rows)."""
-    return sums.withColumn("idx", F.row_number().over(Window.orderBy("cluster")) - 1)
+CLUSTER_BUCKETS = 64
+
+
+def number_clusters(sums: DataFrame, buckets: int = CLUSTER_BUCKETS) -> DataFrame:
+    """A dense 0..k-1 index over the clusters, deterministic and layout-free: clusters
+    are spread over hash buckets, ranked by name inside their bucket, and offset by the
+    sizes of the lower buckets (a running sum over ``buckets`` rows), so no task orders
+    all k clusters."""
+    b = F.pmod(hash52(hkey("bucket", F.col("cluster"))), F.lit(buckets))
+    d = sums.withColumn("_bk", b)
+    d = d.withColumn("_within", F.row_number().over(Window.partitionBy("_bk").orderBy("cluster")) - 1)
+    sizes = d.groupBy("_bk").agg(F.count(F.lit(1)).alias("_sz"))
+    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_sz").over(
+        Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (d.join(F.broadcast(sizes.select("_bk", "_off")), "_bk")
+            .withColumn("idx", F.col("_off") + F.col("_within")).drop("_bk", "_within", "_off"))
 
 
 def draw_counts(spark, k: int, n_boot: int, seed: int) -> DataFrame:

@@ -579,7 +579,11 @@ N_BOOT_Q = 1000
 @register("d19_paired_bootstrap", f"""WITH {CONF_SQL},
   sums AS (SELECT source AS cluster, sum(a_ok::INT - b_ok::INT)::DOUBLE AS num, count(*)::DOUBLE AS den,
            count(*) AS rows FROM crc GROUP BY source),
-  idx AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS idx FROM sums),
+  bk AS (SELECT *, {Q.hash52(Q.hkey('bucket', Sql('cluster')))} % 64 AS _bk FROM sums),
+  off AS (SELECT _bk, coalesce(sum(count(*)) OVER (ORDER BY _bk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _off
+          FROM bk GROUP BY _bk),
+  idx AS (SELECT bk.*, off._off + row_number() OVER (PARTITION BY bk._bk ORDER BY cluster) - 1 AS idx
+          FROM bk JOIN off USING (_bk)),
   kk AS (SELECT count(*) AS k FROM sums),
   draws AS (SELECT range // (SELECT k FROM kk) AS b,
             {Q.hash52(Q.hkey('0', 'boot', Sql('range::VARCHAR')))} % (SELECT k FROM kk) AS idx
@@ -922,7 +926,11 @@ def q_h1(spark, sf_dir):
         FROM p JOIN gold g USING (txn_id))""",
     """sums AS (SELECT cluster, sum(cat_ok::INT)::DOUBLE AS cat_sum, count(*)::DOUBLE AS n_all,
           sum((m_ok AND has_m)::INT)::DOUBLE AS m_sum, sum(has_m::INT)::DOUBLE AS n_m FROM j GROUP BY cluster)""",
-    "idx AS (SELECT *, row_number() OVER (ORDER BY cluster) - 1 AS idx FROM sums)",
+    f"bk AS (SELECT *, {Q.hash52(Q.hkey('bucket', Sql('cluster')))} % 64 AS _bk FROM sums)",
+    """off AS (SELECT _bk, coalesce(sum(count(*)) OVER (ORDER BY _bk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+          AS _off FROM bk GROUP BY _bk)""",
+    """idx AS (SELECT bk.*, off._off + row_number() OVER (PARTITION BY bk._bk ORDER BY cluster) - 1 AS idx
+          FROM bk JOIN off USING (_bk))""",
     "kk AS (SELECT count(*) AS k FROM sums)",
     f"""draws AS (SELECT range // (SELECT k FROM kk) AS b,
           {Q.hash52(Q.hkey('0', 'boot', Sql('range::VARCHAR')))} % (SELECT k FROM kk) AS idx
