@@ -125,6 +125,7 @@ def assign_origin(base: DataFrame, locals_df: DataFrame, zipf_local: DataFrame,
     first = (base.filter(F.col("merchant").isNotNull())
              .groupBy("merchant").agg(F.min("row_id").alias("_first")))
     n_local = locals_df.groupBy("category").agg(F.count(F.lit(1)).alias("_nloc"))
+    # broadcast sides below are bounded by parameters: <= 8 categories, <= n locals
     d = (base.join(first, "merchant", "left")
          .join(F.broadcast(n_local), "category", "left"))
     move = (F.col("merchant").isNotNull() & F.col("_nloc").isNotNull()
@@ -238,6 +239,8 @@ def stratified_sample(df: DataFrame, n: int, by: list[str], u: Column) -> DataFr
     A hot stratum is never ranked whole: rows are first cut at a per-stratum threshold
     on ``u`` that keeps a few more rows than needed; strata where the cut kept too few
     (rare) fall back to threshold 1, so the result stays exact."""
+    if not by:
+        raise ValueError("stratified_sample needs at least one stratum column")
     d = df.withColumn("_u", u)
     sizes = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
     total = sizes.agg(F.sum("_size")).first()[0] or 0
@@ -248,7 +251,7 @@ def stratified_sample(df: DataFrame, n: int, by: list[str], u: Column) -> DataFr
     sizes = (sizes.withColumn("_take", take)
              .withColumn("_thr", F.least(F.lit(1.0), (F.col("_take") + F.sqrt(F.col("_take")) * 5
                                                       + 10) / F.col("_size"))))
-    kept = (d.join(F.broadcast(sizes) if len(by) == 0 else sizes, by)
+    kept = (d.join(sizes, by)
             .filter(F.col("_u") < F.col("_thr")).groupBy(*by)
             .agg(F.count(F.lit(1)).alias("_kept")))
     sizes = (sizes.join(kept, by, "left")
