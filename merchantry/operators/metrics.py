@@ -164,7 +164,8 @@ def leaderboard_row(pred: DataFrame, gold: DataFrame, route: str, split: str, vi
         F.avg(F.coalesce(F.col("p_direction") == F.col("g_direction"), F.lit(False)).cast("double"))
         .alias("direction_accuracy"),
     ]
-    aggs.append((F.avg(cat_ok.cast("double")) if has_cat else F.lit(None).cast("double"))
-                .alias("category_accuracy"))
+    # a route that predicts no category at all gets null, not 0
+    aggs.append((F.when(F.count("p_category") > 0, F.avg(cat_ok.cast("double"))) if has_cat
+                 else F.lit(None).cast("double")).alias("category_accuracy"))
     return j.agg(*aggs).select(F.lit(route).alias("route"), F.lit(split).alias("split"),
                                F.lit(view).alias("view"), "*")

@@ -746,23 +746,36 @@ def q_d16(spark, sf_dir):
 
 @register("d37_leaderboard_random")
 def q_d37(spark, sf_dir):
-    """One row per (route, view) on the random split: model view and the
+    """One row per (route, view) on the random split: model view and the
     ideal-cache view (hits take the cached train label, misses their representative's
-    prediction). Route predictions are computed once and reused by both views."""
+    prediction); spend KPI on the ideal-cache view only, no-match rate where the route
+    reports it. Partial one-row frames are stacked with unionByName(allowMissingColumns)
+    (G2) and folded per key, never joined."""
     from merchantry.operators.views import ideal_preds
     v = _views(spark, sf_dir)
-    rows = []
+    parts = []
+    key = lambda name, view: [F.lit(name).alias("route"), F.lit("random").alias("split"),
+                              F.lit(view).alias("view")]
     for name in ("cleaner", "rules"):
         mp = (materialize(CleanerRoute().transform(v.model_feed), "preds_cleaner") if name == "cleaner"
               else _route_preds(spark, sf_dir, "rules_model"))
-        rows.append(M.leaderboard_row(mp, v.model_gold, name, "random", "model"))
+        parts.append(M.leaderboard_row(mp, v.model_gold, name, "random", "model"))
+        if "no_match" in mp.columns:
+            parts.append(mp.agg(F.avg(F.col("no_match").cast("double")).alias("no_match_rate"))
+                         .select(*key(name, "model"), "no_match_rate"))
         ip = ideal_preds(mp, v.cache).join(v.ideal_feed.select("txn_id", "amount"), "txn_id").withColumn(
             "direction", F.when(F.col("amount") > 0, "incoming").otherwise("outgoing"))
-        rows.append(M.leaderboard_row(ip, v.ideal_gold, name, "random", "ideal_cache"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+        parts.append(M.leaderboard_row(ip, v.ideal_gold, name, "random", "ideal_cache"))
+        parts.append(M.spend_kpi(v.ideal_feed, ip, v.ideal_gold).select(
+            *key(name, "ideal_cache"), F.col("mae").alias("kpi_mae"),
+            F.col("within_tolerance").alias("kpi_within_1pct")))
+        parts.append(v.cache.agg(F.avg(F.col("cache_hit").cast("double")).alias("cache_hit_rate"))
+                     .select(*key(name, "ideal_cache"), "cache_hit_rate"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    metrics = [c for c in out.columns if c not in ("route", "split", "view")]
+    return out.groupBy("route", "split", "view").agg(*[F.first(c, ignorenulls=True).alias(c) for c in metrics])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
