@@ -744,28 +744,31 @@ def q_d16(spark, sf_dir):
     return M.retrieval_recall(c.filter(F.col("gold").isNotNull()))
 
 
-@register("d37_leaderboard_random")
-def q_d37(spark, sf_dir):
+def leaderboard(spark, sf_dir, split: str = "random"):
     """One row per (route, view) on the random split: model view and the
     ideal-cache view (hits take the cached train label, misses their representative's
     prediction); spend KPI on the ideal-cache view only, no-match rate where the route
     reports it. Partial one-row frames are stacked with unionByName(allowMissingColumns)
     (G2) and folded per key, never joined."""
     from merchantry.operators.views import ideal_preds
-    v = _views(spark, sf_dir)
+    v = _views(spark, sf_dir, split)
     parts = []
-    key = lambda name, view: [F.lit(name).alias("route"), F.lit("random").alias("split"),
+    key = lambda name, view: [F.lit(name).alias("route"), F.lit(split).alias("split"),
                               F.lit(view).alias("view")]
     for name in ("cleaner", "rules"):
-        mp = (materialize(CleanerRoute().transform(v.model_feed), "preds_cleaner") if name == "cleaner"
-              else _route_preds(spark, sf_dir, "rules_model"))
-        parts.append(M.leaderboard_row(mp, v.model_gold, name, "random", "model"))
+        if name == "cleaner":
+            mp = materialize(CleanerRoute().transform(v.model_feed), f"preds_cleaner_{split}")
+        elif split == "random":
+            mp = _route_preds(spark, sf_dir, "rules_model")
+        else:
+            mp = materialize(_rules(spark, sf_dir, split).transform(v.model_feed), f"preds_rules_{split}")
+        parts.append(M.leaderboard_row(mp, v.model_gold, name, split, "model"))
         if "no_match" in mp.columns:
             parts.append(mp.agg(F.avg(F.col("no_match").cast("double")).alias("no_match_rate"))
                          .select(*key(name, "model"), "no_match_rate"))
         ip = ideal_preds(mp, v.cache).join(v.ideal_feed.select("txn_id", "amount"), "txn_id").withColumn(
             "direction", F.when(F.col("amount") > 0, "incoming").otherwise("outgoing"))
-        parts.append(M.leaderboard_row(ip, v.ideal_gold, name, "random", "ideal_cache"))
+        parts.append(M.leaderboard_row(ip, v.ideal_gold, name, split, "ideal_cache"))
         parts.append(M.spend_kpi(v.ideal_feed, ip, v.ideal_gold).select(
             *key(name, "ideal_cache"), F.col("mae").alias("kpi_mae"),
             F.col("within_tolerance").alias("kpi_within_1pct")))
@@ -778,6 +781,16 @@ def q_d37(spark, sf_dir):
     return out.groupBy("route", "split", "view").agg(*[F.first(c, ignorenulls=True).alias(c) for c in metrics])
 
 
+@register("d37_leaderboard_random")
+def q_d37(spark, sf_dir):
+    return leaderboard(spark, sf_dir, "random")
+
+
+@register("d37_leaderboard_unseen")
+def q_d37u(spark, sf_dir):
+    return leaderboard(spark, sf_dir, "unseen")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules route fitted on the random split's train rows, applied to the held-out rows,
     then spend rolled up per customer and predicted merchant (D1)."""
