@@ -87,6 +87,43 @@ def token_set_score(ta: Column, tb: Column, lcs: Column | None = None) -> Column
             .otherwise(F.greatest(r0, r1, r2)))
 
 
+def levenshtein_score(a: Column, b: Column) -> Column:
+    """U7 scorer (native): 100 * (1 - levenshtein / max length); 100 for two empty strings."""
+    m = F.greatest(F.length(a), F.length(b))
+    return F.when(m == 0, F.lit(100.0)).otherwise(
+        F.lit(100.0) * (F.lit(1.0) - F.levenshtein(a, b) / m))
+
+
+def jaccard_score(ta: Column, tb: Column) -> Column:
+    """U7 scorer (native): 100 * |A n B| / |A u B| over distinct tokens; 0 when both empty."""
+    u = F.size(F.array_union(ta, tb))
+    return F.when(u == 0, F.lit(0.0)).otherwise(F.lit(100.0) * F.size(F.array_intersect(ta, tb)) / u)
+
+
+def levenshtein_py(a: str, b: str) -> int:
+    prev = list(range(len(b) + 1))
+    for i, ca in enumerate(a, 1):
+        cur = [i]
+        for j, cb in enumerate(b, 1):
+            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (ca != cb)))
+        prev = cur
+    return prev[-1]
+
+
+def score_py(scorer: str, a: str, b: str) -> float:
+    """Plain-Python scorers by name (token_set, levenshtein, jaccard)."""
+    if scorer == "token_set":
+        return token_set_ratio_py(a, b)
+    if scorer == "levenshtein":
+        m = max(len(a), len(b))
+        return 100.0 if m == 0 else 100.0 * (1.0 - levenshtein_py(a, b) / m)
+    if scorer == "jaccard":
+        ta, tb = set(a.split()), set(b.split())
+        u = len(ta | tb)
+        return 0.0 if u == 0 else 100.0 * len(ta & tb) / u
+    raise ValueError(f"unknown scorer {scorer!r}")
+
+
 def token_set_ratio_py(a: str, b: str) -> float:
     """Plain-Python restatement of C7 (used by tests and by the C6 kernel)."""
     ta, tb = set(a.split()), set(b.split())
@@ -118,8 +155,10 @@ def _grams(s: Column) -> Column:
 class ListIndex:
     """The broadcast side of C5/C6: token postings and a letter-count matrix."""
 
-    def __init__(self, keys: list[str], names: list[str]):
+    def __init__(self, keys: list[str], names: list[str], scorer: str = "token_set"):
         self.names = names
+        self.keys = [k or "" for k in keys]
+        self.scorer = scorer
         self.tok = [frozenset((k or "").split()) for k in keys]
         self.sx = [" ".join(sorted(t)) for t in self.tok]
         self.lens = np.array([len(x) for x in self.sx], dtype=np.float64)
@@ -165,6 +204,11 @@ class ListIndex:
         tq = frozenset((query or "").split())
         if n == 0:
             return []
+        if self.scorer != "token_set":
+            sc = np.array([score_py(self.scorer, query or "", k) for k in self.keys])
+            keep = np.nonzero(sc >= cutoff)[0] if cutoff is not None else np.arange(n)
+            order = keep[np.lexsort((keep, -sc[keep]))][:k]
+            return [(float(sc[r]), int(r)) for r in order]
         if not tq:
             return [] if cutoff is not None and cutoff > 0 else [(0.0, i) for i in range(min(k, n))]
         shared = sorted({r for w in tq for r in self.post.get(w, ())})
@@ -215,21 +259,22 @@ class ListIndex:
         return res[:k]
 
 
-def _broadcast_chunks(names: DataFrame, max_broadcast: int):
+def _broadcast_chunks(names: DataFrame, max_broadcast: int, scorer: str = "token_set"):
     """Yield ListIndex broadcasts of the list in ``ord`` order, after a size check."""
     spark = names.sparkSession
     n = names.count()
     ordered = names.select("key", "name", "ord").orderBy("ord")
     for start in range(0, max(n, 1), max_broadcast):
         rows = ordered.offset(start).limit(max_broadcast).collect()
-        yield spark.sparkContext.broadcast(ListIndex([r["key"] for r in rows], [r["name"] for r in rows]))
+        yield spark.sparkContext.broadcast(ListIndex([r["key"] for r in rows], [r["name"] for r in rows], scorer))
 
 
-def _scan(queries: DataFrame, names: DataFrame, k: int, cutoff, max_broadcast: int) -> DataFrame:
+def _scan(queries: DataFrame, names: DataFrame, k: int, cutoff, max_broadcast: int,
+          scorer: str = "token_set") -> DataFrame:
     schema = "query string, _chunk int, _pos array<int>, candidates array<string>, scores array<double>"
     q = queries.select("query").distinct()
     parts = []
-    for ci, bc in enumerate(_broadcast_chunks(names, max_broadcast)):
+    for ci, bc in enumerate(_broadcast_chunks(names, max_broadcast, scorer)):
         def run(it, bc=bc, ci=ci):
             idx = bc.value
             for pdf in it:
@@ -257,20 +302,20 @@ def _scan(queries: DataFrame, names: DataFrame, k: int, cutoff, max_broadcast: i
 
 
 def fuzzy_top1(queries: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF,
-               max_broadcast: int = MAX_BROADCAST_LIST) -> DataFrame:
+               max_broadcast: int = MAX_BROADCAST_LIST, scorer: str = "token_set") -> DataFrame:
     """Best list entry scoring >= ``cutoff`` for every distinct query (earliest list
     entry on ties). ``queries``: (query); ``names``: (key, name, ord). Returns
     (query, name, score) for matched queries only."""
-    res = _scan(queries, names, 1, float(cutoff), max_broadcast)
+    res = _scan(queries, names, 1, float(cutoff), max_broadcast, scorer)
     return (res.filter(F.size("candidates") > 0)
             .select("query", F.col("candidates")[0].alias("name"), F.col("scores")[0].alias("score")))
 
 
 def fuzzy_topk(queries: DataFrame, names: DataFrame, k: int = K.TOP_K,
-               max_broadcast: int = MAX_BROADCAST_LIST) -> DataFrame:
+               max_broadcast: int = MAX_BROADCAST_LIST, scorer: str = "token_set") -> DataFrame:
     """The ``k`` best list names per distinct query (score desc, then list order),
     no cutoff. Returns (query, candidates, scores)."""
-    return _scan(queries, names, k, None, max_broadcast)
+    return _scan(queries, names, k, None, max_broadcast, scorer)
 
 
 def fuzzy_top1_rows(df: DataFrame, query_col: str, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF,

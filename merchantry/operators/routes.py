@@ -58,8 +58,8 @@ class RulesRoute(Route):
     mcc prior, else the label prior of the predicted merchant, else the majority."""
     name = "rules"
 
-    def __init__(self, cutoff: float = K.FUZZY_CUTOFF):
-        self.cutoff = cutoff
+    def __init__(self, cutoff: float = K.FUZZY_CUTOFF, scorer: str = "token_set"):
+        self.cutoff, self.scorer = cutoff, scorer
 
     def fit(self, train_feed: DataFrame, train_gold: DataFrame) -> "RulesRoute":
         train_gold = with_gold_defaults(train_gold)
@@ -83,7 +83,7 @@ class RulesRoute(Route):
             from merchantry.operators.fuzzy import fuzzy_top1_rows
             d = fuzzy_top1_rows(d, "query", self.names, self.cutoff).drop("_match_score")
         else:
-            best = fuzzy_top1(d.select("query"), self.names, self.cutoff)
+            best = fuzzy_top1(d.select("query"), self.names, self.cutoff, scorer=self.scorer)
             d = d.join(best.select("query", F.col("name").alias("_match")), "query", "left")
         d = (d.withColumn("canonical_merchant", F.coalesce("_match", "_fallback"))
              .withColumn("no_match", F.col("_match").isNull()))

@@ -94,3 +94,18 @@ def test_vectorized_lcs_and_topk_random(spark):
         assert [round(s, 9) for s, _ in got] == [round(s, 9) for s, _ in want[:5]]
         cut = [(s, i) for s, i in want if s >= 85][:1]
         assert [i for _, i in idx.best(q, 1, 85.0)] == [i for _, i in cut]
+
+
+def test_alternative_scorers(spark):
+    from merchantry.functions.text import ws_tokens
+    from merchantry.operators.fuzzy import jaccard_score, levenshtein_score, score_py
+    pairs = [("red bolt", "red blt"), ("", ""), ("abc", ""), ("bp atlanta", "bp"), ("kitten", "sitting")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    lev = [r[0] for r in df.select(levenshtein_score(F.col("a"), F.col("b"))).collect()]
+    jac = [r[0] for r in df.select(jaccard_score(ws_tokens("a"), ws_tokens("b"))).collect()]
+    assert [round(x, 9) for x in lev] == [round(score_py("levenshtein", a, b), 9) for a, b in pairs]
+    assert [round(x, 9) for x in jac] == [round(score_py("jaccard", a, b), 9) for a, b in pairs]
+    got = {r["query"]: r["name"] for r in fuzzy_top1(
+        spark.createDataFrame([("red blt",), ("walmart pharmcy",)], "query string"), _names_df(spark),
+        cutoff=80, scorer="levenshtein").collect()}
+    assert got == {"walmart pharmcy": "walmart pharmacy", "red blt": "red bolt"}
