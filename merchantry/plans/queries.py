@@ -1364,3 +1364,16 @@ def q_r15(spark, sf_dir):
             row = M.weighted_scores(df).select(F.lit(list_name).alias("list"), F.lit(subset).alias("subset"), "*")
             out = row if out is None else out.unionByName(row)
     return out
+
+
+@register("d39_families_by_origin", W("""SELECT coalesce(g.origin, 'none') AS origin,
+    count(DISTINCT g.canonical_merchant) AS merchants, count(DISTINCT f.family) AS families
+  FROM gold g LEFT JOIN fam f ON g.canonical_merchant = f.name GROUP BY coalesce(g.origin, 'none')""",
+    _families_sql(), recursive=True))
+def q_d39f(spark, sf_dir):
+    """Merchants and brand families (G5) per origin."""
+    g = fg(spark, sf_dir)[1]
+    fam = FM.brand_families(g.select(F.col("canonical_merchant").alias("name")))
+    j = g.join(fam.withColumnRenamed("name", "canonical_merchant"), "canonical_merchant", "left")
+    return (j.groupBy(F.coalesce("origin", F.lit("none")).alias("origin"))
+            .agg(F.countDistinct("canonical_merchant").alias("merchants"), F.countDistinct("family").alias("families")))
