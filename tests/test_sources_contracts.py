@@ -75,3 +75,14 @@ def test_fingerprint_is_order_insensitive(spark):
     assert C.fingerprint_str(a) == C.fingerprint_str(b)
     c = spark.createDataFrame([(2, "y"), (1, "z")], "a int, b string")
     assert C.fingerprint_str(a) != C.fingerprint_str(c)
+
+
+def test_load_sample_stratified(spark):
+    rows = [("McDonald's #1", "Food & Dining", "USA", "USD")] * 60 + [("Wage", "Income", "UK", "GBP")] * 30 + \
+           [("BP", "Transportation", "USA", "USD")] * 10
+    path = os.path.join(_tmp(), "raw")
+    spark.createDataFrame(rows, IO.RAW_SCHEMA).write.parquet(path)
+    s = IO.load_sample(spark, path, n=20)
+    got = {r["category"]: r["count"] for r in s.groupBy("category").count().collect()}
+    assert got == {"Food & Dining": 12, "Income": 6, "Transportation": 2}
+    assert IO.load_sample(spark, path, n=1000).count() == 100
