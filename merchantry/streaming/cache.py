@@ -39,25 +39,37 @@ def write_stream_source(df: DataFrame, by: str = "posted_date", name: str = "sou
 
 
 def descriptor_cache_stream(spark: SparkSession, source_path: str, schema, name: str = "s1",
-                            max_files: int = 1) -> DataFrame:
+                            max_files: int = 1, ttl_days: int | None = None) -> DataFrame:
     """Run the descriptor-cache stream over ``source_path`` until it is drained
     (``availableNow``) and return the emitted rows (txn_id, description, posted_date,
-    is_new) as a batch DataFrame."""
+    is_new) as a batch DataFrame.
+
+    State = (description, last_seen) rows appended per micro-batch. With ``ttl_days`` a
+    descriptor last seen more than ``ttl_days`` before a row counts as new again, so
+    only the last ``ttl_days`` of state matter (older batch directories can be dropped);
+    the TTL is applied against earlier batches."""
     root = _root(spark, name)
     seen_path, out_path = f"{root}/seen", f"{root}/out"
-    spark.createDataFrame([], "description string").write.mode("overwrite").parquet(f"{seen_path}/batch=-1")
+    spark.createDataFrame([], "description string, last_seen date").write.mode("overwrite").parquet(
+        f"{seen_path}/batch=-1")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         first = batch.groupBy("description").agg(
-            F.min(F.struct("posted_date", "txn_id")).alias("_first"))
-        seen = spark.read.parquet(seen_path).filter(F.col("batch") < batch_id).select("description")
-        new = first.join(seen, "description", "left_anti")
+            F.min(F.struct("posted_date", "txn_id")).alias("_first"),
+            F.max("posted_date").alias("last_seen"))
+        hist = (spark.read.parquet(seen_path).filter(F.col("batch") < batch_id)
+                .groupBy("description").agg(F.max("last_seen").alias("_hist")))
+        j = first.join(hist, "description", "left")
+        known = F.col("_hist").isNotNull()
+        if ttl_days is not None:
+            known = known & (F.col("_hist") >= F.date_sub(F.col("_first.posted_date"), ttl_days))
+        new = j.filter(~known).select("description", "_first")
         flagged = (batch.join(new, "description", "left")
                    .withColumn("is_new", F.coalesce(F.struct("posted_date", "txn_id") == F.col("_first"),
                                                     F.lit(False)))
                    .select("txn_id", "description", "posted_date", "is_new"))
         flagged.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        new.select("description").write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
+        first.select("description", "last_seen").write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
 
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
               .parquet(source_path))

@@ -39,3 +39,14 @@ def test_spend_rollup_stream_equals_batch(spark):
     want = {(str(r["posted_date"]), r["canonical_merchant"]): r["s"] for r in
             feed.groupBy("posted_date", "canonical_merchant").agg(F.round(F.sum(F.abs("amount")), 2).alias("s")).collect()}
     assert got == want
+
+
+def test_descriptor_cache_ttl(spark):
+    rows = [("T1", "A", "2024-01-01"), ("T2", "A", "2024-01-03"), ("T3", "A", "2024-01-20"), ("T4", "B", "2024-01-20")]
+    feed = spark.createDataFrame(rows, "txn_id string, description string, posted_date string").withColumn(
+        "posted_date", F.to_date("posted_date"))
+    src = SC.write_stream_source(feed)
+    out = {r["txn_id"]: r["is_new"] for r in SC.descriptor_cache_stream(spark, src, feed.schema, ttl_days=10).collect()}
+    assert out == {"T1": True, "T2": False, "T3": True, "T4": True}
+    out = {r["txn_id"]: r["is_new"] for r in SC.descriptor_cache_stream(spark, src, feed.schema).collect()}
+    assert out == {"T1": True, "T2": False, "T3": False, "T4": True}
