@@ -39,14 +39,14 @@ def confidence_summary(rows: DataFrame, group=("dataset", "setting")) -> DataFra
 
 def cascade_sweep(df: DataFrame, is_ok: Callable[[Column], Column], thresholds=K.CASCADE_THRESHOLDS,
                   weight: str | None = None, in_list: str | None = None) -> DataFrame:
-    """Per threshold (and ``slm_only``), accept the choice when it is not none and
+    """Per threshold (and ``generator_only``), accept the choice when it is not none and
     its confidence reaches the threshold, else take the fallback; report accuracy,
     row-weighted accuracy, accuracy on rows whose gold is not in the list, and the
     escalated share. ``df`` has choice, confidence, fallback; ``is_ok(pred)`` is the
     correctness Column (U6)."""
     w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
     off = ~F.coalesce(F.col(in_list), F.lit(True)) if in_list else F.lit(False)
-    aggs, tags = [], [("slm_only", None)] + [(str(t), t) for t in thresholds]
+    aggs, tags = [], [("generator_only", None)] + [(str(t), t) for t in thresholds]
     for i, (_, t) in enumerate(tags):
         acc = (F.lit(False) if t is None else
                (F.col("choice") != K.NONE_OPTION) & (F.coalesce(F.col("confidence"), F.lit(0.0)) >= t))
@@ -59,7 +59,7 @@ def cascade_sweep(df: DataFrame, is_ok: Callable[[Column], Column], thresholds=K
     rows = F.array(*[F.struct(F.lit(name).alias("threshold"), F.round(F.col(f"a{i}"), 3).alias("merchant_acc"),
                               F.round(F.col(f"w{i}"), 3).alias("row_weighted"),
                               F.round(F.col(f"o{i}"), 3).alias("acc_on_merchants_not_in_list"),
-                              F.round(F.col(f"e{i}"), 3).alias("escalated_to_slm"))
+                              F.round(F.col(f"e{i}"), 3).alias("escalated"))
                      for i, (name, _) in enumerate(tags)])
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 

@@ -189,9 +189,9 @@ class ChoiceRoute(Route):
                    guard_merchant(F.col("_c.merchant.choice"), derive_canonical("_state")))
             .alias("canonical_merchant"),
             guard_category(F.col("_c.category.choice"), self.categories, self.default).alias("category"),
-            F.col("_c.merchant.confidence").alias("jev_confidence"),
-            F.col("_c.merchant.p_choice").alias("jev_p_choice"),
-            F.col("_c.merchant.p_none").alias("jev_p_none"),
+            F.col("_c.merchant.confidence").alias("choice_confidence"),
+            F.col("_c.merchant.p_choice").alias("choice_p_choice"),
+            F.col("_c.merchant.p_none").alias("choice_p_none"),
             F.coalesce("none", F.lit(False)).alias("none"),
             direction("amount").alias("direction"))
         if self.fallback is None:

@@ -1100,7 +1100,7 @@ def q_d32(spark, sf_dir):
     gen = _route_preds(spark, sf_dir, "generator").select("txn_id", F.col("canonical_merchant").alias("fallback"))
     g = _gold_model(spark, sf_dir).select("txn_id", F.col("canonical_merchant").alias("gold"))
     d = (RP.pair_routes(ch.select("txn_id", F.coalesce("canonical_merchant", F.lit(K.NONE_OPTION)).alias("choice"),
-                                  F.col("jev_confidence").alias("confidence"), "candidates"), gen)
+                                  F.col("choice_confidence").alias("confidence"), "candidates"), gen)
          .join(g, "txn_id").filter(F.col("gold").isNotNull())
          .withColumn("in_list", F.array_contains(F.transform("candidates", lambda c: TX.norm_merchant(c)),
                                                  TX.norm_merchant("gold"))))

@@ -83,5 +83,5 @@ def test_cascade_sweep_golden(spark):
                                "choice string, confidence double, fallback string, gold string")
     rows = {r["threshold"]: r for r in cascade_sweep(df, lambda p: merchant_ok(p, F.col("gold")),
                                                      thresholds=[0.5, 0.95]).collect()}
-    assert rows["0.5"]["escalated_to_slm"] == pytest.approx(0.333) and rows["0.5"]["merchant_acc"] == 1.0
-    assert rows["0.95"]["escalated_to_slm"] == 1.0 and rows["0.95"]["merchant_acc"] == pytest.approx(0.667)
+    assert rows["0.5"]["escalated"] == pytest.approx(0.333) and rows["0.5"]["merchant_acc"] == 1.0
+    assert rows["0.95"]["escalated"] == 1.0 and rows["0.95"]["merchant_acc"] == pytest.approx(0.667)
