@@ -97,14 +97,23 @@ def significance_report(comparisons: list[dict], n_boot: int = K.BOOTSTRAP_N, se
     """One row per comparison {name, df, a, b, cluster, weight?}: D19 diff and
     interval plus the D20 leave-one-cluster-out range; a comparison whose frame is None
     is reported as skipped."""
+    spark = next((c["df"].sparkSession for c in comparisons if c.get("df") is not None), None)
     out = None
     for c in comparisons:
         if c.get("df") is None:
-            continue
-        boot = ST.paired_bootstrap(c["df"], c["a"], c["b"], c["cluster"], c.get("weight"), n_boot, seed)
-        loo = ST.leave_one_cluster_out(c["df"], c["a"], c["b"], c["cluster"], c.get("weight")).first()
-        row = boot.select(F.lit(c["name"]).alias("comparison"), "*",
-                          F.lit(loo["lo"]).cast("double").alias("loo_lo"),
-                          F.lit(loo["hi"]).cast("double").alias("loo_hi"), F.lit(False).alias("skipped"))
+            if spark is None:
+                continue
+            row = spark.createDataFrame(
+                [(c["name"], None, None, None, None, None, None, None, True)],
+                "comparison string, diff double, lo double, hi double, n_clusters bigint, n_rows bigint, "
+                "loo_lo double, loo_hi double, skipped boolean")
+        else:
+            boot = ST.paired_bootstrap(c["df"], c["a"], c["b"], c["cluster"], c.get("weight"), n_boot, seed)
+            loo = ST.leave_one_cluster_out(c["df"], c["a"], c["b"], c["cluster"], c.get("weight")).first()
+            row = boot.select(F.lit(c["name"]).alias("comparison"), "diff", "lo", "hi",
+                              F.col("n_clusters").cast("bigint").alias("n_clusters"),
+                              F.col("n_rows").cast("bigint").alias("n_rows"),
+                              F.lit(loo["lo"]).cast("double").alias("loo_lo"),
+                              F.lit(loo["hi"]).cast("double").alias("loo_hi"), F.lit(False).alias("skipped"))
         out = row if out is None else out.unionByName(row)
     return out

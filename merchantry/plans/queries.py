@@ -1152,7 +1152,9 @@ def q_d35(spark, sf_dir):
     comps = [{"name": "rules_minus_generator_merchant", "df": RP.pair_routes(rules, gen.drop("cluster"), "txn_id"),
               "a": "a", "b": "b", "cluster": "cluster"},
              {"name": "embedding_minus_choice_merchant", "df": RP.pair_routes(emb, ch.drop("cluster"), "txn_id"),
-              "a": "a", "b": "b", "cluster": "cluster"}]
+              "a": "a", "b": "b", "cluster": "cluster"},
+             # the reference also compares against a real-statement run; no such input here
+             {"name": "cascade_minus_generator_real_statement", "df": None}]
     return RP.significance_report(comps, n_boot=N_BOOT_Q)
 
 
