@@ -12,16 +12,21 @@ from merchantry.plans.testdata import raw_labelled
 _CACHE: dict = {}
 
 
+def _sid(spark: SparkSession) -> str:
+    """Identity of a running session (unique per application, never reused)."""
+    return f"{spark.sparkContext.applicationId}:{spark.sparkContext.startTime}"
+
+
 def fg(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Feed and gold for one directory, persisted once per session (recomputed from
     lineage if an executor holding blocks is lost)."""
-    key = (id(spark), sf_dir)
+    key = (_sid(spark), sf_dir)
     if key not in _CACHE:
         from merchantry.operators.synth import split_feed_gold
         from merchantry.plans.testdata import feed_gold_wide
         # one synthesis job writes feed and gold together; later queries read small plans
         wide = materialize(feed_gold_wide(spark, sf_dir), "feed_gold")
-        _CACHE[("wide", id(spark), sf_dir)] = wide
+        _CACHE[("wide", _sid(spark), sf_dir)] = wide
         feed, gold = split_feed_gold(wide)
         _CACHE[key] = (feed, gold)
     return _CACHE[key]
@@ -30,7 +35,7 @@ def fg(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed and gold columns in one table (both are projections of it)."""
     fg(spark, sf_dir)
-    return _CACHE[("wide", id(spark), sf_dir)]
+    return _CACHE[("wide", _sid(spark), sf_dir)]
 
 
 # ------------------------------------------------------------------ synthesis (H4, A1)
@@ -481,7 +486,7 @@ RANDOM_MEM_SQL = f"mem AS (SELECT txn_id, {ORDER_U} >= 0.8 AS is_eval FROM feed)
 def _views(spark, sf_dir, split="random"):
     """Views of one split; the membership, model view and cache are written once (they
     feed many queries) and everything else is derived from them by semi joins."""
-    key = ("views", id(spark), sf_dir, split)
+    key = ("views", _sid(spark), sf_dir, split)
     if key not in _CACHE:
         feed, gold = fg(spark, sf_dir)
         mem = SP.split_random(feed) if split == "random" else SP.split_unseen(gold)
@@ -708,7 +713,7 @@ from merchantry.operators.routes import RulesRoute, candidates, query_text  # no
 
 
 def _rules(spark, sf_dir, split="random"):
-    key = ("rules", id(spark), sf_dir, split)
+    key = ("rules", _sid(spark), sf_dir, split)
     if key not in _CACHE:
         v = _views(spark, sf_dir, split)
         _CACHE[key] = RulesRoute().fit(v.train_feed, v.train_gold)
@@ -809,7 +814,7 @@ from merchantry.streaming import cache as SC  # noqa: E402
 
 
 def _stream_source(spark, sf_dir):
-    key = ("stream_src", id(spark), sf_dir)
+    key = ("stream_src", _sid(spark), sf_dir)
     if key not in _CACHE:
         feed = fg(spark, sf_dir)[0]
         _CACHE[key] = (SC.write_stream_source(feed), feed.schema)
@@ -817,7 +822,7 @@ def _stream_source(spark, sf_dir):
 
 
 def _s1(spark, sf_dir):
-    key = ("s1", id(spark), sf_dir)
+    key = ("s1", _sid(spark), sf_dir)
     if key not in _CACHE:
         src, schema = _stream_source(spark, sf_dir)
         # files arrive in date order, so any batch size keeps the batch-order semantics of E1
@@ -1030,7 +1035,7 @@ from merchantry.plans.stand_in_models import echo_generator, first_candidate_cho
 
 
 def _route_preds(spark, sf_dir, name):
-    key = ("route", name, id(spark), sf_dir)
+    key = ("route", name, _sid(spark), sf_dir)
     if key not in _CACHE:
         v = _views(spark, sf_dir)
         if name == "metadata":

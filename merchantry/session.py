@@ -53,7 +53,7 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``merchantry`` importable on executors (Python UDFs and mapInPandas run
     our functions there): zip the package once and ship it with ``addPyFile``."""
     sc = spark.sparkContext
-    key = id(sc)
+    key = f"{sc.applicationId}:{sc.startTime}"
     if key in _SHIPPED:
         return
     import shutil
