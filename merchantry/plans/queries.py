@@ -70,6 +70,11 @@ from merchantry.plans.sql import Sql  # noqa: E402
 W = O.with_feed
 
 
+def _round6(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Doubles built from sums of non-integers are compared across engines at 6 dp."""
+    return df.select(*[F.round(F.col(c), 6).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 # ------------------------------------------------------------------ scalar functions (B)
 @register("b1_strip_prefix", W(f"SELECT txn_id, {Q.strip_processor_prefix('description')} AS stripped FROM feed"))
 def q_b1(spark, sf_dir):
@@ -280,9 +285,9 @@ def q_d13(spark, sf_dir):
 
 
 KPI_SQL = W("""
-  SELECT coalesce(avg(CASE WHEN total_spend IS NOT NULL THEN abs(total_spend - coalesce(pred_spend, 0.0)) END), 0.0) AS mae,
-         coalesce(avg(CASE WHEN total_spend IS NOT NULL THEN
-           (abs(total_spend - coalesce(pred_spend, 0.0)) / greatest(abs(total_spend), 1e-9) <= 0.01)::INT END), 0.0)
+  SELECT round(coalesce(avg(CASE WHEN total_spend IS NOT NULL THEN abs(total_spend - coalesce(pred_spend, 0.0)) END), 0.0), 6) AS mae,
+         round(coalesce(avg(CASE WHEN total_spend IS NOT NULL THEN
+           (abs(total_spend - coalesce(pred_spend, 0.0)) / greatest(abs(total_spend), 1e-9) <= 0.01)::INT END), 0.0), 6)
            AS within_tolerance,
          count(*) FILTER (WHERE total_spend IS NULL) AS pred_only_buckets
   FROM merged""", [
@@ -300,7 +305,7 @@ KPI_SQL = W("""
 @register("d14_spend_kpi_cleaner", KPI_SQL)
 def q_d14(spark, sf_dir):
     feed, gold = fg(spark, sf_dir)
-    return M.spend_kpi(feed, CleanerRoute().transform(feed), gold)
+    return _round6(M.spend_kpi(feed, CleanerRoute().transform(feed), gold), ["mae", "within_tolerance"])
 
 
 @register("d15_subsets_cleaner", W(f"""
@@ -597,10 +602,11 @@ N_BOOT_Q = 1000
   rep AS (SELECT b, CASE WHEN sum(cnt * den) <> 0 THEN sum(cnt * num) / sum(cnt * den) ELSE 0.0 END AS r
           FROM cnt JOIN idx USING (idx) GROUP BY b),
   q AS (SELECT quantile_cont(r, [0.025, 0.975]) AS q FROM rep)
-  SELECT coalesce(sum(num) / nullif(sum(den), 0.0), 0.0) AS diff, (SELECT q[1] FROM q) AS lo,
-         (SELECT q[2] FROM q) AS hi, count(*) AS n_clusters, sum(rows) AS n_rows FROM sums""")
+  SELECT round(coalesce(sum(num) / nullif(sum(den), 0.0), 0.0), 6) AS diff, round((SELECT q[1] FROM q), 6) AS lo,
+         round((SELECT q[2] FROM q), 6) AS hi, count(*) AS n_clusters, sum(rows) AS n_rows FROM sums""")
 def q_d19(spark, sf_dir):
-    return ST.paired_bootstrap(conf_rows(spark, sf_dir), "a_ok", "b_ok", "source", n_boot=N_BOOT_Q, seed=0)
+    return _round6(ST.paired_bootstrap(conf_rows(spark, sf_dir), "a_ok", "b_ok", "source", n_boot=N_BOOT_Q, seed=0),
+                   ["diff", "lo", "hi"])
 
 
 @register("d20_leave_one_out", f"""WITH {CONF_SQL},
@@ -615,11 +621,11 @@ def q_d20(spark, sf_dir):
 @register("d21_mcnemar", f"""WITH {CONF_SQL},
   c AS (SELECT count(*) FILTER (WHERE a_ok AND NOT b_ok) AS only_a, count(*) FILTER (WHERE NOT a_ok AND b_ok) AS only_b FROM crc),
   t AS (SELECT only_a, only_b, only_a + only_b AS n, least(only_a, only_b) AS m FROM c)
-  SELECT only_a, only_b, CASE WHEN only_a = only_b THEN 1.0 ELSE least(1.0, 2 * (
-    SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))) FROM range(0, m + 1) r(i))) END
+  SELECT only_a, only_b, round(CASE WHEN only_a = only_b THEN 1.0 ELSE least(1.0, 2 * (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))) FROM range(0, m + 1) r(i))) END, 6)
     AS p_value FROM t""")
 def q_d21(spark, sf_dir):
-    return ST.mcnemar(conf_rows(spark, sf_dir), "a_ok", "b_ok")
+    return _round6(ST.mcnemar(conf_rows(spark, sf_dir), "a_ok", "b_ok"), ["p_value"])
 
 
 @register("d28_auroc", f"""WITH {CONF_SQL},
@@ -666,25 +672,26 @@ def q_d30(spark, sf_dir):
   c AS (SELECT gold AS label, (choice = gold)::INT AS tp, 0 AS fp, (choice <> gold)::INT AS fn FROM crc
         UNION ALL SELECT choice, 0, (choice <> gold)::INT, 0 FROM crc),
   per AS (SELECT label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM c GROUP BY label)
-  SELECT coalesce(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END), 0.0)
+  SELECT round(coalesce(avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END), 0.0), 6)
     AS category_macro_f1 FROM per""")
 def q_d12(spark, sf_dir):
     r = conf_rows(spark, sf_dir)
     pred = r.select(F.col("doc_id").alias("txn_id"), F.col("choice").alias("category"))
     gold = r.select(F.col("doc_id").alias("txn_id"), F.col("gold").alias("category"))
-    return M.macro_f1(pred, gold)
+    return _round6(M.macro_f1(pred, gold), ["category_macro_f1"])
 
 
 @register("d22_d23_binomial_invalid", f"""WITH {CONF_SQL}
-  SELECT dataset, avg(correct::INT) AS accuracy, 1.96 * sqrt(avg(correct::INT) * (1 - avg(correct::INT)) / count(*))
-    AS half_width, count(*) FILTER (WHERE choice NOT IN ('high', 'low')) AS invalid FROM crc GROUP BY dataset""")
+  SELECT dataset, round(avg(correct::INT), 6) AS accuracy,
+    round(1.96 * sqrt(avg(correct::INT) * (1 - avg(correct::INT)) / count(*)), 6) AS half_width,
+    count(*) FILTER (WHERE choice NOT IN ('high', 'low')) AS invalid FROM crc GROUP BY dataset""")
 def q_d22(spark, sf_dir):
     r = conf_rows(spark, sf_dir)
     return (r.groupBy("dataset").agg(F.avg(F.col("correct").cast("double")).alias("accuracy"),
                                      F.count(F.lit(1)).alias("_n"),
                                      F.count_if(~F.col("choice").isin("high", "low")).alias("invalid"))
-            .select("dataset", "accuracy", ST.binomial_halfwidth(F.col("accuracy"), F.col("_n")).alias("half_width"),
-                    "invalid"))
+            .select("dataset", F.round("accuracy", 6).alias("accuracy"),
+                    F.round(ST.binomial_halfwidth(F.col("accuracy"), F.col("_n")), 6).alias("half_width"), "invalid"))
 
 
 # ------------------------------------------------------------------ vectors on embeddings
@@ -993,22 +1000,23 @@ def _desc_scores(spark, sf_dir):
                                         F.bool_and("_ok").alias("ok"))
 
 
-@register("d24_weighted_scores", W("""SELECT avg(ok::INT) AS "distinct",
-    sum(ok::INT * n) / nullif(sum(n), 0) AS row_weighted,
-    (SELECT avg(mm) FROM (SELECT avg(ok::INT) AS mm FROM ds GROUP BY canonical_merchant)) AS macro_merchant,
-    sum(ok::INT * spend) / nullif(sum(spend), 0.0) AS spend_weighted,
-    (sum(ok::INT * spend) - (SELECT arg_max(ok::INT * spend, spend) FROM ds))
-      / nullif(sum(spend) - (SELECT max(spend) FROM ds), 0.0) AS spend_weighted_no_top FROM ds""", [DESC_SQL]))
+@register("d24_weighted_scores", W("""SELECT round(avg(ok::INT), 6) AS "distinct",
+    round(sum(ok::INT * n) / nullif(sum(n), 0), 6) AS row_weighted,
+    round((SELECT avg(mm) FROM (SELECT avg(ok::INT) AS mm FROM ds GROUP BY canonical_merchant)), 6) AS macro_merchant,
+    round(sum(ok::INT * spend) / nullif(sum(spend), 0.0), 6) AS spend_weighted,
+    round((sum(ok::INT * spend) - (SELECT arg_max(ok::INT * spend, spend) FROM ds))
+      / nullif(sum(spend) - (SELECT max(spend) FROM ds), 0.0), 6) AS spend_weighted_no_top FROM ds""", [DESC_SQL]))
 def q_d24(spark, sf_dir):
-    return M.weighted_scores(_desc_scores(spark, sf_dir))
+    return _round6(M.weighted_scores(_desc_scores(spark, sf_dir)),
+                   ["distinct", "row_weighted", "macro_merchant", "spend_weighted", "spend_weighted_no_top"])
 
 
 @register("d26_top_descriptor_share", W("""SELECT arg_max(description, (spend, description)) AS top_description,
-    max(spend) / sum(spend) AS top_share FROM ds""", [DESC_SQL]))
+    round(max(spend) / sum(spend), 6) AS top_share FROM ds""", [DESC_SQL]))
 def q_d26(spark, sf_dir):
     d = _desc_scores(spark, sf_dir)
     return d.agg(F.max_by("description", F.struct("spend", "description")).alias("top_description"),
-                 (F.max("spend") / F.sum("spend")).alias("top_share"))
+                 F.round(F.max("spend") / F.sum("spend"), 6).alias("top_share"))
 
 
 @register("d41_busiest_customer_spend", W(f"""

@@ -18,13 +18,16 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+EXACT = os.environ.get("ORACLE_EXACT") == "1"
+
+
 def _norm(v):
     if v is None:
         return "∅"
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return f"{round(v, 6):.6f}"
+        return repr(v) if EXACT else f"{round(v, 6):.6f}"
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
