@@ -372,7 +372,7 @@ STATEMENT_SQL = """stmt AS (SELECT posted_date AS date,
   txn_id AS row_no, customer_id FROM feed)"""
 
 
-@register("e2_new_rate_by_year", W("""SELECT year(s.date) AS year, round(avg(((s.date, s.row_no) = (m.d, m.r))::INT), 3)
+@register("e2_new_rate_by_year", W("""SELECT year(s.date)::INTEGER AS year, round(avg(((s.date, s.row_no) = (m.d, m.r))::INT), 3)
   AS new_rate, count(*) AS n FROM (SELECT * FROM stmt WHERE type IN ('DEB', 'DD')) s JOIN
   (SELECT description, arg_min(date, (date, row_no)) AS d, arg_min(row_no, (date, row_no)) AS r
    FROM stmt WHERE type IN ('DEB', 'DD') GROUP BY description) m USING (description) GROUP BY year""",
@@ -603,7 +603,7 @@ N_BOOT_Q = 1000
           FROM cnt JOIN idx USING (idx) GROUP BY b),
   q AS (SELECT quantile_cont(r, [0.025, 0.975]) AS q FROM rep)
   SELECT round(coalesce(sum(num) / nullif(sum(den), 0.0), 0.0), 6) AS diff, round((SELECT q[1] FROM q), 6) AS lo,
-         round((SELECT q[2] FROM q), 6) AS hi, count(*) AS n_clusters, sum(rows) AS n_rows FROM sums""")
+         round((SELECT q[2] FROM q), 6) AS hi, count(*) AS n_clusters, sum(rows)::BIGINT AS n_rows FROM sums""")
 def q_d19(spark, sf_dir):
     return _round6(ST.paired_bootstrap(conf_rows(spark, sf_dir), "a_ok", "b_ok", "source", n_boot=N_BOOT_Q, seed=0),
                    ["diff", "lo", "hi"])
@@ -939,7 +939,7 @@ def q_b34(spark, sf_dir):
     return g.select("canonical_merchant", TX.letter_counts("canonical_merchant").alias("vec"))
 
 
-@register("h1_local_merchants", O.with_feed("SELECT name, category, rank FROM _locals"))
+@register("h1_local_merchants", O.with_feed("SELECT name, category, rank::INTEGER AS rank FROM _locals"))
 def q_h1(spark, sf_dir):
     from merchantry.operators.synth import local_merchants
     # labels before reassignment: source merchants + types (locals never share their tokens)

@@ -41,6 +41,19 @@ def _norm(v):
     return str(v)
 
 
+_DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+               "BOOLEAN": "boolean", "DATE": "date", "FLOAT": "float", "TIMESTAMP": "timestamp"}
+
+
+def duck_type(t) -> str:
+    t = str(t)
+    if t.endswith("[]"):
+        return f"array<{duck_type(t[:-2])}>"
+    if t.startswith("DECIMAL"):
+        return t.lower().replace(" ", "")
+    return _DUCK_TYPES.get(t, t.lower())
+
+
 def digest(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     lines = sorted("|".join(_norm(r[i]) for i in order) for r in rows)
@@ -67,6 +80,7 @@ def main(sf_dir, names=None, spark=None, verbose=True):
         try:
             sdf = qs[name](spark, sf_dir)
             scols = sdf.columns
+            stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
             srows = [tuple(r) for r in sdf.collect()]
         except Exception as e:  # noqa: BLE001
             results[name] = ("SPARK_ERROR", repr(e)[:400])
@@ -80,22 +94,24 @@ def main(sf_dir, names=None, spark=None, verbose=True):
                 print(f"{name}: rows={len(srows)} (no oracle) {ts:.1f}s", flush=True)
             continue
         try:
-            cur = con.execute(sqls[name])
-            dcols = [d[0] for d in cur.description]
-            drows = cur.fetchall()
+            rel = con.sql(sqls[name])
+            dtypes = {c: duck_type(t) for c, t in zip(rel.columns, rel.types)}
+            dcols = list(rel.columns)
+            drows = rel.fetchall()
         except Exception as e:  # noqa: BLE001
             results[name] = ("SQL_ERROR", repr(e)[:400])
             if verbose:
                 print(name, "SQL_ERROR", repr(e)[:1500], flush=True)
             continue
         ok_cols = sorted(scols) == sorted(dcols)
+        ok_types = stypes == dtypes
         hs, ls = digest(scols, srows)
         hd, ld = digest(dcols, drows)
         ok = ok_cols and len(srows) == len(drows) and hs == hd
         results[name] = ("OK" if ok else "MISMATCH", len(srows), len(drows))
         if verbose:
             print(f"{name}: {'OK' if ok else 'MISMATCH'} rows spark={len(srows)} duck={len(drows)} "
-                  f"cols_ok={ok_cols} {ts:.1f}s", flush=True)
+                  f"cols_ok={ok_cols} types_ok={ok_types} {ts:.1f}s", flush=True)
             if not ok:
                 if not ok_cols:
                     print("  spark cols", sorted(scols), "\n  duck cols ", sorted(dcols))
