@@ -757,40 +757,17 @@ def q_d16(spark, sf_dir):
 
 
 def leaderboard(spark, sf_dir, split: str = "random"):
-    """One row per (route, view) on the random split: model view and the
-    ideal-cache view (hits take the cached train label, misses their representative's
-    prediction); spend KPI on the ideal-cache view only, no-match rate where the route
-    reports it. Partial one-row frames are stacked with unionByName(allowMissingColumns)
-    (G2) and folded per key, never joined."""
-    from merchantry.operators.views import ideal_preds
+    """D37/D36/R11/R12 for one split: cleaner and rules routes, model and ideal-cache
+    views (operators.evaluate)."""
+    from merchantry.operators.evaluate import evaluate
     v = _views(spark, sf_dir, split)
-    parts = []
-    key = lambda name, view: [F.lit(name).alias("route"), F.lit(split).alias("split"),
-                              F.lit(view).alias("view")]
-    for name in ("cleaner", "rules"):
-        if name == "cleaner":
-            mp = materialize(CleanerRoute().transform(v.model_feed), f"preds_cleaner_{split}")
-        elif split == "random":
-            mp = _route_preds(spark, sf_dir, "rules_model")
-        else:
-            mp = materialize(_rules(spark, sf_dir, split).transform(v.model_feed), f"preds_rules_{split}")
-        parts.append(M.leaderboard_row(mp, v.model_gold, name, split, "model"))
-        if "no_match" in mp.columns:
-            parts.append(mp.agg(F.avg(F.col("no_match").cast("double")).alias("no_match_rate"))
-                         .select(*key(name, "model"), "no_match_rate"))
-        ip = ideal_preds(mp, v.cache).join(v.ideal_feed.select("txn_id", "amount"), "txn_id").withColumn(
-            "direction", F.when(F.col("amount") > 0, "incoming").otherwise("outgoing"))
-        parts.append(M.leaderboard_row(ip, v.ideal_gold, name, split, "ideal_cache"))
-        parts.append(M.spend_kpi(v.ideal_feed, ip, v.ideal_gold).select(
-            *key(name, "ideal_cache"), F.col("mae").alias("kpi_mae"),
-            F.col("within_tolerance").alias("kpi_within_1pct")))
-        parts.append(v.cache.agg(F.avg(F.col("cache_hit").cast("double")).alias("cache_hit_rate"))
-                     .select(*key(name, "ideal_cache"), "cache_hit_rate"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    metrics = [c for c in out.columns if c not in ("route", "split", "view")]
-    return out.groupBy("route", "split", "view").agg(*[F.first(c, ignorenulls=True).alias(c) for c in metrics])
+    pre = {}
+    if split == "random":
+        pre[("rules", split)] = _route_preds(spark, sf_dir, "rules_model")
+    else:
+        pre[("rules", split)] = materialize(_rules(spark, sf_dir, split).transform(v.model_feed),
+                                            f"preds_rules_{split}")
+    return evaluate({split: v}, {"cleaner": CleanerRoute, "rules": RulesRoute}, write=materialize, preds=pre)
 
 
 @register("d37_leaderboard_random")
@@ -1333,9 +1310,8 @@ def q_c17(spark, sf_dir):
 
 @register("d38_best_route")
 def q_d38(spark, sf_dir):
-    lb = q_d37(spark, sf_dir).filter(F.col("view") == "model")
-    return lb.groupBy("split").agg(F.max_by("route", F.struct("merchant_norm", "route")).alias("best_route"),
-                                   F.max("merchant_norm").alias("merchant_norm"))
+    from merchantry.operators.evaluate import best_route
+    return best_route(q_d37(spark, sf_dir))
 
 
 @register("a11_a12_write_and_extract")
