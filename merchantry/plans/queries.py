@@ -1368,3 +1368,20 @@ def q_d39f(spark, sf_dir):
     j = g.join(fam.withColumnRenamed("name", "canonical_merchant"), "canonical_merchant", "left")
     return (j.groupBy(F.coalesce("origin", F.lit("none")).alias("origin"))
             .agg(F.countDistinct("canonical_merchant").alias("merchants"), F.countDistinct("family").alias("families")))
+
+
+@register("d37_leaderboard_all_routes_random")
+def q_d37_all(spark, sf_dir):
+    """R12 over every route family on the random split (model-function routes use the
+    deterministic stand-in models)."""
+    from merchantry.operators.evaluate import evaluate
+    v = _views(spark, sf_dir)
+    routes = {
+        "cleaner": CleanerRoute, "rules": RulesRoute, "metadata": MetadataRoute, "embedding": EmbeddingRoute,
+        "generator": lambda: GeneratorRoute(echo_generator),
+        "finetuned": lambda: GeneratorRoute(echo_generator, prompt_fn=PR.finetune_prompt, strip_prefix=False),
+        "choice": lambda: ChoiceRoute(first_candidate_chooser),
+        "choice_generator": lambda: ChoiceRoute(first_candidate_chooser, fallback=GeneratorRoute(echo_generator)),
+    }
+    pre = {("rules", "random"): _route_preds(spark, sf_dir, "rules_model")}
+    return evaluate({"random": v}, routes, write=materialize, preds=pre)

@@ -20,9 +20,9 @@ def _toy(spark):
             d, m, t = f"SALARY {k}", None, "Salary"
         else:
             d, m, t = f"SHOP {k}", f"Shop {k}", None
-        rows_f.append((tid, d, -1.0))
+        rows_f.append((tid, d, -1.0, f"C{i % 7}"))
         rows_g.append((tid, f"C{k % 3}", m, t, "outgoing", None if m is None else "source", False, False))
-    feed = spark.createDataFrame(rows_f, "txn_id string, description string, amount double")
+    feed = spark.createDataFrame(rows_f, "txn_id string, description string, amount double, customer_id string")
     gold = spark.createDataFrame(rows_g, "txn_id string, category string, canonical_merchant string, txn_type string, "
                                          "direction string, origin string, noise_abbrev boolean, noise_trunc boolean")
     return feed, gold
@@ -85,3 +85,17 @@ def test_cascade_sweep_golden(spark):
                                                      thresholds=[0.5, 0.95]).collect()}
     assert rows["0.5"]["escalated"] == pytest.approx(0.333) and rows["0.5"]["merchant_acc"] == 1.0
     assert rows["0.95"]["escalated"] == 1.0 and rows["0.95"]["merchant_acc"] == pytest.approx(0.667)
+
+
+def test_evaluate_leaderboard(spark):
+    from merchantry.operators.evaluate import best_route, evaluate
+    from merchantry.operators.routes import CleanerRoute
+    feed, gold = _toy(spark)
+    mem = split_random(feed, seed=42).cache()
+    v = build_views(feed, gold, mem, cap=1000)
+    lb = {(r["route"], r["view"]): r for r in evaluate({"random": v}, {"cleaner": CleanerRoute}).collect()}
+    assert set(lb) == {("cleaner", "model"), ("cleaner", "ideal_cache")}
+    assert lb[("cleaner", "model")]["category_accuracy"] is None
+    assert lb[("cleaner", "ideal_cache")]["cache_hit_rate"] > 0
+    assert lb[("cleaner", "ideal_cache")]["kpi_within_1pct"] is not None
+    assert best_route(evaluate({"random": v}, {"cleaner": CleanerRoute})).first()["best_route"] == "cleaner"
