@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from merchantry.functions.dates import month_bucket, year_bucket
+
 
 def running_new_flags(df: DataFrame, key: str = "description", order: tuple = ("posted_date", "txn_id"),
                       out: str = "is_new") -> DataFrame:
@@ -32,7 +34,7 @@ def new_descriptor_rate_by_year(statement: DataFrame, types=("DEB", "DD")) -> Da
     """New-descriptor rate per year over debit rows, in date then row order."""
     s = statement.filter(F.col("type").isin(*types))
     flagged = running_new_flags(s, "description", ("date", "row_no"))
-    return rate_by(flagged, "is_new", F.year("date"), "new_rate", "year")
+    return rate_by(flagged, "is_new", year_bucket("date"), "new_rate", "year")
 
 
 def cache_hit_rate_by_month(feed: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def cache_hit_rate_by_month(feed: DataFrame) -> DataFrame:
     txn_id); hit rate per posted month."""
     flagged = running_new_flags(feed, "description", ("posted_date", "txn_id"))
     flagged = flagged.withColumn("hit", ~F.col("is_new"))
-    return rate_by(flagged, "hit", F.date_format("posted_date", "yyyy-MM"), "hit_rate", "month")
+    return rate_by(flagged, "hit", month_bucket("posted_date"), "hit_rate", "month")
 
 
 def cumulative(df: DataFrame, weight: str, order: list[str], partition: list[str] | None = None,

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchantry import constants as K
+from merchantry.functions.dates import parse_dmy
 
 FEED_SCHEMA = ("txn_id string, customer_id string, description string, transaction_type_code string, "
                "mcc int, amount double, payment_method string, posted_date date, country string, "
@@ -59,7 +60,7 @@ def read_statement_csv(spark: SparkSession, path: str) -> DataFrame:
                        for c in STATEMENT_COLUMNS)
     df = spark.read.schema(schema).option("header", True).csv(path)
     return df.select(
-        F.to_date(F.col("Transaction Date"), "dd/MM/yyyy").alias("date"),
+        parse_dmy(F.col("Transaction Date")).alias("date"),
         F.col("Transaction Type").alias("type"), F.col("Transaction Description").alias("description"),
         F.col("Debit Amount").alias("debit"), F.col("Credit Amount").alias("credit"),
         F.col("Balance").alias("balance"),
