@@ -159,6 +159,29 @@ def hard_descriptors(d: DataFrame, zipf_loc: DataFrame) -> DataFrame:
     return S.with_noisy_descriptor(d, "text", "_nkey").drop("_cnt", "_nloc", "_nkey")
 
 
+N_CUSTOMERS = 1500
+SYNTH_YEAR = 2026
+
+
+def complete_raw(raw: DataFrame, seed: int = K.SEED, n_customers: int = N_CUSTOMERS) -> DataFrame:
+    """Fill what a bare labelled set (description, category, country, currency) lacks:
+    ``row_id`` (file order), ``customer_no`` (hash pick in [0, n_customers)),
+    ``amount_abs`` (B17 lognormal by category) and ``posted_date`` (day 1-28, month
+    1-12 of SYNTH_YEAR from hash draws)."""
+    d = raw
+    if "row_id" not in d.columns:
+        d = d.withColumn("row_id", F.monotonically_increasing_id())
+    key = lambda tag: hkey(str(seed), tag, F.col("row_id"))
+    if "customer_no" not in d.columns:
+        d = d.withColumn("customer_no", pick(key("customer"), n_customers))
+    if "amount_abs" not in d.columns:
+        d = d.withColumn("amount_abs", S.lognormal_amount(F.col("category"), key("amount")))
+    if "posted_date" not in d.columns:
+        d = d.withColumn("posted_date", F.make_date(
+            F.lit(SYNTH_YEAR), (pick(key("month"), 12) + 1).cast("int"), (pick(key("day"), 28) + 1).cast("int")))
+    return d
+
+
 def build_feed(spark: SparkSession, raw: DataFrame, hard: bool = True, seed: int = K.SEED
                ) -> tuple[DataFrame, DataFrame]:
     """H4: raw labelled rows -> (feed, gold) keyed by txn_id (see ``build_feed_wide``)."""
@@ -172,6 +195,7 @@ def build_feed_wide(spark: SparkSession, raw: DataFrame, hard: bool = True, seed
     ``raw`` has (row_id BIGINT, transaction_description, category, country, currency,
     customer_no BIGINT, amount_abs DOUBLE, posted_date DATE). Labels come from B3+B4 on
     the raw description, so they are identical with and without descriptor noise."""
+    raw = complete_raw(raw, seed)
     base = (raw.withColumn("txn_id", S.txn_code(F.col("row_id")))
             .withColumn("canonical", derive_canonical("transaction_description"))
             .withColumn("_gm", gold_merchant(F.col("canonical"), F.col("category")))

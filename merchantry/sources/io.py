@@ -54,8 +54,8 @@ def read_aliases_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_statement_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A4: a real bank statement; dates are dd/MM/yyyy; ``row_no`` keeps file order
-    (input file name + position within the file, so it is stable on re-read)."""
+    """A4: a real bank statement; dates are dd/MM/yyyy; ``row_no`` follows file order
+    (partition index, then position), which is stable for a given file layout."""
     schema = ", ".join(f"`{c}` {'double' if 'Amount' in c or c == 'Balance' else 'string'}"
                        for c in STATEMENT_COLUMNS)
     df = spark.read.schema(schema).option("header", True).csv(path)

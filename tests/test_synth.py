@@ -104,3 +104,14 @@ def test_local_merchants_properties(spark):
     assert not any(set(t[0]) & banned for t in toks)
     other = local_merchants(spark, src, seed=7).collect()
     assert {r["name"] for r in other} != {r["name"] for r in a}
+
+
+def test_build_feed_from_bare_labelled_set(spark):
+    raw = spark.createDataFrame([DATA[i % 10] for i in range(300)],
+                                "transaction_description string, category string, country string, currency string")
+    feed, gold = build_feed(spark, raw.coalesce(1), hard=True)
+    f = feed.collect()
+    assert len(f) == 300 and len({r["txn_id"] for r in f}) == 300
+    assert all(r["amount"] != 0 and r["posted_date"].year == 2026 for r in f)
+    assert len({r["customer_id"] for r in f}) > 50
+    assert gold.filter("canonical_merchant IS NULL AND txn_type IS NULL").count() == 0
