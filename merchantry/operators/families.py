@@ -4,7 +4,7 @@ Edges: a -> b when tokens(a) is a subset of tokens(b). Instead of comparing all
 each name is joined only on its rarest token (any superset must contain it), then the
 subset test runs on the candidates. One-word names contained in >= 3 others are hubs
 and do not link. Components come from iterative min-label propagation; every round is
-checkpointed to the cluster's checkpoint directory and the loop stops when no label
+written under the checkpoint directory and the loop stops when no label
 changes.
 """
 from __future__ import annotations
@@ -49,20 +49,29 @@ def connected_components(nodes: DataFrame, edges: DataFrame, checkpoint: bool =
     """(name, family) where family = the smallest name of the component.
     ``nodes`` has ``name``; ``edges`` has (a, b), treated as undirected. Rounds of
     min-label propagation run until no label changes (no round cap: stopping early
-    would split components)."""
+    would split components). With ``checkpoint`` every round is written under the
+    checkpoint directory, which cuts the lineage and survives executor loss."""
     und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     und = und.distinct().persist()
     labels = nodes.select("name").distinct().withColumn("family", F.col("name"))
-    labels = labels.checkpoint() if checkpoint else labels.cache()
+    if checkpoint:
+        from merchantry.session import materialize
+        keep = lambda df, i: materialize(df, f"families_round{i}")
+    else:
+        keep = lambda df, i: df.cache()
+    labels = keep(labels, 0)
+    rnd = 0
     while True:
+        rnd += 1
         nb = (und.join(labels.withColumnRenamed("name", "a"), "a")
               .groupBy(F.col("b").alias("name")).agg(F.min("family").alias("_nf")))
-        new = (labels.join(nb, "name", "left")
-               .select("name", F.least("family", F.coalesce("_nf", "family")).alias("family")))
-        new = new.checkpoint() if checkpoint else new.cache()
-        changed = new.join(labels.withColumnRenamed("family", "_old"), "name") \
-                     .filter(F.col("family") != F.col("_old")).limit(1).count()
-        labels = new
+        nf = F.coalesce(F.col("_nf"), F.col("family"))
+        # one written table per round carries the labels and whether they moved
+        cand = keep(labels.join(nb, "name", "left")
+                    .select("name", F.least("family", nf).alias("family"), (nf < F.col("family")).alias("_chg")),
+                    rnd)
+        changed = cand.filter("_chg").limit(1).count()
+        labels = cand.drop("_chg")
         if changed == 0:
             break
     return labels
