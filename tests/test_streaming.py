@@ -50,3 +50,28 @@ def test_descriptor_cache_ttl(spark):
     assert out == {"T1": True, "T2": False, "T3": True, "T4": True}
     out = {r["txn_id"]: r["is_new"] for r in SC.descriptor_cache_stream(spark, src, feed.schema).collect()}
     assert out == {"T1": True, "T2": False, "T3": False, "T4": True}
+
+
+def test_stream_enrichment_equals_batch(spark):
+    from merchantry.operators.routes import RulesRoute
+    train_feed = spark.createDataFrame([("T1", "McDonald's #111", 5814, -10.0), ("T2", "BP on Buford Hwy", None, -40.0),
+                                        ("T3", "Wage", None, 2000.0)], "txn_id string, description string, mcc int, amount double")
+    train_gold = spark.createDataFrame([("T1", "Food & Dining", "McDonald's"), ("T2", "Transportation", "BP"),
+                                        ("T3", "Income", "Wage")], "txn_id string, category string, canonical_merchant string")
+    route = RulesRoute().fit(train_feed, train_gold)
+    rows = [(f"X{i}", d, m, a, f"2024-01-0{1 + i % 3}") for i, (d, m, a) in enumerate(
+        [("MCDONALDS #999 ATLANTA", None, -3.0), ("BP F1234", 9999, -30.0), ("Unknown Shop", None, -5.0),
+         ("WAGE", None, 2000.0), ("Some Diner", 5814, -12.0), ("BP #5", None, -1.0)])]
+    feed = spark.createDataFrame(rows, "txn_id string, description string, mcc int, amount double, posted_date string") \
+        .withColumn("posted_date", F.to_date("posted_date"))
+    src = SC.write_stream_source(feed)
+    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    import uuid
+    from merchantry.session import ensure_checkpoint_dir
+    root = f"{ensure_checkpoint_dir(spark)}/s4test-{uuid.uuid4().hex[:6]}"
+    q = (SC.enrich_stream(stream, route).writeStream.format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = {r["txn_id"]: (r["canonical_merchant"], r["category"]) for r in spark.read.parquet(f"{root}/out").collect()}
+    want = {r["txn_id"]: (r["canonical_merchant"], r["category"]) for r in route.transform(feed).collect()}
+    assert got == want
