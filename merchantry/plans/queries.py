@@ -1,13 +1,13 @@
 """Registered queries over the supplied tables (see plans/testdata.py for the mapping)."""
 from __future__ import annotations
 
-from merchantry.session import materialize
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchantry.plans import oracle as O
 from merchantry.plans.catalog import register
 from merchantry.plans.testdata import raw_labelled
+from merchantry.session import materialize
 
 _CACHE: dict = {}
 
@@ -18,8 +18,9 @@ def _sid(spark: SparkSession) -> str:
 
 
 def fg(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Feed and gold for one directory, persisted once per session (recomputed from
-    lineage if an executor holding blocks is lost)."""
+    """Feed and gold for one directory: synthesised once per session and written as one
+    Parquet table under the checkpoint directory (small plans for every later query,
+    nothing lost with an executor)."""
     key = (_sid(spark), sf_dir)
     if key not in _CACHE:
         from merchantry.operators.synth import split_feed_gold
