@@ -173,6 +173,14 @@ class ListIndex:
         for r, x in enumerate(self.sx):
             for j, ch in enumerate(x):
                 self.codes[r, j] = self.col[ch]
+        kalpha = sorted({ch for x in self.keys for ch in x})
+        self.kcol = {ch: i for i, ch in enumerate(kalpha)}
+        self.klens = np.array([len(x) for x in self.keys], dtype=np.float64)
+        kwidth = max((len(x) for x in self.keys), default=0)
+        self.kcodes = np.full((len(keys), max(kwidth, 1)), -1, dtype=np.int32)
+        for r, x in enumerate(self.keys):
+            for j, ch in enumerate(x):
+                self.kcodes[r, j] = self.kcol[ch]
         self.post: dict[str, list[int]] = {}
         for r, t in enumerate(self.tok):
             for w in t:
@@ -197,6 +205,39 @@ class ListIndex:
             v = ((v + u) | (v - u)) & full
         return len(q) - np.bitwise_count(v).astype(np.int64)
 
+    def lev_all(self, q: str) -> np.ndarray:
+        """Levenshtein distance of ``q`` (1..63 chars) to every raw key at once
+        (bit-parallel, Hyyrö 2003; one uint64 lane per list entry)."""
+        m = len(q)
+        masks = np.zeros(len(self.kcol) + 1, dtype=np.uint64)
+        for i, ch in enumerate(q):
+            c = self.kcol.get(ch)
+            if c is not None:
+                masks[c] |= np.uint64(1 << i)
+        full = np.uint64((1 << m) - 1)
+        top = np.uint64(1 << (m - 1))
+        one = np.uint64(1)
+        n = len(self.names)
+        pv = np.full(n, full, dtype=np.uint64)
+        mv = np.zeros(n, dtype=np.uint64)
+        score = np.full(n, m, dtype=np.int64)
+        for j in range(self.kcodes.shape[1]):
+            c = self.kcodes[:, j]
+            live = c >= 0
+            eq = masks[np.where(live, c, len(self.kcol))]
+            xv = eq | mv
+            xh = ((((eq & pv) + pv) & full) ^ pv) | eq
+            ph = (mv | ~(xh | pv)) & full
+            mh = pv & xh
+            score = np.where(live, score + ((ph & top) != 0) - ((mh & top) != 0), score)
+            ph = ((ph << one) | one) & full
+            mh = (mh << one) & full
+            npv = (mh | ~(xv | ph)) & full
+            nmv = ph & xv
+            pv = np.where(live, npv, pv)
+            mv = np.where(live, nmv, mv)
+        return score
+
     def best(self, query: str, k: int, cutoff: float | None) -> list[tuple[float, int]]:
         """Top-k (score, index) for one query, score desc then index; only scores >=
         cutoff when a cutoff is given."""
@@ -204,6 +245,12 @@ class ListIndex:
         tq = frozenset((query or "").split())
         if n == 0:
             return []
+        if self.scorer == "levenshtein" and 0 < len(query or "") <= 63:
+            mlen = np.maximum(len(query), self.klens)
+            sc = np.where(mlen == 0, 100.0, 100.0 * (1.0 - self.lev_all(query) / np.maximum(mlen, 1)))
+            keep = np.nonzero(sc >= cutoff)[0] if cutoff is not None else np.arange(n)
+            order = keep[np.lexsort((keep, -sc[keep]))][:k]
+            return [(float(sc[r]), int(r)) for r in order]
         if self.scorer != "token_set":
             sc = np.array([score_py(self.scorer, query or "", k) for k in self.keys])
             keep = np.nonzero(sc >= cutoff)[0] if cutoff is not None else np.arange(n)

@@ -109,3 +109,17 @@ def test_alternative_scorers(spark):
         spark.createDataFrame([("red blt",), ("walmart pharmcy",)], "query string"), _names_df(spark),
         cutoff=80, scorer="levenshtein").collect()}
     assert got == {"walmart pharmcy": "walmart pharmacy", "red blt": "red bolt"}
+
+
+def test_vectorized_levenshtein():
+    from merchantry.operators.fuzzy import ListIndex, levenshtein_py, score_py
+    rng = random.Random(9)
+    alpha = "abcd e'"
+    keys = ["".join(rng.choice(alpha) for _ in range(rng.randint(0, 40))) for _ in range(80)]
+    idx = ListIndex(keys, keys, scorer="levenshtein")
+    for _ in range(150):
+        q = "".join(rng.choice(alpha + "z") for _ in range(rng.randint(1, 63)))
+        assert list(idx.lev_all(q)) == [levenshtein_py(q, k) for k in keys]
+        want = sorted(((score_py("levenshtein", q, k), i) for i, k in enumerate(keys)), key=lambda t: (-t[0], t[1]))
+        got = idx.best(q, 3, None)
+        assert [i for _, i in got] == [i for _, i in want[:3]]
