@@ -155,8 +155,11 @@ def hard_descriptors(d: DataFrame, zipf_loc: DataFrame) -> DataFrame:
         "_nloc", F.least(F.lit(K.LOCATIONS_CAP),
                          F.ceil(F.col("_cnt") / F.lit(K.LOCATIONS_ROWS_PER))).cast("bigint"))
     d = zipf_pick(d, "_nloc", hkey("loc", F.col("txn_id")), "location", zipf_loc)
+    # the first row of a (name, location) fixes its text (merged labels can differ)
+    rep = d.groupBy("name", "location").agg(F.min_by("text", "row_id").alias("_text"))
+    d = d.join(rep, ["name", "location"], "left")
     d = d.withColumn("_nkey", F.concat_ws("|", F.col("name"), F.col("location").cast("string")))
-    return S.with_noisy_descriptor(d, "text", "_nkey").drop("_cnt", "_nloc", "_nkey")
+    return S.with_noisy_descriptor(d, "_text", "_nkey").drop("_cnt", "_nloc", "_nkey", "_text")
 
 
 N_CUSTOMERS = 1500

@@ -132,10 +132,12 @@ def feed_ctes(hard: bool = True) -> str:
                 FROM _o4 o LEFT JOIN _cnt c ON o.name = c.name)""",
             """_h2 AS (SELECT h.*, z.k AS location FROM _h1 h LEFT JOIN _zipf_loc z
                   ON h._nl = z.n AND h._zh2 % z.total >= z.lo AND h._zh2 % z.total < z.hi)""",
-            "_n0 AS (SELECT *, name || '|' || location::VARCHAR AS _nkey FROM _h2)",
+            "_rep AS (SELECT name, location, arg_min({'t': text}, row_id).t AS _text FROM _h2 GROUP BY name, location)",
+            """_n0 AS (SELECT h.*, r._text, h.name || '|' || h.location::VARCHAR AS _nkey FROM _h2 h
+                  LEFT JOIN _rep r ON h.name = r.name AND h.location = r.location)""",
         ]
         prev = "_n0"
-        for i, stage in enumerate(Q.noisy_descriptor_stages("text", "_nkey")):
+        for i, stage in enumerate(Q.noisy_descriptor_stages("_text", "_nkey")):
             ctes.append(f"_n{i + 1} AS (SELECT *, {', '.join(stage)} FROM {prev})")
             prev = f"_n{i + 1}"
     else:

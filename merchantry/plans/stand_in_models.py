@@ -33,7 +33,7 @@ def first_candidate_chooser(payloads: list[str]) -> list[str]:
         desc = (req.get("state") or {}).get("description", "").lower()
         crit = ((req.get("questions") or {}).get("merchant") or {}).get("criteria") or {}
         names = [n for n in crit if n != "none_of_these"]
-        choice = next((n for n in names if n.split()[0].lower() in desc), "none_of_these")
+        choice = next((n for n in names if n.split() and n.split()[0].lower() in desc), "none_of_these")
         conf = 0.9 if choice != "none_of_these" else 0.6
         cats = list(((req.get("questions") or {}).get("category") or {}).get("criteria") or {})
         res.append(json.dumps({"answers": {

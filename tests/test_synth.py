@@ -115,3 +115,16 @@ def test_build_feed_from_bare_labelled_set(spark):
     assert all(r["amount"] != 0 and r["posted_date"].year == 2026 for r in f)
     assert len({r["customer_id"] for r in f}) > 50
     assert gold.filter("canonical_merchant IS NULL AND txn_type IS NULL").count() == 0
+
+
+def test_merged_labels_share_location_descriptors(spark):
+    rows = [(i, "Cane's #12" if i % 2 else "Raising Cane's - USA", "Food & Dining", "USA", "USD", 1, 5.0)
+            for i in range(120)]
+    raw = spark.createDataFrame(rows, "row_id long, transaction_description string, category string, country string, "
+                                      "currency string, customer_no long, amount_abs double").withColumn(
+        "posted_date", F.to_date(F.lit("2026-01-15")))
+    feed, gold = build_feed(spark, raw, hard=True)
+    j = feed.join(gold, "txn_id").filter(F.col("canonical_merchant") == "Raising Cane's")
+    n = j.count()
+    assert n > 0
+    assert j.select("description").distinct().count() <= min(K.LOCATIONS_CAP, -(-n // K.LOCATIONS_ROWS_PER))
