@@ -95,10 +95,10 @@ class RulesRoute(Route):
                         direction("amount").alias("direction"), "no_match")
 
 
-def candidates(feed: DataFrame, names: DataFrame, k: int = K.TOP_K) -> DataFrame:
+def candidates(feed: DataFrame, names: DataFrame, k: int = K.TOP_K, scorer: str = "token_set") -> DataFrame:
     """C6 for a feed: (txn_id, candidates) from the distinct queries' top-k."""
     d = feed.select("txn_id", query_text("description").alias("query"))
-    top = fuzzy_topk(d.select("query"), names, k)
+    top = fuzzy_topk(d.select("query"), names, k, scorer=scorer)
     return d.join(top.select("query", "candidates"), "query", "left").select("txn_id", "candidates")
 
 

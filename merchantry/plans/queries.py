@@ -717,7 +717,7 @@ def q_c8(spark, sf_dir):
 
 # ------------------------------------------------------------------ rules route, fuzzy joins
 from merchantry.operators.fuzzy import fuzzy_top1  # noqa: E402
-from merchantry.operators.routes import RulesRoute, candidates, query_text  # noqa: E402
+from merchantry.operators.routes import RulesRoute, candidates, query_text  # noqa: E402,F401
 
 
 def _rules(spark, sf_dir, split="random"):
@@ -1426,3 +1426,54 @@ def q_r3_lev(spark, sf_dir):
     expressible in SQL."""
     v = _views(spark, sf_dir)
     return RulesRoute(scorer="levenshtein").fit(v.train_feed, v.train_gold).transform(v.model_feed)
+
+
+def _kl_sql() -> list[str]:
+    """Known list of the random split's train rows (D6) as SQL."""
+    return [
+        "tj AS (SELECT t.txn_id, g.canonical_merchant, g.txn_type FROM tf t JOIN gold g USING (txn_id))",
+        """lab AS (SELECT txn_id, CASE WHEN canonical_merchant IS NOT NULL THEN 'merchant'
+                     WHEN txn_type IS NOT NULL THEN 'type' END AS kind,
+                     coalesce(canonical_merchant, txn_type) AS name FROM tj)""",
+        f"""per AS (SELECT {Q.clean_description('name')} AS key, kind, arg_max(name, txn_id) AS name,
+                     min(txn_id) AS first FROM lab WHERE kind IS NOT NULL GROUP BY ALL)""",
+        """kl AS (SELECT key, arg_max(name, kind = 'merchant') AS name, arg_max(kind, kind = 'merchant') AS kind,
+                     min(CASE WHEN kind = 'type' THEN 0 ELSE 1 END) AS ord_k,
+                     arg_min(first, (CASE WHEN kind = 'type' THEN 0 ELSE 1 END, first)) AS ord_f FROM per GROUP BY key)""",
+        f"""mq AS (SELECT txn_id, {Q.clean_description(Q.derive_canonical(Q.strip_processor_prefix('description')))}
+                     AS query FROM model)""",
+        """sc AS (SELECT q.query, k.name, k.ord_k, k.ord_f,
+                     CASE WHEN greatest(length(q.query), length(k.key)) = 0 THEN 100.0
+                          ELSE 100.0 * (1.0 - levenshtein(q.query, k.key) / greatest(length(q.query), length(k.key))) END
+                     AS score
+                   FROM (SELECT DISTINCT query FROM mq) q, (SELECT * FROM kl WHERE kind = 'merchant') k)""",
+        f"""topk AS (SELECT query, list(name ORDER BY rn) AS candidates FROM (
+                     SELECT query, name, row_number() OVER (PARTITION BY query ORDER BY score DESC, ord_k, ord_f) AS rn
+                     FROM sc) WHERE rn <= {K.TOP_K} GROUP BY query)""",
+    ]
+
+
+def _lev_candidates(spark, sf_dir):
+    v = _views(spark, sf_dir)
+    names = _rules(spark, sf_dir).names.filter(F.col("kind") == "merchant")
+    return candidates(v.model_feed, names, scorer="levenshtein")
+
+
+@register("c6_candidates_levenshtein_model_view", W(
+    "SELECT m.txn_id, t.candidates FROM mq m LEFT JOIN topk t USING (query)",
+    _views_sql(RANDOM_MEM_SQL) + _kl_sql()))
+def q_c6_lev(spark, sf_dir):
+    """C6 with the U7 Levenshtein scorer (score desc, then list order), checked in SQL."""
+    return _lev_candidates(spark, sf_dir)
+
+
+@register("d16_retrieval_recall_levenshtein", W(f"""SELECT coalesce(avg(list_contains(
+    list_transform(coalesce(t.candidates, []), lambda c: {Q.norm_merchant('c')}),
+    {Q.norm_merchant('g.canonical_merchant')})::INT), 0.0) AS retrieval_recall
+  FROM mq m LEFT JOIN topk t USING (query) JOIN gold g USING (txn_id) WHERE g.canonical_merchant IS NOT NULL""",
+    _views_sql(RANDOM_MEM_SQL) + _kl_sql()))
+def q_d16_lev(spark, sf_dir):
+    v = _views(spark, sf_dir)
+    c = _lev_candidates(spark, sf_dir).join(
+        v.model_gold.select("txn_id", F.col("canonical_merchant").alias("gold")), "txn_id")
+    return M.retrieval_recall(c.filter(F.col("gold").isNotNull()))
