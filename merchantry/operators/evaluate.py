@@ -38,9 +38,17 @@ def evaluate(views: dict[str, Views], routes: dict[str, Callable[[], Route]],
                 if write is not None:
                     mp = write(mp, f"preds_{name}_{split}")
             parts.append(M.leaderboard_row(mp, v.model_gold, name, split, "model"))
+            rates = []
             if "no_match" in mp.columns:
-                parts.append(mp.agg(F.avg(F.col("no_match").cast("double")).alias("no_match_rate"))
-                             .select(*_key(name, split, "model"), "no_match_rate"))
+                rates.append(F.avg(F.col("no_match").cast("double")).alias("no_match_rate"))
+            if "none" in mp.columns:
+                rates.append(F.avg(F.col("none").cast("double")).alias("escalation_share"))
+            if "choice_confidence" in mp.columns:
+                rates.append(F.avg("choice_confidence").alias("mean_confidence"))
+            if "choice_input_tokens" in mp.columns:
+                rates.append(F.sum("choice_input_tokens").alias("input_tokens"))
+            if rates:
+                parts.append(mp.agg(*rates).select(*_key(name, split, "model"), "*"))
             ip = ideal_preds(mp, v.cache).join(v.ideal_feed.select("txn_id", "amount"), "txn_id").withColumn(
                 "direction", F.when(F.col("amount") > 0, "incoming").otherwise("outgoing"))
             parts.append(M.leaderboard_row(ip, v.ideal_gold, name, split, "ideal_cache"))

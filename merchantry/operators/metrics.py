@@ -156,11 +156,12 @@ def leaderboard_row(pred: DataFrame, gold: DataFrame, route: str, split: str, vi
     j = _j(pred, gold, ["canonical_merchant", "category", "direction"])
     cat_ok, m_ok = _ok_cols(pred)
     gm = F.col("g_canonical_merchant").isNotNull()
+    has_m = F.count("p_canonical_merchant") > 0   # a route that never names a merchant gets null
     aggs = [
         F.count(F.lit(1)).alias("n"),
-        (F.avg(F.when(gm, m_ok.cast("double")))).alias("merchant_norm"),
-        (F.avg(F.when(gm, F.coalesce(F.col("p_canonical_merchant") == F.col("g_canonical_merchant"),
-                                     F.lit(False)).cast("double")))).alias("merchant_exact"),
+        F.when(has_m, F.avg(F.when(gm, m_ok.cast("double")))).alias("merchant_norm"),
+        F.when(has_m, F.avg(F.when(gm, F.coalesce(F.col("p_canonical_merchant") == F.col("g_canonical_merchant"),
+                                                  F.lit(False)).cast("double")))).alias("merchant_exact"),
         F.avg(F.coalesce(F.col("p_direction") == F.col("g_direction"), F.lit(False)).cast("double"))
         .alias("direction_accuracy"),
     ]

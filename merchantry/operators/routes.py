@@ -193,6 +193,7 @@ class ChoiceRoute(Route):
             F.col("_c.merchant.p_choice").alias("choice_p_choice"),
             F.col("_c.merchant.p_none").alias("choice_p_none"),
             F.col("_c.category.confidence").alias("choice_category_confidence"),
+            F.col("_c.input_tokens").alias("choice_input_tokens"),
             F.coalesce("none", F.lit(False)).alias("none"),
             direction("amount").alias("direction"))
         if self.fallback is None:
