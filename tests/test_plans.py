@@ -6,7 +6,8 @@ import re
 import pytest
 
 ALLOWED_PYTHON = {"c5_fuzzy_top1_random", "c6_candidates_model_view", "d16_retrieval_recall", "r3_rules_preds_random",
-                  "flagship_rules_rollup", "c8_nearest_centroid"}
+                  "flagship_rules_rollup", "c8_nearest_centroid", "r3_rules_levenshtein_model_view",
+                  "c6_candidates_levenshtein_model_view", "d16_retrieval_recall_levenshtein"}
 SKIP = {"s1_descriptor_cache_stream", "s2_hit_rate_windows_stream", "s3_spend_rollup_stream", "s4_enrich_stream",
         "a5_a6_saved_preds_roundtrip", "a10_chat_export", "a11_a12_write_and_extract", "r14_external_category_benchmark",
         "d35_r16_significance_report", "c16_refit_agreement", "d37_leaderboard_unseen", "d39_families_by_origin",
