@@ -38,27 +38,42 @@ def write_stream_source(df: DataFrame, by: str = "posted_date", name: str = "sou
     return path
 
 
+COMPACT_EVERY = 10
+
+
 def descriptor_cache_stream(spark: SparkSession, source_path: str, schema, name: str = "s1",
-                            max_files: int = 1, ttl_days: int | None = None) -> DataFrame:
+                            max_files: int = 1, ttl_days: int | None = None,
+                            compact_every: int = COMPACT_EVERY) -> DataFrame:
     """Run the descriptor-cache stream over ``source_path`` until it is drained
     (``availableNow``) and return the emitted rows (txn_id, description, posted_date,
     is_new) as a batch DataFrame.
 
-    State = (description, last_seen) rows appended per micro-batch. With ``ttl_days`` a
-    descriptor last seen more than ``ttl_days`` before a row counts as new again, so
-    only the last ``ttl_days`` of state matter (older batch directories can be dropped);
-    the TTL is applied against earlier batches."""
+    State = (description, last_seen) rows appended per micro-batch. Every
+    ``compact_every`` batches the state so far is folded into one snapshot (and, with a
+    TTL, rows older than the TTL are dropped), so a batch reads one snapshot plus at
+    most ``compact_every`` small batch files instead of the whole history. With
+    ``ttl_days`` a descriptor last seen more than ``ttl_days`` before a row counts as
+    new again."""
     root = _root(spark, name)
-    seen_path, out_path = f"{root}/seen", f"{root}/out"
-    spark.createDataFrame([], "description string, last_seen date").write.mode("overwrite").parquet(
-        f"{seen_path}/batch=-1")
+    seen_path, snap_path, out_path = f"{root}/seen", f"{root}/snap", f"{root}/out"
+    empty = spark.createDataFrame([], "description string, last_seen date")
+    empty.write.mode("overwrite").parquet(f"{seen_path}/batch=-1")
+    empty.write.mode("overwrite").parquet(f"{snap_path}/upto=-1")
+
+    def history(batch_id: int) -> DataFrame:
+        snaps = spark.read.parquet(snap_path).filter(F.col("upto") < batch_id)
+        upto = snaps.agg(F.max("upto")).first()[0]
+        upto = -1 if upto is None else upto      # an empty snapshot has no data file
+        rest = (spark.read.parquet(seen_path)
+                .filter((F.col("batch") > upto) & (F.col("batch") < batch_id)).drop("batch"))
+        return (snaps.filter(F.col("upto") == upto).drop("upto").unionByName(rest)
+                .groupBy("description").agg(F.max("last_seen").alias("last_seen")))
 
     def step(batch: DataFrame, batch_id: int) -> None:
         first = batch.groupBy("description").agg(
             F.min(F.struct("posted_date", "txn_id")).alias("_first"),
             F.max("posted_date").alias("last_seen"))
-        hist = (spark.read.parquet(seen_path).filter(F.col("batch") < batch_id)
-                .groupBy("description").agg(F.max("last_seen").alias("_hist")))
+        hist = history(batch_id).withColumnRenamed("last_seen", "_hist")
         j = first.join(hist, "description", "left")
         known = F.col("_hist").isNotNull()
         if ttl_days is not None:
@@ -70,6 +85,12 @@ def descriptor_cache_stream(spark: SparkSession, source_path: str, schema, name:
                    .select("txn_id", "description", "posted_date", "is_new"))
         flagged.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         first.select("description", "last_seen").write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
+        if compact_every and batch_id > 0 and batch_id % compact_every == 0:
+            snap = history(batch_id + 1)
+            if ttl_days is not None:
+                newest = batch.agg(F.max("posted_date")).first()[0]
+                snap = snap.filter(F.col("last_seen") >= F.date_sub(F.lit(newest), ttl_days))
+            snap.write.mode("overwrite").parquet(f"{snap_path}/upto={batch_id}")
 
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
               .parquet(source_path))

@@ -75,3 +75,11 @@ def test_stream_enrichment_equals_batch(spark):
     got = {r["txn_id"]: (r["canonical_merchant"], r["category"]) for r in spark.read.parquet(f"{root}/out").collect()}
     want = {r["txn_id"]: (r["canonical_merchant"], r["category"]) for r in route.transform(feed).collect()}
     assert got == want
+
+
+def test_descriptor_cache_compaction_keeps_results(spark):
+    feed = _feed(spark)
+    src = SC.write_stream_source(feed)
+    a = {r["txn_id"]: r["is_new"] for r in SC.descriptor_cache_stream(spark, src, feed.schema, compact_every=1).collect()}
+    b = {r["txn_id"]: r["is_new"] for r in SC.descriptor_cache_stream(spark, src, feed.schema, compact_every=0).collect()}
+    assert a == b == {r["txn_id"]: r["is_new"] for r in WN.running_new_flags(feed).collect()}
