@@ -7,7 +7,7 @@ of everything).
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchantry import constants as K
@@ -31,12 +31,30 @@ def first_n(df: DataFrame, n: int, key: str = "txn_id") -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def split_random(df: DataFrame, seed: int = K.SEED, frac: float = 0.2, key: str = "txn_id"
-                 ) -> DataFrame:
-    """``(key, is_eval)``: a row is held out when its seeded hash falls in the top
-    ``frac``. The held-out share is ``frac`` in expectation (the cut of a global
-    shuffle would need one ordered pass over all rows)."""
-    return df.select(key, (seeded_order(seed, key) >= F.lit(1.0 - frac)).alias("is_eval"))
+def split_random(df: DataFrame, seed: int = K.SEED, frac: float = 0.2, key: str = "txn_id",
+                 exact: bool = False, rows_per_bucket: int = 500_000) -> DataFrame:
+    """``(key, is_eval)``. The rows are permuted by a seeded hash ``u`` of the key.
+
+    ``exact=False``: a row is held out when ``u`` falls in the top ``frac`` (per-key
+    stable, ``frac`` in expectation). ``exact=True``: the permutation is cut exactly at
+    ``int((1 - frac) * n)``. The global rank comes from range buckets of ``u`` (uniform,
+    so balanced; about ``rows_per_bucket`` rows each), a rank inside each bucket and
+    bucket offsets from a running sum over the bucket counts, so no task sorts
+    everything."""
+    u = seeded_order(seed, key)
+    if not exact:
+        return df.select(key, (u >= F.lit(1.0 - frac)).alias("is_eval"))
+    n = df.count()
+    cut = int((1.0 - frac) * n)
+    buckets = max(64, -(-n // rows_per_bucket))
+    d = df.select(key, u.alias("_u")).withColumn("_b", F.floor(F.col("_u") * buckets).cast("bigint"))
+    sizes = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_sz"))
+    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_sz").over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranked = (d.join(F.broadcast(sizes.select("_b", "_off")), "_b")   # <= buckets rows
+              .withColumn("_rank", F.col("_off") - 1 + F.row_number().over(
+                  Window.partitionBy("_b").orderBy("_u", key))))
+    return ranked.select(key, (F.col("_rank") >= F.lit(cut)).alias("is_eval"))
 
 
 def split_unseen(gold: DataFrame, frac: float = 0.2, checkpoint: bool = True) -> DataFrame:

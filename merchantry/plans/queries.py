@@ -1477,3 +1477,10 @@ def q_d16_lev(spark, sf_dir):
     c = _lev_candidates(spark, sf_dir).join(
         v.model_gold.select("txn_id", F.col("canonical_merchant").alias("gold")), "txn_id")
     return M.retrieval_recall(c.filter(F.col("gold").isNotNull()))
+
+
+@register("f3_split_random_exact", W(f"""SELECT txn_id, (row_number() OVER (ORDER BY {ORDER_U}, txn_id) - 1)
+    >= (SELECT CAST(floor(0.8 * count(*)) AS BIGINT) FROM feed) AS is_eval FROM feed"""))
+def q_f3x(spark, sf_dir):
+    """F3 exact: the seeded permutation cut at int(0.8 n), as in the reference."""
+    return SP.split_random(fg(spark, sf_dir)[0], exact=True)
