@@ -1484,3 +1484,13 @@ def q_d16_lev(spark, sf_dir):
 def q_f3x(spark, sf_dir):
     """F3 exact: the seeded permutation cut at int(0.8 n), as in the reference."""
     return SP.split_random(fg(spark, sf_dir)[0], exact=True)
+
+
+@register("d36_view_stats_unseen", W(f"""SELECT count(*) AS n_eval,
+    count(*) FILTER (WHERE description IN (SELECT description FROM tdesc)) AS removed_verbatim,
+    round((SELECT count(*) FROM cache WHERE cache_hit) / greatest(count(*), 1), 4) AS cache_hit_rate,
+    count(*) FILTER (WHERE description IN (SELECT description FROM conf)) AS conflict_eval_rows,
+    (SELECT count(*) FROM pool) AS model_view_n, (SELECT count(*) FROM model) AS capped_n FROM ef""",
+    _families_sql() + _views_sql(UNSEEN_MEM_SQL), recursive=True))
+def q_d36u(spark, sf_dir):
+    return _views(spark, sf_dir, "unseen").stats
