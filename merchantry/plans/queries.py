@@ -1494,3 +1494,30 @@ def q_f3x(spark, sf_dir):
     _families_sql() + _views_sql(UNSEEN_MEM_SQL), recursive=True))
 def q_d36u(spark, sf_dir):
     return _views(spark, sf_dir, "unseen").stats
+
+
+@register("d37_cleaner_ideal_cache_random", W(f"""
+  SELECT count(*) AS n,
+    CASE WHEN count(pm) > 0 THEN avg(CASE WHEN gm IS NOT NULL THEN
+      ({Q.merchant_ok('pm', 'gm', 'coalesce(pc = gc, FALSE)')})::INT END) END AS merchant_norm,
+    CASE WHEN count(pm) > 0 THEN avg(CASE WHEN gm IS NOT NULL THEN coalesce(pm = gm, FALSE)::INT END) END AS merchant_exact,
+    avg(coalesce((CASE WHEN amount > 0 THEN 'incoming' ELSE 'outgoing' END) = gd, FALSE)::INT) AS direction_accuracy,
+    CASE WHEN count(pc) > 0 THEN avg(coalesce(pc = gc, FALSE)::INT) END AS category_accuracy
+  FROM j""", _views_sql(RANDOM_MEM_SQL) + [
+    f"p AS (SELECT txn_id, {Q.derive_canonical(Q.strip_processor_prefix('description'))} AS canonical_merchant, "
+    "NULL::VARCHAR AS category FROM model)",
+    """ip AS (SELECT c.txn_id, CASE WHEN c.cache_hit THEN c.cache_merchant ELSE p.canonical_merchant END AS pm,
+                 CASE WHEN c.cache_hit THEN c.cache_category ELSE p.category END AS pc
+              FROM cache c LEFT JOIN p ON c.rep_txn_id = p.txn_id)""",
+    """j AS (SELECT ip.*, g.canonical_merchant AS gm, g.category AS gc, g.direction AS gd, f.amount
+             FROM ip JOIN gold g USING (txn_id) JOIN feed f USING (txn_id))"""]))
+def q_d37_clean_ideal(spark, sf_dir):
+    """R11/C13/D37 checked in SQL: the cleaner's ideal-cache row (hits take the cached
+    train labels, misses the prediction of their representative model-view row)."""
+    from merchantry.operators.views import ideal_preds
+    v = _views(spark, sf_dir)
+    mp = CleanerRoute().transform(v.model_feed)
+    ip = ideal_preds(mp, v.cache).join(v.ideal_feed.select("txn_id", "amount"), "txn_id").withColumn(
+        "direction", F.when(F.col("amount") > 0, "incoming").otherwise("outgoing"))
+    return M.leaderboard_row(ip, v.ideal_gold, "cleaner", "random", "ideal_cache").select(
+        "n", "merchant_norm", "merchant_exact", "direction_accuracy", "category_accuracy")
