@@ -20,7 +20,9 @@ broadcast; every partition of distinct queries is scored against it by one kerne
     (LCS <= sum_c min(count_X(c), count_Y(c))) and scored exactly in bound order
     while the bound can still beat the cutoff (C5) or the current k-th best (C6).
 Both are exact (ties: earliest list entry). A list longer than the broadcast limit is
-scored in chunks whose winners are merged by an aggregation.
+scored in chunks whose winners are merged by an aggregation. The U7 alternative
+scorers are ``levenshtein`` (bit-parallel edit distance across the list, 1 - d / max
+length) and ``jaccard`` (token sets); both also exist as native Column scorers.
 """
 from __future__ import annotations
 
@@ -144,13 +146,6 @@ def token_set_ratio_py(a: str, b: str) -> float:
     return best
 
 
-def _grams(s: Column) -> Column:
-    """Distinct 2-grams of a string (the string itself when shorter than 2)."""
-    n = F.length(s)
-    return F.array_distinct(F.when(n < 2, F.array(s)).otherwise(
-        F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(s, i, 2))))
-
-
 # ------------------------------------------------------------------ list kernel
 class ListIndex:
     """The broadcast side of C5/C6: token postings and a letter-count matrix."""
