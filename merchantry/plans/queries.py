@@ -1388,38 +1388,46 @@ def q_d37_all(spark, sf_dir):
     return evaluate({"random": v}, routes, write=materialize, preds=pre)
 
 
-@register("r3_rules_levenshtein_model_view", W(f"""
-  SELECT m.txn_id, coalesce(b.name, m.fallback) AS canonical_merchant,
-         coalesce(mp.category, lp.category, (SELECT category FROM dflt)) AS category,
-         CASE WHEN m.amount > 0 THEN 'incoming' ELSE 'outgoing' END AS direction,
-         b.name IS NULL AS no_match
-  FROM mq m LEFT JOIN best b USING (query)
-  LEFT JOIN mccp mp ON m.mcc = mp.mcc
-  LEFT JOIN labp lp ON coalesce(b.name, m.fallback) = lp.label""",
-    _views_sql(RANDOM_MEM_SQL) + [
-    "tj AS (SELECT t.txn_id, t.mcc, g.category, g.canonical_merchant, g.txn_type FROM tf t JOIN gold g USING (txn_id))",
-    """lab AS (SELECT txn_id, CASE WHEN canonical_merchant IS NOT NULL THEN 'merchant'
-                 WHEN txn_type IS NOT NULL THEN 'type' END AS kind,
-                 coalesce(canonical_merchant, txn_type) AS name FROM tj)""",
-    f"""per AS (SELECT {Q.clean_description('name')} AS key, kind, arg_max(name, txn_id) AS name,
-                 min(txn_id) AS first FROM lab WHERE kind IS NOT NULL GROUP BY ALL)""",
-    """kl AS (SELECT key, arg_max(name, kind = 'merchant') AS name,
-                 min(CASE WHEN kind = 'type' THEN 0 ELSE 1 END) AS ord_k,
-                 arg_min(first, (CASE WHEN kind = 'type' THEN 0 ELSE 1 END, first)) AS ord_f FROM per GROUP BY key)""",
-    f"""mq AS (SELECT txn_id, mcc, amount, {Q.derive_canonical(Q.strip_processor_prefix('description'))} AS fallback,
-                 {Q.clean_description(Q.derive_canonical(Q.strip_processor_prefix('description')))} AS query FROM model)""",
-    """sc AS (SELECT q.query, k.name, k.ord_k, k.ord_f,
-                 CASE WHEN greatest(length(q.query), length(k.key)) = 0 THEN 100.0
-                      ELSE 100.0 * (1.0 - levenshtein(q.query, k.key) / greatest(length(q.query), length(k.key))) END AS score
-               FROM (SELECT DISTINCT query FROM mq) q, kl k)""",
-    "best AS (SELECT query, arg_min(name, (-score, ord_k, ord_f)) AS name FROM sc WHERE score >= 85.0 GROUP BY query)",
-    """mccp AS (SELECT mcc, arg_min(category, (-n, first)) AS category FROM (
-                 SELECT mcc, category, count(*) AS n, min(txn_id) AS first FROM tj WHERE mcc IS NOT NULL GROUP BY ALL) GROUP BY mcc)""",
-    """labp AS (SELECT label, arg_min(category, (-n, first)) AS category FROM (
-                 SELECT coalesce(canonical_merchant, txn_type) AS label, category, count(*) AS n, min(txn_id) AS first
-                 FROM tj WHERE coalesce(canonical_merchant, txn_type) IS NOT NULL GROUP BY ALL) GROUP BY label)""",
-    """dflt AS (SELECT arg_min(category, (-n, category)) AS category FROM (
-                 SELECT category, count(*) AS n FROM gold WHERE txn_id IN (SELECT txn_id FROM tf) GROUP BY category))"""]))
+def _rules_lev_ctes() -> list[str]:
+    """SQL twin of RulesRoute(scorer="levenshtein") fitted on the random split's train
+    rows and applied to its model view; the predictions are the CTE ``rp``."""
+    return _views_sql(RANDOM_MEM_SQL) + [
+        "tj AS (SELECT t.txn_id, t.mcc, g.category, g.canonical_merchant, g.txn_type FROM tf t JOIN gold g USING (txn_id))",
+        """lab AS (SELECT txn_id, CASE WHEN canonical_merchant IS NOT NULL THEN 'merchant'
+                     WHEN txn_type IS NOT NULL THEN 'type' END AS kind,
+                     coalesce(canonical_merchant, txn_type) AS name FROM tj)""",
+        f"""per AS (SELECT {Q.clean_description('name')} AS key, kind, arg_max(name, txn_id) AS name,
+                     min(txn_id) AS first FROM lab WHERE kind IS NOT NULL GROUP BY ALL)""",
+        """kl AS (SELECT key, arg_max(name, kind = 'merchant') AS name,
+                     min(CASE WHEN kind = 'type' THEN 0 ELSE 1 END) AS ord_k,
+                     arg_min(first, (CASE WHEN kind = 'type' THEN 0 ELSE 1 END, first)) AS ord_f FROM per GROUP BY key)""",
+        f"""mq AS (SELECT txn_id, mcc, amount, {Q.derive_canonical(Q.strip_processor_prefix('description'))} AS fallback,
+                     {Q.clean_description(Q.derive_canonical(Q.strip_processor_prefix('description')))} AS query FROM model)""",
+        """sc AS (SELECT q.query, k.name, k.ord_k, k.ord_f,
+                     CASE WHEN greatest(length(q.query), length(k.key)) = 0 THEN 100.0
+                          ELSE 100.0 * (1.0 - levenshtein(q.query, k.key) / greatest(length(q.query), length(k.key))) END
+                     AS score
+                   FROM (SELECT DISTINCT query FROM mq) q, kl k)""",
+        "best AS (SELECT query, arg_min(name, (-score, ord_k, ord_f)) AS name FROM sc WHERE score >= 85.0 GROUP BY query)",
+        """mccp AS (SELECT mcc, arg_min(category, (-n, first)) AS category FROM (
+                     SELECT mcc, category, count(*) AS n, min(txn_id) AS first FROM tj WHERE mcc IS NOT NULL GROUP BY ALL)
+                   GROUP BY mcc)""",
+        """labp AS (SELECT label, arg_min(category, (-n, first)) AS category FROM (
+                     SELECT coalesce(canonical_merchant, txn_type) AS label, category, count(*) AS n, min(txn_id) AS first
+                     FROM tj WHERE coalesce(canonical_merchant, txn_type) IS NOT NULL GROUP BY ALL) GROUP BY label)""",
+        """dflt AS (SELECT arg_min(category, (-n, category)) AS category FROM (
+                     SELECT category, count(*) AS n FROM gold WHERE txn_id IN (SELECT txn_id FROM tf) GROUP BY category))""",
+        """rp AS (SELECT m.txn_id, coalesce(b.name, m.fallback) AS canonical_merchant,
+                     coalesce(mp.category, lp.category, (SELECT category FROM dflt)) AS category,
+                     CASE WHEN m.amount > 0 THEN 'incoming' ELSE 'outgoing' END AS direction,
+                     b.name IS NULL AS no_match
+                   FROM mq m LEFT JOIN best b USING (query)
+                   LEFT JOIN mccp mp ON m.mcc = mp.mcc
+                   LEFT JOIN labp lp ON coalesce(b.name, m.fallback) = lp.label)""",
+    ]
+
+
+@register("r3_rules_levenshtein_model_view", W("SELECT * FROM rp", _rules_lev_ctes()))
 def q_r3_lev(spark, sf_dir):
     """R3 with the U7 Levenshtein scorer: the whole route (known list and its ties, fuzzy
     top-1 at 85, mcc / label priors, majority default, no-match fallback) is then
@@ -1521,3 +1529,35 @@ def q_d37_clean_ideal(spark, sf_dir):
         "direction", F.when(F.col("amount") > 0, "incoming").otherwise("outgoing"))
     return M.leaderboard_row(ip, v.ideal_gold, "cleaner", "random", "ideal_cache").select(
         "n", "merchant_norm", "merchant_exact", "direction_accuracy", "category_accuracy")
+
+
+def _rules_lev_preds(spark, sf_dir):
+    key = ("rules_lev", _sid(spark), sf_dir)
+    if key not in _CACHE:
+        v = _views(spark, sf_dir)
+        _CACHE[key] = materialize(RulesRoute(scorer="levenshtein").fit(v.train_feed, v.train_gold)
+                                  .transform(v.model_feed), "preds_rules_lev")
+    return _CACHE[key]
+
+
+@register("d10_d11_rules_levenshtein_scores", W(f"""
+  SELECT count(*) AS n,
+    CASE WHEN count(canonical_merchant) > 0 THEN avg(CASE WHEN gm IS NOT NULL THEN
+      ({Q.merchant_ok('canonical_merchant', 'gm', 'coalesce(category = gc, FALSE)')})::INT END) END AS merchant_norm,
+    CASE WHEN count(canonical_merchant) > 0 THEN avg(CASE WHEN gm IS NOT NULL THEN
+      coalesce(canonical_merchant = gm, FALSE)::INT END) END AS merchant_exact,
+    avg(coalesce(direction = gd, FALSE)::INT) AS direction_accuracy,
+    CASE WHEN count(category) > 0 THEN avg(coalesce(category = gc, FALSE)::INT) END AS category_accuracy,
+    avg(no_match::INT) AS no_match_rate
+  FROM (SELECT rp.*, g.canonical_merchant AS gm, g.category AS gc, g.direction AS gd FROM rp JOIN gold g USING (txn_id))""",
+    _rules_lev_ctes()))
+def q_d10_lev(spark, sf_dir):
+    """D10/D11/D36 for a route with real category predictions (priors), checked in SQL."""
+    v = _views(spark, sf_dir)
+    p = _rules_lev_preds(spark, sf_dir)
+    row = M.leaderboard_row(p, v.model_gold, "rules_levenshtein", "random", "model")
+    rate = p.agg(F.avg(F.col("no_match").cast("double")).alias("no_match_rate"))
+    out = row.select("n", "merchant_norm", "merchant_exact", "direction_accuracy", "category_accuracy",
+                     F.lit(None).cast("double").alias("no_match_rate"))
+    return (out.unionByName(rate, allowMissingColumns=True)
+            .agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns]))
