@@ -1561,3 +1561,43 @@ def q_d10_lev(spark, sf_dir):
                      F.lit(None).cast("double").alias("no_match_rate"))
     return (out.unionByName(rate, allowMissingColumns=True)
             .agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns]))
+
+
+@register("d15_subsets_rules_levenshtein", W(f"""
+  SELECT subset, avg(ok) AS accuracy, count(*) AS n FROM (
+    SELECT unnest(list_filter([
+        CASE WHEN NOT coalesce(g.noise_abbrev, FALSE) AND NOT coalesce(g.noise_trunc, FALSE) THEN 'recoverable' END,
+        CASE WHEN coalesce(g.noise_abbrev, FALSE) THEN 'abbreviated' END,
+        CASE WHEN coalesce(g.noise_trunc, FALSE) THEN 'truncated' END,
+        CASE WHEN g.origin IS NOT NULL THEN 'origin:' || g.origin END], lambda t: t IS NOT NULL)) AS subset,
+      ({Q.merchant_ok('rp.canonical_merchant', 'g.canonical_merchant', 'coalesce(rp.category = g.category, FALSE)')})::DOUBLE AS ok
+    FROM rp JOIN gold g USING (txn_id) WHERE g.canonical_merchant IS NOT NULL) GROUP BY subset""", _rules_lev_ctes()))
+def q_d15_lev(spark, sf_dir):
+    return M.merchant_subsets(_rules_lev_preds(spark, sf_dir), _views(spark, sf_dir).model_gold)
+
+
+@register("d14_spend_kpi_rules_levenshtein_ideal", W("""
+  SELECT round(coalesce(avg(CASE WHEN total_spend IS NOT NULL THEN abs(total_spend - coalesce(pred_spend, 0.0)) END), 0.0), 6) AS mae,
+         round(coalesce(avg(CASE WHEN total_spend IS NOT NULL THEN
+           (abs(total_spend - coalesce(pred_spend, 0.0)) / greatest(abs(total_spend), 1e-9) <= 0.01)::INT END), 0.0), 6)
+           AS within_tolerance,
+         count(*) FILTER (WHERE total_spend IS NULL) AS pred_only_buckets
+  FROM merged""", _rules_lev_ctes() + [
+    """ip AS (SELECT c.txn_id, CASE WHEN c.cache_hit THEN c.cache_merchant ELSE rp.canonical_merchant END AS pm
+              FROM cache c LEFT JOIN rp ON c.rep_txn_id = rp.txn_id)""",
+    f"""gm AS (SELECT g.txn_id, {Q.norm_merchant('g.canonical_merchant')} AS m FROM gold g
+              WHERE g.canonical_merchant IS NOT NULL AND g.txn_id IN (SELECT txn_id FROM cache))""",
+    "base AS (SELECT f.txn_id, f.customer_id, f.amount FROM feed f WHERE f.txn_id IN (SELECT txn_id FROM gm))",
+    """groll AS (SELECT customer_id, m, round(sum(abs(amount)::DECIMAL(18,2)), 2)::DOUBLE AS total_spend
+              FROM base JOIN gm USING (txn_id) GROUP BY ALL)""",
+    f"""proll AS (SELECT customer_id, {Q.norm_merchant('ip.pm')} AS m,
+                     round(sum(abs(amount)::DECIMAL(18,2)), 2)::DOUBLE AS pred_spend
+              FROM base JOIN ip USING (txn_id) GROUP BY ALL)""",
+    "merged AS (SELECT * FROM groll FULL OUTER JOIN proll USING (customer_id, m))"]))
+def q_d14_lev(spark, sf_dir):
+    """D14 on the ideal-cache view for the rules route (cached labels for hits, the
+    representative's prediction for misses)."""
+    from merchantry.operators.views import ideal_preds
+    v = _views(spark, sf_dir)
+    ip = ideal_preds(_rules_lev_preds(spark, sf_dir), v.cache)
+    return _round6(M.spend_kpi(v.ideal_feed, ip, v.ideal_gold), ["mae", "within_tolerance"])
