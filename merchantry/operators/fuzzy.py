@@ -168,14 +168,15 @@ class ListIndex:
         for r, x in enumerate(self.sx):
             for j, ch in enumerate(x):
                 self.codes[r, j] = self.col[ch]
-        kalpha = sorted({ch for x in self.keys for ch in x})
-        self.kcol = {ch: i for i, ch in enumerate(kalpha)}
         self.klens = np.array([len(x) for x in self.keys], dtype=np.float64)
-        kwidth = max((len(x) for x in self.keys), default=0)
-        self.kcodes = np.full((len(keys), max(kwidth, 1)), -1, dtype=np.int32)
-        for r, x in enumerate(self.keys):
-            for j, ch in enumerate(x):
-                self.kcodes[r, j] = self.kcol[ch]
+        if scorer == "levenshtein":   # raw-key code matrix only where the scorer needs it
+            kalpha = sorted({ch for x in self.keys for ch in x})
+            self.kcol = {ch: i for i, ch in enumerate(kalpha)}
+            kwidth = max((len(x) for x in self.keys), default=0)
+            self.kcodes = np.full((len(keys), max(kwidth, 1)), -1, dtype=np.int32)
+            for r, x in enumerate(self.keys):
+                for j, ch in enumerate(x):
+                    self.kcodes[r, j] = self.kcol[ch]
         self.post: dict[str, list[int]] = {}
         for r, t in enumerate(self.tok):
             for w in t:
