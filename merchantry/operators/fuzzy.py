@@ -303,13 +303,19 @@ class ListIndex:
 
 
 def _broadcast_chunks(names: DataFrame, max_broadcast: int, scorer: str = "token_set"):
-    """Yield ListIndex broadcasts of the list in ``ord`` order, after a size check."""
+    """Yield ListIndex broadcasts of the list in ``ord`` order. One bounded collect
+    (``max_broadcast + 1`` rows) both checks the size and serves the usual single-chunk
+    case; only a longer list is counted and read chunk by chunk."""
     spark = names.sparkSession
-    n = names.count()
     ordered = names.select("key", "name", "ord").orderBy("ord")
-    for start in range(0, max(n, 1), max_broadcast):
-        rows = ordered.offset(start).limit(max_broadcast).collect()
+    rows = ordered.limit(max_broadcast + 1).collect()
+    if len(rows) <= max_broadcast:
         yield spark.sparkContext.broadcast(ListIndex([r["key"] for r in rows], [r["name"] for r in rows], scorer))
+        return
+    n = names.count()
+    for start in range(0, n, max_broadcast):
+        part = ordered.offset(start).limit(max_broadcast).collect()
+        yield spark.sparkContext.broadcast(ListIndex([r["key"] for r in part], [r["name"] for r in part], scorer))
 
 
 def _scan(queries: DataFrame, names: DataFrame, k: int, cutoff, max_broadcast: int,

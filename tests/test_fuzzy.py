@@ -123,3 +123,13 @@ def test_vectorized_levenshtein():
         want = sorted(((score_py("levenshtein", q, k), i) for i, k in enumerate(keys)), key=lambda t: (-t[0], t[1]))
         got = idx.best(q, 3, None)
         assert [i for _, i in got] == [i for _, i in want[:3]]
+
+
+def test_chunked_list_equals_single_broadcast(spark):
+    q = spark.createDataFrame([(x,) for x in QUERIES], "query string")
+    one = {r["query"]: r["candidates"] for r in fuzzy_topk(q, _names_df(spark), k=4).collect()}
+    many = {r["query"]: r["candidates"] for r in fuzzy_topk(q, _names_df(spark), k=4, max_broadcast=3).collect()}
+    assert one == many
+    t1 = {r["query"]: r["name"] for r in fuzzy_top1(q, _names_df(spark)).collect()}
+    t2 = {r["query"]: r["name"] for r in fuzzy_top1(q, _names_df(spark), max_broadcast=5).collect()}
+    assert t1 == t2
