@@ -24,14 +24,17 @@ def centroids(df: DataFrame, vec: str, label: str) -> DataFrame:
             .select(label, F.transform("_iv", lambda x: x["v"]).alias(vec)))
 
 
-def _nearest_kernel(names: list, mat: np.ndarray, id_col: str, vec_col: str):
-    norms = np.linalg.norm(mat, axis=1, keepdims=True)
-    unit = np.divide(mat, norms, out=np.zeros_like(mat), where=norms > 0)
-
+def _nearest_kernel(bc, id_col: str, vec_col: str):
+    """Per-partition scorer; ``bc`` is a broadcast of (names, unit-normalised matrix)."""
     def run(it):
+        names, unit = bc.value
         for pdf in it:
             if len(pdf) == 0:
                 continue
+            if len(names) == 0:
+                yield pd.DataFrame({id_col: pdf[id_col].values, "name": [None] * len(pdf),
+                                    "cosine": [None] * len(pdf)})
+                continue
             q = np.array([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
             qn = np.linalg.norm(q, axis=1, keepdims=True)
             q = np.divide(q, qn, out=np.zeros_like(q), where=qn > 0)
@@ -47,17 +50,25 @@ def nearest_vector(queries: DataFrame, vocab: DataFrame, id_col: str = "id", vec
                    name_col: str = "name", max_broadcast: int = MAX_BROADCAST_VOCAB) -> DataFrame:
     """For every query row the vocabulary name with the highest cosine (ties: the
     first name in sorted order). Returns (id, name, cosine)."""
-    n = vocab.count()
     id_type = queries.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {id_type}, name string, cosine double"
     q = queries.select(id_col, vec_col)
+    ordered = vocab.select(F.col(name_col).alias("name"), F.col(vec_col).alias("vec")).orderBy("name")
+    first = ordered.limit(max_broadcast + 1).collect()      # size check and single-chunk case
+    if len(first) <= max_broadcast:
+        chunks = [first]
+    else:
+        n = vocab.count()
+        chunks = (ordered.offset(start).limit(max_broadcast).collect() for start in range(0, n, max_broadcast))
     parts = []
-    for ci, start in enumerate(range(0, max(n, 1), max_broadcast)):
-        rows = (vocab.select(F.col(name_col).alias("name"), F.col(vec_col).alias("vec"))
-                .orderBy("name").offset(start).limit(max_broadcast).collect())
+    sc = queries.sparkSession.sparkContext
+    for ci, rows in enumerate(chunks):
         names = [r["name"] for r in rows]
         mat = np.array([np.asarray(r["vec"], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 1))
-        parts.append(q.mapInPandas(_nearest_kernel(names, mat, id_col, vec_col), schema)
+        norms = np.linalg.norm(mat, axis=1, keepdims=True)
+        unit = np.divide(mat, norms, out=np.zeros_like(mat), where=norms > 0)
+        bc = sc.broadcast((names, unit))             # shipped once per executor, not per task
+        parts.append(q.mapInPandas(_nearest_kernel(bc, id_col, vec_col), schema)
                      .withColumn("_chunk", F.lit(ci)))
     if len(parts) == 1:
         return parts[0].drop("_chunk")

@@ -228,3 +228,15 @@ def test_auroc_matches_all_pairs(spark):
     pos = [s for s, ok, _ in rows if ok]
     neg = [s for s, ok, _ in rows if not ok]
     assert one == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)))
+
+
+def test_nearest_vector_chunked_equals_single(spark):
+    import random
+    from merchantry.operators.vectors import nearest_vector
+    rng = random.Random(4)
+    vocab = spark.createDataFrame([(f"n{i:02d}", [rng.random() for _ in range(5)]) for i in range(20)],
+                                  "name string, vec array<double>")
+    q = spark.createDataFrame([(i, [rng.random() for _ in range(5)]) for i in range(50)], "id long, vec array<double>")
+    a = {r["id"]: r["name"] for r in nearest_vector(q, vocab).collect()}
+    b = {r["id"]: r["name"] for r in nearest_vector(q, vocab, max_broadcast=6).collect()}
+    assert a == b
