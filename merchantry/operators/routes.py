@@ -103,17 +103,22 @@ def candidates(feed: DataFrame, names: DataFrame, k: int = K.TOP_K, scorer: str
 
 
 # ------------------------------------------------------------------ model-function routes
-def call_model(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[str]],
-               out_col: str = "reply") -> DataFrame:
-    """Run a user model function over the DISTINCT values of ``text_col``
-    (batches of strings in, strings out) inside executors; returns (text, reply)."""
+def call_model(df: DataFrame, key_col: str, fn: Callable[[list[str]], list[str]],
+               payload_col: str | None = None, out_col: str = "reply") -> DataFrame:
+    """Run a user model function once per DISTINCT ``key_col`` value inside
+    executors (batches of payload strings in, reply strings out); returns
+    (key, reply). ``payload_col`` (the prompt or request, a function of the key)
+    defaults to the key itself; the de-duplication and the join back use the short
+    key, not the long payload."""
     import pandas as pd
+    payload_col = payload_col or key_col
+    cols = [key_col] if payload_col == key_col else [key_col, payload_col]
+    distinct = df.select(*cols).dropDuplicates([key_col])
 
     def run(it):
         for pdf in it:
-            texts = pdf[text_col].tolist()
-            yield pd.DataFrame({text_col: texts, out_col: list(fn(texts))})
-    return df.select(text_col).distinct().mapInPandas(run, f"{text_col} string, {out_col} string")
+            yield pd.DataFrame({key_col: pdf[key_col].tolist(), out_col: list(fn(pdf[payload_col].tolist()))})
+    return distinct.mapInPandas(run, f"{key_col} string, {out_col} string")
 
 
 class GeneratorRoute(Route):
@@ -137,9 +142,9 @@ class GeneratorRoute(Route):
         text = strip_processor_prefix("description") if self.strip_prefix else F.col("description")
         d = feed.select("txn_id", "amount", text.alias("_text"))
         d = d.withColumn("prompt", (self.prompt_fn or build_prompt)(F.col("_text"), self.categories))
-        replies = call_model(d, "prompt", self.chat_fn)
+        replies = call_model(d, "_text", self.chat_fn, payload_col="prompt")
         parsed = replies.withColumn("_p", parse_response("reply"))
-        d = d.join(parsed.select("prompt", "_p"), "prompt", "left")
+        d = d.join(parsed.select("_text", "_p"), "_text", "left")
         return d.select(
             "txn_id",
             guard_merchant(F.col("_p.merchant"), derive_canonical("_text")).alias("canonical_merchant"),
@@ -178,8 +183,8 @@ class ChoiceRoute(Route):
             d = d.withColumn("candidates", F.array().cast("array<string>"))
         d = d.withColumn("request", F.to_json(choice_request(F.col("_state"), self.categories,
                                                              F.col("candidates"))))
-        replies = call_model(d, "request", self.call_fn)
-        d = d.join(replies, "request", "left")
+        replies = call_model(d, "description", self.call_fn, payload_col="request")
+        d = d.join(replies, "description", "left")
         c = parse_choice(F.col("reply"))
         d = (d.withColumn("_c", c)
              .withColumn("none", F.col("_c.merchant.choice") == K.NONE_OPTION))
