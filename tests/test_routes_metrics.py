@@ -240,3 +240,29 @@ def test_nearest_vector_chunked_equals_single(spark):
     a = {r["id"]: r["name"] for r in nearest_vector(q, vocab).collect()}
     b = {r["id"]: r["name"] for r in nearest_vector(q, vocab, max_broadcast=6).collect()}
     assert a == b
+
+
+def test_merchant_subsets_and_recall_golden(spark):
+    pred = spark.createDataFrame([("a", "Joe's Diner"), ("b", "Joe's Diner"), ("c", "WRONG"), ("d", "Joe's Diner")],
+                                 "txn_id string, canonical_merchant string")
+    gold = spark.createDataFrame([("a", "Joe's Diner", False, False, "source"), ("b", "Joe's Diner", True, False, "local"),
+                                  ("c", "Joe's Diner", True, False, "local"), ("d", "Joe's Diner", False, True, "source")],
+                                 "txn_id string, canonical_merchant string, noise_abbrev boolean, noise_trunc boolean, "
+                                 "origin string")
+    got = {r["subset"]: r["accuracy"] for r in M.merchant_subsets(pred, gold).collect()}
+    assert got == {"recoverable": 1.0, "abbreviated": 0.5, "truncated": 1.0, "origin:source": 1.0, "origin:local": 0.5}
+    one = M.merchant_subsets(pred.filter("txn_id = 'a'"), gold.filter("txn_id = 'a'")).collect()
+    assert {r["subset"] for r in one} == {"recoverable", "origin:source"}       # empty subsets absent (null)
+    rec = spark.createDataFrame([("Starbucks", ["Starbucks", "Costa"]), ("BP", ["Shell", "Texaco"]),
+                                 ("Unknown Merchant", ["Foo", "Bar"])], "gold string, candidates array<string>")
+    assert M.retrieval_recall(rec).first()[0] == pytest.approx(1 / 3)
+
+
+def test_null_gold_merchant_rows_not_scored(spark):
+    gold = spark.createDataFrame([("a", "Starbucks", "Food & Dining"), ("b", None, "Income")],
+                                 "txn_id string, canonical_merchant string, category string")
+    pred = spark.createDataFrame([("a", "STARBUCKS", "Food & Dining"), ("b", "Salary", "Income")],
+                                 "txn_id string, canonical_merchant string, category string")
+    assert M.accuracy(pred, gold, "canonical_merchant").first()[0] == 0.0
+    assert M.merchant_norm_accuracy(pred, gold).first()[0] == 1.0
+    assert M.accuracy(pred, gold, "category").first()[0] == 1.0
