@@ -38,3 +38,12 @@ def test_seeded_cap_is_stable(spark):
     a = [r[0] for r in seeded_cap(df, 50).collect()]
     b = [r[0] for r in seeded_cap(df.repartition(7), 50).collect()]
     assert a == b and len(a) == 50
+
+
+def test_exact_random_split_matches_sorted_cut(spark):
+    from merchantry.operators.splits import seeded_order, split_random
+    df = spark.createDataFrame([(f"T{i:05d}",) for i in range(1237)], "txn_id string")
+    got = {r["txn_id"] for r in split_random(df, exact=True, rows_per_bucket=50).filter("is_eval").collect()}
+    rows = sorted((r["u"], r["txn_id"]) for r in df.select("txn_id", seeded_order(42).alias("u")).collect())
+    want = {t for _, t in rows[int(0.8 * 1237):]}
+    assert got == want and len(got) == 1237 - int(0.8 * 1237)
