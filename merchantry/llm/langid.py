@@ -2,11 +2,11 @@
 
 ``fit`` takes, per language, the labelled rows with the smallest hash of their id: at most
 ``SAMPLE_DOCS`` rows, joined into a dictionary of ``DICT_BYTES`` bytes. That bounded sample
-is all that is learned. ``identify`` compresses every whole text in pieces of
+is all that is learned. ``identify`` compresses every whole text, lower-cased, in pieces of
 ``PIECE_BYTES`` bytes (so the dictionary counts over the whole of a long text) with each
 dictionary and takes the language with the fewest bytes. The score is the margin to the
-second best, as a share of the second best's bytes above ``EMPTY_FRAME``; a text is
-rejected when the score is below ``min_margin`` or when it has no letter.
+second best, as a share of the second best's bytes (an empty frame's
+bytes are not counted); a text is rejected when the score is below ``min_margin`` or when it has no letter.
 
 Defined cases: null, empty or letterless texts are ``und`` with score 0 and rejected; equal
 sizes go to the first language in alphabetical order (score 0); one learned language always
@@ -24,9 +24,9 @@ from merchantry.llm.wordhash import batches
 from merchantry.session import ship_package
 
 SAMPLE_DOCS = 400
-DICT_BYTES = 1 << 16
+DICT_BYTES = 1 << 17
 PIECE_BYTES = 1 << 12
-LEVEL = 3
+LEVEL = 9
 EMPTY_FRAME = 9
 MIN_MARGIN = 0.004
 LETTER = regex.compile(r"\p{L}")
@@ -38,7 +38,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = D
     share = max(1, dict_bytes // 64)          # bytes that one document may give
     order = [F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.crc32("text")]
     ranked = (labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-              .select("lang", F.encode(F.substring("text", 1, share), "utf-8").alias("text"), *[
+              .select("lang", F.encode(F.substring(F.lower("text"), 1, share), "utf-8").alias("text"), *[
                   o.alias(f"o{i}") for i, o in enumerate(order)])
               .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("o0", "o1", "text")))
               .filter(F.col("nth") <= sample_docs))
@@ -74,7 +74,7 @@ class Classifier:
             return "und", 0.0
         if len(self.langs) == 1:
             return self.langs[0], 1.0
-        sizes = self.sizes(text.encode("utf-8", "replace"))
+        sizes = self.sizes(text.lower().encode("utf-8", "replace"))
         first, second = np.argsort(sizes, kind="stable")[:2]
         return self.langs[first], min(1.0, max(0.0, (sizes[second] - sizes[first]) / max(1, sizes[second])))
 
