@@ -1,7 +1,7 @@
 """Language ID by compression (zstandard with one raw-content dictionary per language).
 
 ``fit`` takes, per language, the labelled rows with the smallest hash of their id: at most
-``SAMPLE_DOCS`` rows, joined into a dictionary of ``DICT_BYTES`` bytes. That bounded sample
+``SAMPLE_DOCS`` rows (found below a hash threshold that the language's row count gives), joined into a dictionary of ``DICT_BYTES`` bytes. That bounded sample
 is all that is learned. ``identify`` compresses every whole text, lower-cased, in pieces of
 ``PIECE_BYTES`` bytes (so the dictionary counts over the whole of a long text) with each
 dictionary and takes the language with the fewest bytes. The score is the margin to the
@@ -33,13 +33,18 @@ LETTER = regex.compile(r"\p{L}")
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionaries by language from (doc_id, text, lang). The row limit per language is
-    pushed below the shuffle; at most languages x ``dict_bytes`` bytes reach the driver."""
+    """Dictionaries by language from (doc_id, text, lang); at most languages x ``sample_docs``
+    x ``dict_bytes`` / 64 characters reach the driver."""
     share = max(1, dict_bytes // 64)          # bytes that one document may give
-    order = [F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.crc32("text")]
-    ranked = (labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-              .select("lang", F.encode(F.substring(F.lower("text"), 1, share), "utf-8").alias("text"), *[
-                  o.alias(f"o{i}") for i, o in enumerate(order)])
+    id_hash = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    sizes = {r[0]: r[1] for r in labelled.filter("lang is not null").groupBy("lang").count().collect()}
+    # twice the sample's share of the hash space, so that few rows of any language are shuffled
+    space = 1 << 40
+    top = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(space, 2 * sample_docs * space // n + 1))]) \
+        if sizes else F.create_map(F.lit(""), F.lit(0))
+    rows = labelled.filter(F.col("text").rlike(r"\p{L}") & (F.pmod(id_hash, F.lit(space)) < F.try_element_at(top, F.col("lang"))))
+    ranked = (rows.select("lang", F.encode(F.substring(F.lower("text"), 1, share), "utf-8").alias("text"),
+                          F.pmod(id_hash, F.lit(space)).alias("o0"), F.crc32("text").alias("o1"))
               .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("o0", "o1", "text")))
               .filter(F.col("nth") <= sample_docs))
     parts: dict[str, list[bytes]] = {}

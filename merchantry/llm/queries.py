@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantry.llm import decontaminate, langid, packing
+from merchantry.llm import chat, decontaminate, katz, langid, licenses, line_dedup, ngram_join, packing, pivot_search, token_counts
 from merchantry.llm.catalog import register
 from merchantry.llm.langid import held_out
 
@@ -40,3 +40,61 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("bench_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("bench_items", ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"))
+
+
+@register("op7_heavy_light_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
+@register("op6_fuzzy_line_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before"))
+    out = line_dedup.dedup_lines(docs)
+    lines = lambda c: F.size(F.split(F.coalesce(F.col(c), F.lit("")), "\n")).cast("long")
+    return out.select("doc_id", lines("before").alias("n_lines"), F.size("lines_removed").cast("long").alias("n_removed"),
+                      "lines_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+@register("op1_chat_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(
+        spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(
+            F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")),
+            F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role")))).alias("r"))
+        .select("conv_id", "r.turn", "r.role", F.lit(sample).alias("text")))
+    records = rows.select("conv_id", "turn", F.to_variant_object(F.struct("role", "text")).alias("record"))
+    turns = chat.segments(chat.canonical(records), ["conv_id", "turn"])
+    return chat.digests(turns, "conv_id", ["turn", "role", "text"])
+
+
+@register("op2_pivot_top_k")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@register("op3_license_digests", licenses.scan_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.known_digests(spark)).select("doc_id", "license_digest", "license_id")
+
+
+#: Personal data and shouting marks that a cleaning step edits: e-mail addresses, long numbers, "!!".
+MASKED = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|[0-9][0-9 ()-]{5,}[0-9]|!{2,}"
+
+
+@register("op10_edited_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited = token_counts.recount(token_counts.with_pattern_edits(docs, MASKED, "[x]"))
+    return edited.select("doc_id", "tokens_before", F.size("edits").cast("long").alias("n_edits"),
+                         "tokens_after", "pretokens_after", "reencoded_chars", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+@register("op5_katz_backoff")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, _ = katz.fit_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                   held_out(F.col("doc_id"), 0, 10))
+    return scores
