@@ -2,7 +2,7 @@
 
 1. Every non-blank line, trimmed and lower-cased, is keyed by two 64-bit hashes; equal lines are
    one class, represented by their first occurrence (document id, line number).
-2. A line's signature has ``2 * len(SEEDS)`` MinHash values of its character shingles of length
+2. A line's signature has ``VALUES`` MinHash values of its character shingles of length
    ``SIGNATURE_CHARS`` that start at word starts (in scripts written without spaces, at every
    character): the smallest and largest of the shingles' hashes under each seed. Bands of two
    values make candidate lists: two lines whose signature shingles are 0.7 alike share a band
@@ -29,9 +29,11 @@ from merchantry.session import materialize
 SHINGLE_CHARS = 5
 SIGNATURE_CHARS = 8
 THRESHOLD = 0.8
-SEEDS = [0, 0x1D872B41A3C5F60B, 0x5E2F94C7B80D6A39, 0x3A61D0E97F4B82C5]
+#: The hashes themselves give the first two signature values, each seed two more.
+SEEDS = [0x1D872B41A3C5F60B, 0x5E2F94C7B80D6A39, 0x3A61D0E97F4B82C5]
+VALUES = 2 * len(SEEDS) + 2
 _ANCHOR = r"(?<![^\s⺀-￿])(?=(\S.{0,%d}))"
-#: Bands: pairs of signature values (number i is seed i // 2, smallest or largest).
+#: Bands: pairs of signature values (even numbers are smallest, odd ones largest hashes).
 BANDS = [(0, 2), (1, 3), (4, 6), (5, 7), (0, 5), (1, 4), (2, 7), (3, 6)]
 
 
@@ -47,13 +49,13 @@ def _signed(lines: DataFrame) -> DataFrame:
     """``lines`` with ``v0``, ``v1``...: the signature values. The hashes are a column of their
     own, so that they are computed once."""
     grams = F.regexp_extract_all("line", F.lit(_ANCHOR % (SIGNATURE_CHARS - 1)), 1)
-    hashed = lines.withColumn("h", F.transform(grams, lambda g: F.xxhash64(g)))
-    values = {}
-    for k, seed in enumerate(SEEDS):
-        h = F.transform("h", lambda x, s=seed: x.bitwiseXOR(F.lit(s))) if seed else F.col("h")
-        hashed = hashed.withColumn(f"h{k}", h)
-        values |= {f"v{2 * k}": F.array_min(f"h{k}"), f"v{2 * k + 1}": F.array_max(f"h{k}")}
-    return hashed.withColumns(values).drop("h", *[f"h{k}" for k in range(len(SEEDS))])
+    hashed = lines.withColumn("signed0", F.transform(grams, lambda g: F.xxhash64(g)))
+    values = {"v0": F.array_min("signed0"), "v1": F.array_max("signed0")}
+    for k, seed in enumerate(SEEDS, start=1):
+        flip = F.lit(seed)
+        hashed = hashed.withColumn(f"signed{k}", F.transform("signed0", lambda x: x.bitwiseXOR(flip)))  # noqa: B023
+        values |= {f"v{2 * k}": F.array_min(f"signed{k}"), f"v{2 * k + 1}": F.array_max(f"signed{k}")}
+    return hashed.withColumns(values).drop(*[f"signed{k}" for k in range(len(SEEDS) + 1)])
 
 
 def _shingled(lines: DataFrame, size: int = SHINGLE_CHARS) -> DataFrame:
@@ -91,7 +93,7 @@ def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     lines = lines_of(docs)
     keyed = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line"),
                                "chars": F.char_length("line")})
-    values = [f"v{i}" for i in range(2 * len(SEEDS))]
+    values = [f"v{i}" for i in range(VALUES)]
     classes = materialize(
         _signed(keyed).groupBy("h1", "h2").agg(
             F.min(F.struct("doc_id", "pos")).alias("node"), F.max("chars").alias("chars"),

@@ -132,8 +132,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
 
     row = F.pmod(F.xxhash64("vec_id", "vec"), F.lit(rows)).alias("row")
     col = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(cols)).alias("col")
-    left = data.select("*", row, F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).cast("long").alias("col"))
-    right = queries.select("*", col, F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("long").alias("row"))
+    left = data.select("*", row, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))).alias("col"))
+    right = queries.select("*", col, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("row"))
     found = (left.groupBy("row", "col").cogroup(right.groupBy("row", "col"))
              .applyInArrow(cell, "query_id long, vec_id long, score long"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
