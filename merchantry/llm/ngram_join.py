@@ -42,6 +42,8 @@ from merchantry.session import materialize, ship_package
 SHINGLE = 4
 PERCENT = 85
 ZONE = 0.25                    # share of the hash space whose frequencies are counted
+BIT_WORDS = 16
+LEADERS = 16
 SUBSET_COST = 1.5              # a subset row (made, hashed, shuffled) against a row of a list
 _ZONE_END = int(ZONE * 2 ** 63)
 
@@ -66,15 +68,16 @@ def text_sets(col, size: int):
 
 
 def _summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, c1, c2, z, lead, grams): ``c1, c2`` digest the set; ``grams`` has the first
-    set of each class in the task only (``lead``): all shingles in the zone (``z``), then as
-    many others as its extended prefix needs."""
+    """(doc_id, n, c1, c2, z, lead, grams, bits): ``c1, c2`` digest the set. Only for the first
+    set of each class in the task (``lead``): ``grams`` has all shingles in the zone (``z``), then
+    as many others as its extended prefix needs; ``bits`` has, for each of ``64 * BIT_WORDS`` hash
+    remainders, the parity of the set's shingles."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(it):
         seen: set = set()
         for batch in W.batches(it, "text"):
-            n, c1, c2, z, lead, grams, ends = [], [], [], [], [], [], [0]
+            n, c1, c2, z, lead, grams, ends, bits = [], [], [], [], [], [], [0], []
             for s in text_sets(batch.column(1), size):
                 u = s.view(np.uint64)
                 a = int(W.mix64(u).sum(dtype=np.uint64))
@@ -91,16 +94,21 @@ def _summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 lead.append(first)
                 if first:
                     grams.append(s[:max(inside, min(need, len(s)))])
+                    odd = np.bincount(s & (64 * BIT_WORDS - 1), minlength=64 * BIT_WORDS) & 1
+                    bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
+                else:
+                    bits.append(None)
                 ends.append(ends[-1] + (len(grams[-1]) if first else 0))
             flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()),
                  pa.array(z, pa.int32()), pa.array(lead, pa.bool_()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))],
-                ["doc_id", "n", "c1", "c2", "z", "lead", "grams"])
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
+                 pa.array(bits, pa.list_(pa.int64()))],
+                ["doc_id", "n", "c1", "c2", "z", "lead", "grams", "bits"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, n int, c1 long, c2 long, z int, lead boolean, grams array<bigint>")
+        run, f"doc_id {id_type}, n int, c1 long, c2 long, z int, lead boolean, grams array<bigint>, bits array<bigint>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -155,7 +163,8 @@ def choose_boundary(prefixes: DataFrame) -> int:
 
 
 def _lists(prefixes: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """(key, node, n, shared): members of every list that has two or more."""
+    """(key, node, n, shared): members of every list that has two or more. Lists with the same
+    members are one, their key a digest of the members."""
     own = ["node", "n", "shared"]
     heavy = (prefixes.filter((F.col("nth") <= F.col("keep")) & (F.col("n") * 100 >= boundary * percent))
              .select(F.xxhash64(F.lit(1), "gram").alias("key"), *own))
@@ -164,46 +173,61 @@ def _lists(prefixes: DataFrame, boundary: int, percent: int) -> DataFrame:
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("g") - 1), lambda i: F.transform(
         F.slice("g", i + 1, F.size("g")), lambda x: F.xxhash64(F.lit(2), F.element_at("g", i), x))))
     light = small.filter(F.size("g") > 1).select(F.explode(pairs).alias("key"), *own)
-    rows = heavy.unionByName(light)
-    return rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("m > 1").drop("m")
-
-
-def _sizes_allow(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection."""
+    by_key = Window.partitionBy("key")
+    members = F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).over(by_key)
+    return (heavy.unionByName(light).select(*own, F.count(F.lit(1)).over(by_key).alias("m"), members.alias("key"))
+            .filter("m > 1").drop("m").distinct())
+
+
+def _may_link(na: str, nb: str, bits_a: str, bits_b: str, percent: int):
+    """False only if the sizes, or the parities that differ, rule a link out: each of these takes
+    a shingle that one set has and the other hasn't, and a link has few of them."""
+    differ = F.lit(0)
+    for i in range(BIT_WORDS):
+        differ = differ + F.bit_count(F.col(bits_a)[i].bitwiseXOR(F.col(bits_b)[i]))
+    return ((F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
+            & (differ * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)))
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by exact intersection of the sets of their documents."""
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "compared")
+    sets = materialize(_sets(by_ids(docs, ends), size), "compared_sets")
     a = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
-    inter = F.size(F.array_intersect("ga", "gb"))
-    return (pairs.join(a, "a").join(b, "b").withColumn("i", inter)
+    return (pairs.join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("ga", "gb")))
             .filter(F.col("i") * 100 >= (F.size("ga") + F.size("gb") - F.col("i")) * percent)
             .select("a", "b").distinct())
 
 
-def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Every member with its list's most shared member, where the sizes allow a link."""
-    lead = materialize(lists.groupBy("key").agg(F.max(F.struct("shared", "node", "n")).alias("l")), "list_leaders")
-    return (lists.join(lead, "key").filter(F.col("node") != F.col("l.node"))
-            .filter(_sizes_allow("n", "l.n", percent))
-            .select(F.greatest("node", "l.node").alias("a"), F.least("node", "l.node").alias("b")).distinct())
+def _leader_pairs(lists: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Every member with its list's leader, unless ruled out. Lists are dealt to LEADERS orders by
+    their key, each has the first member of its order: the lists of a group of near copies then
+    have few leaders in all, but a member that is in several lists meets more than one."""
+    order = F.pmod("key", F.lit(LEADERS))
+    first = F.when(order == 0, F.col("shared")).otherwise(F.xxhash64(order, "node"))
+    lead = materialize(lists.groupBy("key").agg(F.max(F.struct(first.alias("o"), "node", "n")).alias("l")), "list_leaders")
+    pairs = (lists.join(lead, "key").filter(F.col("node") != F.col("l.node"))
+             .select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("l.node").alias("y"), F.col("l.n").alias("ny")))
+    x, y = (bits.select(F.col("node").alias(c), F.col("bits").alias(f"b{c}")) for c in "xy")
+    return (pairs.distinct().join(x, "x").join(y, "y").filter(_may_link("nx", "ny", "bx", "by", percent))
+            .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
 
 
-def _cross_pairs(lists: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list in different components whose sizes allow a link."""
+def _cross_pairs(lists: DataFrame, components: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one list that are in different components, unless ruled out."""
     comp = components.select("node", "component")
     named = lists.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = (named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .filter("lo != hi").select("key"))
-    # sizes of a link differ by less than one class of this width
-    size_class = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int")
-    rows = materialize(named.join(split, "key", "left_semi").withColumn("k", size_class), "split_lists")
-    x = rows.select("key", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"),
-                    F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = rows.select("key", "k", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return (x.join(y, ["key", "k"]).filter("a > b and ca != cb").filter(_sizes_allow("na", "nb", percent))
-            .select("a", "b").distinct())
+    split = materialize(named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+                        .groupBy("key").agg(F.max_by("component", "m").alias("main"), F.count(F.lit(1)).alias("parts"))
+                        .filter("parts > 1").select("key", "main"), "split_keys")
+    rows = materialize(named.join(split, "key").join(bits, "node")
+                       .select("key", "node", "n", "component", "main", "bits"), "split_lists")
+    # one side of a pair is outside the list's largest component
+    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "main", "bits")]) for s in "ab")
+    return (x.filter("component_a != main_a").join(y, "key").filter("component_a != component_b")
+            .filter(_may_link("n_a", "n_b", "bits_a", "bits_b", percent))
+            .select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct())
 
 
 def link_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -215,7 +239,8 @@ def link_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     boundary = choose_boundary(prefixes)
     lists = materialize(_lists(prefixes, boundary, percent), "lists")
     members = materialize(lists.select(F.col("node").alias("doc_id")).distinct(), "list_members")
-    sets = materialize(_sets(by_ids(docs, members), shingle), "member_sets")
+    bits = summary.filter("lead").select(F.col("doc_id").alias("node"), "bits").dropDuplicates(["node"])
+    bits = materialize(bits.join(members.withColumnRenamed("doc_id", "node"), "node", "left_semi"), "member_bits")
 
     reps = materialize(summary.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     of_class = summary.select("doc_id", "n", "c1", "c2").join(reps, ["c1", "c2", "n"], "left")
@@ -225,9 +250,11 @@ def link_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # copies that no list has need no part in the search for components of list members
     listed = copies.join(members.withColumnRenamed("doc_id", "a"), "a", "left_semi")
 
-    found = materialize(_verify(_leader_pairs(lists, percent), sets, percent), "leader_links")
+    star = materialize(_leader_pairs(lists, bits, percent), "leader_pairs")
+    found = materialize(_verify(star, docs, shingle, percent), "leader_links")
     comp = connected_components(found.unionByName(listed))
-    more = materialize(_verify(_cross_pairs(lists, comp, percent), sets, percent), "cross_links")
+    cross = materialize(_cross_pairs(lists, comp, bits, percent), "cross_pairs")
+    more = materialize(_verify(cross, docs, shingle, percent), "cross_links")
     links = found.unionByName(more)
     rep_of = named.select("doc_id", "rep").distinct()
     ends = (links.join(rep_of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")
