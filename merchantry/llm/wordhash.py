@@ -12,8 +12,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 22          # bytes hashed at once (bounds the temporary arrays)
-BATCH_BYTES = 1 << 23          # text bytes handled at once by the operators
+CHUNK_BYTES = 1 << 18          # bytes hashed at once (the temporary arrays stay in the cache)
+BATCH_BYTES = 1 << 22          # text bytes handled at once by the operators
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D     # odd, so it has an inverse modulo 2**64
 
@@ -124,7 +124,7 @@ def _hashes(buf, start, end) -> np.ndarray:
         j = max(i + 1, int(np.searchsorted(end, lo + CHUNK_BYTES, side="right")))
         hi = end[j - 1]
         n = int(hi - lo)
-        size = 1 << max(12, n.bit_length())
+        size = 1 << max(18, (n - 1).bit_length())
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(values[buf[lo:hi]] * _powers(size, False)[:n], out=sums[1:])
         s, e = start[i:j] - lo, end[i:j] - lo
