@@ -146,12 +146,13 @@ def _prefixes(summary: DataFrame, percent: int) -> DataFrame:
 
 def choose_boundary(prefixes: DataFrame) -> int:
     """Largest size of a light set, by cost over all documents (at most one row per power of
-    1.1 reaches the driver)."""
+    1.1 reaches the driver). A light set costs its subsets, a heavy one its list entries, those of
+    long lists somewhat more: a member is compared with its list's leader, not with every member."""
     size_class = F.floor(F.log("n") / F.log(F.lit(1.1))).cast("int")
     light = (prefixes.groupBy("node", "n").agg(F.count(F.lit(1)).alias("s"))
              .groupBy(size_class.alias("k")).agg(F.sum(F.col("s") * (F.col("s") - 1) / 2).alias("light"), F.max("n").alias("top")))
     heavy = (prefixes.filter(F.col("nth") <= F.col("keep"))
-             .groupBy(size_class.alias("k")).agg(F.sum("df").alias("heavy")))
+             .groupBy(size_class.alias("k")).agg(F.sum(1 + F.log("df")).alias("heavy")))
     rows = light.join(heavy, "k", "full").select("k", "light", "heavy", "top").collect()
     rows.sort(key=lambda r: r["k"])
     best, boundary = None, 1
