@@ -14,3 +14,11 @@ def by_ids(docs: DataFrame, ids: DataFrame, keep: bool = True, key: str = "doc_i
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return docs.join(ids, key, "left_semi" if keep else "left_anti")
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is in ``ids`` (one row per key), with the columns of ``ids``;
+    broadcast or shuffled as in ``by_ids``."""
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, key)

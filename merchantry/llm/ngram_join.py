@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchantry.llm import wordhash as W
-from merchantry.llm.lookup import by_ids
+from merchantry.llm.lookup import by_ids, with_ids
 from merchantry.operators.components import connected_components
 from merchantry.session import materialize, ship_package
 
@@ -43,6 +43,7 @@ SHINGLE = 4
 PERCENT = 85
 ZONE = 0.25                    # share of the hash space whose frequencies are counted
 BIT_WORDS = 16
+MORE_WORDS, MORE_FROM = 128, 1200
 LEADERS = 16
 SUBSET_COST = 1.5              # a subset row (made, hashed, shuffled) against a row of a list
 _ZONE_END = int(ZONE * 2 ** 63)
@@ -67,17 +68,23 @@ def text_sets(col, size: int):
             yield np.zeros(0, np.int64)
 
 
+def _parities(s: np.ndarray, words: int) -> list[int]:
+    odd = np.bincount(s & (64 * words - 1), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, n, c1, c2, z, lead, grams, bits): ``c1, c2`` digest the set. Only for the first
     set of each class in the task (``lead``): ``grams`` has all shingles in the zone (``z``), then
     as many others as its extended prefix needs; ``bits`` has, for each of ``64 * BIT_WORDS`` hash
-    remainders, the parity of the set's shingles."""
+    remainders, the parity of the set's shingles, ``more`` the same for ``64 * MORE_WORDS``
+    remainders if the set has ``MORE_FROM`` or more."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(it):
         seen: set = set()
         for batch in W.batches(it, "text"):
-            n, c1, c2, z, lead, grams, ends, bits = [], [], [], [], [], [], [0], []
+            n, c1, c2, z, lead, grams, ends, bits, more = [], [], [], [], [], [], [0], [], []
             for s in text_sets(batch.column(1), size):
                 u = s.view(np.uint64)
                 a = int(W.mix64(u).sum(dtype=np.uint64))
@@ -94,24 +101,23 @@ def _summaries(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 lead.append(first)
                 if first:
                     grams.append(s[:max(inside, min(need, len(s)))])
-                    odd = np.bincount(s & (64 * BIT_WORDS - 1), minlength=64 * BIT_WORDS) & 1
-                    bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
-                else:
-                    bits.append(None)
+                bits.append(_parities(s, BIT_WORDS) if first else None)
+                more.append(_parities(s, MORE_WORDS) if first and len(s) >= MORE_FROM else None)
                 ends.append(ends[-1] + (len(grams[-1]) if first else 0))
             flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()),
                  pa.array(z, pa.int32()), pa.array(lead, pa.bool_()),
                  pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
-                 pa.array(bits, pa.list_(pa.int64()))],
-                ["doc_id", "n", "c1", "c2", "z", "lead", "grams", "bits"])
+                 pa.array(bits, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))],
+                ["doc_id", "n", "c1", "c2", "z", "lead", "grams", "bits", "more"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, n int, c1 long, c2 long, z int, lead boolean, grams array<bigint>, bits array<bigint>")
+        run, f"doc_id {id_type}, n int, c1 long, c2 long, z int, lead boolean, grams array<bigint>, bits array<bigint>, "
+            "more array<bigint>")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _sets(docs: DataFrame, size: int, *more: str) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(it):
@@ -119,9 +125,10 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
             sets = list(text_sets(batch.column(1), size))
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets), pa.int64()))],
-                ["doc_id", "grams"])
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, grams array<bigint>")
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets), pa.int64())),
+                 *batch.columns[2:]], ["doc_id", "grams", *more])
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
+    return docs.select("doc_id", "text", *more).mapInArrow(run, f"doc_id {id_type}, grams array<bigint>{kept}")
 
 
 def _prefixes(summary: DataFrame, percent: int) -> DataFrame:
@@ -165,7 +172,7 @@ def choose_boundary(prefixes: DataFrame) -> int:
 
 def _lists(prefixes: DataFrame, boundary: int, percent: int) -> DataFrame:
     """(key, node, n, shared): members of every list that has two or more. Lists with the same
-    members are one, their key a digest of the members."""
+    first and last member are merged, since near copies share very many lists."""
     own = ["node", "n", "shared"]
     heavy = (prefixes.filter((F.col("nth") <= F.col("keep")) & (F.col("n") * 100 >= boundary * percent))
              .select(F.xxhash64(F.lit(1), "gram").alias("key"), *own))
@@ -175,9 +182,9 @@ def _lists(prefixes: DataFrame, boundary: int, percent: int) -> DataFrame:
         F.slice("g", i + 1, F.size("g")), lambda x: F.xxhash64(F.lit(2), F.element_at("g", i), x))))
     light = small.filter(F.size("g") > 1).select(F.explode(pairs).alias("key"), *own)
     by_key = Window.partitionBy("key")
-    members = F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).over(by_key)
-    return (heavy.unionByName(light).select(*own, F.count(F.lit(1)).over(by_key).alias("m"), members.alias("key"))
-            .filter("m > 1").drop("m").distinct())
+    return (heavy.unionByName(light)
+            .select(*own, F.min("node").over(by_key).alias("lo"), F.max("node").over(by_key).alias("hi"))
+            .filter("lo != hi").select(F.xxhash64("lo", "hi").alias("key"), *own).distinct())
 
 
 def _may_link(na: str, nb: str, bits_a: str, bits_b: str, percent: int):
@@ -190,12 +197,26 @@ def _may_link(na: str, nb: str, bits_a: str, bits_b: str, percent: int):
             & (differ * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _not_ruled_out(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), those of large sets only if their longer parity vectors allow a link."""
+    a, b = (bits.filter("more is not null").select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("more").alias(f"m{c}"))
+            for c in "ab")
+    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    ruled_out = differ * (100 + percent) > (F.col("na") + F.col("nb")) * (100 - percent)
+    return (pairs.join(a, "a", "left").join(b, "b", "left")
+            .filter(~F.coalesce(ruled_out, F.lit(False))).select("a", "b"))
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, bits: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by exact intersection of the sets of their documents."""
-    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "compared")
-    sets = materialize(_sets(by_ids(docs, ends), size), "compared_sets")
-    a = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
+    pairs = materialize(_not_ruled_out(pairs, bits, percent), "compared_pairs")
+    ends = materialize(pairs.select(F.col("a").alias("doc_id"), F.lit(True).alias("is_a")).unionByName(
+        pairs.select(F.col("b").alias("doc_id"), F.lit(False).alias("is_a"))).groupBy("doc_id").agg(
+        F.bool_or("is_a").alias("is_a"), F.bool_or(~F.col("is_a")).alias("is_b")), "compared")
+    wanted = ends.select("doc_id", (F.col("is_a").cast("int") + 2 * F.col("is_b").cast("int")).alias("side"))
+    sets = materialize(_sets(with_ids(docs, wanted), size, "side"), "compared_sets")
+    a = sets.filter("side != 2").select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
+    b = sets.filter("side != 1").select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
     return (pairs.join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("ga", "gb")))
             .filter(F.col("i") * 100 >= (F.size("ga") + F.size("gb") - F.col("i")) * percent)
             .select("a", "b").distinct())
@@ -222,7 +243,7 @@ def _cross_pairs(lists: DataFrame, components: DataFrame, bits: DataFrame, perce
     split = materialize(named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
                         .groupBy("key").agg(F.max_by("component", "m").alias("main"), F.count(F.lit(1)).alias("parts"))
                         .filter("parts > 1").select("key", "main"), "split_keys")
-    rows = materialize(named.join(split, "key").join(bits, "node")
+    rows = materialize(named.join(split, "key").join(bits.select("node", "bits"), "node")
                        .select("key", "node", "n", "component", "main", "bits"), "split_lists")
     # one side of a pair is outside the list's largest component
     x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "main", "bits")]) for s in "ab")
@@ -240,7 +261,7 @@ def link_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     boundary = choose_boundary(prefixes)
     lists = materialize(_lists(prefixes, boundary, percent), "lists")
     members = materialize(lists.select(F.col("node").alias("doc_id")).distinct(), "list_members")
-    bits = summary.filter("lead").select(F.col("doc_id").alias("node"), "bits").dropDuplicates(["node"])
+    bits = summary.filter("lead").select(F.col("doc_id").alias("node"), "n", "bits", "more").dropDuplicates(["node"])
     bits = materialize(bits.join(members.withColumnRenamed("doc_id", "node"), "node", "left_semi"), "member_bits")
 
     reps = materialize(summary.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep")), "classes")
@@ -252,10 +273,10 @@ def link_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     listed = copies.join(members.withColumnRenamed("doc_id", "a"), "a", "left_semi")
 
     star = materialize(_leader_pairs(lists, bits, percent), "leader_pairs")
-    found = materialize(_verify(star, docs, shingle, percent), "leader_links")
+    found = materialize(_verify(star, docs, bits, shingle, percent), "leader_links")
     comp = connected_components(found.unionByName(listed))
     cross = materialize(_cross_pairs(lists, comp, bits, percent), "cross_pairs")
-    more = materialize(_verify(cross, docs, shingle, percent), "cross_links")
+    more = materialize(_verify(cross, docs, bits, shingle, percent), "cross_links")
     links = found.unionByName(more)
     rep_of = named.select("doc_id", "rep").distinct()
     ends = (links.join(rep_of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")
