@@ -55,16 +55,20 @@ ANSWER = "kind int, block long, part int, words binary, counts binary, sums bina
 
 
 def _squeeze(values: np.ndarray) -> bytes:
-    """Integers or doubles as compressed byte planes."""
+    """Integers (0 or more) or doubles as compressed byte planes, without the planes that are 0."""
     import zstandard
-    planes = np.ascontiguousarray(values.astype("<u8" if values.dtype.kind != "f" else "<f8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    real = values.dtype.kind == "f"
+    width = 8 if real else max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    raw = values.astype("<f8" if real else "<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T))
 
 
 def _spread(data: bytes, kind: str = "<u8") -> np.ndarray:
     import zstandard
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view(kind).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=np.uint8).reshape(data[0], -1)
+    raw = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    raw[:, :data[0]] = planes.T
+    return raw.view(kind).ravel()
 
 
 def _sorted_squeeze(values: np.ndarray) -> bytes:
@@ -145,15 +149,22 @@ class Block:
         return (self.words % np.uint64(self.parts)).astype(np.int64)
 
     def bigrams(self):
-        """Sets ``v, w`` (distinct bigrams, sorted), ``bigram_at`` (of each token), ``bigram_count``."""
-        order = np.lexsort((self.word_at, self.history))
-        v, w = self.history[order], self.token[order]
+        """Sets ``v, w`` (distinct bigrams, sorted), their positions among the words ``v_at`` (-1: start),
+        ``w_at``, ``bigram_at`` (of each token), ``bigram_count``. Needs ``word_parts``."""
+        # the start mark sorts before every word; positions among the words stand for the hashes
+        before = np.concatenate([[0], self.word_at[:-1] + 1])
+        before[self.first[:-1]] = 0
+        key = before * np.int64(len(self.words) + 1) + self.word_at
+        order = np.argsort(key)
+        key = key[order]
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
+        new[1:] = key[1:] != key[:-1]
         nth = np.cumsum(new) - 1
         self.bigram_at = np.empty(len(order), dtype=np.int64)
         self.bigram_at[order] = nth
-        self.v, self.w = v[new], w[new]
+        self.v, self.w = self.history[order[new]], self.token[order[new]]
+        self.w_at = self.word_at[order[new]]
+        self.v_at = before[order[new]] - 1
         self.bigram_count = np.bincount(nth, weights=self.train[order], minlength=len(self.v)).astype(np.uint64)
         spread = np.isin(self.v, self.hot)
         return ((self.v + np.where(spread, self.w, np.uint64(0))) % np.uint64(self.parts)).astype(np.int64)
@@ -285,7 +296,7 @@ def _ask_bigrams(parts: int, hot: np.ndarray):
         for b in _blocks(texts, parts, hot):
             total = _word_totals(b, answers)
             part = b.bigrams()
-            of_w = total[np.searchsorted(b.words, b.w)]
+            of_w = total[b.w_at]
             for p, at in _by_part(part):
                 v = b.v[at]
                 heads = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
@@ -315,7 +326,7 @@ def _add_bigrams(uni: Unigrams, hot: np.ndarray):
         del v_of, w_of
         counts = np.concatenate([_spread(x) for x in asked["counts"].to_pylist()])
         of_w = np.concatenate([_spread(x) for x in asked["of_w"].to_pylist()]).astype(np.int64)
-        order = np.lexsort((w, v))
+        order = np.argsort(W.mix64(v * np.uint64(0x9E3779B97F4A7C15) + w))      # equal bigrams together
         sv, sw = v[order], w[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (sv[1:] != sv[:-1]) | (sw[1:] != sw[:-1])
@@ -376,13 +387,11 @@ def _score(parts: int, hot: np.ndarray, uni: Unigrams, d2: np.ndarray, hot_sums:
             shared = np.isin(b.v, hot)
             if shared.any():
                 sums[shared] = hot_sums[np.searchsorted(hot, b.v[shared])]
-            of_v = np.where(b.v == START, n_starts, 0).astype(float)
-            seen = b.v != START
-            of_v[seen] = total[np.searchsorted(b.words, b.v[seen])]
+            of_v = np.where(b.v_at < 0, n_starts, total[b.v_at]).astype(float)
             alpha, below = log_alpha(sums, of_v)
             lower = np.log10(uni.p(total))
             own = np.log10(np.where(c <= GT_MAX, d2[np.minimum(c, GT_MAX)], 1.0) * np.maximum(c, 1) / np.maximum(below, 1))
-            p = np.where(c > 0, own, alpha + lower[np.searchsorted(b.words, b.w)])[b.bigram_at]
+            p = np.where(c > 0, own, alpha + lower[b.w_at])[b.bigram_at]
             of_token = total[b.word_at]
             at = b.first[:-1]
             out[0] += b.ids

@@ -1,16 +1,18 @@
 """Fuzzy line deduplication (MinHash over character shingles), DataFrame functions only.
 
 1. Every non-blank line, trimmed and lower-cased, is keyed by two 64-bit hashes; equal lines are
-   one class, represented by their first occurrence (document id, line number).
-2. A line's signature has ``VALUES`` MinHash values of its character shingles of length
+   one class.
+2. A class's signature has ``VALUES`` MinHash values of its character shingles of length
    ``SIGNATURE_CHARS`` that start at word starts (in scripts written without spaces, at every
    character): the smallest and largest of the shingles' hashes under each seed. Bands of two
-   values make candidate lists: two lines whose signature shingles are 0.7 alike share a band
-   with probability over 0.98, at 0.8 over 0.99.
+   values make candidate lists, pairs that share ``SHARED_BANDS`` or more are candidates: two
+   lines whose signature shingles are 0.75 alike are candidates with probability 0.98 or more.
 3. Candidates are verified exactly: the Jaccard similarity of the sets of all ``SHINGLE_CHARS``
-   character shingles (a shorter line is one shingle) is at least ``threshold``. The members
-   of a list are compared with its first line, then only pairs still in different components.
-4. Distributed union-find gives the components; of each, the first line stays.
+   character shingles (a shorter line is one shingle) is at least ``threshold``. Each line is first
+   compared with the list leader it shares most bands with, then only pairs still in different
+   components are.
+4. Distributed union-find gives the components; of each, the first line (document id, line number)
+   stays.
 
 Defined cases: blank lines are never removed; null texts stay null and texts without duplicate
 lines stay as they are; documents with a null id take no part and stay as they are; rows that
@@ -29,56 +31,48 @@ from merchantry.session import materialize
 SHINGLE_CHARS = 5
 SIGNATURE_CHARS = 8
 THRESHOLD = 0.8
+SHARED_BANDS = 2
 #: The hashes themselves give the first two signature values, each seed two more.
 SEEDS = [0x1D872B41A3C5F60B, 0x5E2F94C7B80D6A39, 0x3A61D0E97F4B82C5]
 VALUES = 2 * len(SEEDS) + 2
-_ANCHOR = r"(?<![^\s⺀-￿])(?=(\S.{0,%d}))"
 #: Bands: pairs of signature values (even numbers are smallest, odd ones largest hashes).
 BANDS = [(0, 2), (1, 3), (4, 6), (5, 7), (0, 5), (1, 4), (2, 7), (3, 6)]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line): non-blank lines, trimmed and lower-cased."""
+    """(doc_id, pos, line, h1, h2): non-blank lines, trimmed and lower-cased."""
     return (docs.filter(F.col("doc_id").isNotNull())
             .select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-            .withColumn("line", F.lower(F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))))
-            .filter(F.col("line") != ""))
-
-
-def _signed(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``v0``, ``v1``...: the signature values. The hashes are a column of their
-    own, so that they are computed once."""
-    grams = F.regexp_extract_all("line", F.lit(_ANCHOR % (SIGNATURE_CHARS - 1)), 1)
-    hashed = lines.withColumn("signed0", F.transform(grams, lambda g: F.xxhash64(g)))
-    values = {"v0": F.array_min("signed0"), "v1": F.array_max("signed0")}
-    for k, seed in enumerate(SEEDS, start=1):
-        flip = F.lit(seed)
-        hashed = hashed.withColumn(f"signed{k}", F.transform("signed0", lambda x: x.bitwiseXOR(flip)))  # noqa: B023
-        values |= {f"v{2 * k}": F.array_min(f"signed{k}"), f"v{2 * k + 1}": F.array_max(f"signed{k}")}
-    return hashed.withColumns(values).drop(*[f"signed{k}" for k in range(len(SEEDS) + 1)])
-
-
-def _shingled(lines: DataFrame, size: int = SHINGLE_CHARS) -> DataFrame:
-    """``lines`` with ``grams``: the hashes of the line's distinct character shingles."""
-    grams = F.regexp_extract_all("line", F.lit(r"(?s)(?=(.{%d}))" % size), 1)
-    hashes = F.array_distinct(F.transform("g", lambda g: F.xxhash64(g)))
-    return lines.withColumn("g", grams).withColumn(
-        "grams", F.when(F.size("g") == 0, F.array(F.xxhash64("line"))).otherwise(hashes)).drop("g")
+            .withColumn("line", F.lower(F.btrim("line", F.lit(" \t\r\x0b\x0c\xa0"))))
+            .filter(F.col("line") != "")
+            .withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")}))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """(node, chars, v0, v1, ...) per class of equal lines, ``node`` being its two keys. Shingles are
+    rows that a hash aggregate takes in at once, before anything is shuffled."""
+    spaced = F.octet_length("line") <= 1.5 * F.char_length("line")
+    words = F.when(spaced, F.split("line", " ")).otherwise(F.split("line", r" |(?<=[\u2E80-\uFFFF])"))
+    at = (lines.select("h1", "h2", F.char_length("line").alias("chars"), words.alias("words"))
+          .select("*", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("i")))
+    gram = F.substring(F.concat(F.get("words", F.col("i")), F.lit(" "), F.coalesce(F.get("words", F.col("i") + 1), F.lit(""))),
+                       1, SIGNATURE_CHARS)
+    hashed = at.select("h1", "h2", "chars", F.xxhash64(gram).alias("g"))
+    values = []
+    for k, seed in enumerate([0, *SEEDS]):
+        g = F.col("g").bitwiseXOR(F.lit(seed))
+        values += [F.min(g).alias(f"v{2 * k}"), F.max(g).alias(f"v{2 * k + 1}")]
+    return (hashed.groupBy("h1", "h2").agg(F.max("chars").alias("chars"), *values)
+            .withColumn("node", F.struct("h1", "h2")).drop("h1", "h2"))
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(band, node, chars): members of every band that has two or more lines."""
+    """(band, node, chars, leader): members of every band that has two or more lines."""
     keys = F.array(*[F.xxhash64(F.lit(i), f"v{a}", f"v{b}") for i, (a, b) in enumerate(BANDS)])
-    rows = classes.select("node", "chars", F.explode(keys).alias("band"))
-    return rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("m > 1").drop("m")
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    a = sets.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-    b = sets.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    return (pairs.join(a, "a").join(b, "b").withColumn("i", both)
-            .filter(F.col("i") >= threshold * (F.size("ga") + F.size("gb") - F.col("i"))).select("a", "b"))
+    in_band = Window.partitionBy("band")
+    return (classes.select("node", "chars", F.explode(keys).alias("band"))
+            .withColumns({"m": F.count(F.lit(1)).over(in_band), "leader": F.min("node").over(in_band)})
+            .filter("m > 1").drop("m"))
 
 
 def _near(a: str, b: str, threshold: float) -> Column:
@@ -87,50 +81,66 @@ def _near(a: str, b: str, threshold: float) -> Column:
     return F.least(a, b) >= 0.5 * threshold * F.greatest(a, b)
 
 
-def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, roots): ``occurrences`` (doc_id, pos, h1, h2) has every non-blank line;
-    ``roots`` (h1, h2, root) maps each class to the first line (doc_id, pos) of its component."""
-    lines = lines_of(docs)
-    keyed = lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line"),
-                               "chars": F.char_length("line")})
-    values = [f"v{i}" for i in range(VALUES)]
-    classes = materialize(
-        _signed(keyed).groupBy("h1", "h2").agg(
-            F.min(F.struct("doc_id", "pos")).alias("node"), F.max("chars").alias("chars"),
-            *[F.min(v).alias(v) for v in values]), "line_classes")
+def _shingles(line: Column, size: int = SHINGLE_CHARS) -> Column:
+    """Hashes of all character shingles; every character is four bytes here, so a slice costs
+    the same anywhere in a line."""
+    wide = F.encode(line, "utf-32")
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length(line) - size, F.lit(0)))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * size)))))
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose lines are alike, by exact Jaccard similarity."""
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node.*"), "line_ends")
+    texts = (by_ids(lines_of(docs), ends, key=["h1", "h2"]).groupBy("h1", "h2").agg(F.first("line").alias("line"))
+             .select(F.struct("h1", "h2").alias("node"), "line"))
+    texts = materialize(texts, "line_texts")
+    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b"))
+    sets = both.select("a", "b", _shingles(F.col("la")).alias("ga"), _shingles(F.col("lb")).alias("gb"))
+    shared = sets.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("i"), (F.size("ga") + F.size("gb")).alias("n"))
+    return shared.filter(F.col("i") >= threshold * (F.col("n") - F.col("i"))).select("a", "b")
+
+
+def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component) of the lines that are near another line; ``node`` is the struct of a
+    line's keys ``h1, h2``."""
+    classes = signatures(lines_of(docs))
     bands = materialize(_bands(classes), "line_bands")
-    nodes = materialize(bands.select("node").distinct(), "line_nodes")
-    wanted = lines.withColumn("node", F.struct("doc_id", "pos"))
-    sets = materialize(_shingled(by_ids(wanted, nodes, key="node")).select("node", "grams")
-                       .dropDuplicates(["node"]), "line_sets")
-
-    first = materialize(bands.groupBy("band").agg(F.min(F.struct("node", "chars")).alias("l")), "band_leaders")
-    star = (bands.join(first, "band").filter(F.col("node") != F.col("l.node"))
-            .select(F.col("node").alias("a"), F.col("l.node").alias("b")).distinct())
-    found = materialize(_verify(star, sets, threshold), "line_links")
+    # every line with the leader it shares most bands with
+    star = (bands.filter(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("m"))
+            .filter(F.col("m") >= SHARED_BANDS).groupBy("node").agg(F.max_by("leader", "m").alias("leader"))
+            .select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    star = materialize(star, "line_pairs")
+    found = materialize(_verify(star, docs, threshold), "line_links")
     comp = connected_components(found)
-    named = (bands.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    split = (named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .filter(F.col("lo") != F.col("hi")).select("band"))
-    rest = materialize(named.join(split, "band", "left_semi"), "split_bands")
-    x = rest.select("band", F.col("node").alias("a"), F.col("chars").alias("na"), F.col("component").alias("ca"))
-    y = rest.select("band", F.col("node").alias("b"), F.col("chars").alias("nb"), F.col("component").alias("cb"))
-    cross = (x.join(y, "band").filter((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")))
-             .filter(_near("na", "nb", threshold)).select("a", "b").distinct().join(star, ["a", "b"], "left_anti"))
-    more = materialize(_verify(cross, sets, threshold), "line_cross_links")
-    whole = connected_components(found.unionByName(more))
-    roots = (classes.select("h1", "h2", "node").join(whole, "node", "left")
-             .select("h1", "h2", F.coalesce("component", "node").alias("root")))
-    return keyed.select("doc_id", "pos", "h1", "h2"), materialize(roots, "line_roots")
+    named = bands.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = materialize(named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
+                        .groupBy("band").agg(F.max_by("component", "m").alias("main"), F.count(F.lit(1)).alias("parts"))
+                        .filter("parts > 1").select("band", "main"), "split_keys")
+    rest = materialize(named.join(split, "band").select("band", "node", "chars", "component", "main"), "split_bands")
+    # one side of a pair is outside the band's largest component
+    x, y = (rest.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "chars", "component", "main")]) for s in "ab")
+    cross = (x.filter(F.col("component_a") != F.col("main_a")).join(y, "band")
+             .filter((F.col("component_a") != F.col("component_b")) & _near("chars_a", "chars_b", threshold))
+             .select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"), "band").distinct()
+             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= SHARED_BANDS).select("a", "b"))
+    more = materialize(_verify(materialize(cross, "line_cross_pairs"), docs, threshold), "line_cross_links")
+    return connected_components(found.unionByName(more))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` (needs doc_id, text) with ``text`` without the duplicate lines, plus
     ``lines_removed`` (array of line numbers from 0, empty if none). An input column of that
     name is replaced."""
-    occurrences, roots = line_components(docs.select("doc_id", "text"), threshold)
-    gone = (occurrences.join(roots, ["h1", "h2"])
-            .filter(~(F.struct("doc_id", "pos") == F.col("root")))
+    own = docs.select("doc_id", "text")
+    comp = line_components(own, threshold).select("node.h1", "node.h2", "component")
+    roots = F.coalesce("component", F.struct("h1", "h2"))
+    placed = materialize(lines_of(own).select("doc_id", "pos", "h1", "h2").join(comp, ["h1", "h2"], "left")
+                         .select("doc_id", "pos", roots.alias("root")), "line_places")
+    first = materialize(placed.groupBy("root").agg(F.min(F.struct("doc_id", "pos")).alias("kept"), F.count(F.lit(1)).alias("m"))
+                        .filter("m > 1").drop("m"), "first_lines")
+    gone = (placed.join(first, "root").filter(F.struct("doc_id", "pos") != F.col("kept"))
             .groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("lines_removed")))
     gone = materialize(gone, "lines_removed")
     total = gone.agg(F.sum(F.size("lines_removed") + 2)).first()[0] or 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1 << 21        # at most 2 million ids (16 MB of longs) are broadcast
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, keep: bool = True, key: str = "doc_id") -> DataFrame:
+def by_ids(docs: DataFrame, ids: DataFrame, keep: bool = True, key: str | list[str] = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose ``key`` is (or, with ``keep`` false, is not) in ``ids``. The ids'
     number is counted: up to BROADCAST_IDS they are broadcast, beyond that the join shuffles.
     Rows with a null key are never in ``ids``."""
