@@ -6,7 +6,7 @@
    ``SIGNATURE_CHARS`` that start at word starts (in scripts written without spaces, at every
    character): the smallest and largest of the shingles' hashes under each seed. Bands of two
    values make candidate lists, pairs that share ``SHARED_BANDS`` or more are candidates: two
-   lines whose signature shingles are 0.75 alike are candidates with probability 0.98 or more.
+   lines whose signature shingles are 0.75 alike are candidates with probability 0.93, at 0.85 0.99.
 3. Candidates are verified exactly: the Jaccard similarity of the sets of all ``SHINGLE_CHARS``
    character shingles (a shorter line is one shingle) is at least ``threshold``. Each line is first
    compared with the list leader it shares most bands with, then only pairs still in different
@@ -81,25 +81,27 @@ def _near(a: str, b: str, threshold: float) -> Column:
     return F.least(a, b) >= 0.5 * threshold * F.greatest(a, b)
 
 
-def _shingles(line: Column, size: int = SHINGLE_CHARS) -> Column:
-    """Hashes of all character shingles; every character is four bytes here, so a slice costs
-    the same anywhere in a line."""
-    wide = F.encode(line, "utf-32")
-    starts = F.sequence(F.lit(0), F.greatest(F.char_length(line) - size, F.lit(0)))
+def _shingles(wide: str, size: int = SHINGLE_CHARS) -> Column:
+    """Hashes of all character shingles of UTF-32 text, in which a slice costs the same anywhere."""
+    starts = F.sequence(F.lit(0), F.greatest((F.octet_length(wide) / 4).cast("int") - size, F.lit(0)))
     return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * size)))))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose lines are alike, by exact Jaccard similarity."""
     ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node.*"), "line_ends")
+    # the UTF-32 text is written, so that it is not computed anew for each of its shingles
     texts = (by_ids(lines_of(docs), ends, key=["h1", "h2"]).groupBy("h1", "h2").agg(F.first("line").alias("line"))
-             .select(F.struct("h1", "h2").alias("node"), "line"))
+             .select(F.struct("h1", "h2").alias("node"), F.encode("line", "utf-32").alias("wide")))
     texts = materialize(texts, "line_texts")
-    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b"))
-    sets = both.select("a", "b", _shingles(F.col("la")).alias("ga"), _shingles(F.col("lb")).alias("gb"))
-    shared = sets.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("i"), (F.size("ga") + F.size("gb")).alias("n"))
-    return shared.filter(F.col("i") >= threshold * (F.col("n") - F.col("i"))).select("a", "b")
+    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b"))
+    # explode of one element: filters on its result are not pushed below it, which would compute the
+    # sets once for every mention
+    sets = both.select("a", "b", F.explode(F.array(F.struct(_shingles("wa").alias("a"), _shingles("wb").alias("b")))).alias("s"))
+    counts = F.struct(F.size(F.array_intersect("s.a", "s.b")).alias("i"), (F.size("s.a") + F.size("s.b")).alias("n"))
+    shared = sets.select("a", "b", F.explode(F.array(counts)).alias("c"))
+    return shared.filter(F.col("c.i") * (1 + threshold) >= threshold * F.col("c.n")).select("a", "b")
 
 
 def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
