@@ -51,7 +51,8 @@ def category_ok(pred, gold) -> Column:
 
 
 def merchant_ok(pred, gold, cat_ok=None) -> Column:
-    """False on null gold; normalised equality; or the gold's parent brand when it is
+    """False on null gold; normalised equality (of the names themselves where nothing is left
+    of them, as in other scripts; a missing prediction is never right); or the gold's parent brand when it is
     the same line of business or the category is right. A child is never credited
     for its parent."""
     p, g = norm_merchant(pred), norm_merchant(gold)
@@ -59,7 +60,8 @@ def merchant_ok(pred, gold, cat_ok=None) -> Column:
     ok_parent = (par.isNotNull() & (p == norm_merchant(par))
                  & (F.coalesce(same_line(gold), F.lit(False))
                     | (F.coalesce(cat_ok, F.lit(False)) if cat_ok is not None else F.lit(False))))
-    return F.when(_c(gold).isNull(), F.lit(False)).otherwise((p == g) | ok_parent)
+    return F.when(_c(gold).isNull(), F.lit(False)).otherwise(
+        ((p == g) & ((g != "") | F.coalesce(_c(pred) == _c(gold), F.lit(False)))) | ok_parent)
 
 
 def accepted_names(gold, aliases=None) -> Column:

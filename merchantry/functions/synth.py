@@ -90,12 +90,13 @@ def refund_flip(dirn, key: Column, rate=K.REFUND_RATE) -> Column:
 
 
 def customer_code(n: Column) -> Column:
-    """``C%05d``."""
-    return F.concat(F.lit("C"), F.lpad(n.cast("string"), 5, "0"))
+    """``C%05d``; longer numbers keep all their digits."""
+    return F.format_string("C%05d", n.cast("bigint"))
 
 
 def txn_code(n: Column) -> Column:
-    return F.concat(F.lit("T"), F.lpad(n.cast("string"), 8, "0"))
+    """``T%08d``; longer numbers keep all their digits."""
+    return F.format_string("T%08d", n.cast("bigint"))
 
 
 def with_noisy_descriptor(df, text: str, key: str):

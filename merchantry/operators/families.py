@@ -3,9 +3,7 @@
 Edges: a -> b when tokens(a) is a subset of tokens(b). Instead of comparing all pairs,
 each name is joined only on its rarest token (any superset must contain it), then the
 subset test runs on the candidates. One-word names contained in >= 3 others are hubs
-and do not link. Components come from iterative min-label propagation; every round is
-written under the checkpoint directory and the loop stops when no label
-changes.
+and do not link. Components come from alternating large-star and small-star rounds.
 """
 from __future__ import annotations
 
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 
 from merchantry import constants as K
 from merchantry.functions.text import name_tokens
+from merchantry.operators import components
 
 
 def name_token_table(names: DataFrame, col: str = "name") -> DataFrame:
@@ -45,39 +44,16 @@ def containment_edges(names: DataFrame, col: str = "name") -> DataFrame:
             .select("a", "b"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, checkpoint: bool = True) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, family) where family = the smallest name of the component.
-    ``nodes`` has ``name``; ``edges`` has (a, b), treated as undirected. Rounds of
-    min-label propagation run until no label changes (no round cap: stopping early
-    would split components). With ``checkpoint`` every round is written under the
-    checkpoint directory, which cuts the lineage and survives executor loss."""
-    und = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    und = und.distinct().persist()
-    labels = nodes.select("name").distinct().withColumn("family", F.col("name"))
-    if checkpoint:
-        from merchantry.session import materialize
-        keep = lambda df, i: materialize(df, f"families_round{i}")
-    else:
-        keep = lambda df, i: df.cache()
-    labels = keep(labels, 0)
-    rnd = 0
-    while True:
-        rnd += 1
-        nb = (und.join(labels.withColumnRenamed("name", "a"), "a")
-              .groupBy(F.col("b").alias("name")).agg(F.min("family").alias("_nf")))
-        nf = F.coalesce(F.col("_nf"), F.col("family"))
-        # one written table per round carries the labels and whether they moved
-        cand = keep(labels.join(nb, "name", "left")
-                    .select("name", F.least("family", nf).alias("family"), (nf < F.col("family")).alias("_chg")),
-                    rnd)
-        changed = cand.filter("_chg").limit(1).count()
-        labels = cand.drop("_chg")
-        if changed == 0:
-            break
-    return labels
-
-
-def brand_families(merchants: DataFrame, col: str = "name", checkpoint: bool = True) -> DataFrame:
+    ``nodes`` has ``name``; ``edges`` has (a, b), treated as undirected. The rounds grow with the
+    logarithm of the longest chain (``operators/components.py``)."""
+    found = components.connected_components(edges).select(F.col("node").alias("name"), F.col("component").alias("family"))
+    return (nodes.select("name").distinct().join(found, "name", "left")
+            .select("name", F.coalesce("family", "name").alias("family")))
+
+
+def brand_families(merchants: DataFrame, col: str = "name") -> DataFrame:
     """Merchant -> family key (smallest name in its family) from containment edges
     plus the explicit family links present in the list."""
     names = merchants.select(F.col(col).alias("name")).filter(F.col("name").isNotNull()).distinct()
@@ -86,7 +62,7 @@ def brand_families(merchants: DataFrame, col: str = "name", checkpoint: bool = T
     links = spark.createDataFrame(K.FAMILY_LINKS, "a string, b string")
     links = (links.join(names.withColumnRenamed("name", "a"), "a", "left_semi")
              .join(names.withColumnRenamed("name", "b"), "b", "left_semi").select("a", "b"))
-    return connected_components(names, edges.unionByName(links), checkpoint=checkpoint)
+    return connected_components(names, edges.unionByName(links))
 
 
 def family_sizes(fam: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from merchantry.functions.synth import direction
 from merchantry.functions.text import clean_description, derive_canonical, strip_processor_prefix
 from merchantry.operators.aggregates import global_majority, known_list, majority_category
 from merchantry.operators.fuzzy import fuzzy_top1, fuzzy_topk
+from merchantry.session import materialize
 
 PRED_COLS = ["txn_id", "canonical_merchant", "category", "direction"]
 
@@ -87,7 +88,7 @@ class RulesRoute(Route):
             d = d.join(best.select("query", F.col("name").alias("_match")), "query", "left")
         d = (d.withColumn("canonical_merchant", F.coalesce("_match", "_fallback"))
              .withColumn("no_match", F.col("_match").isNull()))
-        d = (d.join(self.mcc_prior, "mcc", "left")
+        d = (d.join(F.broadcast(self.mcc_prior), "mcc", "left")        # at most 10,000 codes of four digits
              .join(self.label_prior.withColumnRenamed("label", "canonical_merchant"),
                    "canonical_merchant", "left"))
         cat = F.coalesce("_mcc_cat", "_label_cat", F.lit(self.default))
@@ -121,18 +122,27 @@ def call_model(df: DataFrame, key_col: str, fn: Callable[[list[str]], list[str]]
     return distinct.mapInPandas(run, f"{key_col} string, {out_col} string")
 
 
+def allowed_categories(train_gold: DataFrame, given=None) -> list[str]:
+    """The given categories, else the sorted labels of the train rows (a label set)."""
+    if given is not None:
+        return list(given)
+    rows = train_gold.select("category").filter("category is not null").distinct().orderBy("category").collect()
+    return [r[0] for r in rows] or list(K.CATEGORIES)
+
+
 class GeneratorRoute(Route):
     """Prompt (B23) -> model function -> JSON reply (B24) -> guards."""
     name = "generator"
 
     def __init__(self, chat_fn, prompt_fn=None, strip_prefix: bool = True, name: str | None = None,
-                 categories=K.CATEGORIES):
+                 categories=None):
         self.chat_fn, self.prompt_fn = chat_fn, prompt_fn
-        self.strip_prefix, self.categories = strip_prefix, list(categories)
+        self.strip_prefix, self._given = strip_prefix, categories
         if name:
             self.name = name
 
     def fit(self, train_feed, train_gold):
+        self.categories = allowed_categories(train_gold, self._given)
         row = global_majority(train_gold).first()
         self.default = row[0] if row else K.DEFAULT_CATEGORY
         return self
@@ -142,7 +152,7 @@ class GeneratorRoute(Route):
         text = strip_processor_prefix("description") if self.strip_prefix else F.col("description")
         d = feed.select("txn_id", "amount", text.alias("_text"))
         d = d.withColumn("prompt", (self.prompt_fn or build_prompt)(F.col("_text"), self.categories))
-        replies = call_model(d, "_text", self.chat_fn, payload_col="prompt")
+        replies = materialize(call_model(d, "_text", self.chat_fn, payload_col="prompt"), "replies")
         parsed = replies.withColumn("_p", parse_response("reply"))
         d = d.join(parsed.select("_text", "_p"), "_text", "left")
         return d.select(
@@ -154,19 +164,23 @@ class GeneratorRoute(Route):
 
 class ChoiceRoute(Route):
     """Choice model picks a category and (optionally) one of the top-k merchant
-    candidates or ``none_of_these``; R7 sends ``none`` rows to a generator."""
+    candidates; anything that was not offered is ``none`` and keeps the cleaned text. Without
+    candidates the merchant is the rules matcher's. R7 sends ``none`` rows to a generator."""
     name = "choice"
 
     def __init__(self, call_fn, with_candidates: bool = True, fallback: GeneratorRoute | None = None,
-                 categories=K.CATEGORIES, k: int = K.TOP_K):
+                 categories=None, k: int = K.TOP_K):
         self.call_fn, self.with_candidates, self.fallback = call_fn, with_candidates, fallback
-        self.categories, self.k = list(categories), k
+        self._given, self.k = categories, k
 
     def fit(self, train_feed, train_gold):
         train_gold = with_gold_defaults(train_gold)
         j = train_feed.select("txn_id").join(
             train_gold.select("txn_id", "canonical_merchant", "txn_type"), "txn_id")
         self.names = known_list(j).filter(F.col("kind") == "merchant")
+        self.categories = allowed_categories(train_gold, self._given)
+        if not self.with_candidates:
+            self.rules = RulesRoute().fit(train_feed, train_gold)
         row = global_majority(train_gold).first()
         self.default = row[0] if row else K.DEFAULT_CATEGORY
         if self.fallback is not None:
@@ -180,26 +194,29 @@ class ChoiceRoute(Route):
         if self.with_candidates:
             d = d.join(candidates(feed, self.names, self.k), "txn_id", "left")
         else:
-            d = d.withColumn("candidates", F.array().cast("array<string>"))
+            matched = self.rules.transform(feed).select("txn_id", F.col("canonical_merchant").alias("_ruled"))
+            d = d.withColumn("candidates", F.array().cast("array<string>")).join(matched, "txn_id", "left")
         d = d.withColumn("request", F.to_json(choice_request(F.col("_state"), self.categories,
                                                              F.col("candidates"))))
-        replies = call_model(d, "description", self.call_fn, payload_col="request")
-        d = d.join(replies, "description", "left")
+        # one call per request: the request depends on the stripped text alone, and its reply is
+        # written, so that the branches below do not ask again
+        replies = materialize(call_model(d, "_state", self.call_fn, payload_col="request"), "replies")
+        d = d.join(replies, "_state", "left")
         c = parse_choice(F.col("reply"))
         d = (d.withColumn("_c", c)
-             .withColumn("none", F.col("_c.merchant.choice") == K.NONE_OPTION))
+             .withColumn("none", ~F.coalesce(F.array_contains("candidates", F.col("_c.merchant.choice")), F.lit(False))
+                         if self.with_candidates else F.lit(False)))
+        picked = F.col("_c.merchant.choice") if self.with_candidates else F.col("_ruled")
         out = d.select(
             "txn_id", "description", "amount", "candidates",
-            F.when(~F.coalesce("none", F.lit(False)),
-                   guard_merchant(F.col("_c.merchant.choice"), derive_canonical("_state")))
-            .alias("canonical_merchant"),
+            guard_merchant(F.when(~F.col("none"), picked), derive_canonical("_state")).alias("canonical_merchant"),
             guard_category(F.col("_c.category.choice"), self.categories, self.default).alias("category"),
             F.col("_c.merchant.confidence").alias("choice_confidence"),
             F.col("_c.merchant.p_choice").alias("choice_p_choice"),
             F.col("_c.merchant.p_none").alias("choice_p_none"),
             F.col("_c.category.confidence").alias("choice_category_confidence"),
             F.col("_c.input_tokens").alias("choice_input_tokens"),
-            F.coalesce("none", F.lit(False)).alias("none"),
+            "none",
             direction("amount").alias("direction"))
         if self.fallback is None:
             return out.drop("description", "amount")

@@ -57,13 +57,13 @@ def split_random(df: DataFrame, seed: int = K.SEED, frac: float = 0.2, key: str
     return ranked.select(key, (F.col("_rank") >= F.lit(cut)).alias("is_eval"))
 
 
-def split_unseen(gold: DataFrame, frac: float = 0.2, checkpoint: bool = True) -> DataFrame:
+def split_unseen(gold: DataFrame, frac: float = 0.2) -> DataFrame:
     """brand-disjoint split ``(txn_id, is_eval)``. Every merchant of a brand family
     goes to the side its family key hashes to (B12 on the key); merchant-less rows hash
     by their own txn_id."""
     merchants = gold.select(F.col("canonical_merchant").alias("name")).filter(
         F.col("name").isNotNull()).distinct()
-    fam = brand_families(merchants, checkpoint=checkpoint).select(
+    fam = brand_families(merchants).select(
         F.col("name").alias("canonical_merchant"), in_eval("family", frac).alias("_fam_eval"))
     g = gold.select("txn_id", "canonical_merchant").join(fam, "canonical_merchant", "left")
     return g.select("txn_id", F.when(F.col("canonical_merchant").isNull(), in_eval("txn_id", frac))

@@ -58,6 +58,7 @@ def zipf_pick(df: DataFrame, n_col: str, key: Column, out: str, table: DataFrame
 
 
 # ---------------------------------------------------------------- local merchants
+MAX_OVERSAMPLE = 256
 LOCAL_CATEGORIES = [c for c in K.CATEGORIES if c in K.LOCAL_NOUNS]
 
 
@@ -75,7 +76,18 @@ def local_merchants(spark: SparkSession, source_labels: DataFrame, n: int = K.LO
     categories. Candidates come from templates over word lists, picked by hash of
     (seed, category, i); a name sharing any token with a source label is rejected
     (G6 as an anti join on exploded tokens); duplicates keep the smallest i.
-    ``source_labels`` has one column ``label``."""
+    ``source_labels`` has one column ``label``. The candidate pool grows until every quota
+    is met; if even the largest pool can't meet it, a ValueError is raised."""
+    while True:
+        found = _local_pool(spark, source_labels, n, seed, oversample)
+        if found.count() == n:
+            return found
+        if oversample >= MAX_OVERSAMPLE:
+            raise ValueError(f"the vocabulary gives fewer than {n} local merchants that share no word with a label")
+        oversample *= 4
+
+
+def _local_pool(spark: SparkSession, source_labels: DataFrame, n: int, seed: int, oversample: int) -> DataFrame:
     kc = len(LOCAL_CATEGORIES)
     per = n // kc + 1
     m = per * oversample
@@ -156,10 +168,12 @@ def hard_descriptors(d: DataFrame, zipf_loc: DataFrame) -> DataFrame:
                          F.ceil(F.col("_cnt") / F.lit(K.LOCATIONS_ROWS_PER))).cast("bigint"))
     d = zipf_pick(d, "_nloc", hkey("loc", F.col("txn_id")), "location", zipf_loc)
     # the first row of a (name, location) fixes its text (merged labels can differ)
+    # and its noise, which is drawn once for the pair and joined to its rows
     rep = d.groupBy("name", "location").agg(F.min_by("text", "row_id").alias("_text"))
-    d = d.join(rep, ["name", "location"], "left")
-    d = d.withColumn("_nkey", F.concat_ws("|", F.col("name"), F.col("location").cast("string")))
-    return S.with_noisy_descriptor(d, "_text", "_nkey").drop("_cnt", "_nloc", "_nkey", "_text")
+    rep = rep.withColumn("_nkey", F.concat_ws("|", F.col("name"), F.col("location").cast("string")))
+    rep = S.with_noisy_descriptor(rep, "_text", "_nkey").drop("_nkey", "_text")
+    own = [c for c in d.columns if c not in ("description", "noise_abbrev", "noise_trunc", "_cnt", "_nloc")]
+    return d.select(*own).join(rep, ["name", "location"], "left")
 
 
 N_CUSTOMERS = 1500
@@ -168,12 +182,16 @@ SYNTH_YEAR = 2026
 
 def complete_raw(raw: DataFrame, seed: int = K.SEED, n_customers: int = N_CUSTOMERS) -> DataFrame:
     """Fill what a bare labelled set (description, category, country, currency) lacks:
-    ``row_id`` (file order), ``customer_no`` (hash pick in [0, n_customers)),
+    ``row_id`` (a hash of the row and of its number among equal rows, so it does not depend on
+    how the set is split into files), ``customer_no`` (hash pick in [0, n_customers)),
     ``amount_abs`` (B17 lognormal by category) and ``posted_date`` (day 1-28, month
     1-12 of SYNTH_YEAR from hash draws)."""
     d = raw
     if "row_id" not in d.columns:
-        d = d.withColumn("row_id", F.monotonically_increasing_id())
+        content = F.xxhash64(*[F.col(c) for c in raw.columns])
+        d = (d.withColumn("_row", content)
+             .withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
+             .withColumn("row_id", F.pmod(F.xxhash64("_row", "_nth"), F.lit(1 << 62))).drop("_row", "_nth"))
     key = lambda tag: hkey(str(seed), tag, F.col("row_id"))
     if "customer_no" not in d.columns:
         d = d.withColumn("customer_no", pick(key("customer"), n_customers))

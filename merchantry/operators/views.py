@@ -30,11 +30,12 @@ class Views(NamedTuple):
     stats: DataFrame
 
 
-def build_views(feed: DataFrame, gold: DataFrame, membership: DataFrame, cap: int = 5000,
+def build_views(feed: DataFrame, gold: DataFrame, membership: DataFrame, cap: int | None = None,
                 seed: int = K.SEED, labelled_feed: DataFrame | None = None) -> Views:
     """F7 + F8 for one split. ``membership`` is (txn_id, is_eval). ``labelled_feed``
     (feed rows already carrying gold columns) spares the feed/gold join for the
-    conflict set."""
+    conflict set. Without ``cap`` the model view has every descriptor; with it, the rows of
+    the others are missing from the views too (``stats``: model_view_n against capped_n)."""
     ev = membership.filter("is_eval").select("txn_id")
     tf = feed.join(ev, "txn_id", "left_anti")
     tg = gold.join(ev, "txn_id", "left_anti")

@@ -98,7 +98,7 @@ def feed_ctes(hard: bool = True) -> str:
     merchant, txn_type = Q.gold_merchant_sql("canonical", "category")
     ctes = _raw_ctes()
     ctes += [
-        f"""_base0 AS (SELECT *, 'T' || lpad(row_id::VARCHAR, 8, '0') AS txn_id,
+        f"""_base0 AS (SELECT *, printf('T%08d', row_id::BIGINT) AS txn_id,
               {Q.derive_canonical('transaction_description')} AS canonical FROM raw)""",
         f"_base AS (SELECT *, {merchant} AS merchant, {txn_type} AS txn_type FROM _base0)",
     ]
@@ -149,7 +149,7 @@ def feed_ctes(hard: bool = True) -> str:
         f"""_f AS (SELECT *, {Q.refund_flip(f'({dirn0})', hkey(SEED, 'refund', Sql('txn_id')))} AS direction,
               {Q.weighted_choice('category', uniform(hkey(SEED, 'pm', Sql('txn_id'))))} AS payment_method
             FROM {prev})""",
-        f"""feed AS (SELECT txn_id, 'C' || lpad(customer_no::VARCHAR, 5, '0') AS customer_id, description,
+        f"""feed AS (SELECT txn_id, printf('C%05d', customer_no::BIGINT) AS customer_id, description,
               {Q.type_code('payment_method', 'direction')} AS transaction_type_code,
               {Q.noisy_mcc('category', hkey(SEED, 'mcc', Sql('txn_id')))} AS mcc,
               CASE WHEN direction = 'incoming' THEN amount_abs ELSE -amount_abs END AS amount,

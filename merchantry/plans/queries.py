@@ -462,7 +462,7 @@ def q_f5(spark, sf_dir):
     return SP.split_unseen(fg(spark, sf_dir)[1])
 
 
-def _views_sql(mem_sql: str, cap: int = 5000) -> list[str]:
+def _views_sql(mem_sql: str) -> list[str]:
     return [
         mem_sql,
         "tf AS (SELECT f.* FROM feed f JOIN mem m USING (txn_id) WHERE NOT m.is_eval)",
@@ -475,7 +475,7 @@ def _views_sql(mem_sql: str, cap: int = 5000) -> list[str]:
              AND description NOT IN (SELECT description FROM conf))""",
         "reps AS (SELECT description, min(txn_id) AS txn_id FROM miss GROUP BY description)",
         "pool AS (SELECT m.* FROM miss m JOIN reps r USING (description, txn_id))",
-        f"model AS (SELECT * FROM pool ORDER BY {ORDER_U}, txn_id LIMIT {cap})",
+        "model AS (SELECT * FROM pool)",
         """trep AS (SELECT t.description, min(t.txn_id) AS rep_txn_id,
              arg_min({'m': g.canonical_merchant, 'c': g.category}, t.txn_id) AS r
              FROM tf t JOIN gold g USING (txn_id) WHERE t.description NOT IN (SELECT description FROM conf)

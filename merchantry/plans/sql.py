@@ -153,7 +153,8 @@ def same_line(g: str) -> str:
 
 def merchant_ok(p: str, g: str, cat_ok: str = "FALSE") -> str:
     par = parent_of(g)
-    return (f"(CASE WHEN {g} IS NULL THEN FALSE ELSE ({norm_merchant(p)} = {norm_merchant(g)}) "
+    return (f"(CASE WHEN {g} IS NULL THEN FALSE ELSE ({norm_merchant(p)} = {norm_merchant(g)} "
+            f"AND ({norm_merchant(g)} <> '' OR coalesce({p} = {g}, FALSE))) "
             f"OR ({par} IS NOT NULL AND {norm_merchant(p)} = {norm_merchant(par)} AND "
             f"(coalesce({same_line(g)}, FALSE) OR coalesce({cat_ok}, FALSE))) END)")
 

@@ -6,6 +6,7 @@ checkpoint directory is set here only when the session has none (tests, local ru
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,12 +36,15 @@ def local_session(cpus: int | str = "*", app: str = "merchantry", extra: dict |
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint dir; create a scratch one only if unset."""
+    """Return the session's checkpoint dir. Only a local session may have none: it gets a scratch
+    folder; on a cluster a machine-local folder would be unreadable elsewhere."""
     d = spark.sparkContext.getCheckpointDir()
     if d:
         return d
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="merchantry-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(conf)
     return spark.sparkContext.getCheckpointDir() or conf

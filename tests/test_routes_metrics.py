@@ -179,7 +179,7 @@ def test_generator_route_with_injected_model(spark):
     feed, gold = _train(spark)
     g = GeneratorRoute(_fake_chat).fit(feed, gold)
     out = _predict(spark, g, [("SQ *mcdonald's #12", None, -3.0)])
-    assert out["X0"]["canonical_merchant"] == "Mcdonald'S" and out["X0"]["category"] == "Shopping & Retail"
+    assert out["X0"]["canonical_merchant"] == "Mcdonald'S" and out["X0"]["category"] == "Food & Dining"
 
 
 from merchantry.plans.stand_in_models import first_candidate_chooser as _fake_choice  # noqa: E402
