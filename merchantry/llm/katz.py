@@ -124,7 +124,7 @@ class Unigrams:
 class Block:
     """Tokens of a run of documents and their distinct words and bigrams, by part."""
 
-    def __init__(self, ids, held, texts: list[str], parts: int, hot: np.ndarray):
+    def __init__(self, ids, held, texts: list[str], parts: int, hot: np.ndarray, name: int | None = None):
         self.ids, self.held, self.texts = ids, np.asarray(held, dtype=bool), texts
         ws = W.words_of(pa.array(texts, pa.string()), W.SPACE_SEPARATED)
         n = ws.counts()
@@ -138,9 +138,12 @@ class Block:
         self.history[self.first[:-1]] = START
         self.train = np.repeat(~self.held, self.n_tokens)
         self.parts, self.hot = parts, hot
-        ids_sum = sum(hash_id(i) for i in ids) & (2 ** 64 - 1)
+        self.name = self._digest() if name is None else name
+
+    def _digest(self) -> int:
+        ids_sum = sum(hash_id(i) for i in self.ids) & (2 ** 64 - 1)
         mixed = W.mix64(W.ngram_hashes(self.token, 1) + np.arange(len(self.token), dtype=np.uint64))
-        self.name = int((int(mixed.sum(dtype=np.uint64)) ^ ids_sum) >> 1)
+        return int((int(mixed.sum(dtype=np.uint64)) ^ ids_sum) >> 1)
 
     def word_parts(self) -> np.ndarray:
         """Sets ``words`` (distinct, sorted), ``word_at`` (of each token), ``word_count``."""
@@ -246,7 +249,7 @@ def _texts():
     """(block, ids, held, text): the documents of a block, texts compressed."""
     def run(it):
         import zstandard
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=1)
         for ids, held, texts in _runs(it, COLUMNS):
             b = Block(ids, held, texts, 1, np.zeros(0, np.uint64))
             raw = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -264,10 +267,7 @@ def _blocks(table: pa.Table, parts: int, hot: np.ndarray):
         raw = zstandard.ZstdDecompressor().decompress(row["text"], max_output_size=sum(row["bytes"]) + 1)
         ends = np.cumsum([0, *row["bytes"]])
         texts = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(ends[:-1], ends[1:])]
-        b = Block([None if i is None else i for i in row["ids"]], row["held"], texts, parts, hot)
-        if b.name != row["block"]:
-            b.name = row["block"]
-        yield b
+        yield Block(row["ids"], row["held"], texts, parts, hot, row["block"])
 
 
 def _answers(table: pa.Table) -> dict:

@@ -82,7 +82,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Personal data and shouting marks that a cleaning step edits: e-mail addresses, long numbers, "!!".
-MASKED = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|[0-9][0-9 ()-]{5,}[0-9]|!{2,}"
+MASKED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|[0-9][0-9 ()-]{5,}[0-9]|!{2,}"
 
 
 @register("op10_edited_token_counts")

@@ -51,6 +51,10 @@ class PieceCounter:
         self._seen: dict[str, int] = {}
         self.encoded_chars = 0
 
+    def counts(self, pieces: list[str]) -> list[int]:
+        found = list(map(self._seen.get, pieces))
+        return [self.count(p) if n is None else n for p, n in zip(pieces, found)] if None in found else found
+
     def count(self, piece: str) -> int:
         n = self._seen.get(piece)
         if n is None:
@@ -84,7 +88,7 @@ class SegmentTree:
         self._build(counter.pattern.findall(text))
 
     def _build(self, pieces: list[str], counts: list[int] | None = None):
-        counts = counts or [self.counter.count(p) for p in pieces]
+        counts = counts or self.counter.counts(pieces)
         self.leaves = [Leaf(pieces[i:i + CHUNK], counts[i:i + CHUNK])
                        for i in range(0, len(pieces), CHUNK)] or [Leaf([], [])]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
