@@ -68,13 +68,13 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
-def materialize(df, name: str):
-    """Write ``df`` as Parquet under the session's checkpoint directory (a shared folder
-    on a cluster) and read it back: this cuts the lineage, so later plans are small and
-    survive executor loss, and scans keep column pruning and filter pushdown."""
+def materialize(df, name: str, codec: str | None = None):
+    """Write ``df`` as Parquet (compressed by ``codec`` or as the session says) under the session's
+    checkpoint directory (a shared folder on a cluster) and read it back: this cuts the lineage, so
+    later plans are small and survive executor loss, and scans keep column pruning and filter pushdown."""
     import uuid
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=codec)
     return spark.read.parquet(path)
