@@ -4,13 +4,15 @@
    one class.
 2. A class's signature has ``VALUES`` MinHash values of its character shingles of length
    ``SIGNATURE_CHARS`` that start at word starts (in scripts written without spaces, at every
-   character): the smallest and largest of the shingles' hashes under each seed. Bands of two
-   values make candidate lists, pairs that share ``SHARED_BANDS`` or more are candidates: two
-   lines whose signature shingles are 0.75 alike are candidates with probability 0.93, at 0.85 0.99.
+   character): the smallest and largest of the shingles' hashes under each seed. Every band is
+   three values; the bands are the lines of a configuration in which any five of the eight values
+   hold a whole band, so pairs that agree in five are always candidates: two lines whose signature
+   shingles are 0.75 alike are candidates with probability 0.94, at 0.85 0.99.
 3. Candidates are verified exactly: the Jaccard similarity of the sets of all ``SHINGLE_CHARS``
    character shingles (a shorter line is one shingle) is at least ``threshold``. Each line is first
-   compared with the list leader it shares most bands with, then only pairs still in different
-   components are.
+   compared with the list leader it shares most bands with. Of the other pairs of a band only those
+   in different components are compared, unless an exact bound rules them out: ``SKETCH_WORDS``
+   words of parities of each set differ at most as often as the sets themselves.
 4. Distributed union-find gives the components; of each, the first line (document id, line number)
    stays.
 
@@ -31,12 +33,12 @@ from merchantry.session import materialize
 SHINGLE_CHARS = 5
 SIGNATURE_CHARS = 8
 THRESHOLD = 0.8
-SHARED_BANDS = 2
+SKETCH_WORDS = 8
 #: The hashes themselves give the first two signature values, each seed two more.
 SEEDS = [0x1D872B41A3C5F60B, 0x5E2F94C7B80D6A39, 0x3A61D0E97F4B82C5]
 VALUES = 2 * len(SEEDS) + 2
-#: Bands: pairs of signature values (even numbers are smallest, odd ones largest hashes).
-BANDS = [(0, 2), (1, 3), (4, 6), (5, 7), (0, 5), (1, 4), (2, 7), (3, 6)]
+#: Bands: triples of signature values (even numbers are smallest, odd ones largest hashes).
+BANDS = [(i, (i + 1) % VALUES, (i + 3) % VALUES) for i in range(VALUES)]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -49,85 +51,106 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(node, chars, v0, v1, ...) per class of equal lines, ``node`` being its two keys. Shingles are
+    """(node, v0, v1, ...) per class of equal lines, ``node`` being its two keys. Shingles are
     rows that a hash aggregate takes in at once, before anything is shuffled."""
     spaced = F.octet_length("line") <= 1.5 * F.char_length("line")
     words = F.when(spaced, F.split("line", " ")).otherwise(F.split("line", r" |(?<=[\u2E80-\uFFFF])"))
-    at = (lines.select("h1", "h2", F.char_length("line").alias("chars"), words.alias("words"))
+    at = (lines.select("h1", "h2", words.alias("words"))
           .select("*", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("i")))
     gram = F.substring(F.concat(F.get("words", F.col("i")), F.lit(" "), F.coalesce(F.get("words", F.col("i") + 1), F.lit(""))),
                        1, SIGNATURE_CHARS)
-    hashed = at.select("h1", "h2", "chars", F.xxhash64(gram).alias("g"))
+    hashed = at.select("h1", "h2", F.xxhash64(gram).alias("g"))
     values = []
     for k, seed in enumerate([0, *SEEDS]):
         g = F.col("g").bitwiseXOR(F.lit(seed))
         values += [F.min(g).alias(f"v{2 * k}"), F.max(g).alias(f"v{2 * k + 1}")]
-    return (hashed.groupBy("h1", "h2").agg(F.max("chars").alias("chars"), *values)
+    return (hashed.groupBy("h1", "h2").agg(*values)
             .withColumn("node", F.struct("h1", "h2")).drop("h1", "h2"))
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(band, node, chars, leader): members of every band that has two or more lines."""
-    keys = F.array(*[F.xxhash64(F.lit(i), f"v{a}", f"v{b}") for i, (a, b) in enumerate(BANDS)])
+    """(band, node, leader): members of every band that has two or more lines."""
+    keys = F.array(*[F.xxhash64(F.lit(i), *[f"v{k}" for k in band]) for i, band in enumerate(BANDS)])
     in_band = Window.partitionBy("band")
-    return (classes.select("node", "chars", F.explode(keys).alias("band"))
+    return (classes.select("node", F.explode(keys).alias("band"))
             .withColumns({"m": F.count(F.lit(1)).over(in_band), "leader": F.min("node").over(in_band)})
             .filter("m > 1").drop("m"))
 
 
-def _near(a: str, b: str, threshold: float) -> Column:
-    """A line's length bounds its shingles only loosely (they may repeat); this margin holds
-    for lines without long repetitions and saves comparisons of very different lines."""
-    return F.least(a, b) >= 0.5 * threshold * F.greatest(a, b)
+def _shingles(line: str) -> Column:
+    """The set of a line's character shingles: every match of one character that looks ahead."""
+    ahead = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE_CHARS}}}))."), F.lit(1))
+    return F.when(F.char_length(line) < SHINGLE_CHARS, F.array(line)).otherwise(F.array_distinct(ahead))
 
 
-def _shingles(wide: str, size: int = SHINGLE_CHARS) -> Column:
-    """Hashes of all character shingles of UTF-32 text, in which a slice costs the same anywhere."""
-    starts = F.sequence(F.lit(0), F.greatest((F.octet_length(wide) / 4).cast("int") - size, F.lit(0)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * size)))))
+def _texts(nodes: DataFrame, lines: DataFrame, name: str) -> DataFrame:
+    """(node, line) of the given nodes."""
+    keys = materialize(nodes.select("node.*").distinct(), f"{name}_keys")
+    found = by_ids(lines.select("h1", "h2", "line"), keys, key=["h1", "h2"])
+    return materialize(found.groupBy(F.struct("h1", "h2").alias("node")).agg(F.first("line").alias("line")), name, "zstd")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(node, n, p0, p1, ...): size of the line's shingle set, and for each of
+    ``64 * SKETCH_WORDS`` hash remainders the parity of the set's shingles."""
+    grams = texts.select("node", F.explode(_shingles("line")).alias("g")).select("node", F.xxhash64("g").alias("g"))
+    bit = F.expr("shiftleft(1L, cast(g & 63 as int))")
+    word = F.col("g").bitwiseAND(F.lit(64 * (SKETCH_WORDS - 1)))
+    words = [F.bit_xor(F.when(word == 64 * k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(SKETCH_WORDS)]
+    return grams.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *words)
+
+
+def _may_link(threshold: float) -> Column:
+    """False only if the sizes of the sets ``a`` and ``b``, or the parities that differ, rule a link out."""
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    differ = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(SKETCH_WORDS)), F.lit(0))
+    rounding = 1e-6
+    return ((F.least(n_a, n_b) + rounding >= threshold * F.greatest(n_a, n_b))
+            & (differ * (1 + threshold) <= (n_a + n_b) * (1 - threshold) + rounding))
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose lines are alike, by exact Jaccard similarity."""
-    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node.*"), "line_ends")
-    # the UTF-32 text is written, so that it is not computed anew for each of its shingles
-    texts = (by_ids(lines_of(docs), ends, key=["h1", "h2"]).groupBy("h1", "h2").agg(F.first("line").alias("line"))
-             .select(F.struct("h1", "h2").alias("node"), F.encode("line", "utf-32").alias("wide")))
-    texts = materialize(texts, "line_texts")
-    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("wide").alias("wa")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("wide").alias("wb")), "b"))
+    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b"))
     # explode of one element: filters on its result are not pushed below it, which would compute the
     # sets once for every mention
-    sets = both.select("a", "b", F.explode(F.array(F.struct(_shingles("wa").alias("a"), _shingles("wb").alias("b")))).alias("s"))
+    sets = both.select("a", "b", F.explode(F.array(F.struct(_shingles("la").alias("a"), _shingles("lb").alias("b")))).alias("s"))
     counts = F.struct(F.size(F.array_intersect("s.a", "s.b")).alias("i"), (F.size("s.a") + F.size("s.b")).alias("n"))
     shared = sets.select("a", "b", F.explode(F.array(counts)).alias("c"))
     return shared.filter(F.col("c.i") * (1 + threshold) >= threshold * F.col("c.n")).select("a", "b")
 
 
-def line_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, component) of the lines that are near another line; ``node`` is the struct of a
-    line's keys ``h1, h2``."""
-    classes = signatures(lines_of(docs))
-    bands = materialize(_bands(classes), "line_bands")
+def _cross_pairs(rest: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of one band in different components, unless ruled out; one side is outside
+    the band's largest component."""
+    x, y = (rest.select("band", *[F.col(c).alias(f"{c}_{s}") for c in rest.columns if c != "band"]) for s in "ab")
+    other = F.col("component_a") != F.col("component_b")
+    return (x.filter("component_a != main_a").join(y, "band").filter(other & _may_link(threshold))
+            .select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct())
+
+
+def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component) of those of ``lines`` (as ``lines_of`` gives them) that are near another
+    line; ``node`` is the struct of a line's keys ``h1, h2``."""
+    bands = materialize(_bands(signatures(lines)), "line_bands")
     # every line with the leader it shares most bands with
     star = (bands.filter(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("m"))
-            .filter(F.col("m") >= SHARED_BANDS).groupBy("node").agg(F.max_by("leader", "m").alias("leader"))
+            .groupBy("node").agg(F.max_by("leader", "m").alias("leader"))
             .select(F.col("node").alias("a"), F.col("leader").alias("b")))
     star = materialize(star, "line_pairs")
-    found = materialize(_verify(star, docs, threshold), "line_links")
+    texts = _texts(bands.select("node"), lines, "line_texts")
+    found = materialize(_verify(star, texts, threshold), "line_links")
     comp = connected_components(found)
     named = bands.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = materialize(named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
                         .groupBy("band").agg(F.max_by("component", "m").alias("main"), F.count(F.lit(1)).alias("parts"))
                         .filter("parts > 1").select("band", "main"), "split_keys")
-    rest = materialize(named.join(split, "band").select("band", "node", "chars", "component", "main"), "split_bands")
-    # one side of a pair is outside the band's largest component
-    x, y = (rest.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "chars", "component", "main")]) for s in "ab")
-    cross = (x.filter(F.col("component_a") != F.col("main_a")).join(y, "band")
-             .filter((F.col("component_a") != F.col("component_b")) & _near("chars_a", "chars_b", threshold))
-             .select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"), "band").distinct()
-             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= SHARED_BANDS).select("a", "b"))
-    more = materialize(_verify(materialize(cross, "line_cross_pairs"), docs, threshold), "line_cross_links")
+    rest = materialize(named.join(split, "band").select("band", "node", "component", "main"), "split_bands")
+    sketches = _sketches(texts.join(rest.select("node").distinct(), "node", "left_semi"))
+    rest = materialize(rest.join(sketches, "node"), "split_sketches")
+    cross = materialize(_cross_pairs(rest, threshold), "line_cross_pairs")
+    more = materialize(_verify(cross, texts, threshold), "line_cross_links")
     return connected_components(found.unionByName(more))
 
 
@@ -136,9 +159,10 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``lines_removed`` (array of line numbers from 0, empty if none). An input column of that
     name is replaced."""
     own = docs.select("doc_id", "text")
-    comp = line_components(own, threshold).select("node.h1", "node.h2", "component")
+    lines = materialize(lines_of(own), "lines", "zstd")
+    comp = line_components(lines, threshold).select("node.h1", "node.h2", "component")
     roots = F.coalesce("component", F.struct("h1", "h2"))
-    placed = materialize(lines_of(own).select("doc_id", "pos", "h1", "h2").join(comp, ["h1", "h2"], "left")
+    placed = materialize(lines.select("doc_id", "pos", "h1", "h2").join(comp, ["h1", "h2"], "left")
                          .select("doc_id", "pos", roots.alias("root")), "line_places")
     first = materialize(placed.groupBy("root").agg(F.min(F.struct("doc_id", "pos")).alias("kept"), F.count(F.lit(1)).alias("m"))
                         .filter("m > 1").drop("m"), "first_lines")
