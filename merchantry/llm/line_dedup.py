@@ -12,7 +12,8 @@
    character shingles (a shorter line is one shingle) is at least ``threshold``. Each line is first
    compared with the list leader it shares most bands with. Of the other pairs of a band only those
    in different components are compared, unless an exact bound rules them out: ``SKETCH_WORDS``
-   words of parities of each set differ at most as often as the sets themselves.
+   words of parities of each set differ at most as often as the sets themselves. Of these, each line
+   is first compared with the one whose parities differ least, then pairs still apart are.
 4. Distributed union-find gives the components; of each, the first line (document id, line number)
    stays.
 
@@ -100,13 +101,17 @@ def _sketches(texts: DataFrame) -> DataFrame:
     return grams.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *words)
 
 
+def _differ() -> Column:
+    """Number of parities in which the sets ``a`` and ``b`` differ."""
+    return sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(SKETCH_WORDS)), F.lit(0))
+
+
 def _may_link(threshold: float) -> Column:
     """False only if the sizes of the sets ``a`` and ``b``, or the parities that differ, rule a link out."""
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    differ = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(SKETCH_WORDS)), F.lit(0))
     rounding = 1e-6
     return ((F.least(n_a, n_b) + rounding >= threshold * F.greatest(n_a, n_b))
-            & (differ * (1 + threshold) <= (n_a + n_b) * (1 - threshold) + rounding))
+            & (_differ() * (1 + threshold) <= (n_a + n_b) * (1 - threshold) + rounding))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -122,12 +127,27 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def _cross_pairs(rest: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of one band in different components, unless ruled out; one side is outside
-    the band's largest component."""
+    """(a, b, gap): pairs of one band in different components, unless ruled out; one side is outside
+    the band's largest component. ``gap`` is the share of parities that differ."""
     x, y = (rest.select("band", *[F.col(c).alias(f"{c}_{s}") for c in rest.columns if c != "band"]) for s in "ab")
     other = F.col("component_a") != F.col("component_b")
     return (x.filter("component_a != main_a").join(y, "band").filter(other & _may_link(threshold))
-            .select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct())
+            .select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"),
+                    (_differ() / (F.col("n_a") + F.col("n_b"))).alias("gap")).distinct())
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """For every node the pair (a, b) with the smallest gap that it is in."""
+    best = F.min_by(F.struct("a", "b"), F.struct("gap", "a", "b")).alias("p")
+    return pairs.select("*", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(best).select("p.a", "p.b").distinct()
+
+
+def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes are in different components."""
+    for c in "ab":
+        named = components.select(F.col("node").alias(c), F.col("component").alias(f"component_{c}"))
+        pairs = pairs.join(named, c, "left").withColumn(f"component_{c}", F.coalesce(f"component_{c}", c))
+    return pairs.filter("component_a != component_b").select("a", "b")
 
 
 def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -150,7 +170,10 @@ def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     sketches = _sketches(texts.join(rest.select("node").distinct(), "node", "left_semi"))
     rest = materialize(rest.join(sketches, "node"), "split_sketches")
     cross = materialize(_cross_pairs(rest, threshold), "line_cross_pairs")
-    more = materialize(_verify(cross, texts, threshold), "line_cross_links")
+    nearest = materialize(_nearest(cross), "nearest_pairs")
+    found = materialize(found.unionByName(_verify(nearest, texts, threshold)), "line_near_links")
+    left = _apart(cross.join(nearest, ["a", "b"], "left_anti"), connected_components(found))
+    more = materialize(_verify(materialize(left, "line_last_pairs"), texts, threshold), "line_cross_links")
     return connected_components(found.unionByName(more))
 
 
