@@ -2,9 +2,9 @@
 
 1. Every non-blank line, trimmed and lower-cased, is keyed by two 64-bit hashes; equal lines are
    one class.
-2. A class's signature has ``VALUES`` MinHash values of its character shingles of length
-   ``SIGNATURE_CHARS`` that start at word starts (in scripts written without spaces, at every
-   character): the smallest and largest of the shingles' hashes under each seed. Every band is
+2. A class's signature has ``VALUES`` MinHash values of all its character shingles of length
+   ``SIGNATURE_CHARS`` (a shorter line is one shingle), whatever the script and whether or not it
+   has spaces: the smallest and largest of the shingles' hashes under each seed. Every band is
    three values; the bands are the lines of a configuration in which any five of the eight values
    hold a whole band, so pairs that agree in five are always candidates: two lines whose signature
    shingles are 0.75 alike are candidates with probability 0.94, at 0.85 0.99.
@@ -35,8 +35,9 @@ SHINGLE_CHARS = 5
 SIGNATURE_CHARS = 8
 THRESHOLD = 0.8
 SKETCH_WORDS = 8
-#: The hashes themselves give the first two signature values, each seed two more.
-SEEDS = [0x1D872B41A3C5F60B, 0x5E2F94C7B80D6A39, 0x3A61D0E97F4B82C5]
+#: The hashes themselves give the first two signature values, each seed two more. The seeds differ
+#: in their first bits, so that the values of a line are mostly those of different shingles.
+SEEDS = [0x6D872B41A3C5F60B, 0x5E2F94C7B80D6A39, 0x3A61D0E97F4B82C5]
 VALUES = 2 * len(SEEDS) + 2
 #: Bands: triples of signature values (even numbers are smallest, odd ones largest hashes).
 BANDS = [(i, (i + 1) % VALUES, (i + 3) % VALUES) for i in range(VALUES)]
@@ -51,16 +52,17 @@ def lines_of(docs: DataFrame) -> DataFrame:
             .withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(7), "line")}))
 
 
+def _grams(line: str, size: int) -> Column:
+    """A line's character shingles in order: every match of one character that looks ahead."""
+    ahead = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
+    return F.when(F.char_length(line) < size, F.array(line)).otherwise(ahead)
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """(node, v0, v1, ...) per class of equal lines, ``node`` being its two keys. Shingles are
     rows that a hash aggregate takes in at once, before anything is shuffled."""
-    spaced = F.octet_length("line") <= 1.5 * F.char_length("line")
-    words = F.when(spaced, F.split("line", " ")).otherwise(F.split("line", r" |(?<=[\u2E80-\uFFFF])"))
-    at = (lines.select("h1", "h2", words.alias("words"))
-          .select("*", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("i")))
-    gram = F.substring(F.concat(F.get("words", F.col("i")), F.lit(" "), F.coalesce(F.get("words", F.col("i") + 1), F.lit(""))),
-                       1, SIGNATURE_CHARS)
-    hashed = at.select("h1", "h2", F.xxhash64(gram).alias("g"))
+    hashed = (lines.select("h1", "h2", F.explode(_grams("line", SIGNATURE_CHARS)).alias("gram"))
+              .select("h1", "h2", F.xxhash64("gram").alias("g")))
     values = []
     for k, seed in enumerate([0, *SEEDS]):
         g = F.col("g").bitwiseXOR(F.lit(seed))
@@ -79,9 +81,8 @@ def _bands(classes: DataFrame) -> DataFrame:
 
 
 def _shingles(line: str) -> Column:
-    """The set of a line's character shingles: every match of one character that looks ahead."""
-    ahead = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE_CHARS}}}))."), F.lit(1))
-    return F.when(F.char_length(line) < SHINGLE_CHARS, F.array(line)).otherwise(F.array_distinct(ahead))
+    """The set of a line's character shingles."""
+    return F.array_distinct(_grams(line, SHINGLE_CHARS))
 
 
 def _texts(nodes: DataFrame, lines: DataFrame, name: str) -> DataFrame:

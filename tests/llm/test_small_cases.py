@@ -83,6 +83,15 @@ def test_lines(spark, docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_lines_without_spaces(spark):
+    rest = ";berlin;warehouse-north;pallets-of-printer-paper;delivered-in-full;signed-by-night-shift"
+    thai = "การจัดส่งสินค้าไปยังคลังสินค้าทางเหนือของเมืองในตอนกลางคืน"
+    texts = ["1001" + rest, "1002" + rest, "7" + rest.replace(";", "\t").replace("-", "\t"), "8" + rest.replace(";", "\t").replace("-", "\t"),
+             thai, "กก" + thai[1:], "https://a.example/" + "x/y1/z2/" * 3 + "page", "not_alike_at_all=1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.lines_removed} == {1, 3, 5}
+
+
 def test_join(spark, docs, none):
     rows = ngram_join.link_components(docs).collect()
     assert len(rows) == len(TEXTS)
