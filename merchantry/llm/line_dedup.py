@@ -4,10 +4,10 @@
    one class.
 2. A class's signature has ``VALUES`` MinHash values of all its character shingles of length
    ``SIGNATURE_CHARS`` (a shorter line is one shingle), whatever the script and whether or not it
-   has spaces: the smallest and largest of the shingles' hashes under each seed. Every band is
-   three values; the bands are the lines of a configuration in which any five of the eight values
-   hold a whole band, so pairs that agree in five are always candidates: two lines whose signature
-   shingles are 0.75 alike are candidates with probability 0.94, at 0.85 0.99.
+   has spaces: the smallest and largest of the shingles' hashes under each seed. Every pair of
+   values is a band, so lines that agree in any two of the eight values are candidates. Scattered
+   edits that leave lines 0.8 alike in shingles of ``SHINGLE_CHARS`` leave them about 0.7 alike in
+   these, which makes a candidate with probability 0.998 if values are independent (0.965 at 0.5).
 3. Candidates are verified exactly: the Jaccard similarity of the sets of all ``SHINGLE_CHARS``
    character shingles (a shorter line is one shingle) is at least ``threshold``. Each line is first
    compared with the list leader it shares most bands with. Of the other pairs of a band only those
@@ -24,6 +24,8 @@ other columns pass through.
 """
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,8 +41,8 @@ SKETCH_WORDS = 8
 #: in their first bits, so that the values of a line are mostly those of different shingles.
 SEEDS = [0x6D872B41A3C5F60B, 0x5E2F94C7B80D6A39, 0x3A61D0E97F4B82C5]
 VALUES = 2 * len(SEEDS) + 2
-#: Bands: triples of signature values (even numbers are smallest, odd ones largest hashes).
-BANDS = [(i, (i + 1) % VALUES, (i + 3) % VALUES) for i in range(VALUES)]
+#: Bands: all pairs of signature values (even numbers are smallest, odd ones largest hashes).
+BANDS = list(combinations(range(VALUES), 2))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Every dealt operator on nulls, empty and odd texts, repeated rows, clashing columns and empty tables."""
 import hashlib
+import random
 import re
 
 import pytest
@@ -92,6 +93,27 @@ def test_lines_without_spaces(spark):
     assert {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.lines_removed} == {1, 3, 5}
 
 
+def test_line_recall(spark):
+    """Pairs of different lines just above the threshold, every pair in letters of its own draw."""
+    rng = random.Random(5)
+    grams = lambda s: {s[i:i + line_dedup.SHINGLE_CHARS] for i in range(len(s) - line_dedup.SHINGLE_CHARS + 1)}
+    rows = []
+    while len(rows) < 800:
+        a = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(rng.randint(20, 40)))
+        b = list(a)
+        while True:
+            i = rng.randrange(len(b))
+            b[i] = "#"
+            x, y = grams(a), grams("".join(b))
+            if len(x & y) < 0.83 * len(x | y):
+                break
+        if len(x & y) >= 0.8 * len(x | y):
+            rows += [(len(rows), a), (len(rows) + 1, "".join(b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = [r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.lines_removed]
+    assert all(i % 2 for i in gone) and len(gone) >= 0.99 * 400
+
+
 def test_join(spark, docs, none):
     rows = ngram_join.link_components(docs).collect()
     assert len(rows) == len(TEXTS)
