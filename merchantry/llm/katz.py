@@ -8,8 +8,8 @@ training counts c and k = ``GT_MAX``::
              = alpha(v) P(w)                   otherwise (alpha = 1 for a history never seen)
 
 d and d2 are Good-Turing discounts for counts up to k (1 above), alpha(v) is chosen so that the
-probabilities after v add up to exactly 1. Bigrams below ``MIN_BIGRAM`` are counted (Good-Turing
-needs them) but are not in the model, as is usual for Katz models.
+probabilities after v add up to exactly 1. Every bigram that training has is in the model, those
+seen once with their Good-Turing discount d2(1) too.
 
 The corpus has many more bigrams than the model keeps, and a token may need any of them, so the
 work is dealt out in two ways. A *block* is a run of documents of one task with about
@@ -47,7 +47,7 @@ BLOCK_TOKENS = 1 << 21
 PART_BYTES = 1 << 24           # text bytes per part
 HOT = 1024
 GT_MAX = 5
-MIN_BIGRAM = 2
+MIN_BIGRAM = 1
 START, END = 1, 2
 WORDS, TOTALS, MODEL, HISTORIES = 0, 1, 2, 3       # kinds of answer rows
 
@@ -336,7 +336,7 @@ def _add_bigrams(uni: Unigrams, hot: np.ndarray):
         hist = np.bincount(np.minimum(c, GT_MAX + 2), minlength=GT_MAX + 3).astype(np.uint64)
         c = np.where(c >= MIN_BIGRAM, c, 0)
         heads, of_head = np.unique(dv, return_inverse=True)
-        # per history: number of model bigrams with count 2..GT_MAX, sum of larger counts, sum of P(w)
+        # per history: number of model bigrams with count MIN_BIGRAM..GT_MAX, sum of larger counts, sum of P(w)
         sums = [np.bincount(of_head, weights=c == r, minlength=len(heads)) for r in range(MIN_BIGRAM, GT_MAX + 1)]
         sums.append(np.bincount(of_head, weights=np.where(c > GT_MAX, c, 0), minlength=len(heads)))
         sums.append(np.bincount(of_head, weights=np.where(c > 0, p, 0.0), minlength=len(heads)))
@@ -375,20 +375,23 @@ def _score(parts: int, hot: np.ndarray, uni: Unigrams, d2: np.ndarray, hot_sums:
             total = _word_totals(b, answers)
             part = b.bigrams()
             c = np.zeros(len(b.v), dtype=np.int64)
-            sums = np.zeros((len(b.v), n_sums))
+            of_v = np.where(b.v_at < 0, n_starts, total[b.v_at]).astype(float)
+            alpha, below = np.empty(len(b.v)), np.empty(len(b.v))
             for p, at in _by_part(part):
                 got = answers.get((TOTALS, p))
                 if not got:
                     raise RuntimeError("the documents changed between two readings")
                 c[at] = _spread(got["counts"]).astype(np.int64)
                 v = b.v[at]
-                nth = np.cumsum(np.concatenate([[True], v[1:] != v[:-1]])) - 1
-                sums[at] = _spread(got["sums"], "<f8").reshape(n_sums, -1).T[nth]
+                new = np.concatenate([[True], v[1:] != v[:-1]])
+                nth = np.cumsum(new) - 1
+                of_head = log_alpha(_spread(got["sums"], "<f8").reshape(n_sums, -1).T, of_v[at][new])
+                alpha[at], below[at] = of_head[0][nth], of_head[1][nth]
             shared = np.isin(b.v, hot)
             if shared.any():
-                sums[shared] = hot_sums[np.searchsorted(hot, b.v[shared])]
-            of_v = np.where(b.v_at < 0, n_starts, total[b.v_at]).astype(float)
-            alpha, below = log_alpha(sums, of_v)
+                heads, new, nth = np.unique(np.searchsorted(hot, b.v[shared]), return_index=True, return_inverse=True)
+                of_head = log_alpha(hot_sums[heads], of_v[shared][new])
+                alpha[shared], below[shared] = of_head[0][nth], of_head[1][nth]
             lower = np.log10(uni.p(total))
             own = np.log10(np.where(c <= GT_MAX, d2[np.minimum(c, GT_MAX)], 1.0) * np.maximum(c, 1) / np.maximum(below, 1))
             p = np.where(c > 0, own, alpha + lower[b.w_at])[b.bigram_at]

@@ -1,5 +1,6 @@
 """Every dealt operator on nulls, empty and odd texts, repeated rows, clashing columns and empty tables."""
 import hashlib
+import math
 import random
 import re
 
@@ -138,6 +139,14 @@ def test_language_model(spark, docs, none):
     assert katz.fit_and_score(none, F.lit(False))[0].count() == 0
 
 
+def test_bigrams_seen_once(spark):
+    df = spark.createDataFrame([(1, "a b"), (4, "a b")], "doc_id long, text string")
+    scores, model = katz.fit_and_score(df, F.col("doc_id") == 4)
+    d1 = katz.discounts([0, 3] + [0] * katz.GT_MAX)[1]
+    assert sum(katz.read_model(r)[2].sum() for r in model.collect()) == 3
+    assert {r.doc_id: r.score for r in scores.collect()} == pytest.approx({i: 3 * math.log10(d1) for i in (1, 4)})
+
+
 def test_search(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]),
             (5, [float("inf"), 0.0]), (None, [1.0, 1.0]), (50, [-1.0, 0.25]), (100, [1.0]), (7, [])]
