@@ -13,8 +13,10 @@ but the pivots (``PIVOTS`` vectors with the smallest id hash) passes through the
 
 Defined cases: null vectors and vectors with a null, NaN or infinite component take no part, nor do
 rows with a null id; components are held as 64-bit integers; only vectors of the same length are
-compared; rows with a query's own id are no candidates; other repeated rows each count; a query
-without candidates has no rows; empty tables give no rows.
+compared; rows with a query's own id are no candidates; other repeated rows each count; a repeated
+query row is one query, a query id with different vectors is a query for each of them, ranked apart
+(``query_id`` then has ranks 1 to k once per vector); a query without candidates has no rows; empty
+tables give no rows.
 """
 from __future__ import annotations
 
@@ -54,11 +56,11 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) ->
         run, "vec_id long, dim int, vec binary")
 
 
-def _matrix(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(table: pa.Table, dim: int, id_col: str = "vec_id") -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(np.asarray(table["dim"]) == dim)
     part = table.take(pa.array(at))
     raw = b"".join(part["vec"].to_pylist())
-    return np.asarray(part["vec_id"]), np.frombuffer(raw, dtype="<i8").reshape(len(at), dim)
+    return np.asarray(part[id_col]), np.frombuffer(raw, dtype="<i8").reshape(len(at), dim)
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -68,8 +70,9 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack(cols, axis=1)
 
 
-def best_in_cell(qid, q, xid, x, pivots, k: int):
-    """(query id, vector id, score) of the k best of ``x`` for every row of ``q``."""
+def best_in_cell(qid, nth, q, xid, x, pivots, k: int):
+    """(query id, number, vector id, score) of the k best of ``x`` for every row of ``q``; ``nth`` has
+    the numbers that tell the rows of one query id apart."""
     qf, xf = q.astype(float), x.astype(float)
     dq, dx = _distances(qf, pivots), _distances(xf, pivots)
     q2, x2 = dq[:, 0] ** 2, dx[:, 0] ** 2
@@ -99,7 +102,7 @@ def best_in_cell(qid, q, xid, x, pivots, k: int):
                 part = part[np.isfinite(bound[part])]
                 ids, scores = _top(np.concatenate([ids, xid[part]]),
                                    np.concatenate([scores, left[part] @ own]), k)
-        out.extend(zip([int(qid[i])] * len(ids), ids.tolist(), [int(s) for s in scores]))
+        out.extend(zip([int(qid[i])] * len(ids), [int(nth[i])] * len(ids), ids.tolist(), [int(s) for s in scores]))
     return out
 
 
@@ -114,7 +117,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     spark = vectors.sparkSession
     ship_package(spark)
     data = materialize(quantised(vectors, id_col, vector_col, scale), "quantised")
-    queries = data.filter(is_query)
+    of_id = Window.partitionBy("vec_id").orderBy("dim", "vec")
+    queries = data.filter(is_query).distinct().withColumn("nth", F.row_number().over(of_id))
     n = data.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     rows = max(2 * spark.sparkContext.defaultParallelism, -(-n[0] // cell_vectors))
     cols = max(1, -(-n[1] // cell_queries))
@@ -125,17 +129,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         for dim in sorted(set(left["dim"].to_pylist()) & set(right["dim"].to_pylist())):
             xid, x = _matrix(left, dim)
             qid, q = _matrix(right, dim)
+            nth, _ = _matrix(right, dim, "nth")
             own = np.array([np.frombuffer(v, "<i8") for d, v in pivots if d == dim], dtype=float).reshape(-1, dim)
-            out += best_in_cell(qid, q, xid, x, own, k)
-        a, b, c = zip(*out) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
+            out += best_in_cell(qid, nth, q, xid, x, own, k)
+        a, n, b, c = zip(*out) if out else ((), (), (), ())
+        return pa.table({"query_id": pa.array(a, pa.int64()), "nth": pa.array(n, pa.int32()),
+                         "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
 
     row = F.pmod(F.xxhash64("vec_id", "vec"), F.lit(rows)).alias("row")
     col = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(cols)).alias("col")
     left = data.select("*", row, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))).alias("col"))
     right = queries.select("*", col, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("row"))
     found = (left.groupBy("row", "col").cogroup(right.groupBy("row", "col"))
-             .applyInArrow(cell, "query_id long, vec_id long, score long"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+             .applyInArrow(cell, "query_id long, nth int, vec_id long, score long"))
+    order = Window.partitionBy("query_id", "nth").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

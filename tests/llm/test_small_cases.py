@@ -157,6 +157,17 @@ def test_search(spark):
     assert pivot_search.top_k(df.filter("false"), F.lit(True)).count() == 0
 
 
+def test_search_repeated_queries(spark):
+    rows = [(0, [1.0, 0.0])] * 2 + [(50, [0.0, 1.0]), (50, [1.0, 1.0])] + [(i, [float(i), -float(i)]) for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in pivot_search.top_k(df, F.col("vec_id") % 50 == 0).collect()]
+    unit = 256 * 256
+    want = [(0, n + 1, 5 - n, (5 - n) * unit) for n in range(5)]
+    want += [(50, n + 1, v, s * unit) for n, (v, s) in enumerate([(0, 0), (0, 0), (1, -1), (2, -2), (3, -3)])]
+    want += [(50, n + 1, v, s * unit) for n, (v, s) in enumerate([(0, 1), (0, 1), (1, 0), (2, 0), (3, 0)])]
+    assert sorted(got) == sorted(want)
+
+
 def test_licenses(spark, docs, none):
     text = licenses.KNOWN[2][1]
     assert licenses.KNOWN[2][0] == "MIT"
