@@ -132,23 +132,23 @@ def _sets(docs: DataFrame, size: int, *more: str) -> DataFrame:
 
 
 def _prefixes(summary: DataFrame, percent: int) -> DataFrame:
-    """(node, n, gram, df, nth, keep, shared): the shared shingles of every lead's extended
-    prefix; ``nth`` counts those that are kept, ``keep`` is the length of its plain prefix
+    """(row, node, n, gram, df, nth, keep, shared): the shared shingles of every lead's extended
+    prefix. A document is a lead once per task and text, so sets are ranked by ``row``. ``nth`` counts those that are kept, ``keep`` is the length of its plain prefix
     among them, ``shared`` says how many of its zone other documents have."""
     postings = (summary.filter("lead").filter(F.col("doc_id").isNotNull())
-                .select(F.col("doc_id").alias("node"), "n", "z", F.explode("grams").alias("gram")))
+                .select("row", F.col("doc_id").alias("node"), "n", "z", F.explode("grams").alias("gram")))
     df = F.count(F.lit(1)).over(Window.partitionBy("gram"))
     outside = F.col("gram") >= _ZONE_END
     known = (postings.withColumn("df", df).filter((F.col("df") > 1) | outside)
              .withColumn("outside", outside))
-    by_node = Window.partitionBy("node")
-    order = by_node.orderBy("outside", F.when(F.col("outside"), 0).otherwise(F.col("df")), "gram")
+    by_row = Window.partitionBy("row")
+    order = by_row.orderBy("outside", F.when(F.col("outside"), 0).otherwise(F.col("df")), "gram")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
     ranked = (known.withColumn("nth", F.row_number().over(order))
-              .withColumn("shared", F.sum(F.when(F.col("outside"), 0).otherwise(1)).over(by_node))
+              .withColumn("shared", F.sum(F.when(F.col("outside"), 0).otherwise(1)).over(by_row))
               .withColumn("keep", prefix - (F.col("z") - F.col("shared"))))
     return (ranked.filter((F.col("nth") <= F.col("keep") + 1) & (F.col("df") > 1))
-            .select("node", "n", "gram", "df", "nth", "keep", F.col("shared").cast("int").alias("shared")))
+            .select("row", "node", "n", "gram", "df", "nth", "keep", F.col("shared").cast("int").alias("shared")))
 
 
 def choose_boundary(prefixes: DataFrame) -> int:
@@ -156,7 +156,7 @@ def choose_boundary(prefixes: DataFrame) -> int:
     1.1 reaches the driver). A light set costs its subsets, a heavy one its list entries, those of
     long lists somewhat more: a member is compared with its list's leader, not with every member."""
     size_class = F.floor(F.log("n") / F.log(F.lit(1.1))).cast("int")
-    light = (prefixes.groupBy("node", "n").agg(F.count(F.lit(1)).alias("s"))
+    light = (prefixes.groupBy("row", "n").agg(F.count(F.lit(1)).alias("s"))
              .groupBy(size_class.alias("k")).agg(F.sum(F.col("s") * (F.col("s") - 1) / 2).alias("light"), F.max("n").alias("top")))
     heavy = (prefixes.filter(F.col("nth") <= F.col("keep"))
              .groupBy(size_class.alias("k")).agg(F.sum(1 + F.log("df")).alias("heavy")))
@@ -177,7 +177,7 @@ def _lists(prefixes: DataFrame, boundary: int, percent: int) -> DataFrame:
     heavy = (prefixes.filter((F.col("nth") <= F.col("keep")) & (F.col("n") * 100 >= boundary * percent))
              .select(F.xxhash64(F.lit(1), "gram").alias("key"), *own))
     small = (prefixes.filter((F.col("n") <= boundary) & (F.col("n") > 1))
-             .groupBy(*own).agg(F.sort_array(F.collect_set("gram")).alias("g")))
+             .groupBy("row", *own).agg(F.sort_array(F.collect_set("gram")).alias("g")))
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("g") - 1), lambda i: F.transform(
         F.slice("g", i + 1, F.size("g")), lambda x: F.xxhash64(F.lit(2), F.element_at("g", i), x))))
     light = small.filter(F.size("g") > 1).select(F.explode(pairs).alias("key"), *own)
@@ -189,12 +189,13 @@ def _lists(prefixes: DataFrame, boundary: int, percent: int) -> DataFrame:
 
 def _may_link(na: str, nb: str, bits_a: str, bits_b: str, percent: int):
     """False only if the sizes, or the parities that differ, rule a link out: each of these takes
-    a shingle that one set has and the other hasn't, and a link has few of them."""
+    a shingle that one set has and the other hasn't, and a link has few of them. Null parities rule
+    nothing out."""
     differ = F.lit(0)
     for i in range(BIT_WORDS):
         differ = differ + F.bit_count(F.col(bits_a)[i].bitwiseXOR(F.col(bits_b)[i]))
     return ((F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
-            & (differ * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)))
+            & (F.coalesce(differ, F.lit(0)) * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)))
 
 
 def _not_ruled_out(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -252,17 +253,28 @@ def _cross_pairs(lists: DataFrame, components: DataFrame, bits: DataFrame, perce
             .select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct())
 
 
+def _bits(summary: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, n, bits, more) of list members; an id with different sets has null parities, since a
+    link of any of them counts."""
+    leads = (summary.filter("lead").select(F.col("doc_id").alias("node"), "n", "c1", "c2", "bits", "more")
+             .join(members.withColumnRenamed("doc_id", "node"), "node", "left_semi"))
+    key = F.struct("n", "c1", "c2")
+    many = leads.groupBy("node").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo != hi").select(
+        "node", F.lit(True).alias("many"))
+    one = leads.dropDuplicates(["node"]).join(many, "node", "left")
+    return one.select("node", "n", *[F.when(F.col("many").isNull(), F.col(c)).alias(c) for c in ("bits", "more")])
+
+
 def link_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (needs doc_id, text)."""
     ship_package(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    summary = materialize(_summaries(docs, shingle, percent), "set_summaries")
+    summary = materialize(_summaries(docs, shingle, percent).withColumn("row", F.monotonically_increasing_id()), "set_summaries")
     prefixes = materialize(_prefixes(summary, percent), "prefixes")
     boundary = choose_boundary(prefixes)
     lists = materialize(_lists(prefixes, boundary, percent), "lists")
     members = materialize(lists.select(F.col("node").alias("doc_id")).distinct(), "list_members")
-    bits = summary.filter("lead").select(F.col("doc_id").alias("node"), "n", "bits", "more").dropDuplicates(["node"])
-    bits = materialize(bits.join(members.withColumnRenamed("doc_id", "node"), "node", "left_semi"), "member_bits")
+    bits = materialize(_bits(summary, members), "member_bits")
 
     reps = materialize(summary.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     of_class = summary.select("doc_id", "n", "c1", "c2").join(reps, ["c1", "c2", "n"], "left")

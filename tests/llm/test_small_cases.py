@@ -128,6 +128,24 @@ def test_join(spark, docs, none):
     assert kept.columns == docs.columns and 5 not in [r.doc_id for r in kept.collect()]
 
 
+def test_join_repeated_ids(spark):
+    """Rows of one id in different tasks: the same text twice, and two texts, each with a partner that just links."""
+    rng = random.Random(7)
+    text = lambda: [f"w{rng.randrange(10 ** 9)}" for _ in range(23)]
+    first, again, partners = [], [], []
+    for i in range(0, 1200, 3):
+        a, b = text(), text()
+        first.append((i, " ".join(a)))
+        again.append((i, " ".join(a if i % 2 else b)))
+        partners.append((i + 1, " ".join(a[3:])))
+        if not i % 2:
+            partners.append((i + 2, " ".join(b[:-3])))
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = ngram_join.link_components(make(first).unionByName(make(again)).unionByName(make(partners))).collect()
+    assert len(got) == 800 + len(partners)
+    assert not [r.doc_id for r in got if r.component_id != r.doc_id // 3 * 3]
+
+
 def test_language_model(spark, docs, none):
     scores, model = katz.fit_and_score(docs, F.col("doc_id") == 4)
     rows = {r.doc_id: r for r in scores.collect()}
