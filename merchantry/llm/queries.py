@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantry.llm import chat, decontaminate, katz, langid, licenses, line_dedup, ngram_join, packing, pivot_search, token_counts
+from merchantry.llm import (chat, decontaminate, katz, langid, licenses, line_dedup, ngram_join, packing, pivot_search,
+                            token_alignment, token_counts)
 from merchantry.llm.catalog import register
 from merchantry.llm.langid import held_out
 
@@ -98,3 +99,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores, _ = katz.fit_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"),
                                    held_out(F.col("doc_id"), 0, 10))
     return scores
+
+
+@register("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
