@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantry.llm import (chat, decontaminate, katz, langid, licenses, line_dedup, ngram_join, packing, pivot_search,
-                            token_alignment, token_counts)
+from merchantry.llm import (chat, decontaminate, embedding_dups, katz, langid, licenses, line_dedup, ngram_join, packing,
+                            pivot_search, token_alignment, token_counts, whitening)
 from merchantry.llm.catalog import register
 from merchantry.llm.langid import held_out
 
@@ -101,6 +101,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores
 
 
+@register("op11_hnsw_near_dups")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_chebyshev_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @register("op13_token_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
