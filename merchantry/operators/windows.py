@@ -15,11 +15,11 @@ from merchantry.functions.dates import month_bucket, year_bucket
 
 def running_new_flags(df: DataFrame, key: str = "description", order: tuple = ("posted_date", "txn_id"),
                       out: str = "is_new") -> DataFrame:
-    """``out`` is true on the first row (by ``order``) of every ``key``."""
-    first = df.groupBy(key).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_first"))
-    return (df.join(first, key)
+    """``out`` is true on the first row (by ``order``) of every ``key``; null is a key like others."""
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_first"))
+    return (df.join(first, F.col(key).eqNullSafe(F.col("_key")))
             .withColumn(out, F.struct(*[F.col(c) for c in order]) == F.col("_first"))
-            .drop("_first"))
+            .drop("_key", "_first"))
 
 
 def rate_by(df: DataFrame, flag: str, bucket, out: str, name: str = "bucket") -> DataFrame:

@@ -824,31 +824,25 @@ def q_s1(spark, sf_dir):
   round(avg((NOT n.is_new)::INT), 3) AS hit_rate, count(*) AS n
   FROM feed f JOIN ({NEW_SQL}) n USING (txn_id) GROUP BY f.posted_date"""))
 def q_s2(spark, sf_dir):
-    return SC.hit_rate_windows(_s1(spark, sf_dir))
+    flags = _s1(spark, sf_dir)
+    src = SC.write_stream_source(flags, name="flags")
+    SC.end_source(src, flags, after_days=4)     # one window and the watermark's delay later
+    return SC.hit_rate_stream(spark, src, flags.schema, max_files=5)
 
 
 @register("s3_spend_rollup_stream", W("""SELECT posted_date AS day, customer_id, canonical_merchant,
     round(sum(abs(amount)::DECIMAL(18,2)), 2)::DOUBLE AS total_spend, count(*) AS txn_count
   FROM feed JOIN gold USING (txn_id) GROUP BY ALL"""))
 def q_s3(spark, sf_dir):
-    src, schema = _stream_source(spark, sf_dir)
-    gold = fg(spark, sf_dir)[1].select("txn_id", "canonical_merchant")
-    return SC.spend_rollup_stream(spark, src, schema, lambda s: s.join(gold, "txn_id", "left"))
+    labelled = wide(spark, sf_dir).select("txn_id", "posted_date", "customer_id", "canonical_merchant", "amount")
+    src = SC.write_stream_source(labelled, name="labelled")
+    return SC.spend_rollup_stream(spark, src, labelled.schema, lambda s: s, max_files=5)
 
 
 @register("s4_enrich_stream")
 def q_s4(spark, sf_dir):
     src, schema = _stream_source(spark, sf_dir)
-    rules = _rules(spark, sf_dir)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 5).parquet(src)
-    enriched = SC.enrich_stream(stream, rules)
-    import uuid
-    from merchantry.session import ensure_checkpoint_dir
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/s4-{uuid.uuid4().hex[:10]}"
-    q = (enriched.writeStream.format("parquet").option("path", f"{root}/out")
-         .option("checkpointLocation", f"{root}/_ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return SC.enrich_batches(spark, src, schema, _rules(spark, sf_dir), max_files=5)
 
 
 # ------------------------------------------------------------------ more scalar functions

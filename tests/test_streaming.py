@@ -77,9 +77,9 @@ def test_stream_enrichment_equals_batch(spark):
     assert got == want
 
 
-def test_descriptor_cache_compaction_keeps_results(spark):
+def test_descriptor_cache_does_not_depend_on_files_a_batch(spark):
     feed = _feed(spark)
     src = SC.write_stream_source(feed)
-    a = {r["txn_id"]: r["is_new"] for r in SC.descriptor_cache_stream(spark, src, feed.schema, compact_every=1).collect()}
-    b = {r["txn_id"]: r["is_new"] for r in SC.descriptor_cache_stream(spark, src, feed.schema, compact_every=0).collect()}
+    a = {r["txn_id"]: r["is_new"] for r in SC.descriptor_cache_stream(spark, src, feed.schema, max_files=1).collect()}
+    b = {r["txn_id"]: r["is_new"] for r in SC.descriptor_cache_stream(spark, src, feed.schema, max_files=3).collect()}
     assert a == b == {r["txn_id"]: r["is_new"] for r in WN.running_new_flags(feed).collect()}
