@@ -10,16 +10,32 @@ s = len(" ".join(I)), la = s + [s>0] + |x|, lb = s + [s>0] + |y|:
 ``token_set_score`` is that formula as a Column expression over two token arrays
 (native array functions plus an Arrow UDF for LCS) for scoring given pairs.
 
-C5 and C6 never build a pair table. The list (key, name, ord) is checked for size and
-broadcast; every partition of distinct queries is scored against it by one kernel:
+C5 is an index join (``NameIndex``). With c the cutoff / 100, A and B the lengths of the sorted
+token strings, a pair that reaches the cutoff does so in one of three ways, each with a probe key
+that both sides share:
+  * kind 0, by r0: at most (1-c)(A+B) characters differ, so the numbered character pairs (a space
+    at both ends) share at least (A+B)(0.5 - 1.5(1-c)) + 1 (a deletion destroys two pairs, an
+    insertion one), the lengths differ by at most (1-c)(A+B), and the rarest pairs of both sides, as many as
+    that bound asks for, have one in common (prefix filter);
+  * kind 1, by |x|: the query's tokens are in the entry, or 1+|x| <= 2(1-c)/c s; of the query's
+    rarest tokens, up to the length that may be left over, one is in the entry;
+  * kind 2, by |y|: the same from the entry's side.
+Probes and postings meet in one equi join on (kind, key); length, overlap and left-over bounds are
+checked in the join's output, a pair of kind 0 goes on only at its first common key, and only survivors
+reach the LCS kernel. The best entry per query is an aggregate. Rarity is the place among the list's
+FREQUENT most frequent keys, a bounded literal; any order gives the same result.
+
+C6 has no cutoff, so every entry is a candidate: the list is checked for size and broadcast, and every
+partition of distinct queries is scored against it by one kernel, as are cutoffs below JOIN_CUTOFF
+and the other scorers:
   * pairs sharing a token come from an inverted token index and are scored exactly;
   * for pairs without a shared token the score is 100 - 100 (|X| + |Y| - 2 LCS(X, Y)) /
     (|X| + |Y|) on the sorted-token strings. For queries up to 63 characters LCS is
     computed against the whole list at once (bit-parallel, one uint64 lane per list
     entry, numpy); longer queries are pruned with the letter-bag bound
     (LCS <= sum_c min(count_X(c), count_Y(c))) and scored exactly in bound order
-    while the bound can still beat the cutoff (C5) or the current k-th best (C6).
-Both are exact (ties: earliest list entry). A list longer than the broadcast limit is
+    while the bound can still beat the cutoff or the current k-th best.
+All are exact (ties: earliest list entry). A list longer than the broadcast limit is
 scored in chunks whose winners are merged by an aggregation. The U7 alternative
 scorers are ``levenshtein`` (bit-parallel edit distance across the list, 1 - d / max
 length) and ``jaccard`` (token sets); both also exist as native Column scorers.
@@ -33,8 +49,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from merchantry import constants as K
+from merchantry.functions.text import ws_tokens
+from merchantry.session import materialize
 
 MAX_BROADCAST_LIST = 200_000   # list entries per broadcast chunk (C6)
+JOIN_CUTOFF = 70.0             # least cutoff of the index join; its overlap bound needs more than 66.7
+FREQUENT = 256                 # keys of a kind whose rarity is told apart
+EPS = 1e-9
 
 
 # ------------------------------------------------------------------ LCS kernel
@@ -350,11 +371,100 @@ def _scan(queries: DataFrame, names: DataFrame, k: int, cutoff, max_broadcast: i
                       F.transform(F.slice("all", 1, k), lambda x: -x["s"]).alias("scores"))
 
 
-def fuzzy_top1(queries: DataFrame, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF,
+# ------------------------------------------------------------------ index join
+def _numbered_pairs(x: Column) -> Column:
+    """The character pairs of " x " as longs, equal ones numbered: two code points and the number."""
+    padded = F.concat(F.lit(" "), x, F.lit(" "))
+    code = lambda i: F.ascii(F.substr(padded, i, F.lit(1))).cast("long")
+    pairs = F.transform(F.sequence(F.lit(1), F.length(x) + 1),
+                        lambda i: F.shiftleft(code(i), 42) + F.shiftleft(code(i + 1), 21))
+    return pairs
+
+
+def _sides(df: DataFrame, text: str, tag: str) -> DataFrame:
+    """Adds ``{tag}_toks``, ``{tag}_len`` (of the sorted token string) and ``{tag}_pairs``; texts without tokens go."""
+    d = df.withColumn(f"{tag}_toks", ws_tokens(text)).filter(F.size(f"{tag}_toks") > 0)
+    d = d.withColumn("_x", F.array_join(F.array_sort(f"{tag}_toks"), " ")).withColumn(f"{tag}_len", F.length("_x"))
+    d = d.withColumn("_p", F.array_sort(_numbered_pairs(F.col("_x"))))
+    number = F.transform("_p", lambda p, i: p + i + 1 - F.array_position("_p", p))
+    return d.withColumn(f"{tag}_pairs", number).drop("_x", "_p")
+
+
+def _rarest_first(keys: Column, frequent: list) -> Column:
+    """``keys`` with those outside ``frequent`` (most frequent first) before it, then from its end."""
+    if not frequent:
+        return F.array_sort(keys)
+    place = F.array(*[F.lit(k) for k in frequent])
+    rank = lambda k: -F.coalesce(F.nullif(F.array_position(place, k), F.lit(0)), F.lit(len(frequent) + 1))
+    return F.transform(F.array_sort(F.transform(keys, lambda k: F.struct(rank(k).alias("r"), k.alias("k")))), lambda s: s["k"])
+
+
+class NameIndex:
+    """C5's list side, written once: a posting (kind, key) per probe key of every entry, and the list's
+    most frequent keys, which order rarity on both sides."""
+
+    def __init__(self, names: DataFrame, cutoff: float = K.FUZZY_CUTOFF):
+        if cutoff < JOIN_CUTOFF:
+            raise ValueError(f"the index join needs a cutoff of at least {JOIN_CUTOFF}")
+        self.cutoff, self.miss = float(cutoff), 1 - cutoff / 100
+        side = materialize(_sides(names.select("key", "name", "ord"), "key", "l"), "name_side")
+        most = lambda col: [r[0] for r in side.select(F.explode(col).alias("k")).groupBy("k").agg(
+            F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "k").limit(FREQUENT).collect()]
+        self.pairs, self.tokens = most("l_pairs"), most("l_toks")
+        self.postings = materialize(self._keys(side, "l").drop("key"), "name_postings")
+
+    def _keys(self, side: DataFrame, tag: str) -> DataFrame:
+        """A row per probe key: kind 0 the rarest pairs, kinds 1 and 2 tokens, the query's rarest and all the
+        entry's for 1, the other way round for 2."""
+        size, ratio = F.col(f"{tag}_len"), 2 * self.miss / (1 - self.miss)
+        # least overlap of a pair that reaches the cutoff, whatever the other side's length
+        least = (0.5 - 1.5 * self.miss) * (1 + (1 - self.miss) / (1 + self.miss)) * size + 1
+        prefix = F.slice(_rarest_first(F.col(f"{tag}_pairs"), self.pairs), F.lit(1),
+                         F.greatest(F.lit(1), size + 2 - F.ceil(least - EPS)).cast("int"))
+        none = F.slice(F.col(f"{tag}_toks"), 1, 0)
+        rare = F.aggregate(
+            _rarest_first(F.col(f"{tag}_toks"), self.tokens), F.struct(none.alias("k"), F.lit(-1).alias("n")),
+            lambda a, t: F.when(a["n"] + 1 > ratio * (size - a["n"] - 1) + EPS, a).otherwise(
+                F.struct(F.concat(a["k"], F.array(t)).alias("k"), (a["n"] + 1 + F.length(t)).alias("n"))),
+            lambda a: a["k"])
+        own, other = (1, 2) if tag == "q" else (2, 1)
+        keyed = lambda kind, keys, f: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), f(k).alias("k")))
+        side = side.withColumn(f"{tag}_prefix", prefix)
+        keys = F.concat(keyed(0, F.col(f"{tag}_prefix"), lambda k: k), keyed(own, rare, lambda t: F.xxhash64(t)),
+                        keyed(other, F.col(f"{tag}_toks"), lambda t: F.xxhash64(t)))
+        return side.select("*", F.inline(keys))
+
+    def survivors(self, queries: DataFrame) -> DataFrame:
+        """(query, q_toks, name, ord, l_toks): every pair that can reach the cutoff, and few others; a pair may
+        be there once per kind."""
+        probes = self._keys(_sides(queries.select("query").distinct(), "query", "q"), "q")
+        both = F.col("q_len") + F.col("l_len")
+        near = F.abs(F.col("q_len") - F.col("l_len")) <= self.miss * both + EPS
+        overlap = F.size(F.array_intersect("q_pairs", "l_pairs")) >= (0.5 - 1.5 * self.miss) * both + 1 - EPS
+        first = F.array_intersect("q_prefix", "l_prefix")[0] == F.col("k")
+        shared = F.length(F.array_join(F.array_intersect("q_toks", "l_toks"), " "))
+        rest = F.when(F.col("kind") == 1, F.col("q_len")).otherwise(F.col("l_len")) - shared      # 1 + |x|, 0 without x
+        covered = rest <= 2 * self.miss / (1 - self.miss) * shared + EPS
+        j = probes.join(self.postings, ["kind", "k"])
+        return j.filter(F.when(F.col("kind") == 0, near & overlap & first).otherwise(covered)).select(
+            "query", "q_toks", "name", "ord", "l_toks")
+
+    def best(self, queries: DataFrame) -> DataFrame:
+        scored = self.survivors(queries).withColumn("score", token_set_score(F.col("q_toks"), F.col("l_toks")))
+        return (scored.filter(F.col("score") >= self.cutoff).groupBy("query")
+                .agg(F.min_by(F.struct("name", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("b"))
+                .select("query", "b.name", "b.score"))
+
+
+def fuzzy_top1(queries: DataFrame, names: DataFrame | NameIndex, cutoff: float = K.FUZZY_CUTOFF,
                max_broadcast: int = MAX_BROADCAST_LIST, scorer: str = "token_set") -> DataFrame:
     """Best list entry scoring >= ``cutoff`` for every distinct query (earliest list
-    entry on ties). ``queries``: (query); ``names``: (key, name, ord). Returns
-    (query, name, score) for matched queries only."""
+    entry on ties). ``queries``: (query); ``names``: (key, name, ord), or a ``NameIndex`` made for the cutoff.
+    Returns (query, name, score) for matched queries only."""
+    if isinstance(names, NameIndex):
+        return names.best(queries)
+    if scorer == "token_set" and cutoff >= JOIN_CUTOFF:
+        return NameIndex(names, cutoff).best(queries)
     res = _scan(queries, names, 1, float(cutoff), max_broadcast, scorer)
     return (res.filter(F.size("candidates") > 0)
             .select("query", F.col("candidates")[0].alias("name"), F.col("scores")[0].alias("score")))

@@ -16,7 +16,7 @@ from merchantry.functions.labels import cascade_select, guard_category, guard_me
 from merchantry.functions.synth import direction
 from merchantry.functions.text import clean_description, derive_canonical, strip_processor_prefix
 from merchantry.operators.aggregates import global_majority, known_list, majority_category
-from merchantry.operators.fuzzy import fuzzy_top1, fuzzy_topk
+from merchantry.operators.fuzzy import JOIN_CUTOFF, NameIndex, fuzzy_top1, fuzzy_topk
 from merchantry.session import materialize
 
 PRED_COLS = ["txn_id", "canonical_merchant", "category", "direction"]
@@ -66,34 +66,39 @@ class RulesRoute(Route):
         train_gold = with_gold_defaults(train_gold)
         j = train_feed.select("txn_id", "mcc").join(
             train_gold.select("txn_id", "category", "canonical_merchant", "txn_type"), "txn_id")
-        self.names = known_list(j)
+        # small tables that every transform reads are written once
+        self.names = materialize(known_list(j), "known_list")
+        self.index = NameIndex(self.names, self.cutoff) if self.scorer == "token_set" and self.cutoff >= JOIN_CUTOFF else None
         lab = j.withColumn("label", F.coalesce("canonical_merchant", "txn_type"))
-        self.label_prior = majority_category(lab, "label").withColumnRenamed("category", "_label_cat")
-        self.mcc_prior = majority_category(j, "mcc").withColumnRenamed("category", "_mcc_cat")
+        self.label_prior = materialize(majority_category(lab, "label").withColumnRenamed("category", "_label_cat"), "label_prior")
+        self.mcc_prior = materialize(majority_category(j, "mcc").withColumnRenamed("category", "_mcc_cat"), "mcc_prior")
         row = global_majority(train_gold).first()
         self.default = row[0] if row else K.DEFAULT_CATEGORY
         return self
 
     def transform(self, feed: DataFrame) -> DataFrame:
         d = feed.select("txn_id", "description", "mcc", "amount").withColumn(
-            "_stripped", strip_processor_prefix("description"))
-        d = (d.withColumn("_fallback", derive_canonical("_stripped"))
-             .withColumn("query", clean_description("_fallback")))
+            "_fallback", derive_canonical(strip_processor_prefix("description"))).withColumn(
+            "query", clean_description("_fallback"))
         if d.isStreaming:
             # Per-row scoring; a stream cannot be de-duplicated and joined back
             from merchantry.operators.fuzzy import fuzzy_top1_rows
             d = fuzzy_top1_rows(d, "query", self.names, self.cutoff).drop("_match_score")
+            d = self._labelled(d)
         else:
-            best = fuzzy_top1(d.select("query"), self.names, self.cutoff, scorer=self.scorer)
-            d = d.join(best.select("query", F.col("name").alias("_match")), "query", "left")
-        d = (d.withColumn("canonical_merchant", F.coalesce("_match", "_fallback"))
-             .withColumn("no_match", F.col("_match").isNull()))
-        d = (d.join(F.broadcast(self.mcc_prior), "mcc", "left")        # at most 10,000 codes of four digits
-             .join(self.label_prior.withColumnRenamed("label", "canonical_merchant"),
-                   "canonical_merchant", "left"))
+            # match and label prior once per text; the rows are joined once, on the text
+            texts = d.select("query", "_fallback").distinct()
+            best = fuzzy_top1(texts.select("query"), self.index or self.names, self.cutoff, scorer=self.scorer)
+            texts = self._labelled(texts.join(best.select("query", F.col("name").alias("_match")), "query", "left"))
+            d = d.join(texts.drop("query"), "_fallback", "left")
+        d = d.join(self.mcc_prior, "mcc", "left")
         cat = F.coalesce("_mcc_cat", "_label_cat", F.lit(self.default))
         return d.select("txn_id", "canonical_merchant", cat.alias("category"),
-                        direction("amount").alias("direction"), "no_match")
+                        direction("amount").alias("direction"), F.col("_match").isNull().alias("no_match"))
+
+    def _labelled(self, d: DataFrame) -> DataFrame:
+        d = d.withColumn("canonical_merchant", F.coalesce("_match", "_fallback"))
+        return d.join(self.label_prior.withColumnRenamed("label", "canonical_merchant"), "canonical_merchant", "left")
 
 
 def candidates(feed: DataFrame, names: DataFrame, k: int = K.TOP_K, scorer: str = "token_set") -> DataFrame:

@@ -133,3 +133,43 @@ def test_chunked_list_equals_single_broadcast(spark):
     t1 = {r["query"]: r["name"] for r in fuzzy_top1(q, _names_df(spark)).collect()}
     t2 = {r["query"]: r["name"] for r in fuzzy_top1(q, _names_df(spark), max_broadcast=5).collect()}
     assert t1 == t2
+
+
+def test_index_join_equals_brute_force(spark):
+    """Every way to reach the cutoff: edits, left-over words on either side, sub-sets, repeated letters, odd characters."""
+    from merchantry.operators.fuzzy import NameIndex
+    rng = random.Random(11)
+    words = ["aaaa", "aaaab", "red", "bolt", "heron", "bakery", "märkte", "日本橋", "x", "o", "of", "the", "corner$", "^up", "walmart",
+             "pharmacy", "international", "\U0001f355pizza"]
+
+    def edited(text):
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(text) + 1)
+            text = text[:at] + rng.choice(["", "a", "e", " ", "z"]) + text[at + rng.randint(0, 1):]
+        return text
+
+    names = sorted({" ".join(rng.sample(words, rng.randint(1, 5))) for _ in range(150)}) + [""]
+    queries = sorted({edited(rng.choice(names)) for _ in range(250)} | {" ".join(rng.sample(words, rng.randint(1, 6))) for _ in range(80)})
+    nd = spark.createDataFrame([(n, n, i) for i, n in enumerate(names)], "key string, name string, ord int")
+    qd = spark.createDataFrame([(q,) for q in queries + queries[:20]] + [(None,)], "query string")
+    scores = {(q, i): token_set_ratio_py(q, n) for q in queries for i, n in enumerate(names)}
+    for cutoff in (85, 70, 100):
+        index = NameIndex(nd, cutoff)
+        got = {r["query"]: (r["name"], round(r["score"], 9)) for r in index.best(qd).collect()}
+        want = {}
+        for q in queries:
+            score, i = max((scores[q, i], -i) for i in range(len(names)))
+            if score >= cutoff:
+                want[q] = (names[-i], round(score, 9))
+        assert got == want and len(want) > 20
+    # the kernel sees survivors only
+    pairs = NameIndex(nd, 85).survivors(qd).select("query", "ord").distinct().count()
+    reach = sum(s >= 85 for s in scores.values())
+    assert reach <= pairs < 0.1 * len(scores)
+
+
+def test_index_join_plan_has_no_cross_join(spark):
+    from merchantry.operators.fuzzy import NameIndex
+    qd = spark.createDataFrame([(q,) for q in QUERIES], "query string")
+    plan = NameIndex(_names_df(spark)).survivors(qd)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

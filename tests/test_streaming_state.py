@@ -38,9 +38,10 @@ def expected_with_ttl(rows, ttl):
 
 def test_ttl_does_not_depend_on_the_batches(spark):
     f = feed(spark)
+    f = f.filter("posted_date < '2024-01-13'")
     src = SC.write_stream_source(f)
     want = expected_with_ttl(f.collect(), 3)
-    assert sum(want.values()) > 60          # many come back after a gap
+    assert sum(want.values()) > 50          # many come back after a gap
     for max_files in (1, 5):
         assert flags(SC.descriptor_cache_stream(spark, src, f.schema, max_files=max_files, ttl_days=3)) == want
 
