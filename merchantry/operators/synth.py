@@ -15,6 +15,7 @@ from merchantry.functions import synth as S
 from merchantry.functions.hashing import hash52, hkey, in_eval, pick, uniform
 from merchantry.functions.labels import gold_merchant
 from merchantry.functions.text import derive_canonical, name_tokens
+from merchantry.session import materialize
 
 ZIPF_SCALE = 10 ** 9
 
@@ -31,30 +32,38 @@ def _zipf_weight(k: Column, s: float) -> Column:
 
 
 def zipf_table(spark: SparkSession, max_n: int, s: float) -> DataFrame:
-    """Integer CDF of ranks 0..n-1 with weight ``1/(k+1)^s`` for every n <= max_n.
+    """Per n <= max_n the integer CDF (``cdf``, its last value ``total``) of ranks 0..n-1 with weight
+    ``1/(k+1)^s``.
 
-    ``max_n * (max_n + 1) / 2`` rows (20,100 for the location cap of 200): a bounded
+    ``max_n`` rows with up to ``max_n`` numbers (200 rows for the location cap): a bounded
     table, so broadcasting it is safe at any data size.
     """
-    t = (spark.range(1, max_n + 1).withColumnRenamed("id", "n")
-         .select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("k"))
-         .withColumn("w", _zipf_weight(F.col("k"), s)))
-    w = Window.partitionBy("n").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return (t.withColumn("hi", F.sum("w").over(w))
-            .withColumn("lo", F.col("hi") - F.col("w"))
-            .withColumn("total", F.sum("w").over(Window.partitionBy("n")))
-            .select("n", "k", "lo", "hi", "total"))
+    zero = F.lit(0).cast("bigint")
+    ranks = F.sequence(zero, F.col("n") - 1)
+    sums = F.aggregate(ranks, F.array(zero), lambda a, k: F.concat(
+        a, F.array(F.element_at(a, -1) + _zipf_weight(k, s))))
+    return (spark.range(1, max_n + 1).withColumnRenamed("id", "n").withColumn("cdf", F.slice(sums, F.lit(2), F.col("n").cast("int")))
+            .withColumn("total", F.element_at("cdf", -1)))
+
+
+ZIPF_STEPS = 16                # halvings: lists of up to 65,535 ranks
 
 
 def zipf_pick(df: DataFrame, n_col: str, key: Column, out: str, table: DataFrame) -> DataFrame:
-    """Add ``out`` = a Zipf-distributed rank in [0, n) drawn from ``key``."""
-    d = df.withColumn("_zh", hash52(key))
-    t = F.broadcast(table.select(F.col("n").alias("_zn"), F.col("k").alias(out),
-                                 F.col("lo").alias("_zlo"), F.col("hi").alias("_zhi"),
-                                 F.col("total").alias("_ztot")))
-    cond = ((d[n_col] == t["_zn"]) & (F.pmod(d["_zh"], t["_ztot"]) >= t["_zlo"])
-            & (F.pmod(d["_zh"], t["_ztot"]) < t["_zhi"]))
-    return d.join(t, cond, "left").drop("_zh", "_zn", "_zlo", "_zhi", "_ztot")
+    """Add ``out`` = a Zipf-distributed rank in [0, n) drawn from ``key``: one row of the table per n, the rank
+    by bisection of its CDF."""
+    t = F.broadcast(table.select(F.col("n").alias("_zn"), F.col("cdf").alias("_zcdf"), F.col("total").alias("_ztot")))
+    d = df.join(t, df[n_col] == F.col("_zn"), "left").withColumn("_zh", F.pmod(hash52(key), F.col("_ztot")))
+    middle = lambda a: ((a["lo"] + a["hi"]) / 2).cast("int")
+    below = lambda a: F.get("_zcdf", middle(a)) <= F.col("_zh")
+    found = F.aggregate(
+        F.sequence(F.lit(1), F.lit(ZIPF_STEPS)), F.struct(F.lit(0).alias("lo"), F.size("_zcdf").alias("hi")),
+        lambda a, _: F.when(a["lo"] >= a["hi"], a).otherwise(F.struct(
+            F.when(below(a), middle(a) + 1).otherwise(a["lo"]).alias("lo"),
+            F.when(below(a), a["hi"]).otherwise(middle(a)).alias("hi"))),
+        lambda a: a["lo"])
+    rank = F.when(F.col("_ztot").isNotNull(), found.cast("bigint"))
+    return d.withColumn(out, rank).drop("_zh", "_zn", "_zcdf", "_ztot")
 
 
 # ---------------------------------------------------------------- local merchants
@@ -180,18 +189,44 @@ N_CUSTOMERS = 1500
 SYNTH_YEAR = 2026
 
 
+BUCKET_ROWS = 1 << 18
+COPY_ROWS = 1 << 16
+
+
+def number_rows(df: DataFrame, bucket_rows: int = BUCKET_ROWS, copy_rows: int = COPY_ROWS) -> DataFrame:
+    """Adds ``row_id``, 0 to n-1 without gaps, in the order of a hash of the row. Equal rows are counted, not
+    numbered: distinct rows get the number they start at (the rows in lower hash buckets and before
+    them in their own), and their copies are laid out again from the count, very many of one row by
+    several tasks."""
+    distinct = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_row", F.xxhash64(*df.columns))
+    distinct = materialize(distinct, "distinct_rows")
+    buckets = distinct.count() // bucket_rows + 1
+    distinct = distinct.withColumn("_bk", F.pmod("_row", F.lit(buckets)))
+    # one row per bucket
+    before = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = distinct.groupBy("_bk").agg(F.sum("_n").alias("_sz")).select(
+        "_bk", F.coalesce(F.sum("_sz").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_bk").orderBy("_row", *df.columns).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("_off") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    d = distinct.join(offsets, "_bk").withColumn("_start", start)
+    zero = F.lit(0).cast("bigint")
+    many = (d.filter(F.col("_n") > copy_rows)
+            .select("*", F.explode(F.sequence(zero, F.floor((F.col("_n") - 1) / copy_rows))).alias("_part"))
+            .repartition("_row", "_part"))
+    d = d.filter(F.col("_n") <= copy_rows).withColumn("_part", zero).unionByName(many)
+    first = F.col("_part") * copy_rows
+    return (d.select("*", F.explode(F.sequence(first, F.least(F.col("_n"), first + copy_rows) - 1)).alias("_i"))
+            .select(*df.columns, (F.col("_start") + F.col("_i")).alias("row_id")))
+
+
 def complete_raw(raw: DataFrame, seed: int = K.SEED, n_customers: int = N_CUSTOMERS) -> DataFrame:
     """Fill what a bare labelled set (description, category, country, currency) lacks:
-    ``row_id`` (a hash of the row and of its number among equal rows, so it does not depend on
-    how the set is split into files), ``customer_no`` (hash pick in [0, n_customers)),
+    ``row_id`` (``number_rows``: it does not depend on how the set is split into files), ``customer_no`` (hash pick in [0, n_customers)),
     ``amount_abs`` (B17 lognormal by category) and ``posted_date`` (day 1-28, month
     1-12 of SYNTH_YEAR from hash draws)."""
     d = raw
     if "row_id" not in d.columns:
-        content = F.xxhash64(*[F.col(c) for c in raw.columns])
-        d = (d.withColumn("_row", content)
-             .withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
-             .withColumn("row_id", F.pmod(F.xxhash64("_row", "_nth"), F.lit(1 << 62))).drop("_row", "_nth"))
+        d = number_rows(raw)
     key = lambda tag: hkey(str(seed), tag, F.col("row_id"))
     if "customer_no" not in d.columns:
         d = d.withColumn("customer_no", pick(key("customer"), n_customers))
@@ -225,12 +260,10 @@ def build_feed_wide(spark: SparkSession, raw: DataFrame, hard: bool = True, seed
     if write_intermediate:
         # base feeds three branches (labels, first rows, the rows themselves): write it
         # once instead of re-running the scan, join and regex chain three times
-        from merchantry.session import materialize
         base = materialize(base, "synth_base")
     labels = base.select(F.coalesce("merchant", "txn_type").alias("label")).distinct()
     locals_df = local_merchants(spark, labels, seed=seed)
     if write_intermediate:
-        from merchantry.session import materialize
         locals_df = materialize(locals_df, "synth_locals")
     zl = zipf_table(spark, K.LOCAL_MERCHANTS_N // len(LOCAL_CATEGORIES) + 1, K.LOCAL_ZIPF_S)
     d = assign_origin(base, locals_df, zl)
