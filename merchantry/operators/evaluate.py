@@ -25,10 +25,11 @@ def _key(route: str, split: str, view: str):
 
 def evaluate(views: dict[str, Views], routes: dict[str, Callable[[], Route]],
              write: Callable[[DataFrame, str], DataFrame] | None = None,
-             preds: dict | None = None) -> DataFrame:
+             preds: dict | None = None, n_boot: int | None = None) -> DataFrame:
     """Leaderboard over ``views`` (split -> Views) and ``routes`` (name -> route factory).
     ``write(df, name)`` persists a prediction frame (e.g. ``session.materialize``);
-    ``preds`` may hold precomputed model-view predictions keyed by (route, split)."""
+    ``preds`` may hold precomputed model-view predictions keyed by (route, split). With ``n_boot``, half-widths
+    of the cluster bootstrap are added (they run jobs while the plan is built)."""
     parts = []
     for split, v in views.items():
         for name, make in routes.items():
@@ -37,24 +38,15 @@ def evaluate(views: dict[str, Views], routes: dict[str, Callable[[], Route]],
                 mp = make().fit(v.train_feed, v.train_gold).transform(v.model_feed)
                 if write is not None:
                     mp = write(mp, f"preds_{name}_{split}")
-            parts.append(M.leaderboard_row(mp, v.model_gold, name, split, "model"))
-            rates = []
-            if "no_match" in mp.columns:
-                rates.append(F.avg(F.col("no_match").cast("double")).alias("no_match_rate"))
-            if "none" in mp.columns:
-                rates.append(F.avg(F.col("none").cast("double")).alias("escalation_share"))
-            if "choice_confidence" in mp.columns:
-                rates.append(F.avg("choice_confidence").alias("mean_confidence"))
-            if "choice_input_tokens" in mp.columns:
-                rates.append(F.sum("choice_input_tokens").alias("input_tokens"))
-            if rates:
-                parts.append(mp.agg(*rates).select(*_key(name, split, "model"), "*"))
+            parts.append(M.leaderboard_scores(mp, v.model_gold, v.model_feed, name, split, "model", n_boot))
             ip = ideal_preds(mp, v.cache).join(v.ideal_feed.select("txn_id", "amount"), "txn_id").withColumn(
                 "direction", F.when(F.col("amount") > 0, "incoming").otherwise("outgoing"))
-            parts.append(M.leaderboard_row(ip, v.ideal_gold, name, split, "ideal_cache"))
-            parts.append(M.spend_kpi(v.ideal_feed, ip, v.ideal_gold).select(
-                *_key(name, split, "ideal_cache"), F.col("mae").alias("kpi_mae"),
-                F.col("within_tolerance").alias("kpi_within_1pct")))
+            parts.append(M.leaderboard_scores(ip, v.ideal_gold, v.ideal_feed, name, split, "ideal_cache", n_boot))
+            named = mp.agg((F.count("canonical_merchant") > 0).alias("_named"))
+            kpi = M.spend_kpi(v.ideal_feed, ip, v.ideal_gold).crossJoin(named)               # one row each
+            parts.append(kpi.select(
+                *_key(name, split, "ideal_cache"), F.when(F.col("_named"), F.col("mae")).alias("kpi_mae"),
+                F.when(F.col("_named"), F.col("within_tolerance")).alias("kpi_within_1pct")))
             parts.append(v.cache.agg(F.avg(F.col("cache_hit").cast("double")).alias("cache_hit_rate"))
                          .select(*_key(name, split, "ideal_cache"), "cache_hit_rate"))
     out = parts[0]
@@ -65,7 +57,7 @@ def evaluate(views: dict[str, Views], routes: dict[str, Callable[[], Route]],
 
 
 def best_route(leaderboard: DataFrame, metric: str = "merchant_norm") -> DataFrame:
-    """Per split, the route with the highest model-view ``metric``."""
-    lb = leaderboard.filter(F.col("view") == "model")
+    """Per split, the route with the highest model-view ``metric`` among those that have it."""
+    lb = leaderboard.filter((F.col("view") == "model") & F.col(metric).isNotNull())
     return lb.groupBy("split").agg(F.max_by("route", F.struct(metric, "route")).alias("best_route"),
                                    F.max(metric).alias(metric))

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.functions.labels import category_ok, merchant_ok
+from merchantry.functions.labels import category_ok, cluster_key, headline_keep, merchant_ok
 from merchantry.functions.text import norm_merchant, relative_error
 from merchantry.operators.aggregates import rollup_by_merchant
+from merchantry.operators.stats import cluster_bootstrap_ci
 
 
 def _j(pred: DataFrame, gold: DataFrame, cols: list[str]) -> DataFrame:
@@ -123,25 +124,26 @@ def retrieval_recall(df: DataFrame, gold: str = "gold", cands: str = "candidates
 
 
 def weighted_scores(df: DataFrame, ok: str = "ok", n: str = "n", spend: str = "spend",
-                    merchant: str = "canonical_merchant") -> DataFrame:
+                    merchant: str = "canonical_merchant", group: list[str] | None = None) -> DataFrame:
     """Per-descriptor correctness weighted five ways: distinct, by rows, macro by
     merchant (mean of merchant means), by spend, by spend without the largest
-    descriptor; null where the weight is zero. Two aggregation levels (merchant, then
+    descriptor; null where the weight is zero; per ``group`` if given. Two aggregation levels (merchant, then
     global) carry every partial sum, so there is no join and no driver step."""
     x = F.col(ok).cast("double")
-    per = df.groupBy(merchant).agg(
+    group = group or []
+    per = df.groupBy(*group, merchant).agg(
         F.sum(x).alias("_sx"), F.count(F.lit(1)).alias("_c"),
         F.sum(x * F.col(n)).alias("_sxn"), F.sum(n).alias("_sn"),
         F.sum(x * F.col(spend)).alias("_sxs"), F.sum(spend).alias("_ss"),
         F.max_by(F.struct(F.col(spend).alias("s"), x.alias("x")), F.col(spend)).alias("_top"))
-    g = per.agg(
+    g = per.groupBy(*group).agg(
         (F.sum("_sx") / F.sum("_c")).alias("distinct"),
         (F.sum("_sxn") / F.nullif(F.sum("_sn"), F.lit(0))).alias("row_weighted"),
         F.avg(F.col("_sx") / F.col("_c")).alias("macro_merchant"),
         F.sum("_sxs").alias("_sxs"), F.sum("_ss").alias("_ss"),
         F.max_by("_top", "_top.s").alias("_top"))
     return g.select(
-        "distinct", "row_weighted", "macro_merchant",
+        *group, "distinct", "row_weighted", "macro_merchant",
         (F.col("_sxs") / F.nullif(F.col("_ss"), F.lit(0.0))).alias("spend_weighted"),
         ((F.col("_sxs") - F.col("_top.x") * F.col("_top.s"))
          / F.nullif(F.col("_ss") - F.col("_top.s"), F.lit(0.0))).alias("spend_weighted_no_top"))
@@ -170,3 +172,61 @@ def leaderboard_row(pred: DataFrame, gold: DataFrame, route: str, split: str, vi
                  else F.lit(None).cast("double")).alias("category_accuracy"))
     return j.agg(*aggs).select(F.lit(route).alias("route"), F.lit(split).alias("split"),
                                F.lit(view).alias("view"), "*")
+
+
+SUBSETS = ("recoverable", "abbreviated", "truncated", "source", "local")
+
+
+def leaderboard_scores(pred: DataFrame, gold: DataFrame, feed: DataFrame, route: str, split: str, view: str,
+                       n_boot: int | None = None, seed: int = 0) -> DataFrame:
+    """The full leaderboard row of (route, split, view). The headline merchant scores (exact,
+    normalised, dedup ratios, interval) leave out local rows whose name was abbreviated (B30) on the model
+    view; subsets, no-match, recall and escalation are over all rows with a gold merchant. A metric the
+    route cannot produce is null. Everything but macro-F1 and, with ``n_boot``, the half-widths (D18) is one
+    aggregate over one joined pass."""
+    cols = set(pred.columns)
+    p = pred.withColumns({c: F.lit(None).cast("string") for c in ("category", "direction") if c not in cols})
+    extra = [c for c in ("no_match", "none", "escalated", "candidates", "choice_confidence", "choice_input_tokens") if c in cols]
+    j = _j(p, gold, ["canonical_merchant", "category", "direction"] + extra).join(feed.select("txn_id", "description"), "txn_id")
+    cat_ok, m_ok = _ok_cols(p)
+    named = F.col("g_canonical_merchant").isNotNull()
+    keep = F.coalesce(headline_keep(F.col("g_origin"), F.col("g_noise_abbrev")), F.lit(True)) if view == "model" else F.lit(True)
+    j = j.withColumns({"head": named & keep, "ok": m_ok, "cat_ok": cat_ok})
+    head, pm, gm = F.col("head"), F.col("p_canonical_merchant"), F.col("g_canonical_merchant")
+    abbrev, trunc = (F.coalesce(F.col(f"g_{c}"), F.lit(False)) for c in ("noise_abbrev", "noise_trunc"))
+    subset = dict(zip(SUBSETS, (~abbrev & ~trunc, abbrev, trunc, F.col("g_origin") == "source", F.col("g_origin") == "local")))
+    names = (F.count(pm) > 0) & (F.count_if(head) > 0)       # a route that never names a merchant gets null
+    if_named = lambda c: F.when(names, c)
+    share = lambda rows, flag: F.avg(F.when(rows, flag.cast("double")))
+    texts = F.countDistinct(F.when(head, F.col("description")))
+    aggs = [
+        F.count(F.lit(1)).alias("n"), F.count_if(head).alias("merchant_rows"),
+        F.count_if(named & ~F.col("head")).alias("headline_excluded"),
+        F.when(F.count("p_category") > 0, F.avg(F.col("cat_ok").cast("double"))).alias("category_accuracy"),
+        if_named(share(head, F.coalesce(pm == gm, F.lit(False)))).alias("merchant_exact"),
+        if_named(share(head, F.col("ok"))).alias("merchant_norm"),
+        if_named((F.countDistinct(F.when(head, pm)) + F.max((head & pm.isNull()).cast("int"))) / texts).alias("dedup_ratio"),
+        if_named(F.countDistinct(F.when(head, gm)) / texts).alias("gold_dedup_ratio"),
+        *[if_named(share(named & rows, F.col("ok"))).alias(f"subset_{k}") for k, rows in subset.items()],
+        F.avg(F.coalesce(F.col("p_direction") == F.col("g_direction"), F.lit(False)).cast("double")).alias("direction_accuracy")]
+    if view == "model":
+        flag = "no_match" if "no_match" in cols else "none"
+        hit = F.array_contains(F.transform("p_candidates", lambda c: norm_merchant(c)), norm_merchant(gm)) if "candidates" in cols else None
+        aggs += [F.round(share(named, F.col(f"p_{flag}")), 4).alias("no_match_rate")] * (flag in cols)
+        aggs += [F.round(share(named, F.coalesce(hit, F.lit(False))), 4).alias("retrieval_recall")] if "candidates" in cols else []
+        aggs += [F.round(share(named, F.col("p_escalated")), 3).alias("escalated")] * ("escalated" in cols)
+        aggs += [F.avg("p_choice_confidence").alias("mean_confidence")] * ("choice_confidence" in cols)
+        aggs += [F.sum("p_choice_input_tokens").alias("input_tokens")] * ("choice_input_tokens" in cols)
+    key = [F.lit(route).alias("route"), F.lit(split).alias("split"), F.lit(view).alias("view")]
+    f1 = macro_f1(p.withColumn("category", F.coalesce("category", F.lit(""))), gold)
+    row = j.agg(*aggs).crossJoin(f1).withColumnRenamed("category_macro_f1", "macro_f1")      # one row each
+    row = row.withColumn("macro_f1", F.when(F.col("category_accuracy").isNotNull(), F.col("macro_f1")))
+    if n_boot:
+        cluster = cluster_key(gm, F.col("g_txn_type") if "txn_type" in gold.columns else F.lit(None).cast("string"))
+        wide = cluster_bootstrap_ci(j, F.col("cat_ok"), F.col("ok"), head, cluster, n_boot, seed).select("category")
+        names_only = cluster_bootstrap_ci(j.filter("head"), F.col("cat_ok"), F.col("ok"), head, cluster, n_boot, seed)
+        row = row.crossJoin(wide.select(F.col("category").alias("_c"))).crossJoin(
+            names_only.select(F.col("merchant_norm").alias("_m"))).withColumns(
+            {"category_ci": F.when(F.col("category_accuracy").isNotNull(), F.col("_c")),
+             "merchant_norm_ci": F.when(F.col("merchant_norm").isNotNull(), F.col("_m"))}).drop("_c", "_m")
+    return row.select(*key, "*")

@@ -64,6 +64,66 @@ def cascade_sweep(df: DataFrame, is_ok: Callable[[Column], Column], thresholds=K
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def confidence_report(rows: DataFrame, thresholds=K.CONFIDENCE_THRESHOLDS, group=("dataset", "setting")) -> DataFrame:
+    """D31 in full: ``confidence_summary`` with the AUROC of right against wrong picks (D28), the confidence
+    quantiles of both (D29) and the threshold sweep (D30) as arrays over ``thresholds``, per group."""
+    g = list(group)
+    picked = rows.filter(F.col("choice") != K.NONE_OPTION)
+    auc = ST.auroc(picked, "confidence", F.col("correct"), g).withColumn("auroc", F.round("auroc", 3))
+    q = [ST.quantiles(picked.filter(c), "confidence", g).withColumnRenamed("quantiles", name) for c, name in
+         ((F.col("correct"), "quantiles_right"), (~F.col("correct"), "quantiles_wrong"))]
+    sweep = ST.threshold_sweep(rows, F.col("choice") != K.NONE_OPTION, "confidence", "correct", thresholds, g)
+    steps = ["auto_accepted", "precision_of_accepted", "wrong_accepts_of_all_rows", "escalated"]
+    # one row per threshold and group
+    sweep = sweep.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct("threshold", *steps))).alias("_s")).select(
+        *g, *[F.col(f"_s.{c}").alias(c) for c in steps])
+    out = confidence_summary(rows, g)
+    for part in (auc, *q, sweep):
+        out = out.join(part, g, "left")
+    return out
+
+
+def cascade_summary(df: DataFrame, policies: dict[str, Column], matched: Column | None, cluster: Column, weight: Column | None = None,
+                    compare: list[tuple[str, str]] = (), n_boot: int = K.BOOTSTRAP_N, seed: int = 0) -> DataFrame:
+    """One row per policy (``policies``: name -> correctness Column): accuracy, row-weighted accuracy, rows and
+    the share of rows the first stage matched; then one row per pair in ``compare``: the difference of the two
+    with its paired-bootstrap interval (D19), plain and, with a weight, row-weighted."""
+    d = df.select(cluster.alias("cluster"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("w"),
+                  (matched if matched is not None else F.lit(None).cast("boolean")).alias("m"),
+                  *[F.coalesce(ok, F.lit(False)).alias(f"ok{i}") for i, ok in enumerate(policies.values())])
+    wide = d.agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg(F.col("m").cast("double")), 3).alias("matched_share"), *[
+        c for i in range(len(policies)) for c in (
+            F.round(F.avg(F.col(f"ok{i}").cast("double")), 3).alias(f"a{i}"),
+            F.round(F.sum(F.col(f"ok{i}").cast("double") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0.0)), 3).alias(f"w{i}"))])
+    rows = F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"a{i}").alias("accuracy"), F.col(f"w{i}").alias("row_weighted"))
+                     for i, name in enumerate(policies)])
+    out = wide.select(F.explode(rows).alias("r"), "rows", "matched_share").select("r.*", "rows", "matched_share")
+    at = {name: f"ok{i}" for i, name in enumerate(policies)}
+    for a, b in compare:
+        for weights, tag in ((None, ""), ("w", "_row_weighted")) if weight is not None else ((None, ""),):
+            diff = ST.paired_bootstrap(d, at[a], at[b], "cluster", weights, n_boot, seed)
+            out = out.unionByName(diff.select(F.lit(f"{a}_minus_{b}{tag}").alias("name"), "diff", "lo", "hi",
+                                              F.col("n_clusters").cast("long").alias("n_clusters"),
+                                              F.col("n_rows").cast("long").alias("rows")), allowMissingColumns=True)
+    return out
+
+
+def routing_differences(df: DataFrame, pairs: list[tuple[str, str]], gold: str, none: Column, cluster: Column,
+                        n_boot: int = K.BOOTSTRAP_N, seed: int = 0) -> DataFrame:
+    """The paired bootstrap (D19) of policy columns against each other, clustered by merchant or type, and
+    the share of rows answered none."""
+    right = lambda c: F.coalesce(F.col(c) == F.col(gold), F.lit(False))
+    d = df.withColumn("_none", none)
+    share = d.agg(F.round(F.avg(F.col("_none").cast("double")), 3).alias("none_share"))
+    out = None
+    for a, b in pairs:
+        row = ST.paired_bootstrap(d, right(a), right(b), cluster, None, n_boot, seed).select(
+            F.lit(f"{a}_minus_{b}").alias("comparison"), "diff", "lo", "hi", F.col("n_clusters").cast("long").alias("n_clusters"),
+            F.col("n_rows").cast("long").alias("n_rows")).crossJoin(share)                     # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def routing_summary(df: DataFrame, policies: list[str], gold: str, by: list[str]) -> DataFrame:
     """Accuracy of each policy column overall and by each column in ``by`` (one
     grouping set per dimension, as a union of partial aggregations)."""

@@ -231,7 +231,7 @@ class ChoiceRoute(Route):
         fixed = nones.drop("canonical_merchant").join(
             gen.select("txn_id", "canonical_merchant"), "txn_id", "left")
         return (out.filter(~F.col("none")).unionByName(fixed.select(out.columns))
-                .drop("description", "amount"))
+                .drop("description", "amount").withColumn("escalated", F.col("none")))
 
 
 def cascade(first: DataFrame, second: DataFrame, gate: Column, cols=("canonical_merchant",)) -> DataFrame:

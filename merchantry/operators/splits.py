@@ -77,9 +77,13 @@ def apply_split(feed: DataFrame, gold: DataFrame, membership: DataFrame):
             feed.join(ev, "txn_id", "left_semi"), gold.join(ev, "txn_id", "left_semi"))
 
 
-def valid_split(df: DataFrame, frac: float = 0.1, seed: int = K.SEED, key: str = "txn_id"
+def valid_split(df: DataFrame, frac: float = 0.1, seed: int = K.SEED, key: str = "txn_id", exact: bool = False
                 ) -> DataFrame:
-    """adds ``split`` = ``train`` / ``valid`` by a seeded hash."""
+    """adds ``split`` = ``train`` / ``valid`` by a seeded hash: ``frac`` in expectation, or with ``exact`` cut
+    at ``int((1 - frac) * n)`` of the seeded permutation (``key`` is unique then)."""
+    if exact:
+        held = split_random(df, seed, frac, key, exact=True).filter("is_eval").select(key, F.lit("valid").alias("split"))
+        return df.join(held, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
     return df.withColumn("split", F.when(uniform(hkey(str(seed), "valid", F.col(key))) < frac,
                                          "valid").otherwise("train"))
 

@@ -768,7 +768,7 @@ def leaderboard(spark, sf_dir, split: str = "random"):
     else:
         pre[("rules", split)] = materialize(_rules(spark, sf_dir, split).transform(v.model_feed),
                                             f"preds_rules_{split}")
-    return evaluate({split: v}, {"cleaner": CleanerRoute, "rules": RulesRoute}, write=materialize, preds=pre)
+    return evaluate({split: v}, {"cleaner": CleanerRoute, "rules": RulesRoute}, write=materialize, preds=pre, n_boot=N_BOOT_Q)
 
 
 @register("d37_leaderboard_random")
@@ -1595,3 +1595,326 @@ def q_d14_lev(spark, sf_dir):
     v = _views(spark, sf_dir)
     ip = ideal_preds(_rules_lev_preds(spark, sf_dir), v.cache)
     return _round6(M.spend_kpi(v.ideal_feed, ip, v.ideal_gold), ["mae", "within_tolerance"])
+
+
+# ------------------------------------------------------------------ leaderboard, cascades and benchmarks in full
+LEADERBOARD_SQL = f"""SELECT s.*, CASE WHEN s.category_accuracy IS NOT NULL THEN round(f.macro_f1, 6) END AS macro_f1,
+    k.kpi_mae, k.kpi_within_1pct, CASE WHEN s.view = 'ideal_cache' THEN round((SELECT avg(cache_hit::INT) FROM cache), 6) END
+    AS cache_hit_rate
+  FROM (SELECT route, view, count(*) AS n, count(*) FILTER (WHERE head) AS merchant_rows,
+      count(*) FILTER (WHERE gm IS NOT NULL AND NOT head) AS headline_excluded,
+      CASE WHEN count(pc) > 0 THEN round(avg(coalesce(pc = gc, FALSE)::INT), 6) END AS category_accuracy,
+      round(avg(coalesce(pm = gm, FALSE)::INT) FILTER (WHERE head), 6) AS merchant_exact,
+      round(avg(ok::INT) FILTER (WHERE head), 6) AS merchant_norm,
+      round((count(DISTINCT pm) FILTER (WHERE head) + max((head AND pm IS NULL)::INT)) / (count(DISTINCT description) FILTER (WHERE head)), 6)
+        AS dedup_ratio,
+      round((count(DISTINCT gm) FILTER (WHERE head)) / (count(DISTINCT description) FILTER (WHERE head)), 6) AS gold_dedup_ratio,
+      round(avg(ok::INT) FILTER (WHERE gm IS NOT NULL AND NOT ab AND NOT tr), 6) AS subset_recoverable,
+      round(avg(ok::INT) FILTER (WHERE gm IS NOT NULL AND ab), 6) AS subset_abbreviated,
+      round(avg(ok::INT) FILTER (WHERE gm IS NOT NULL AND tr), 6) AS subset_truncated,
+      round(avg(ok::INT) FILTER (WHERE gm IS NOT NULL AND origin = 'source'), 6) AS subset_source,
+      round(avg(ok::INT) FILTER (WHERE gm IS NOT NULL AND origin = 'local'), 6) AS subset_local,
+      round(avg(dir_ok::INT), 6) AS direction_accuracy,
+      round(avg(nm::INT) FILTER (WHERE gm IS NOT NULL), 4) AS no_match_rate
+    FROM jj GROUP BY route, view) s
+  JOIN (SELECT route, view, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END) AS macro_f1
+    FROM (SELECT route, view, label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (
+        SELECT route, view, gc AS label, (coalesce(pc, '') = gc)::INT AS tp, 0 AS fp, (coalesce(pc, '') <> gc)::INT AS fn FROM jj
+        UNION ALL SELECT route, view, coalesce(pc, ''), 0, (coalesce(pc, '') <> gc)::INT, 0 FROM jj)
+      GROUP BY ALL) GROUP BY route, view) f USING (route, view)
+  LEFT JOIN (SELECT g.route, 'ideal_cache' AS view, round(avg(abs(t - coalesce(p, 0.0))), 6) AS kpi_mae,
+      round(avg((abs(t - coalesce(p, 0.0)) / greatest(abs(t), 1e-9) <= 0.01)::INT), 6) AS kpi_within_1pct
+    FROM (SELECT route, customer_id, {Q.norm_merchant('gm')} AS m, round(sum(abs(amount)::DECIMAL(18,2)), 2)::DOUBLE AS t
+          FROM jj WHERE view = 'ideal_cache' AND gm IS NOT NULL GROUP BY ALL) g
+    LEFT JOIN (SELECT route, customer_id, {Q.norm_merchant('pm')} AS m, round(sum(abs(amount)::DECIMAL(18,2)), 2)::DOUBLE AS p
+          FROM jj WHERE view = 'ideal_cache' AND gm IS NOT NULL GROUP BY ALL) q USING (route, customer_id, m)
+    GROUP BY g.route) k USING (route, view)"""
+
+LEADERBOARD_CTES = [
+    f"""mp AS (SELECT 'cleaner' AS route, txn_id, {Q.derive_canonical(Q.strip_processor_prefix('description'))} AS pm,
+          NULL::VARCHAR AS pc, NULL::BOOLEAN AS nm FROM model
+        UNION ALL SELECT 'rules_levenshtein', txn_id, canonical_merchant, category, no_match FROM rp)""",
+    """allp AS (SELECT route, 'model' AS view, txn_id, pm, pc, nm FROM mp
+        UNION ALL SELECT r.route, 'ideal_cache', c.txn_id, CASE WHEN c.cache_hit THEN c.cache_merchant ELSE mp.pm END,
+          CASE WHEN c.cache_hit THEN c.cache_category ELSE mp.pc END, NULL
+        FROM (SELECT DISTINCT route FROM mp) r, cache c LEFT JOIN mp ON mp.route = r.route AND mp.txn_id = c.rep_txn_id)""",
+    f"""jj AS (SELECT p.*, g.canonical_merchant AS gm, g.category AS gc, g.origin, f.description, f.customer_id, f.amount,
+          coalesce(g.noise_abbrev, FALSE) AS ab, coalesce(g.noise_trunc, FALSE) AS tr,
+          (CASE WHEN f.amount > 0 THEN 'incoming' ELSE 'outgoing' END) = g.direction AS dir_ok,
+          g.canonical_merchant IS NOT NULL AND NOT (p.view = 'model' AND coalesce(g.origin = 'local', FALSE)
+            AND coalesce(g.noise_abbrev, FALSE)) AS head,
+          {Q.merchant_ok('p.pm', 'g.canonical_merchant', 'coalesce(p.pc = g.category, FALSE)')} AS ok
+        FROM allp p JOIN gold g USING (txn_id) JOIN feed f USING (txn_id))"""]
+
+
+@register("d37_leaderboard_levenshtein_random", W(LEADERBOARD_SQL, _rules_lev_ctes() + LEADERBOARD_CTES))
+def q_d37_lev(spark, sf_dir):
+    """D37 with every column but the bootstrap half-widths, for the cleaner and the Levenshtein rules route."""
+    from merchantry.operators.evaluate import evaluate
+    v = _views(spark, sf_dir)
+    board = evaluate({"random": v}, {"cleaner": CleanerRoute, "rules_levenshtein": lambda: RulesRoute(scorer="levenshtein")},
+                     write=materialize, preds={("rules_levenshtein", "random"): _rules_lev_preds(spark, sf_dir)})
+    return _round6(board.drop("split"), [f.name for f in board.schema.fields if f.dataType.simpleString() == "double"])
+
+
+@register("d38_best_route_levenshtein", W(f"""SELECT 'random' AS split, arg_max(route, (merchant_norm, route)) AS best_route,
+    max(merchant_norm) AS merchant_norm FROM ({LEADERBOARD_SQL}) WHERE view = 'model' AND merchant_norm IS NOT NULL""",
+    _rules_lev_ctes() + LEADERBOARD_CTES))
+def q_d38_lev(spark, sf_dir):
+    from merchantry.operators.evaluate import best_route
+    return best_route(q_d37_lev(spark, sf_dir).withColumn("split", F.lit("random")))
+
+
+def _headline(spark, sf_dir, split="random"):
+    """Gold of the headline merchant rows of the model view."""
+    g = _views(spark, sf_dir, split).model_gold.filter(F.col("canonical_merchant").isNotNull())
+    keep = F.coalesce(LB.headline_keep(F.col("origin"), F.col("noise_abbrev")), F.lit(True))
+    return g.filter(keep).select("txn_id", F.col("canonical_merchant").alias("gold"), F.col("category").alias("gcat"))
+
+
+def _cascade_rows(gold, rules, second):
+    """Gold rows with the rules answer, the second route's and the cascade of both (names ending in ``_c`` are categories)."""
+    d = (gold.join(rules.select("txn_id", F.col("canonical_merchant").alias("rules"), F.col("category").alias("rules_c"), "no_match"), "txn_id")
+         .join(second.select("txn_id", F.col("canonical_merchant").alias("second"), F.col("category").alias("second_c")), "txn_id"))
+    return d.withColumn("cascade", LB.cascade_select(~F.col("no_match"), "rules", "second")).withColumn(
+        "cascade_c", LB.cascade_select(~F.col("no_match"), "rules_c", "second_c"))
+
+
+def _right(name):
+    return merchant_ok(F.col(name), F.col("gold"), LB.category_ok(F.col(f"{name}_c"), F.col("gcat")))
+
+
+@register("d35_cascade_summary")
+def q_d35_cascade(spark, sf_dir):
+    """Rules, generator, rules-else-generator and choice-else-generator on the headline rows."""
+    gen, ch = (_route_preds(spark, sf_dir, n) for n in ("generator", "choice_generator"))
+    d = _cascade_rows(_headline(spark, sf_dir), _route_preds(spark, sf_dir, "rules_model"), gen)
+    d = RP.pair_routes(d, ch.select("txn_id", F.col("canonical_merchant").alias("choice"), F.col("category").alias("choice_c")))
+    names = {"rules": "rules", "generator": "second", "cascade": "cascade", "choice_generator": "choice"}
+    return RP.cascade_summary(d, {k: _right(c) for k, c in names.items()}, ~F.col("no_match"), F.col("gold"),
+                              compare=[("choice_generator", "cascade")], n_boot=N_BOOT_Q)
+
+
+@register("d35_cascade_summary_levenshtein", W(f"""
+  SELECT unnest(['rules', 'nearest', 'cascade']) AS name,
+    unnest([round(avg(r::INT), 3), round(avg(n::INT), 3), round(avg(c::INT), 3)]) AS accuracy,
+    unnest([round(sum(r::INT * w) / sum(w), 3), round(sum(n::INT * w) / sum(w), 3), round(sum(c::INT * w) / sum(w), 3)]) AS row_weighted,
+    count(*) AS rows, round(avg(matched::INT), 3) AS matched_share
+  FROM (SELECT NOT rp.no_match AS matched, {Q.merchant_ok('rp.canonical_merchant', 'g.canonical_merchant', 'coalesce(rp.category = g.category, FALSE)')} AS r,
+      {Q.merchant_ok('near.name', 'g.canonical_merchant', 'FALSE')} AS n,
+      {Q.merchant_ok('(CASE WHEN NOT rp.no_match THEN rp.canonical_merchant ELSE near.name END)', 'g.canonical_merchant',
+                     'coalesce((CASE WHEN NOT rp.no_match THEN rp.category END) = g.category, FALSE)')} AS c,
+      (SELECT count(*) FROM ef WHERE ef.description = m.description) AS w
+    FROM rp JOIN gold g USING (txn_id) JOIN mq USING (txn_id) JOIN model m USING (txn_id) JOIN near USING (query)
+    WHERE g.canonical_merchant IS NOT NULL AND NOT (coalesce(g.origin = 'local', FALSE) AND coalesce(g.noise_abbrev, FALSE)))""",
+    _rules_lev_ctes() + [
+        """klm AS (SELECT key, arg_max(name, kind = 'merchant') AS name, arg_max(kind, kind = 'merchant') AS kind,
+             min(CASE WHEN kind = 'type' THEN 0 ELSE 1 END) AS ord_k,
+             arg_min(first, (CASE WHEN kind = 'type' THEN 0 ELSE 1 END, first)) AS ord_f FROM per GROUP BY key)""",
+        """near AS (SELECT query, arg_min(name, (-score, ord_k, ord_f)) AS name FROM (SELECT q.query, k.name, k.ord_k, k.ord_f,
+             CASE WHEN greatest(length(q.query), length(k.key)) = 0 THEN 100.0
+                  ELSE 100.0 * (1.0 - levenshtein(q.query, k.key) / greatest(length(q.query), length(k.key))) END AS score
+           FROM (SELECT DISTINCT query FROM mq) q, (SELECT * FROM klm WHERE kind = 'merchant') k) GROUP BY query)"""]))
+def q_d35_lev(spark, sf_dir):
+    """D35 with the Levenshtein rules route and, where it does not match, the nearest listed merchant; weighted by the
+    held-out rows of each descriptor."""
+    v = _views(spark, sf_dir)
+    near = _lev_candidates(spark, sf_dir).select(
+        "txn_id", F.col("candidates")[0].alias("canonical_merchant"), F.lit(None).cast("string").alias("category"))
+    weights = (v.model_feed.select("txn_id", "description")
+               .join(v.eval_feed.groupBy("description").agg(F.count(F.lit(1)).alias("w")), "description"))
+    d = _cascade_rows(_headline(spark, sf_dir), _rules_lev_preds(spark, sf_dir), near).join(weights, "txn_id")
+    return RP.cascade_summary(d, {"rules": _right("rules"), "nearest": _right("second"), "cascade": _right("cascade")},
+                              ~F.col("no_match"), F.col("gold"), weight=F.col("w"))
+
+
+def _confidence_report_sql():
+    picked = f"choice <> {Q.q(K.NONE_OPTION)}"
+    quant = lambda c: (f"list_transform(quantile_cont(confidence, [0.1, 0.25, 0.5, 0.75, 0.9]) FILTER (WHERE {picked} AND {c}), "
+                       "lambda x: round(x, 3))")
+    per_t = lambda f: "[" + ", ".join(f(f"({picked} AND confidence >= {Q.dbl(t)})") for t in K.CONFIDENCE_THRESHOLDS) + "]"
+    return f"""WITH {CONF_SQL},
+  ranked AS (SELECT dataset, setting, correct, rank() OVER (PARTITION BY dataset, setting ORDER BY confidence)
+      + (count(*) OVER (PARTITION BY dataset, setting, confidence) - 1) / 2.0 AS r FROM crc WHERE {picked}),
+  auc AS (SELECT dataset, setting, CASE WHEN count(*) FILTER (WHERE correct) > 0 AND count(*) FILTER (WHERE NOT correct) > 0 THEN
+      round((sum(r) FILTER (WHERE correct) - count(*) FILTER (WHERE correct) * (count(*) FILTER (WHERE correct) + 1) / 2.0)
+        / (count(*) FILTER (WHERE correct) * count(*) FILTER (WHERE NOT correct)), 3) END AS auroc FROM ranked GROUP BY ALL),
+  main AS (SELECT dataset, setting, count(*) AS rows, round(avg((gold IN ('high', 'low'))::INT), 3) AS gold_in_list,
+      round(avg((NOT ({picked}))::INT), 3) AS picked_none, count(*) FILTER (WHERE {picked} AND correct) AS accepted_right,
+      count(*) FILTER (WHERE {picked} AND NOT correct) AS accepted_wrong, {quant('correct')} AS quantiles_right,
+      {quant('NOT correct')} AS quantiles_wrong,
+      {per_t(lambda a: f"round(count(*) FILTER (WHERE {a}) / count(*), 3)")} AS auto_accepted,
+      {per_t(lambda a: f"CASE WHEN count(*) FILTER (WHERE {a}) > 0 THEN round(count(*) FILTER (WHERE {a} AND correct) / count(*) FILTER (WHERE {a}), 3) END")}
+        AS precision_of_accepted,
+      {per_t(lambda a: f"round((count(*) FILTER (WHERE {a}) - count(*) FILTER (WHERE {a} AND correct)) / count(*), 3)")}
+        AS wrong_accepts_of_all_rows,
+      {per_t(lambda a: f"round(1 - count(*) FILTER (WHERE {a}) / count(*), 3)")} AS escalated
+    FROM crc GROUP BY dataset, setting)
+  SELECT * FROM main LEFT JOIN auc USING (dataset, setting)"""
+
+
+@register("d31_confidence_report", _confidence_report_sql())
+def q_d31_full(spark, sf_dir):
+    r = conf_rows(spark, sf_dir).withColumn("gold_in_list", F.col("gold").isin("high", "low"))
+    return RP.confidence_report(r)
+
+
+@register("d33_routing_differences")
+def q_d33_diff(spark, sf_dir):
+    """Rule against embedding and against choice, clustered by merchant or type, and the none share."""
+    ch = _route_preds(spark, sf_dir, "choice").select("txn_id", F.col("category").alias("choice"), "none")
+    emb = _route_preds(spark, sf_dir, "embedding").select("txn_id", F.col("category").alias("embedding"))
+    g = _gold_model(spark, sf_dir).select("txn_id", F.col("category").alias("gold"), "canonical_merchant", "txn_type")
+    d = RP.pair_routes(ch, emb).join(g, "txn_id").withColumn("rule", LB.cascade_select(F.col("none"), "choice", "embedding"))
+    return RP.routing_differences(d, [("rule", "embedding"), ("rule", "choice")], "gold", F.col("none"),
+                                  LB.routing_key(F.col("canonical_merchant"), F.col("txn_type")), n_boot=N_BOOT_Q)
+
+
+EMBED_GATES = (0.6, 0.7, 0.8, 0.9)
+
+
+def _statement_preds(spark, sf_dir):
+    """R15's prediction table, one row per labelled debit descriptor: text (D9), fuzzy top-1, nearest vector and choice
+    against the full and the realistic list (labels of at least two descriptors, D27), generator; ``held``: the
+    label is not on the realistic list; ``literal``: the label is the cleaned text itself."""
+    key = ("statement_preds", _sid(spark), sf_dir)
+    if key in _CACHE:
+        return _CACHE[key]
+    from merchantry.operators.fuzzy import fuzzy_topk
+    from merchantry.operators.vectors import nearest_vector
+    feed, w = fg(spark, sf_dir)[0], wide(spark, sf_dir)
+    spend = AG.spend_by_descriptor(statement(feed))
+    first = AG.first_per_group(w.select("txn_id", "description", "canonical_merchant"), "description", "txn_id",
+                               ["canonical_merchant"]).filter(F.col("canonical_merchant").isNotNull())
+    names = first.groupBy("canonical_merchant").agg(F.min("txn_id").alias("ord"), F.count(F.lit(1)).alias("n_desc")).select(
+        TX.clean_description("canonical_merchant").alias("key"), F.col("canonical_merchant").alias("name"), "ord", "n_desc")
+    names = materialize(names, "statement_names")
+    lists = {"known": names, "hold": names.filter("n_desc >= 2")}
+    d = first.drop("txn_id").join(spend, "description", "left").join(
+        names.select(F.col("name").alias("canonical_merchant"), (F.col("n_desc") < 2).alias("held")), "canonical_merchant")
+    derive = TX.derive_canonical(TX.strip_processor_prefix("description"))
+    d = d.select("description", "canonical_merchant", "held", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("spend", F.lit(0.0)).alias("spend"),
+                 F.col("spend").isNotNull().alias("has_spend"), derive.alias("derive"), query_text("description").alias("query"),
+                 (TX.norm_merchant(derive) == TX.norm_merchant("canonical_merchant")).alias("literal"))
+    d = materialize(d, "statement_rows")
+    asks = d.select(F.col("description").alias("txn_id"), "description", F.lit(-1.0).alias("amount"))
+    gen = GeneratorRoute(echo_generator, categories=K.CATEGORIES)
+    gen.categories, gen.default = list(K.CATEGORIES), K.DEFAULT_CATEGORY
+    out = d.join(gen.transform(asks).select(F.col("txn_id").alias("description"), F.col("canonical_merchant").alias("generator")), "description")
+    texts = d.select("query").distinct().withColumn("vec", TX.letter_counts("query"))
+    for tag, lst in lists.items():
+        fuzzy = fuzzy_topk(d.select("query"), lst, 1).select("query", F.get("candidates", F.lit(0)).alias(f"fuzzy_{tag}"),
+                                                             F.get("scores", F.lit(0)).alias(f"fuzzy_{tag}_score"))
+        vocab = lst.select("name").withColumn("vec", TX.letter_counts("name"))
+        near = nearest_vector(texts, vocab, id_col="query").select("query", F.col("name").alias(f"embed_{tag}"),
+                                                                   F.col("cosine").alias(f"embed_{tag}_cos"))
+        ch = ChoiceRoute(first_candidate_chooser)
+        ch.names, ch.categories, ch.default = lst, list(K.CATEGORIES), K.DEFAULT_CATEGORY
+        picked = ch.transform(asks).select(F.col("txn_id").alias("description"),
+                                           F.when(~F.col("none"), F.col("canonical_merchant")).alias(f"choice_{tag}"))
+        out = out.join(fuzzy, "query", "left").join(near, "query", "left").join(picked, "description", "left")
+    _CACHE[key] = materialize(out, "statement_preds")
+    return _CACHE[key]
+
+
+@register("r15_statement_scores")
+def q_r15_full(spark, sf_dir):
+    """R15 in full: every prediction and cascade (embedding gates, choice-else-generator, fuzzy-else-generator), scored five ways
+    (D24) on all, held-out and non-literal descriptors, with the share sent on and, for gates, the held-out
+    share wrongly kept."""
+    p = _statement_preds(spark, sf_dir)
+    preds = {c: F.col(c) for c in ("derive", "generator", "fuzzy_known", "fuzzy_hold", "embed_known", "embed_hold", "choice_known", "choice_hold")}
+    kept = {f"cascade_embed{t}": F.coalesce(F.col("embed_hold_cos") >= t, F.lit(False)) for t in EMBED_GATES}
+    kept |= {"cascade_choice": F.col("choice_hold").isNotNull(), "cascade_fuzzy": F.coalesce(F.col("fuzzy_hold_score") >= K.FUZZY_CUTOFF, F.lit(False))}
+    first = lambda name: F.col("embed_hold" if "embed" in name else "choice_hold" if "choice" in name else "fuzzy_hold")
+    preds |= {name: LB.cascade_select(gate, first(name), F.col("generator")) for name, gate in kept.items()}
+    accepted = LB.accepted_names(F.col("canonical_merchant"))
+    rows = p.withColumn("_accepted", accepted).select(
+        "canonical_merchant", "n", "spend", "_accepted",
+        F.explode(F.array(*[F.struct(F.lit(k).alias("prediction"), v.alias("pred"), (
+            ~kept[k] if k in kept else F.lit(None).cast("boolean")).alias("sent")) for k, v in preds.items()])).alias("x"),
+        F.array_compact(F.array(F.lit("all"), F.when(F.col("held"), "held"), F.when(~F.col("literal"), "non_literal"))).alias("subsets"))
+    rows = rows.select("canonical_merchant", "n", "spend", "x.*", F.explode("subsets").alias("subset"),
+                       F.array_contains("_accepted", TX.norm_merchant("x.pred")).alias("ok"))
+    scores = M.weighted_scores(rows, group=["prediction", "subset"])
+    sent = rows.groupBy("prediction", "subset").agg(F.count(F.lit(1)).alias("descriptors"), F.avg(F.col("sent").cast("double")).alias("sent_on"))
+    return _round6(scores.join(sent, ["prediction", "subset"]),
+                   ["distinct", "row_weighted", "macro_merchant", "spend_weighted", "spend_weighted_no_top", "sent_on"])
+
+
+@register("r15_statement_counts")
+def q_r15_counts(spark, sf_dir):
+    """R15's counts: spend coverage, list sizes, the choice model's none rate on held-out and listed descriptors, the share of the
+    largest descriptor (D26) of all and of labelled spend."""
+    p = _statement_preds(spark, sf_dir)
+    raw = AG.spend_by_descriptor(statement(fg(spark, sf_dir)[0]))
+    all_ = raw.agg(F.max_by(F.struct("description", "spend"), F.struct("spend", "description")).alias("t"), F.sum("spend").alias("s"),
+                   F.count(F.lit(1)).alias("raw_descriptors"), F.sum("n").alias("raw_rows")).first()
+    top = all_["t"]
+    none = F.col("choice_hold").isNull().cast("double")
+    return p.agg(
+        F.count(F.lit(1)).alias("labelled_descriptors"), F.sum("n").alias("labelled_rows"),
+        F.countDistinct("canonical_merchant").alias("merchants"), F.countDistinct(F.when(F.col("held"), F.col("canonical_merchant"))).alias("held_merchants"),
+        F.round(F.avg(F.col("has_spend").cast("double")), 3).alias("spend_join_coverage"),
+        F.round(F.avg(F.when(F.col("held"), none)), 3).alias("none_rate_held"), F.round(F.avg(F.when(~F.col("held"), none)), 3).alias("none_rate_listed"),
+        F.lit(all_["raw_descriptors"]).alias("raw_descriptors"), F.lit(all_["raw_rows"]).alias("raw_rows"),
+        F.lit(top["description"] if top else None).cast("string").alias("top_description"),
+        F.lit(round(float(top["spend"]) / float(all_["s"]), 3) if top and all_["s"] else None).cast("double").alias("top_share_of_raw"),
+        F.round(F.sum(F.when(F.col("description") == F.lit(top["description"] if top else None), F.col("spend")))
+                / F.nullif(F.sum("spend"), F.lit(0.0)), 3).alias("top_share_of_labelled"))
+
+
+@register("r16_significance_set")
+def q_r16(spark, sf_dir):
+    """The primary and exploratory comparisons: merchant (headline rows, clustered by merchant) and category (all rows, merchant or
+    type) on the random split, and the statement ones, plain, row-weighted and without the merchant with most rows."""
+    head, gold = _headline(spark, sf_dir), _gold_model(spark, sf_dir)
+    def merchant(name, col):
+        return head.join(_route_preds(spark, sf_dir, name), "txn_id").select(
+            "txn_id", F.col("gold").alias("cluster"), merchant_ok(F.col("canonical_merchant"), F.col("gold"),
+                                                                  LB.category_ok(F.col("category"), F.col("gcat"))).alias(col))
+    def category(name, col):
+        g = gold.select("txn_id", F.col("category").alias("gcat"), LB.cluster_key(F.col("canonical_merchant"), F.col("txn_type")).alias("cluster"))
+        return g.join(_route_preds(spark, sf_dir, name), "txn_id").select("txn_id", "cluster", LB.category_ok(F.col("category"), F.col("gcat")).alias(col))
+    def pair(kind, a, b):
+        return RP.pair_routes(kind(a, "a"), kind(b, "b").drop("cluster"))
+    st = _statement_preds(spark, sf_dir)
+    ok = lambda c: F.array_contains("_accepted", TX.norm_merchant(c))
+    st = st.withColumn("_accepted", LB.accepted_names(F.col("canonical_merchant"))).select(
+        F.col("canonical_merchant").alias("cluster"), "n", ok(F.coalesce("choice_hold", "generator")).alias("a"), ok(F.col("generator")).alias("b"),
+        ok(F.col("choice_known")).alias("ck"), ok(F.col("embed_known")).alias("ek"))
+    st = materialize(st, "statement_pairs")
+    most = st.groupBy("cluster").agg(F.sum("n").alias("n")).agg(F.max_by("cluster", F.struct("n", "cluster"))).first()[0]
+    comps = [("choice_generator_minus_generator_merchant", pair(merchant, "choice_generator", "generator"), "a", "b", None),
+             ("choice_minus_embedding_merchant", pair(merchant, "choice", "embedding"), "a", "b", None),
+             ("embedding_minus_choice_category", pair(category, "embedding", "choice"), "a", "b", None),
+             ("statement_choice_generator_minus_generator", st, "a", "b", None),
+             ("statement_choice_generator_minus_generator_row_weighted", st, "a", "b", "n"),
+             ("statement_row_weighted_without_largest_merchant", st.filter(F.col("cluster") != most), "a", "b", "n"),
+             ("statement_choice_minus_embedding_full_list", st, "ck", "ek", None)]
+    return RP.significance_report([{"name": n, "df": d, "a": a, "b": b, "cluster": "cluster", "weight": w} for n, d, a, b, w in comps],
+                                  n_boot=N_BOOT_Q)
+
+
+@register("f9_valid_split_exact", W(f"""SELECT txn_id, CASE WHEN row_number() OVER (ORDER BY {ORDER_U}, txn_id) - 1
+    >= (SELECT CAST(floor(0.9 * count(*)) AS BIGINT) FROM feed) THEN 'valid' ELSE 'train' END AS split FROM feed"""))
+def q_f9(spark, sf_dir):
+    return SP.valid_split(fg(spark, sf_dir)[0].select("txn_id"), exact=True).select("txn_id", "split")
+
+
+@register("d39_model_view_by_origin", W("""SELECT g.origin, count(DISTINCT g.canonical_merchant) AS merchants,
+    count(DISTINCT f.family) AS families, count(*) AS rows FROM gold g JOIN fam f ON g.canonical_merchant = f.name
+  WHERE g.txn_id IN (SELECT txn_id FROM model) GROUP BY g.origin""", _families_sql() + _views_sql(RANDOM_MEM_SQL), recursive=True))
+def q_d39_model(spark, sf_dir):
+    """D39 on the model view: merchants, families (of the whole feed's merchants) and rows by origin."""
+    fam = FM.brand_families(fg(spark, sf_dir)[1].select(F.col("canonical_merchant").alias("name")))
+    g = _gold_model(spark, sf_dir).join(fam.withColumnRenamed("name", "canonical_merchant"), "canonical_merchant")
+    return g.groupBy("origin").agg(F.countDistinct("canonical_merchant").alias("merchants"),
+                                   F.countDistinct("family").alias("families"), F.count(F.lit(1)).alias("rows"))
+
+
+@register("r8_cosine_else_generator")
+def q_r8_cosine(spark, sf_dir):
+    """R8 with the cosine gate: the nearest name from 0.6 on, else the generator's."""
+    emb, gen = _route_preds(spark, sf_dir, "embedding"), _route_preds(spark, sf_dir, "generator")
+    return cascade(emb, gen, F.coalesce(F.col("f_cosine") >= EMBED_GATES[0], F.lit(False)), cols=("canonical_merchant", "category"))

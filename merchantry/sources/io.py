@@ -67,16 +67,19 @@ def read_statement_csv(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("row_no"))
 
 
-def export_chat_jsonl(feed: DataFrame, gold: DataFrame, out: str, categories=K.CATEGORIES,
+def export_chat_jsonl(feed: DataFrame, gold: DataFrame, out: str, categories=None,
                       valid_frac: float = 0.1, seed: int = K.SEED) -> None:
-    """A10: chat-format training records (B23) split into train / valid (F9) and written
-    as JSON lines, one directory per split."""
+    """A10: chat-format training records (B23) split into train / valid, cut exactly (F9), and written
+    as JSON lines, one directory per split. Without ``categories`` the prompts offer the sorted gold labels."""
+    if categories is None:      # a label set
+        rows = gold.select("category").filter("category is not null").distinct().orderBy("category").collect()
+        categories = [r[0] for r in rows]
     from merchantry.functions.prompts import to_example
     from merchantry.operators.splits import valid_split
     j = feed.select("txn_id", "description").join(gold, "txn_id")
     if "txn_type" in j.columns:
         j = j.withColumn("canonical_merchant", F.coalesce("canonical_merchant", "txn_type"))
-    rec = valid_split(j, valid_frac, seed).select(
+    rec = valid_split(j, valid_frac, seed, exact=True).select(
         "split", to_example(F.col("description"), F.col("canonical_merchant"), F.col("category"),
                             categories).alias("value"))
     rec.write.mode("overwrite").partitionBy("split").text(out)
