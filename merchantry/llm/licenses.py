@@ -19,8 +19,10 @@ from merchantry.llm.lookup import BROADCAST_IDS
 #: (pattern, replacement) on lower-cased text, in order. The patterns are plain enough to mean the
 #: same in Spark and DuckDB.
 RULES = [
-    # copyright notices and reservation lines
-    (r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*", "\n"),
+    # lines that are notices: "copyright" with a sign, a year or "by", a sign with a year, and reservation
+    # lines; not lines of a wrapped text that happen to begin with the word
+    (r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9][0-9][0-9][0-9]|by[ \t])|\(c\)[ \t]*(copyright|[0-9][0-9][0-9][0-9])|©)[^\n]*", "\n"),
+    (r"(^|\n)[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*($|\n)", "\n"),
     (r"[‘’ʼ']", ""),
     # equivalent spellings
     (r"licence", "license"), (r"(organi|recogni|authori)s(e|i|ation)", r"\1z\2"),
@@ -44,8 +46,17 @@ def digest(text: Column) -> Column:
     return F.sha2(F.nullif(text, F.lit("")).cast("binary"), 256)
 
 
-#: Known short licences (id, text), public texts. Fixed values.
+#: Known licences (id, text), public texts, and the title lines that their files begin with. Fixed values.
+TITLES = {"ISC": ["ISC License", "The ISC License"], "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+          "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "Zlib": ["zlib License", "The zlib/libpng License"],
+          "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
+          "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"]}
+BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n",
+       "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n",
+       "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
 KNOWN = [
+    ("BSD-2-Clause", BSD[0] + BSD[2]),
+    ("BSD-3-Clause", "".join(BSD)),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
@@ -56,6 +67,7 @@ KNOWN = [
     ("MIT-line", "Released under the MIT License."),
     ("GPL-3.0-line", "This work is licensed under the GNU General Public License, version 3."),
 ]
+KNOWN += [(i, f"{title}\n\n{text}") for i, text in KNOWN for title in TITLES.get(i, ())]
 
 
 def known_digests(spark: SparkSession, known=None) -> DataFrame:

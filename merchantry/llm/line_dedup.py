@@ -2,12 +2,11 @@
 
 1. Every non-blank line, trimmed and lower-cased, is keyed by two 64-bit hashes; equal lines are
    one class.
-2. A class's signature has ``VALUES`` MinHash values of all its character shingles of length
-   ``SIGNATURE_CHARS`` (a shorter line is one shingle), whatever the script and whether or not it
-   has spaces: the smallest and largest of the shingles' hashes under each seed. Every pair of
-   values is a band, so lines that agree in any two of the eight values are candidates. Scattered
-   edits that leave lines 0.8 alike in shingles of ``SHINGLE_CHARS`` leave them about 0.7 alike in
-   these, which makes a candidate with probability 0.998 if values are independent (0.965 at 0.5).
+2. A class's signature has ``VALUES`` MinHash values of its character shingles of length
+   ``SHINGLE_CHARS`` (a shorter line is one shingle), whatever the script, the length and whether or not
+   it has spaces: the smallest and largest of the shingles' hashes under each seed. Every pair of
+   values is a band, so lines that agree in any two of the eight values are candidates: lines 0.8
+   alike with probability 0.9999 if values are independent, and lines with equal sets always.
 3. Candidates are verified exactly: the Jaccard similarity of the sets of all ``SHINGLE_CHARS``
    character shingles (a shorter line is one shingle) is at least ``threshold``. Each line is first
    compared with the list leader it shares most bands with. Of the other pairs of a band only those
@@ -34,7 +33,6 @@ from merchantry.operators.components import connected_components
 from merchantry.session import materialize
 
 SHINGLE_CHARS = 5
-SIGNATURE_CHARS = 8
 THRESHOLD = 0.8
 SKETCH_WORDS = 8
 #: The hashes themselves give the first two signature values, each seed two more. The seeds differ
@@ -63,7 +61,7 @@ def _grams(line: str, size: int) -> Column:
 def signatures(lines: DataFrame) -> DataFrame:
     """(node, v0, v1, ...) per class of equal lines, ``node`` being its two keys. Shingles are
     rows that a hash aggregate takes in at once, before anything is shuffled."""
-    hashed = (lines.select("h1", "h2", F.explode(_grams("line", SIGNATURE_CHARS)).alias("gram"))
+    hashed = (lines.select("h1", "h2", F.explode(_grams("line", SHINGLE_CHARS)).alias("gram"))
               .select("h1", "h2", F.xxhash64("gram").alias("g")))
     values = []
     for k, seed in enumerate([0, *SEEDS]):
@@ -198,10 +196,11 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     total = gone.agg(F.sum(F.size("lines_removed") + 2)).first()[0] or 0
     docs = docs.drop("lines_removed")
     # split before the join, so that the array is a column and not computed for every line
-    joined = (docs.withColumn("__text_lines", F.split("text", "\n"))
+    own_lines = "_".join(["text_lines", *docs.columns])          # a name that no input column has
+    joined = (docs.withColumn(own_lines, F.split("text", "\n"))
               .join(F.broadcast(gone) if total <= BROADCAST_IDS else gone, "doc_id", "left"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__text_lines") - 1), "lines_removed")
-    kept = F.array_join(F.transform(left, lambda i: F.get("__text_lines", i)), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(F.col(f"`{own_lines}`")) - 1), "lines_removed")
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col(f"`{own_lines}`"), i)), "\n")
     return joined.select(
         *[F.when(F.col("lines_removed").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text"
           else F.col(f"`{c}`") for c in docs.columns],

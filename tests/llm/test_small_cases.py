@@ -85,6 +85,33 @@ def test_lines(spark, docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_lines_of_any_length(spark):
+    """Short lines, rules and repeated characters against all pairs."""
+    rng = random.Random(8)
+    lines = [c * n for c in "-=*ab" for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 40, 200)] + ["ab" * n for n in range(1, 12)]
+    lines += ["".join(rng.choices("abcdefgh", k=n)) for n in range(1, 30) for _ in range(3)]
+    lines += [x + "q" for x in lines[-80:]] + ["x" + x for x in lines[-80:]]
+    lines = list(dict.fromkeys(lines))
+    grams = lambda t: {t[i:i + 5] for i in range(len(t) - 4)} or {t}
+    sets = [grams(x) for x in lines]
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in range(len(lines)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {i for i in range(len(lines)) if find(i) != i}
+    df = spark.createDataFrame([(i, x, "c") for i, x in enumerate(lines)], "doc_id long, text string, __text_lines string")
+    rows = line_dedup.dedup_lines(df).collect()
+    assert {r.doc_id for r in rows if r.lines_removed} == want and len(want) > 60
+    assert {r["__text_lines"] for r in rows} == {"c"}
+
+
 def test_lines_without_spaces(spark):
     rest = ";berlin;warehouse-north;pallets-of-printer-paper;delivered-in-full;signed-by-night-shift"
     thai = "การจัดส่งสินค้าไปยังคลังสินค้าทางเหนือของเมืองในตอนกลางคืน"
@@ -187,8 +214,7 @@ def test_search_repeated_queries(spark):
 
 
 def test_licenses(spark, docs, none):
-    text = licenses.KNOWN[2][1]
-    assert licenses.KNOWN[2][0] == "MIT"
+    text = next(t for i, t in licenses.KNOWN if i == "MIT")
     other = "Copyright (c) 2020 Someone\n\n" + text.upper().replace("SUBLICENSE", "sub-licence").replace(",", " ,")
     df = spark.createDataFrame([(1, text), (2, other), (3, text + " extra"), (4, None), (5, "!!"), (1, text)], "doc_id long, text string")
     known = licenses.known_digests(spark)
@@ -199,6 +225,22 @@ def test_licenses(spark, docs, none):
     assert known.count() == len(licenses.KNOWN)
 
 
+def test_wrapped_and_titled_licence_files(spark):
+    import textwrap
+    known = licenses.known_digests(spark)
+    rows, plain = [], {i: t for i, t in reversed(licenses.KNOWN) if i in licenses.TITLES}
+    assert len(plain) == len(licenses.TITLES)
+    for name, text in plain.items():
+        for width in (50, 60, 70, 72, 76, 80):
+            wrapped = "\n\n".join(textwrap.fill(part, width) for part in text.split("\n\n"))
+            for title in ["", *licenses.TITLES[name]]:
+                notice = "Copyright (c) 2020-2024 Someone <a@b.example>\nCopyright 1999 by Another\n  (C) 2001 A Third\nAll rights reserved.\n\n"
+                rows += [(name, f"{title}\n\n{wrapped}\n"), (name, f"{title}\n\n{notice}{wrapped}"), (None, f"{title}\n{notice}{wrapped} more")]
+    df = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(rows)], "k int, name string, text string")
+    got = licenses.scan(df, known).filter(~F.col("name").eqNullSafe(F.col("license_id"))).collect()
+    assert got == []
+
+
 def test_chat(spark):
     records = [
         (1, '{"messages": [{"role": "user", "content": "a <s> \\\\ b"}, {"role": "assistant", "content": null}], "meta": 1}', "messages"),
