@@ -53,7 +53,7 @@ def _stage(fn):
 
 STAGES = [(fn.__name__, _stage(fn)) for fn in (language_id, dedup_lines, near_duplicates, decontamination, pack)]
 
-#: Compression, MinHash and tokenising have no SQL form; the tests hold the stages against brute force.
+#: Compression, MinHash and tokenising have no SQL form; the tests hold the operators, not the stages, against brute force.
 ORACLE_SQL = None
 
 
