@@ -4,14 +4,14 @@ Each round halves the longest path, so rounds grow with the logarithm of a compo
 diameter. Neighbour lists are never gathered: a round is two minimum aggregates joined back.
 The minima are written to the checkpoint folder before the join, so that a node with very
 many neighbours is a skewed join that adaptive execution can split, and a lost executor
-costs at most the current step.
+costs at most the current step. A step's tables are deleted when the next step is written.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.session import materialize
+from merchantry.session import discard, materialize
 
 
 def _minima(edges: DataFrame, name: str) -> DataFrame:
@@ -20,16 +20,21 @@ def _minima(edges: DataFrame, name: str) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _minima(both, "large_star").withColumn("m", F.least("u", "m"))
-    return (both.filter(F.col("v") > F.col("u")).join(least, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    minima = _minima(both, "large_star")
+    least = minima.withColumn("m", F.least("u", "m"))
+    star = materialize(both.filter(F.col("v") > F.col("u")).join(least, "u")
+                       .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large_edges")
+    discard(minima)
+    return star
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` has u > v."""
     least = _minima(edges, "small_star")
     moved = edges.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    star = materialize(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small_edges")
+    discard(least)
+    return star
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -45,7 +50,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     seen = state(e)
     while seen[0]:
-        e = materialize(_small_star(materialize(_large_star(e), "large_edges")), "small_edges")
+        large = _large_star(e)
+        small = _small_star(large)
+        discard(e, large)
+        e = small
         now = state(e)
         if now == seen:
             break

@@ -77,4 +77,17 @@ def materialize(df, name: str, codec: str | None = None):
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path, compression=codec)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    table._own_folder = path
+    return table
+
+
+def discard(*tables) -> None:
+    """Delete tables that ``materialize`` wrote. Call it once all that was derived from them is written
+    itself; a table from elsewhere, or a DataFrame derived from one, is left alone."""
+    for table in tables:
+        path = getattr(table, "_own_folder", None)
+        if path:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
