@@ -4,18 +4,21 @@
    one class.
 2. A class's signature has ``VALUES`` MinHash values of its character shingles of length
    ``SHINGLE_CHARS`` (a shorter line is one shingle), whatever the script, the length and whether or not
-   it has spaces: the smallest and largest of the shingles' hashes under each seed. Every pair of
-   values is a band, so lines that agree in any two of the eight values are candidates: lines 0.8
-   alike with probability 0.9999 if values are independent, and lines with equal sets always.
+   it has spaces: the smallest and largest of the shingles' hashes under each seed. A band is four
+   values, every value is in two bands: lines 0.8 alike share one of the 24 bands with probability
+   0.9999 if values are independent, lines 0.1 alike with 0.002, and lines with equal sets always.
+   Equal lines meet first, so that each class is hashed once and nothing but texts and bands is shuffled.
 3. Candidates are verified exactly: the Jaccard similarity of the sets of all ``SHINGLE_CHARS``
-   character shingles (a shorter line is one shingle) is at least ``threshold``. Each line is first
-   compared with the list leader it shares most bands with. Of the other pairs of a band only those
-   in different components are compared, unless an exact bound rules them out: ``SKETCH_WORDS``
-   words of parities of each set differ at most as often as the sets themselves. Of these, each line
+   character shingles (a shorter line is one shingle) is at least ``threshold``. No pair is compared that
+   an exact bound rules out: ``SKETCH_WORDS`` words of parities of each set differ at most as often as
+   the sets themselves. Each line is first compared with the band leader it shares most bands with.
+   Of the other pairs of a band only those in different components are compared. Of these, each line
    is first compared with the one whose parities differ least, then pairs still apart are.
 4. Distributed union-find gives the components; of each, the first line (document id, line number)
    stays.
 
+``docs`` is read several times, so it should be a table or cheap to compute.
+
 Defined cases: blank lines are never removed; null texts stay null and texts without duplicate
 lines stay as they are; documents with a null id take no part and stay as they are; rows that
 repeat an id are one document (the same lines go from each); an empty table gives no rows;
@@ -23,24 +26,24 @@ other columns pass through.
 """
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from merchantry.llm.lookup import BROADCAST_IDS, by_ids
+from merchantry.llm.lookup import BROADCAST_IDS, with_ids
 from merchantry.operators.components import connected_components
-from merchantry.session import materialize
+from merchantry.session import discard, materialize
 
 SHINGLE_CHARS = 5
 THRESHOLD = 0.8
 SKETCH_WORDS = 8
-#: The hashes themselves give the first two signature values, each seed two more. The seeds differ
-#: in their first bits, so that the values of a line are mostly those of different shingles.
-SEEDS = [0x6D872B41A3C5F60B, 0x5E2F94C7B80D6A39, 0x3A61D0E97F4B82C5]
-VALUES = 2 * len(SEEDS) + 2
-#: Bands: all pairs of signature values (even numbers are smallest, odd ones largest hashes).
-BANDS = list(combinations(range(VALUES), 2))
+#: Each seed gives two signature values. The seeds differ in their first bits, so that the values of a
+#: line are mostly those of different shingles.
+SEEDS = [k << 58 | k * 0x1D872B41A3C5F60B % (1 << 58) for k in range(24)]
+VALUES = 2 * len(SEEDS)
+BAND_VALUES = 4
+_STEP = VALUES // BAND_VALUES
+#: Bands: one value from each quarter of the signature, in two arrangements that have no pair of values in common.
+BANDS = [tuple(q * _STEP + (j + q * turn) % _STEP for q in range(BAND_VALUES)) for turn in (0, 1) for j in range(_STEP)]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -58,24 +61,24 @@ def _grams(line: str, size: int) -> Column:
     return F.when(F.char_length(line) < size, F.array(line)).otherwise(ahead)
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(node, v0, v1, ...) per class of equal lines, ``node`` being its two keys. Shingles are
-    rows that a hash aggregate takes in at once, before anything is shuffled."""
-    hashed = (lines.select("h1", "h2", F.explode(_grams("line", SHINGLE_CHARS)).alias("gram"))
+def line_classes(lines: DataFrame) -> DataFrame:
+    """(h1, h2, bands) per class of equal lines. Lines are shuffled once, by their keys; their shingles are
+    rows that a hash aggregate takes in where they are made."""
+    distinct = lines.groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    hashed = (distinct.select("h1", "h2", F.explode(_grams("line", SHINGLE_CHARS)).alias("gram"))
               .select("h1", "h2", F.xxhash64("gram").alias("g")))
     values = []
-    for k, seed in enumerate([0, *SEEDS]):
+    for k, seed in enumerate(SEEDS):
         g = F.col("g").bitwiseXOR(F.lit(seed))
         values += [F.min(g).alias(f"v{2 * k}"), F.max(g).alias(f"v{2 * k + 1}")]
-    return (hashed.groupBy("h1", "h2").agg(*values)
-            .withColumn("node", F.struct("h1", "h2")).drop("h1", "h2"))
+    keys = F.array(*[F.xxhash64(F.lit(i), *[f"v{k}" for k in band]) for i, band in enumerate(BANDS)])
+    return hashed.groupBy("h1", "h2").agg(*values).select("h1", "h2", keys.alias("bands"))
 
 
 def _bands(classes: DataFrame) -> DataFrame:
     """(band, node, leader): members of every band that has two or more lines."""
-    keys = F.array(*[F.xxhash64(F.lit(i), *[f"v{k}" for k in band]) for i, band in enumerate(BANDS)])
     in_band = Window.partitionBy("band")
-    return (classes.select("node", F.explode(keys).alias("band"))
+    return (classes.select("node", F.explode("bands").alias("band"))
             .withColumns({"m": F.count(F.lit(1)).over(in_band), "leader": F.min("node").over(in_band)})
             .filter("m > 1").drop("m"))
 
@@ -85,11 +88,10 @@ def _shingles(line: str) -> Column:
     return F.array_distinct(_grams(line, SHINGLE_CHARS))
 
 
-def _texts(nodes: DataFrame, lines: DataFrame, name: str) -> DataFrame:
-    """(node, line) of the given nodes."""
-    keys = materialize(nodes.select("node.*").distinct(), f"{name}_keys")
-    found = by_ids(lines.select("h1", "h2", "line"), keys, key=["h1", "h2"])
-    return materialize(found.groupBy(F.struct("h1", "h2").alias("node")).agg(F.first("line").alias("line")), name, "zstd")
+def _texts(keys: DataFrame, lines: DataFrame) -> DataFrame:
+    """(node, line) of the classes ``keys`` (node, h1, h2)."""
+    found = with_ids(lines.select("h1", "h2", "line"), keys, key=["h1", "h2"])
+    return found.groupBy("node").agg(F.first("line").alias("line"))
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
@@ -151,48 +153,66 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return pairs.filter("component_a != component_b").select("a", "b")
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes that their sketches don't rule out."""
+    for c in "ab":
+        pairs = pairs.join(sketches.select(*[F.col(x).alias(c if x == "node" else f"{x}_{c}") for x in sketches.columns]), c)
+    return pairs.filter(_may_link(threshold)).select("a", "b")
+
+
 def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, component) of those of ``lines`` (as ``lines_of`` gives them) that are near another
-    line; ``node`` is the struct of a line's keys ``h1, h2``."""
-    bands = materialize(_bands(signatures(lines)), "line_bands")
+    """(h1, h2, component) of those of ``lines`` (as ``lines_of`` gives them) that are near another
+    line; ``component`` is a number that all lines of a component have."""
+    classes = materialize(line_classes(lines).select(F.monotonically_increasing_id().alias("node"), "*"), "line_classes")
+    bands = materialize(_bands(classes), "line_bands")
+    keys = materialize(classes.select("node", "h1", "h2").join(bands.select("node").distinct(), "node", "left_semi"), "line_keys")
+    discard(classes)
+    texts = materialize(_texts(keys, lines), "line_texts", "zstd")
+    sketches = materialize(_sketches(texts), "line_sketches")
     # every line with the leader it shares most bands with
     star = (bands.filter(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("m"))
-            .groupBy("node").agg(F.max_by("leader", "m").alias("leader"))
+            .groupBy("node").agg(F.max_by("leader", F.struct("m", "leader")).alias("leader"))
             .select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    star = materialize(star, "line_pairs")
-    texts = _texts(bands.select("node"), lines, "line_texts")
+    star = materialize(_possible(star, sketches, threshold), "line_pairs")
     found = materialize(_verify(star, texts, threshold), "line_links")
     comp = connected_components(found)
-    named = bands.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = bands.select("band", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named, "named_bands")
+    discard(bands)
     split = materialize(named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
                         .groupBy("band").agg(F.max_by("component", "m").alias("main"), F.count(F.lit(1)).alias("parts"))
                         .filter("parts > 1").select("band", "main"), "split_keys")
-    rest = materialize(named.join(split, "band").select("band", "node", "component", "main"), "split_bands")
-    sketches = _sketches(texts.join(rest.select("node").distinct(), "node", "left_semi"))
+    rest = named.join(split, "band").select("band", "node", "component", "main")
     rest = materialize(rest.join(sketches, "node"), "split_sketches")
+    discard(named, split, sketches)
     cross = materialize(_cross_pairs(rest, threshold), "line_cross_pairs")
+    discard(rest)
     nearest = materialize(_nearest(cross), "nearest_pairs")
     found = materialize(found.unionByName(_verify(nearest, texts, threshold)), "line_near_links")
     left = _apart(cross.join(nearest, ["a", "b"], "left_anti"), connected_components(found))
     more = materialize(_verify(materialize(left, "line_last_pairs"), texts, threshold), "line_cross_links")
-    return connected_components(found.unionByName(more))
+    discard(texts, cross, nearest)
+    return keys.join(connected_components(found.unionByName(more)), "node").select("h1", "h2", "component")
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` (needs doc_id, text) with ``text`` without the duplicate lines, plus
     ``lines_removed`` (array of line numbers from 0, empty if none). An input column of that
     name is replaced."""
-    own = docs.select("doc_id", "text")
-    lines = materialize(lines_of(own), "lines", "zstd")
-    comp = line_components(lines, threshold).select("node.h1", "node.h2", "component")
-    roots = F.coalesce("component", F.struct("h1", "h2"))
+    lines = lines_of(docs.select("doc_id", "text"))
+    comp = line_components(lines, threshold)
+    # a line's group: its component, or its keys where it has none
+    root = [F.coalesce("component", F.lit(-1)).alias("r0"),
+            *[F.when(F.col("component").isNull(), F.col(h)).otherwise(0).alias(r) for h, r in (("h1", "r1"), ("h2", "r2"))]]
     placed = materialize(lines.select("doc_id", "pos", "h1", "h2").join(comp, ["h1", "h2"], "left")
-                         .select("doc_id", "pos", roots.alias("root")), "line_places")
-    first = materialize(placed.groupBy("root").agg(F.min(F.struct("doc_id", "pos")).alias("kept"), F.count(F.lit(1)).alias("m"))
+                         .select("doc_id", "pos", *root), "line_places")
+    root = ["r0", "r1", "r2"]
+    first = materialize(placed.groupBy(*root).agg(F.min(F.struct("doc_id", "pos")).alias("kept"), F.count(F.lit(1)).alias("m"))
                         .filter("m > 1").drop("m"), "first_lines")
-    gone = (placed.join(first, "root").filter(F.struct("doc_id", "pos") != F.col("kept"))
+    gone = (placed.join(first, root).filter(F.struct("doc_id", "pos") != F.col("kept"))
             .groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("lines_removed")))
     gone = materialize(gone, "lines_removed")
+    discard(placed, first)
     total = gone.agg(F.sum(F.size("lines_removed") + 2)).first()[0] or 0
     docs = docs.drop("lines_removed")
     # split before the join, so that the array is a column and not computed for every line
