@@ -12,7 +12,8 @@ Vectors and queries are dealt by hash to a grid of cells: at most about ``CELL_V
 but the pivots (``PIVOTS`` vectors with the smallest id hash) passes through the driver.
 
 Defined cases: null vectors and vectors with a null, NaN or infinite component take no part, nor do
-rows with a null id; components are held as 64-bit integers; only vectors of the same length are
+rows with a null id; components are held as 64-bit integers, and vectors so long that an inner product might not fit 64 bits
+raise an error; only vectors of the same length are
 compared; rows with a query's own id are no candidates; other repeated rows each count; a repeated
 query row is one query, a query id with different vectors is a query for each of them, ranked apart
 (``query_id`` then has ranks 1 to k once per vector); a query without candidates has no rows; empty
@@ -77,6 +78,8 @@ def best_in_cell(qid, nth, q, xid, x, pivots, k: int):
     dq, dx = _distances(qf, pivots), _distances(xf, pivots)
     q2, x2 = dq[:, 0] ** 2, dx[:, 0] ** 2
     limit = np.sqrt(q2.max(initial=0) * x2.max(initial=0))
+    if limit >= 2.0 ** 62:
+        raise ValueError("inner products may need more than 64 bits; use a smaller scale")
     left = xf if limit < 2.0 ** 52 else x          # products of doubles are exact below 2**53
     out = []
     for i in range(len(q)):

@@ -14,14 +14,17 @@ The changed leaves and their ancestors' sums are then updated. ``tiktoken`` with
 counts; strings that name special tokens are ordinary text.
 
 Defined cases: null texts count as empty (no pre-tokens, 0 tokens); edits are (start, end, text) in
-characters of the unedited text, must not overlap, are clipped to the text and null edits or texts
-read as none and ''; equal rows are edited alike; an empty table gives no rows; other columns pass
+characters of the unedited text, are clipped to the text and null edits or texts read as none and '';
+of edits that overlap, the one that starts (then ends) first is made, the others are left out; equal rows are edited alike; an empty table gives no rows; other columns pass
 through.
 """
 from __future__ import annotations
 
 import base64
+import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -33,6 +36,7 @@ from merchantry.session import ship_package
 
 CHUNK = 64                     # pre-tokens in a fresh leaf
 REBUILD = 1024                 # a leaf that grows beyond this makes the tree be built anew
+CONTEXT = 8                    # old pre-tokens that matching first looks at behind an edit
 CACHE = 1 << 18                # pre-tokens whose counts a task remembers
 EDIT = "struct<start:bigint,end:bigint,text:string>"
 
@@ -99,11 +103,16 @@ class SegmentTree:
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
-    def _set(self, i: int, leaf: Leaf):
-        self.leaves[i] = leaf
+    def _splice(self, i: int, a: int, b: int, pieces: list[str], counts: list[int]):
+        """Put ``pieces`` in the place of those from ``a`` to ``b`` of leaf ``i`` and update the sums above."""
+        leaf = self.leaves[i]
+        d_chars = sum(map(len, pieces)) - sum(map(len, leaf.pieces[a:b]))
+        d_tokens = sum(counts) - sum(leaf.counts[a:b])
+        leaf.pieces[a:b], leaf.counts[a:b] = pieces, counts
+        leaf.chars += d_chars
+        leaf.tokens += d_tokens
         i += self.size
-        d_chars, d_tokens = leaf.chars - self.chars[i], leaf.tokens - self.tokens[i]
-        while i:
+        while i and (d_chars or d_tokens):
             self.chars[i] += d_chars
             self.tokens[i] += d_tokens
             i >>= 1
@@ -127,47 +136,52 @@ class SegmentTree:
         end = max(start, min(end, total))
         first, base = self._find(max(0, start - 2))
         # the kept pre-tokens of the first leaf: all that end at the second character before or earlier
-        kept, at = 0, base
-        pieces = self.leaves[first].pieces
-        while kept < len(pieces) and at + len(pieces[kept]) <= start - 2:
-            at += len(pieces[kept])
-            kept += 1
-        # old pre-tokens from there on, leaf by leaf, until matching meets an old boundary
-        last, old = first, list(self.leaves[first].pieces[kept:])
-        old_text = "".join(old)
+        before = list(accumulate(map(len, self.leaves[first].pieces), initial=0))
+        kept = max(0, bisect_right(before, start - 2 - base) - 1)
+        at = base + before[kept]
+        # old pre-tokens from there on, a few at a time, until matching meets an old boundary
+        old, size, step, last, i = [], 0, CONTEXT, first, kept
         while True:
-            more = last + 1 < len(self.leaves)
-            if at + len(old_text) < end and more:
-                last += 1
-                old += self.leaves[last].pieces
-                old_text = "".join(old)
+            part = self.leaves[last].pieces[i:i + step]
+            if not part and last + 1 < len(self.leaves):
+                last, i = last + 1, 0
                 continue
-            found = self._match(old, old_text, start - at, end - at, new, more)
+            old += part
+            size += sum(map(len, part))
+            i += len(part)
+            more = i < len(self.leaves[last].pieces) or last + 1 < len(self.leaves)
+            found = None
+            if not more or at + size >= end:
+                found = self._match(old, "".join(old), start - at, end - at, new, more)
             if found is not None:
                 break
-            last += 1
-            old += self.leaves[last].pieces
-            old_text = "".join(old)
+            step *= 2
         fresh, used = found
-        tail = self._tail_counts(first, kept, last, used)
         self.reencoded += sum(map(len, fresh))
-        head = self.leaves[first]
-        leaf = Leaf(head.pieces[:kept] + fresh + old[used:],
-                    head.counts[:kept] + [self.counter.count(p) for p in fresh] + tail)
-        if len(leaf.pieces) > REBUILD:
-            whole = [x for i, x in enumerate(self.leaves) if i < first] + [leaf] + self.leaves[last + 1:]
-            self._build([p for x in whole for p in x.pieces], [c for x in whole for c in x.counts])
-            return
-        self._set(first, leaf)
-        for i in range(first + 1, last + 1):
-            if self.leaves[i].pieces:
-                self._set(i, Leaf([], []))
-
-    def _tail_counts(self, first, kept, last, used) -> list[int]:
-        counts = list(self.leaves[first].counts[kept:])
-        for i in range(first + 1, last + 1):
-            counts += self.leaves[i].counts
-        return counts[used:]
+        put = fresh, self.counter.counts(fresh)
+        i, a = first, kept
+        while True:
+            n = min(used, len(self.leaves[i].pieces) - a)
+            self._splice(i, a, a + n, *put)
+            used -= n
+            if not used:
+                break
+            i, a, put = i + 1, 0, ([], [])
+        if len(self.leaves[first].pieces) > REBUILD:
+            self._build([p for x in self.leaves for p in x.pieces], [c for x in self.leaves for c in x.counts])
+
+    def replace_all(self, edits):
+        """Make ``edits``, (start, end, text) in characters of the text as it is now. Of edits that overlap,
+        the one that starts (then ends) first is made and the others are left out."""
+        made, free, total = [], 0, self.chars[1]
+        for start, end, new in sorted(edits, key=lambda e: e[:2]):
+            start = max(0, min(start, total))
+            end = max(start, min(end, total))
+            if start >= free:
+                made.append((start, end, new))
+                free = end
+        for start, end, new in reversed(made):
+            self.replace(start, end, new)
 
     def _match(self, old, old_text, start, end, new, more):
         """(new pre-tokens, number of old ones they replace); None if the text behind is too short to tell."""
@@ -191,12 +205,12 @@ class SegmentTree:
 
 
 def with_pattern_edits(docs: DataFrame, pattern: str, replacement: str) -> DataFrame:
-    """``docs`` with ``edits`` (replaced if there): one for every match of ``pattern`` in ``text``."""
+    """``docs`` with ``edits`` (replaced if there): one for every match of ``pattern`` (as ``re`` reads it) in ``text``."""
     docs = docs.drop("edits")
     schema = docs.withColumn("edits", F.array().cast(f"array<{EDIT}>")).schema
 
     def run(it):
-        find = regex.compile(pattern).finditer
+        find = re.compile(pattern).finditer
         for batch in batches(it, "text"):
             found = [[{"start": m.start(), "end": m.end(), "text": replacement} for m in find(t or "")]
                      for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
@@ -222,8 +236,7 @@ def recount(docs: DataFrame, edits: str = "edits", ranks_file: str = "byte_bpe_5
                 tree = SegmentTree(text or "", counter)
                 before = tree.tokens[1]
                 todo = [e for e in todo or [] if e is not None and e["start"] is not None and e["end"] is not None]
-                for e in sorted(todo, key=lambda e: (e["start"], e["end"]), reverse=True):
-                    tree.replace(e["start"], e["end"], e["text"] or "")
+                tree.replace_all([(e["start"], e["end"], e["text"] or "") for e in todo])
                 texts.append(tree.text() if todo and text is not None else text)
                 got.append((before, tree.tokens[1], sum(len(x.pieces) for x in tree.leaves), tree.reencoded))
             cols = list(batch.columns)

@@ -295,3 +295,21 @@ def test_token_counts(spark, docs, none):
     row = next(r for r in edited.collect() if r.doc_id == 7)
     assert row.text == re.sub("beta ", "it's", LONG) and row.tokens_before == whole(LONG)
     assert token_counts.recount(token_counts.with_pattern_edits(none, "x", "y")).count() == 0
+
+
+def test_overlapping_edits(spark):
+    """The edit that starts first is made; touching edits and insertions at one place are all made."""
+    rows = [(1, "hello world again", [(3, 8, "Y"), (0, 5, "X")]), (2, "abcdef", [(2, 4, "-"), (0, 2, "+"), (4, 4, "1"), (4, 4, "2")]),
+            (3, "abc", [(-5, 1, "x"), (2, 99, "z"), (50, 60, "!")]), (4, "abcdef", [(0, 6, ""), (1, 2, "q")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:bigint,end:bigint,text:string>>")
+    got = {r.doc_id: r for r in token_counts.recount(df).collect()}
+    assert [got[i].text for i in (1, 2, 3, 4)] == ["X world again", "+-12ef", "xbz!", ""]
+    again = token_counts.recount(df.select("doc_id", F.lit(None).alias("edits").cast(df.schema["edits"].dataType),
+                                           F.create_map(*[F.lit(x) for i in got for x in (i, got[i].text)])[F.col("doc_id")].alias("text")))
+    assert all(r.tokens_before == got[r.doc_id].tokens_after for r in again.collect())
+
+
+def test_search_overflow(spark):
+    df = spark.createDataFrame([(0, [1e16, 1e16]), (1, [1e16, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        pivot_search.top_k(df, F.col("vec_id") % 50 == 0).collect()
