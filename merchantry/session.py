@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -68,15 +69,35 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_end_with_the_write(spark: SparkSession):
+    """Inside, Spark deletes a statement's shuffle files when the statement ends. They are of no use
+    after a write, whose rows are in its table, but would else stay until the driver's collector finds them."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df, name: str, codec: str | None = None):
     """Write ``df`` as Parquet (compressed by ``codec`` or as the session says) under the session's
     checkpoint directory (a shared folder on a cluster) and read it back: this cuts the lineage, so
-    later plans are small and survive executor loss, and scans keep column pruning and filter pushdown."""
+    later plans are small and survive executor loss, and scans keep column pruning and filter pushdown.
+    The shuffle files of the write go with its end."""
     import uuid
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path, compression=codec)
+    with _shuffles_end_with_the_write(spark):
+        df.write.mode("overwrite").parquet(path, compression=codec)
     table = spark.read.parquet(path)
     table._own_folder = path
     return table
