@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from merchantry.llm import wordhash as W
 from merchantry.llm.lookup import by_ids, with_ids
 from merchantry.operators.components import connected_components
-from merchantry.session import materialize, ship_package
+from merchantry.session import discard, materialize, ship_package
 
 SHINGLE = 4
 PERCENT = 85
@@ -45,6 +45,7 @@ ZONE = 0.25                    # share of the hash space whose frequencies are c
 BIT_WORDS = 16
 MORE_WORDS, MORE_FROM = 128, 1200
 LEADERS = 16
+COMMON = 4096                  # a shingle of at least a 1/COMMON share of the postings is counted apart; at most COMMON are
 SUBSET_COST = 1.5              # a subset row (made, hashed, shuffled) against a row of a list
 _ZONE_END = int(ZONE * 2 ** 63)
 
@@ -131,21 +132,35 @@ def _sets(docs: DataFrame, size: int, *more: str) -> DataFrame:
     return docs.select("doc_id", "text", *more).mapInArrow(run, f"doc_id {id_type}, grams array<bigint>{kept}")
 
 
+def _with_frequency(postings: DataFrame) -> DataFrame:
+    """(row, gram, df): ``postings`` with the number of postings of their shingle. Shingles in at least a
+    1/``COMMON`` share of all postings are counted by an aggregate (a sketch over all postings names a
+    bounded number of them, the counts are exact), so that no task gathers one; the others by a window."""
+    top = postings.agg(F.expr(f"approx_top_k(gram, {COMMON}, {8 * COMMON})").alias("top"),
+                       F.count(F.lit(1)).alias("n")).first()
+    common = [r["item"] for r in top["top"] or [] if r["count"] * COMMON >= top["n"]]
+    if not common:
+        return postings.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("gram")))
+    counts = postings.filter(F.col("gram").isin(common)).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    rest = postings.filter(~F.col("gram").isin(common))
+    return (rest.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("gram")))
+            .unionByName(postings.join(F.broadcast(counts), "gram")))
+
+
 def _prefixes(summary: DataFrame, percent: int) -> DataFrame:
     """(row, node, n, gram, df, nth, keep, shared): the shared shingles of every lead's extended
     prefix. A document is a lead once per task and text, so sets are ranked by ``row``. ``nth`` counts those that are kept, ``keep`` is the length of its plain prefix
     among them, ``shared`` says how many of its zone other documents have."""
-    postings = (summary.filter("lead").filter(F.col("doc_id").isNotNull())
-                .select("row", F.col("doc_id").alias("node"), "n", "z", F.explode("grams").alias("gram")))
-    df = F.count(F.lit(1)).over(Window.partitionBy("gram"))
+    leads = summary.filter("lead").filter(F.col("doc_id").isNotNull())
+    postings = leads.select("row", F.explode("grams").alias("gram"))
     outside = F.col("gram") >= _ZONE_END
-    known = (postings.withColumn("df", df).filter((F.col("df") > 1) | outside)
-             .withColumn("outside", outside))
+    known = _with_frequency(postings).filter((F.col("df") > 1) | outside).withColumn("outside", outside)
     by_row = Window.partitionBy("row")
     order = by_row.orderBy("outside", F.when(F.col("outside"), 0).otherwise(F.col("df")), "gram")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
     ranked = (known.withColumn("nth", F.row_number().over(order))
               .withColumn("shared", F.sum(F.when(F.col("outside"), 0).otherwise(1)).over(by_row))
+              .join(leads.select("row", F.col("doc_id").alias("node"), "n", "z"), "row")
               .withColumn("keep", prefix - (F.col("z") - F.col("shared"))))
     return (ranked.filter((F.col("nth") <= F.col("keep") + 1) & (F.col("df") > 1))
             .select("row", "node", "n", "gram", "df", "nth", "keep", F.col("shared").cast("int").alias("shared")))
@@ -181,10 +196,11 @@ def _lists(prefixes: DataFrame, boundary: int, percent: int) -> DataFrame:
     pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("g") - 1), lambda i: F.transform(
         F.slice("g", i + 1, F.size("g")), lambda x: F.xxhash64(F.lit(2), F.element_at("g", i), x))))
     light = small.filter(F.size("g") > 1).select(F.explode(pairs).alias("key"), *own)
-    by_key = Window.partitionBy("key")
-    return (heavy.unionByName(light)
-            .select(*own, F.min("node").over(by_key).alias("lo"), F.max("node").over(by_key).alias("hi"))
-            .filter("lo != hi").select(F.xxhash64("lo", "hi").alias("key"), *own).distinct())
+    rows = materialize(heavy.unionByName(light), "list_rows")
+    ends = (rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi"))
+    lists = materialize(rows.join(ends, "key").select(F.xxhash64("lo", "hi").alias("key"), *own).distinct(), "lists")
+    discard(rows)
+    return lists
 
 
 def _may_link(na: str, nb: str, bits_a: str, bits_b: str, percent: int):
@@ -208,9 +224,10 @@ def _not_ruled_out(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame
             .filter(~F.coalesce(ruled_out, F.lit(False))).select("a", "b"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, bits: DataFrame, size: int, percent: int) -> DataFrame:
+def _verify(candidates: DataFrame, docs: DataFrame, bits: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by exact intersection of the sets of their documents."""
-    pairs = materialize(_not_ruled_out(pairs, bits, percent), "compared_pairs")
+    pairs = materialize(_not_ruled_out(candidates, bits, percent), "compared_pairs")
+    discard(candidates)
     ends = materialize(pairs.select(F.col("a").alias("doc_id"), F.lit(True).alias("is_a")).unionByName(
         pairs.select(F.col("b").alias("doc_id"), F.lit(False).alias("is_a"))).groupBy("doc_id").agg(
         F.bool_or("is_a").alias("is_a"), F.bool_or(~F.col("is_a")).alias("is_b")), "compared")
@@ -218,9 +235,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, bits: DataFrame, size: int, perce
     sets = materialize(_sets(with_ids(docs, wanted), size, "side"), "compared_sets")
     a = sets.filter("side != 2").select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
     b = sets.filter("side != 1").select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
-    return (pairs.join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("ga", "gb")))
-            .filter(F.col("i") * 100 >= (F.size("ga") + F.size("gb") - F.col("i")) * percent)
-            .select("a", "b").distinct())
+    links = materialize(
+        pairs.join(a, "a").join(b, "b").withColumn("i", F.size(F.array_intersect("ga", "gb")))
+        .filter(F.col("i") * 100 >= (F.size("ga") + F.size("gb") - F.col("i")) * percent)
+        .select("a", "b").distinct(), "links")
+    discard(pairs, ends, sets)
+    return links
 
 
 def _leader_pairs(lists: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -233,8 +253,10 @@ def _leader_pairs(lists: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     pairs = (lists.join(lead, "key").filter(F.col("node") != F.col("l.node"))
              .select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("l.node").alias("y"), F.col("l.n").alias("ny")))
     x, y = (bits.select(F.col("node").alias(c), F.col("bits").alias(f"b{c}")) for c in "xy")
-    return (pairs.distinct().join(x, "x").join(y, "y").filter(_may_link("nx", "ny", "bx", "by", percent))
-            .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    found = materialize(pairs.distinct().join(x, "x").join(y, "y").filter(_may_link("nx", "ny", "bx", "by", percent))
+                        .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "leader_pairs")
+    discard(lead)
+    return found
 
 
 def _cross_pairs(lists: DataFrame, components: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
@@ -248,9 +270,12 @@ def _cross_pairs(lists: DataFrame, components: DataFrame, bits: DataFrame, perce
                        .select("key", "node", "n", "component", "main", "bits"), "split_lists")
     # one side of a pair is outside the list's largest component
     x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "main", "bits")]) for s in "ab")
-    return (x.filter("component_a != main_a").join(y, "key").filter("component_a != component_b")
-            .filter(_may_link("n_a", "n_b", "bits_a", "bits_b", percent))
-            .select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct())
+    found = materialize(
+        x.filter("component_a != main_a").join(y, "key").filter("component_a != component_b")
+        .filter(_may_link("n_a", "n_b", "bits_a", "bits_b", percent))
+        .select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct(), "cross_pairs")
+    discard(split, rows)
+    return found
 
 
 def _bits(summary: DataFrame, members: DataFrame) -> DataFrame:
@@ -271,8 +296,8 @@ def link_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     docs = docs.select("doc_id", "text")
     summary = materialize(_summaries(docs, shingle, percent).withColumn("row", F.monotonically_increasing_id()), "set_summaries")
     prefixes = materialize(_prefixes(summary, percent), "prefixes")
-    boundary = choose_boundary(prefixes)
-    lists = materialize(_lists(prefixes, boundary, percent), "lists")
+    lists = _lists(prefixes, choose_boundary(prefixes), percent)
+    discard(prefixes)
     members = materialize(lists.select(F.col("node").alias("doc_id")).distinct(), "list_members")
     bits = materialize(_bits(summary, members), "member_bits")
 
@@ -280,15 +305,15 @@ def link_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     of_class = summary.select("doc_id", "n", "c1", "c2").join(reps, ["c1", "c2", "n"], "left")
     named = materialize(of_class.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                                         F.coalesce("rep", "doc_id").alias("rep")), "class_members")
+    discard(summary, reps)
     copies = named.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # copies that no list has need no part in the search for components of list members
     listed = copies.join(members.withColumnRenamed("doc_id", "a"), "a", "left_semi")
 
-    star = materialize(_leader_pairs(lists, bits, percent), "leader_pairs")
-    found = materialize(_verify(star, docs, bits, shingle, percent), "leader_links")
-    comp = connected_components(found.unionByName(listed))
-    cross = materialize(_cross_pairs(lists, comp, bits, percent), "cross_pairs")
-    more = materialize(_verify(cross, docs, bits, shingle, percent), "cross_links")
+    found = _verify(_leader_pairs(lists, bits, percent), docs, bits, shingle, percent)
+    comp = materialize(connected_components(found.unionByName(listed)), "list_components")
+    more = _verify(_cross_pairs(lists, comp, bits, percent), docs, bits, shingle, percent)
+    discard(lists, members, bits, comp)
     links = found.unionByName(more)
     rep_of = named.select("doc_id", "rep").distinct()
     ends = (links.join(rep_of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a")

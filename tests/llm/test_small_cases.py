@@ -74,6 +74,17 @@ def test_language(spark, docs, none):
     assert langid.keep_identified(docs, train).columns == docs.columns
 
 
+def test_common_shingles_are_counted_apart(spark, none):
+    # shingle 7 in every third set, 100,000 others once or twice
+    rows = spark.range(60_000).select(F.col("id").alias("row"), F.explode(F.array(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") + 1_000_000), F.col("id") % 40_000 + 100)).alias("gram"))
+    got = ngram_join._with_frequency(rows)
+    assert "approx_top_k" not in got._jdf.queryExecution().toString() and "Union" in got._jdf.queryExecution().toString()
+    plain = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(rows, "gram").select("row", "gram", "df")
+    assert got.count() == 120_000 and got.exceptAll(plain).isEmpty()
+    assert ngram_join._with_frequency(rows.filter("row < 0")).isEmpty()
+
+
 def test_lines(spark, docs, none):
     rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs).filter("doc_id is not null").collect()}
     assert rows[1].text is None and rows[3].text == "   \n\n" and rows[4].text == "one"
