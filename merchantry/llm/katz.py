@@ -11,8 +11,8 @@ d and d2 are Good-Turing discounts for counts up to k (1 above), alpha(v) is cho
 probabilities after v add up to exactly 1. Every bigram that training has is in the model, those
 seen once with their Good-Turing discount d2(1) too.
 
-The corpus has many more bigrams than the model keeps, and a token may need any of them, so the
-work is dealt out in two ways. A *block* is a run of documents of one task with about
+The model has too many bigrams for one task, and a token may need any of them, so the work is dealt
+out in two ways. A *block* is a run of documents of one task with about
 ``BLOCK_TOKENS`` tokens; a *part* holds all words, or all bigrams of a history, with one hash
 remainder (histories above a 1/``HOT`` share of the tokens are dealt by their successors too).
 Blocks send every part their distinct entries with counts, parts add them up and return what the
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from merchantry.llm import wordhash as W
 from merchantry.session import materialize, ship_package
 
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 3 << 19
 PART_BYTES = 1 << 24           # text bytes per part
 HOT = 1024
 GT_MAX = 5
@@ -147,7 +147,8 @@ class Block:
 
     def word_parts(self) -> np.ndarray:
         """Sets ``words`` (distinct, sorted), ``word_at`` (of each token), ``word_count``."""
-        self.words, self.word_at = np.unique(self.token, return_inverse=True)
+        self.words, at = np.unique(self.token, return_inverse=True)
+        self.word_at = at.astype(np.int32)         # a block's positions fit, they are its largest arrays
         self.word_count = np.bincount(self.word_at, weights=self.train, minlength=len(self.words)).astype(np.uint64)
         return (self.words % np.uint64(self.parts)).astype(np.int64)
 
@@ -155,20 +156,23 @@ class Block:
         """Sets ``v, w`` (distinct bigrams, sorted), their positions among the words ``v_at`` (-1: start),
         ``w_at``, ``bigram_at`` (of each token), ``bigram_count``. Needs ``word_parts``."""
         # the start mark sorts before every word; positions among the words stand for the hashes
-        before = np.concatenate([[0], self.word_at[:-1] + 1])
+        before = np.concatenate([np.zeros(1, np.int32), self.word_at[:-1] + np.int32(1)])
         before[self.first[:-1]] = 0
         key = before * np.int64(len(self.words) + 1) + self.word_at
         order = np.argsort(key)
         key = key[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = key[1:] != key[:-1]
-        nth = np.cumsum(new) - 1
-        self.bigram_at = np.empty(len(order), dtype=np.int64)
+        del key
+        nth = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        self.bigram_at = np.empty(len(order), dtype=np.int32)
         self.bigram_at[order] = nth
-        self.v, self.w = self.history[order[new]], self.token[order[new]]
-        self.w_at = self.word_at[order[new]]
-        self.v_at = before[order[new]] - 1
-        self.bigram_count = np.bincount(nth, weights=self.train[order], minlength=len(self.v)).astype(np.uint64)
+        first = order[new]
+        self.bigram_count = np.bincount(nth, weights=self.train[order], minlength=len(first)).astype(np.uint64)
+        del order, nth, new
+        self.v, self.w = self.history[first], self.token[first]
+        self.w_at = self.word_at[first]
+        self.v_at = before[first] - np.int32(1)
         spread = np.isin(self.v, self.hot)
         return ((self.v + np.where(spread, self.w, np.uint64(0))) % np.uint64(self.parts)).astype(np.int64)
 
@@ -395,6 +399,7 @@ def _score(parts: int, hot: np.ndarray, uni: Unigrams, d2: np.ndarray, hot_sums:
             lower = np.log10(uni.p(total))
             own = np.log10(np.where(c <= GT_MAX, d2[np.minimum(c, GT_MAX)], 1.0) * np.maximum(c, 1) / np.maximum(below, 1))
             p = np.where(c > 0, own, alpha + lower[b.w_at])[b.bigram_at]
+            del own, alpha, below, of_v, c
             of_token = total[b.word_at]
             at = b.first[:-1]
             out[0] += b.ids
