@@ -53,7 +53,8 @@ def _stage(fn):
 
 STAGES = [(fn.__name__, _stage(fn)) for fn in (language_id, dedup_lines, near_duplicates, decontamination, pack)]
 
-#: Compression, MinHash and tokenising have no SQL form; the tests hold the operators, not the stages, against brute force.
+#: Compression, MinHash and tokenising have no SQL form; the tests hold the last three stages against plain Python on
+#: their own input, the first two by what they may remove (the operators behind them have their own tests).
 ORACLE_SQL = None
 
 
