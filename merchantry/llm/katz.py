@@ -19,7 +19,7 @@ Blocks send every part their distinct entries with counts, parts add them up and
 block asked about, in the block's order:
 
 1. words: blocks ask with their words and training counts, parts return total counts;
-2. bigrams: blocks ask with their bigrams, training counts and the counts from 1; parts return the
+2. bigrams, in ``ROUNDS`` rounds of parts: blocks ask with their bigrams, training counts and the counts from 1; parts return the
    total of each bigram in the model and, per history, what its alpha needs; the model itself is
    stored by part (``model`` of the result);
 3. every block evaluates its documents token by token.
@@ -33,6 +33,8 @@ other columns are ignored; null ids hash as ''.
 """
 from __future__ import annotations
 
+import ctypes
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +47,7 @@ from merchantry.session import materialize, ship_package
 
 BLOCK_TOKENS = 3 << 19
 PART_BYTES = 1 << 24           # text bytes per part
+ROUNDS = 2                     # bigram parts are dealt with in rounds, whose shuffles and answers follow each other
 HOT = 1024
 GT_MAX = 5
 MIN_BIGRAM = 1
@@ -182,6 +185,21 @@ def hash_id(i) -> int:
     return zlib.crc32(str(i).encode()) * 0x9E3779B97F4A7C15
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: Python workers live on for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):              # another C library: it keeps what it keeps
+        pass
+
+
+def _tidied(fn, *tables: pa.Table) -> pa.Table:
+    out = fn(*tables)
+    _give_back()
+    return out
+
+
 def _by_part(part: np.ndarray):
     """(part, indices in order) of every part that occurs."""
     order = np.argsort(part, kind="stable")
@@ -246,7 +264,7 @@ def _add_words(hot_above: int):
             rows.append((WORDS, block, part, None, _squeeze(total[at[start:start + len(words_of)]]), None))
             start += len(words_of)
         return _answer(rows)
-    return add
+    return lambda asked: _tidied(add, asked)
 
 
 def _texts():
@@ -293,7 +311,8 @@ def _word_totals(b: Block, answers: dict) -> np.ndarray:
     return total
 
 
-def _ask_bigrams(parts: int, hot: np.ndarray):
+def _ask_bigrams(parts: int, hot: np.ndarray, turn: int):
+    """Asks of a block's bigrams in the parts of round ``turn``."""
     def ask(texts: pa.Table, answered: pa.Table) -> pa.Table:
         answers = _answers(answered)
         rows = []
@@ -302,6 +321,8 @@ def _ask_bigrams(parts: int, hot: np.ndarray):
             part = b.bigrams()
             of_w = total[b.w_at]
             for p, at in _by_part(part):
+                if p % ROUNDS != turn:
+                    continue
                 v = b.v[at]
                 heads = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
                 w = b.w[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
@@ -311,7 +332,7 @@ def _ask_bigrams(parts: int, hot: np.ndarray):
         cols = zip(*rows) if rows else [[]] * 7
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)],
                         names=["part", "block", "v", "n", "w", "counts", "of_w"])
-    return ask
+    return lambda texts, answered: _tidied(ask, texts, answered)
 
 
 def _add_bigrams(uni: Unigrams, hot: np.ndarray):
@@ -345,8 +366,10 @@ def _add_bigrams(uni: Unigrams, hot: np.ndarray):
         sums.append(np.bincount(of_head, weights=np.where(c > GT_MAX, c, 0), minlength=len(heads)))
         sums.append(np.bincount(of_head, weights=np.where(c > 0, p, 0.0), minlength=len(heads)))
         sums = np.stack(sums, axis=1)
-        known = c > 0
-        rows = [(MODEL, -1, part, _squeeze(np.concatenate([dv[known], dw[known]])), _squeeze(c[known]), _squeeze(hist))]
+        known = np.flatnonzero(c > 0)
+        known = known[np.argsort(of_head[known], kind="stable")]       # by history, whose differences are small
+        model = np.concatenate([np.diff(dv[known], prepend=np.uint64(0)), dw[known]])
+        rows = [(MODEL, -1, part, _squeeze(model), _squeeze(c[known]), _squeeze(hist))]
         shared = np.isin(heads, hot)
         if shared.any():
             rows.append((HISTORIES, -1, part, _squeeze(heads[shared]), None, _squeeze(sums[shared].ravel().astype(float))))
@@ -358,7 +381,7 @@ def _add_bigrams(uni: Unigrams, hot: np.ndarray):
             rows.append((TOTALS, block, part, None, _squeeze(total[start:start + n]), _squeeze(own.T.ravel().astype(float))))
             start += n
         return _answer(rows)
-    return add
+    return lambda asked: _tidied(add, asked)
 
 
 def _score(parts: int, hot: np.ndarray, uni: Unigrams, d2: np.ndarray, hot_sums: np.ndarray, n_starts: int, id_type):
@@ -411,7 +434,7 @@ def _score(parts: int, hot: np.ndarray, uni: Unigrams, d2: np.ndarray, hot_sums:
         kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(x, t) for x, t in zip(out, kinds)],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-    return score
+    return lambda texts, answered: _tidied(score, texts, answered)
 
 
 def fit_and_score(docs: DataFrame, held_out: Column) -> tuple[DataFrame, DataFrame]:
@@ -441,9 +464,12 @@ def fit_and_score(docs: DataFrame, held_out: Column) -> tuple[DataFrame, DataFra
 
     texts = docs.mapInArrow(_texts(), "block long, ids array<string>, held array<boolean>, bytes array<bigint>, text binary")
     word_answers = words.filter(F.col("kind") == WORDS)
-    asked = texts.groupBy("block").cogroup(word_answers.groupBy("block")).applyInArrow(
-        _ask_bigrams(parts, hot), "part int, block long, v binary, n binary, w binary, counts binary, of_w binary")
-    pairs = materialize(asked.groupBy("part").applyInArrow(_add_bigrams(uni, hot), ANSWER), "bigram_totals")
+    rounds = []
+    for turn in range(ROUNDS):
+        asked = texts.groupBy("block").cogroup(word_answers.groupBy("block")).applyInArrow(
+            _ask_bigrams(parts, hot, turn), "part int, block long, v binary, n binary, w binary, counts binary, of_w binary")
+        rounds.append(materialize(asked.groupBy("part").applyInArrow(_add_bigrams(uni, hot), ANSWER), "bigram_totals"))
+    pairs = functools.reduce(DataFrame.unionByName, rounds)
     n2, hot_sums = np.zeros(GT_MAX + 3, dtype=np.int64), np.zeros((len(hot), GT_MAX - MIN_BIGRAM + 3))
     for r in pairs.filter((F.col("kind") == MODEL) | (F.col("kind") == HISTORIES)).select(
             "kind", F.when(F.col("kind") == HISTORIES, F.col("words")).alias("words"), "sums").toLocalIterator():
@@ -465,4 +491,4 @@ def fit_and_score(docs: DataFrame, held_out: Column) -> tuple[DataFrame, DataFra
 def read_model(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(v, w, count) of the model bigrams in a row of ``model``."""
     both = _spread(row["words"])
-    return both[:len(both) // 2], both[len(both) // 2:], _spread(row["counts"]).astype(np.int64)
+    return np.cumsum(both[:len(both) // 2], dtype=np.uint64), both[len(both) // 2:], _spread(row["counts"]).astype(np.int64)
