@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from merchantry.functions.text import bound
+
 TWO_52 = float(2 ** 52)
 
 
@@ -45,12 +47,13 @@ def int_between(key: Column, lo: int, hi: int) -> Column:
 
 def sha1_mod(key, m: int = 1000) -> Column:
     """int(sha1(key), 16) % m, folded over five 32-bit chunks so it stays in 64 bits."""
-    h = F.sha1(_col(key))
-    r = F.lit(0).cast("bigint")
-    for i in range(5):
-        chunk = F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("bigint")
-        r = F.pmod(r * F.lit(4294967296) + chunk, F.lit(m))
-    return r
+    def folded(h: Column) -> Column:
+        r = F.lit(0).cast("bigint")
+        for i in range(5):
+            chunk = F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("bigint")
+            r = F.pmod(r * F.lit(4294967296) + chunk, F.lit(m))
+        return r
+    return bound(F.sha1(_col(key)), folded)
 
 
 def in_eval(key, frac: float) -> Column:

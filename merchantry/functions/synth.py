@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from merchantry import constants as K
 from merchantry.functions.hashing import hkey, int_between, pick, uniform
-from merchantry.functions.text import abbreviate
+from merchantry.functions.text import abbreviate, bound
 
 
 def _c(c) -> Column:
@@ -37,6 +37,10 @@ def choose(items, idx: Column) -> Column:
 def weighted_choice(category, u: Column, priors=K.METHOD_PRIORS,
                     fallback=K.PAYMENT_METHODS) -> Column:
     """Inverse-CDF pick from the category's weights; uniform over ``fallback``."""
+    return bound(u, lambda u: _weighted(_c(category), u, priors, fallback))
+
+
+def _weighted(category: Column, u: Column, priors, fallback) -> Column:
     out = None
     for cat, weights in priors.items():
         acc, ladder = 0.0, None
@@ -46,8 +50,7 @@ def weighted_choice(category, u: Column, priors=K.METHOD_PRIORS,
             cond = u < F.lit(acc) if i < len(items) - 1 else F.lit(True)
             ladder = F.when(cond, m) if ladder is None else ladder.when(cond, m)
         branch = ladder
-        out = F.when(_c(category) == cat, branch) if out is None else out.when(
-            _c(category) == cat, branch)
+        out = F.when(category == cat, branch) if out is None else out.when(category == cat, branch)
     n = len(fallback)
     return out.otherwise(choose(fallback, F.floor(u * n)))
 
@@ -67,11 +70,11 @@ def noisy_mcc(category, key: Column, coverage=K.MCC_COVERAGE, noise=K.MCC_NOISE)
     cats = K.CATEGORIES
     cat_idx = F.array_position(F.array(*[F.lit(c) for c in cats]), _c(category)) - 1
     j = pick(hkey(key, "other"), len(cats) - 1)
-    other = choose(cats, j + F.when(j >= cat_idx, 1).otherwise(0))
+    other = bound(j, lambda j: choose(cats, j + F.when(j >= cat_idx, 1).otherwise(0)))
     mcc_cat = F.when(uniform(hkey(key, "noise")) < noise, other).otherwise(_c(category))
     present = (~_c(category).isin("Income", "Financial Services")
                & (uniform(hkey(key, "present")) < coverage))
-    return F.when(present, mcc_for(mcc_cat, hkey(key, "code"))).cast("int")
+    return F.when(present, bound(mcc_cat, lambda c: mcc_for(c, hkey(key, "code")))).cast("int")
 
 
 def lognormal_amount(category, key: Column, sigma: float = 0.6) -> Column:
@@ -89,14 +92,23 @@ def refund_flip(dirn, key: Column, rate=K.REFUND_RATE) -> Column:
     return F.when((_c(dirn) == "outgoing") & (uniform(key) < rate), "incoming").otherwise(_c(dirn))
 
 
+def _code(letter: str, digits: int, n: Column) -> Column:
+    """``letter`` and ``n`` with at least ``digits`` digits."""
+    n = n.cast("bigint")
+    text = n.cast("string")
+    return (F.when(n >= 10 ** digits, F.concat(F.lit(letter), text))
+            .when(n >= 0, F.concat(F.lit(letter), F.lpad(text, digits, "0")))
+            .otherwise(F.format_string(f"{letter}%0{digits}d", n)))
+
+
 def customer_code(n: Column) -> Column:
     """``C%05d``; longer numbers keep all their digits."""
-    return F.format_string("C%05d", n.cast("bigint"))
+    return _code("C", 5, n)
 
 
 def txn_code(n: Column) -> Column:
     """``T%08d``; longer numbers keep all their digits."""
-    return F.format_string("T%08d", n.cast("bigint"))
+    return _code("T", 8, n)
 
 
 def with_noisy_descriptor(df, text: str, key: str):

@@ -17,6 +17,7 @@ PROCESSOR_PREFIX = (r"(?i)^\s*(?:(?:SQ|TST|PP|PAYPAL|SP)\s*\*\s*"
 IDS = r"(?i)(#\d+|TXN\d+)"
 PAREN = r"\([^)]*\)"
 EDGE_WS = r"^\s+|\s+$"
+WS = " \t\n\x0b\f\r"        # what \s matches in Java
 DANGLING = r"^[\s\-]+|[\s\-]+$"
 # Drops a trailing "Hospital" after another token, except when the whole text is a
 # hospital merchant (exact, case-sensitive). \x01 anchors the exception at the start.
@@ -47,6 +48,26 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _holds(s: Column, words) -> Column:
+    """True when the text holds one of ``words``, ASCII letters in either case: a cheap condition that every match
+    of a case-insensitive pattern with these words meets."""
+    low, found = F.lower(s), None
+    for w in dict.fromkeys(w.lower() for w in words):
+        hit = F.contains(low, F.lit(w))
+        found = hit if found is None else found | hit
+    return found
+
+
+def _replaced(c: Column, needs, pattern: str, by: str) -> Column:
+    """``regexp_replace`` that looks only at texts for which ``needs`` holds (every text with a match)."""
+    return bound(c, lambda s: F.when(needs(s), F.regexp_replace(s, pattern, by)).otherwise(s))
+
+
 def strip_ws(c) -> Column:
     """Trim every ASCII whitespace character at both ends (``trim`` only drops spaces)."""
     return F.regexp_replace(_c(c), EDGE_WS, "")
@@ -65,19 +86,23 @@ def clean_description(c) -> Column:
 
 def derive_canonical(c) -> Column:
     """Best-effort canonical merchant name from a noisy source description."""
-    s = F.regexp_replace(_c(c), PAREN, " ")
-    s = F.regexp_replace(s, IDS, " ")
+    holds = lambda *words: lambda s: _holds(s, words)
+    s = _replaced(_c(c), holds("("), PAREN, " ")
+    s = _replaced(s, holds("#", "TXN"), IDS, " ")
     for i, name in enumerate(K.PROTECTED_NAMES):
-        s = F.regexp_replace(s, "(?i)" + regex_escape(name), f"{PARK}{i}{PARK}")
-    s = F.regexp_replace(s, TIME_RE, " ")
-    s = F.regexp_replace(s, FORMAT_RE, " ")
-    s = F.regexp_replace(s, COUNTRY_RE, " ")
+        s = _replaced(s, holds(name), "(?i)" + regex_escape(name), f"{PARK}{i}{PARK}")
+    s = _replaced(s, holds(*K.TIME_PHRASES), TIME_RE, " ")
+    s = _replaced(s, holds(*K.FORMAT_WORDS), FORMAT_RE, " ")
+    s = _replaced(s, holds(*K.COUNTRIES), COUNTRY_RE, " ")
     for i, name in enumerate(K.PROTECTED_NAMES):
         s = F.replace(s, F.lit(f"{PARK}{i}{PARK}"), F.lit(name))
     s = F.replace(s, F.lit(" - "), F.lit(" "))
-    s = F.regexp_replace(s, r"\s+", " ")
-    s = strip_ws(F.regexp_replace(s, DANGLING, ""))
-    s = F.regexp_replace(F.concat(F.lit(HOSPITAL_MARK), s), TRAILING_HOSPITAL, "$1$2")
+    s = _replaced(s, holds("  ", *WS.strip(" ")), r"\s+", " ")
+    # Java's $ also matches before a last line end, and not all of these are ASCII
+    s = bound(s, lambda t: F.when(F.length(t) == F.octet_length(t), F.btrim(t, F.lit(WS + "-"))).otherwise(
+        strip_ws(F.regexp_replace(t, DANGLING, ""))))
+    s = bound(s, lambda t: F.when(_holds(t, ["Hospital"]), F.regexp_replace(
+        F.concat(F.lit(HOSPITAL_MARK), t), TRAILING_HOSPITAL, "$1$2")).otherwise(t))
     return F.replace(s, F.lit(HOSPITAL_MARK), F.lit(""))
 
 

@@ -15,7 +15,7 @@ from merchantry.functions import synth as S
 from merchantry.functions.hashing import hash52, hkey, in_eval, pick, uniform
 from merchantry.functions.labels import gold_merchant
 from merchantry.functions.text import derive_canonical, name_tokens
-from merchantry.session import materialize
+from merchantry.session import discard, materialize
 
 ZIPF_SCALE = 10 ** 9
 
@@ -138,13 +138,14 @@ def _local_pool(spark: SparkSession, source_labels: DataFrame, n: int, seed: int
 
 # ---------------------------------------------------------------- feed synthesis
 def assign_origin(base: DataFrame, locals_df: DataFrame, zipf_local: DataFrame,
-                  share: float = K.LOCAL_MERCHANT_SHARE) -> DataFrame:
-    """H2: ``base`` has (row_id, txn_id, category, merchant, txn_type, canonical).
-    Adds ``name`` (gold label), ``text`` (descriptor source text) and ``origin``.
+                  share: float = K.LOCAL_MERCHANT_SHARE, write=None) -> DataFrame:
+    """H2: ``base`` has (row_id, txn_id, category, merchant, txn_type, canonical). ``write`` (a table, a
+    name) keeps the first rows per label, so that the join knows their size. Adds ``name`` (gold label), ``text`` (descriptor source text) and ``origin``.
     A stable-hash share of merchant rows moves to a same-category local merchant
     picked Zipf(s=1) by rank; the first row (smallest row_id) of a label never moves."""
     first = (base.filter(F.col("merchant").isNotNull())
              .groupBy("merchant").agg(F.min("row_id").alias("_first")))
+    first = write(first, "synth_first") if write else first
     n_local = locals_df.groupBy("category").agg(F.count(F.lit(1)).alias("_nloc"))
     # broadcast sides below are bounded by parameters: <= 8 categories, <= n locals
     d = (base.join(first, "merchant", "left")
@@ -168,19 +169,23 @@ def assign_origin(base: DataFrame, locals_df: DataFrame, zipf_local: DataFrame,
             .drop("_first", "_nloc", "_move", "_lrank", "_lcat", "_lrank2", "_lname"))
 
 
-def hard_descriptors(d: DataFrame, zipf_loc: DataFrame) -> DataFrame:
+def hard_descriptors(d: DataFrame, zipf_loc: DataFrame, write=None) -> DataFrame:
     """H3: ``min(200, ceil(rows/3))`` locations per name, a Zipf(1.5) location per row,
-    one fixed descriptor per (name, location) computed from a hash of that pair."""
-    counts = d.groupBy("name").agg(F.count(F.lit(1)).alias("_cnt"))
+    one fixed descriptor per (name, location) computed from a hash of that pair. ``write`` (a table, a
+    name) keeps the rows per name and the descriptors, so that their joins know their size."""
+    write = write or (lambda table, _: table)
+    counts = write(d.groupBy("name").agg(F.count(F.lit(1)).alias("_cnt")), "synth_counts")
     d = d.join(counts, "name", "left").withColumn(
         "_nloc", F.least(F.lit(K.LOCATIONS_CAP),
                          F.ceil(F.col("_cnt") / F.lit(K.LOCATIONS_ROWS_PER))).cast("bigint"))
     d = zipf_pick(d, "_nloc", hkey("loc", F.col("txn_id")), "location", zipf_loc)
     # the first row of a (name, location) fixes its text (merged labels can differ)
-    # and its noise, which is drawn once for the pair and joined to its rows
-    rep = d.groupBy("name", "location").agg(F.min_by("text", "row_id").alias("_text"))
+    # and its noise, which is drawn once for the pair and joined to its rows. The first row is looked for
+    # among the first ones of every text: rows meet in a hash aggregate, which min_by of a string is not
+    texts = d.groupBy("name", "location", "text").agg(F.min("row_id").alias("_row"))
+    rep = texts.groupBy("name", "location").agg(F.min_by("text", "_row").alias("_text"))
     rep = rep.withColumn("_nkey", F.concat_ws("|", F.col("name"), F.col("location").cast("string")))
-    rep = S.with_noisy_descriptor(rep, "_text", "_nkey").drop("_nkey", "_text")
+    rep = write(S.with_noisy_descriptor(rep, "_text", "_nkey").drop("_nkey", "_text"), "synth_descriptors")
     own = [c for c in d.columns if c not in ("description", "noise_abbrev", "noise_trunc", "_cnt", "_nloc")]
     return d.select(*own).join(rep, ["name", "location"], "left")
 
@@ -257,18 +262,20 @@ def build_feed_wide(spark: SparkSession, raw: DataFrame, hard: bool = True, seed
             .withColumn("_gm", gold_merchant(F.col("canonical"), F.col("category")))
             .withColumn("merchant", F.col("_gm.merchant"))
             .withColumn("txn_type", F.col("_gm.txn_type")).drop("_gm"))
-    if write_intermediate:
-        # base feeds three branches (labels, first rows, the rows themselves): write it
-        # once instead of re-running the scan, join and regex chain three times
-        base = materialize(base, "synth_base")
-    labels = base.select(F.coalesce("merchant", "txn_type").alias("label")).distinct()
+    write = materialize if write_intermediate else (lambda table, _: table)
+    # base feeds three branches (labels, first rows, the rows themselves): write it
+    # once instead of re-running the scan, join and regex chain three times
+    base = write(base, "synth_base")
+    labels = write(base.select(F.coalesce("merchant", "txn_type").alias("label")).distinct(), "synth_labels")
     locals_df = local_merchants(spark, labels, seed=seed)
-    if write_intermediate:
-        locals_df = materialize(locals_df, "synth_locals")
+    locals_df = write(locals_df, "synth_locals")
     zl = zipf_table(spark, K.LOCAL_MERCHANTS_N // len(LOCAL_CATEGORIES) + 1, K.LOCAL_ZIPF_S)
-    d = assign_origin(base, locals_df, zl)
+    d = assign_origin(base, locals_df, zl, write=write)
     if hard:
-        d = hard_descriptors(d, zipf_table(spark, K.LOCATIONS_CAP, K.LOCATIONS_ZIPF_S))
+        # the names feed three branches too (counts, descriptors, the rows)
+        d = write(d.drop("transaction_description", "canonical", "merchant", "txn_type"), "synth_named")
+        discard(base)
+        d = hard_descriptors(d, zipf_table(spark, K.LOCATIONS_CAP, K.LOCATIONS_ZIPF_S), write=write)
         desc, ab, tr = F.col("description"), F.col("noise_abbrev"), F.col("noise_trunc")
     else:
         desc = F.when(F.col("origin") == "local", F.col("name")).otherwise(

@@ -19,6 +19,7 @@ from merchantry import constants as K
 from merchantry.functions import synth as S
 from merchantry.functions.hashing import hkey, int_between, pick, uniform
 from merchantry.operators.synth import build_feed, build_feed_wide
+from merchantry.session import spread
 
 # Test-data mapping choices (ours, not fixed values of the reference).
 TYPE_CATEGORY = {
@@ -46,7 +47,9 @@ def raw_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_parts = part.count()                      # one scalar; part keys are 0..n-1
     eid = F.col("event_id")
     ev = ev.withColumn("_pk", pick(hkey("part", eid), n_parts))
-    d = ev.join(part, ev["_pk"] == part["p_partkey"], "inner")
+    d = ev.join(part, ev["_pk"] == part["p_partkey"], "inner").select(
+        "event_id", "ts", "user_id", "event_type", "value", "p_name")
+    d = spread(d, ev.count())                   # before the draws and the texts
     name = F.initcap(F.col("p_name"))
     is_type = F.col("event_type") == "signup"
     tlabel = S.choose(TYPE_LABELS, pick(hkey("type", eid), len(TYPE_LABELS)))
