@@ -10,10 +10,13 @@
    Equal lines meet first, so that each class is hashed once and nothing but texts and bands is shuffled.
 3. Candidates are verified exactly: the Jaccard similarity of the sets of all ``SHINGLE_CHARS``
    character shingles (a shorter line is one shingle) is at least ``threshold``. No pair is compared that
-   an exact bound rules out: ``SKETCH_WORDS`` words of parities of each set differ at most as often as
-   the sets themselves. Each line is first compared with the band leader it shares most bands with.
-   Of the other pairs of a band only those in different components are compared. Of these, each line
-   is first compared with the one whose parities differ least, then pairs still apart are.
+   an exact bound rules out: ``SKETCH_WORDS`` words of parities of each set (more, the longer the line: sets
+   much larger than that would differ in half of them) differ at most as often as the sets themselves.
+   Each line is first compared with the band leader it shares most bands with, then, ``ROUNDS`` times,
+   lines outside their band's largest component with new leaders, one from it and one from outside: each
+   takes as many pairs as there are lines. Of the other pairs of a band only those in different components
+   are compared. Of these, each line is first compared with the one whose parities differ least, then pairs
+   still apart are.
 4. Distributed union-find gives the components; of each, the first line (document id, line number)
    stays.
 
@@ -36,6 +39,9 @@ from merchantry.session import discard, materialize
 SHINGLE_CHARS = 5
 THRESHOLD = 0.8
 SKETCH_WORDS = 8
+SKETCH_CHARS = 731             # characters of a line per SKETCH_WORDS words, rounded up to a power of two of them
+MAX_SKETCH_PARTS = 64
+ROUNDS = 3
 #: Each seed gives two signature values. The seeds differ in their first bits, so that the values of a
 #: line are mostly those of different shingles.
 SEEDS = [k << 58 | k * 0x1D872B41A3C5F60B % (1 << 58) for k in range(24)]
@@ -95,13 +101,29 @@ def _texts(keys: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _sketches(texts: DataFrame) -> DataFrame:
-    """(node, n, p0, p1, ...): size of the line's shingle set, and for each of
-    ``64 * SKETCH_WORDS`` hash remainders the parity of the set's shingles."""
-    grams = texts.select("node", F.explode(_shingles("line")).alias("g")).select("node", F.xxhash64("g").alias("g"))
+    """(node, n, p0, p1, ..., wide): size of the line's shingle set, and for each of ``64 * SKETCH_WORDS`` hash
+    remainders the parity of the set's shingles; ``wide``, null for lines up to SKETCH_CHARS characters, is the same for as
+    many more remainders as the line is longer. Equal remainders of ``wide`` add up to those of the words."""
+    tiers = F.ceil(F.log2(F.char_length("line") / SKETCH_CHARS))
+    parts = F.pow(F.lit(2.0), F.least(F.greatest(tiers, F.lit(0)), F.lit(MAX_SKETCH_PARTS.bit_length() - 1))).cast("int")
+    grams = (texts.select("node", parts.alias("parts"), F.explode(_shingles("line")).alias("g"))
+             .select("node", "parts", F.xxhash64("g").alias("g"))
+             .withColumn("part", F.shiftrightunsigned("g", (64 * SKETCH_WORDS).bit_length() - 1).bitwiseAND(F.col("parts") - 1)))
     bit = F.expr("shiftleft(1L, cast(g & 63 as int))")
     word = F.col("g").bitwiseAND(F.lit(64 * (SKETCH_WORDS - 1)))
-    words = [F.bit_xor(F.when(word == 64 * k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(SKETCH_WORDS)]
-    return grams.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *words)
+    names = [f"p{k}" for k in range(SKETCH_WORDS)]
+    words = [F.bit_xor(F.when(word == 64 * k, bit).otherwise(F.lit(0).cast("long"))).alias(p) for k, p in enumerate(names)]
+    each = grams.groupBy("node", "parts", "part").agg(F.count(F.lit(1)).alias("n"), *words)
+    short = each.filter("parts = 1").select("node", "n", *names, F.lit(None).cast("array<bigint>").alias("wide"))
+    # a part without shingles has no row
+    found = F.map_from_entries(F.collect_list(F.struct("part", F.array(*names))))
+    none = F.array(*[F.lit(0).cast("long")] * SKETCH_WORDS)
+    wide = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1),
+                                 lambda k: F.coalesce(F.try_element_at("m", k), none)))
+    long = (each.filter("parts > 1").groupBy("node", "parts")
+            .agg(F.sum("n").alias("n"), *[F.bit_xor(p).alias(p) for p in names], found.alias("m"))
+            .select("node", "n", *names, wide.alias("wide")))
+    return short.unionByName(long)
 
 
 def _differ() -> Column:
@@ -109,12 +131,25 @@ def _differ() -> Column:
     return sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(SKETCH_WORDS)), F.lit(0))
 
 
+def _differ_wide() -> Column:
+    """The same for the wide parities, at the smaller number of them; null if one side has none, or one has more
+    than twice as many."""
+    size = F.least(F.size("wide_a"), F.size("wide_b"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda w: F.when(F.size(w) > size, F.zip_with(F.slice(w, 1, size), F.slice(w, size + 1, size), xor)).otherwise(F.col(w))
+    counts = F.zip_with(fold("wide_a"), fold("wide_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    # a null side, whose size is -1 or null, meets neither condition
+    comparable = (F.size("wide_a") > 0) & (F.size("wide_b") > 0) & (F.greatest(F.size("wide_a"), F.size("wide_b")) <= 2 * size)
+    return F.when(comparable, F.aggregate(counts, F.lit(0), lambda total, x: total + x))
+
+
 def _may_link(threshold: float) -> Column:
     """False only if the sizes of the sets ``a`` and ``b``, or the parities that differ, rule a link out."""
     n_a, n_b = F.col("n_a"), F.col("n_b")
     rounding = 1e-6
+    near = lambda differ: differ * (1 + threshold) <= (n_a + n_b) * (1 - threshold) + rounding
     return ((F.least(n_a, n_b) + rounding >= threshold * F.greatest(n_a, n_b))
-            & (_differ() * (1 + threshold) <= (n_a + n_b) * (1 - threshold) + rounding))
+            & near(_differ()) & F.coalesce(near(_differ_wide()), F.lit(True)))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -160,6 +195,33 @@ def _possible(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFr
     return pairs.filter(_may_link(threshold)).select("a", "b")
 
 
+def _split(bands: DataFrame, components: DataFrame) -> DataFrame:
+    """(band, node, component, main): members of those ``bands`` (band, node) that lie in several components, with the
+    band's largest one."""
+    named = bands.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialize(named.select("band", "node", "component"), "named_bands")
+    main = materialize(named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
+                       .groupBy("band").agg(F.max_by("component", "m").alias("main"), F.count(F.lit(1)).alias("parts"))
+                       .filter("parts > 1").select("band", "main"), "split_keys")
+    split = materialize(named.join(main, "band").select("band", "node", "component", "main"), "split_bands")
+    discard(named, main)
+    return split
+
+
+def _to_leaders(split: DataFrame, turn: int) -> DataFrame:
+    """(a, b): a line outside its band's largest component with a leader of the band, one of that component and one
+    of the others; of all its bands' leaders of a kind, the one it shares most bands with. Leaders are least by
+    their number with bits flipped as ``turn`` says."""
+    flip = F.lit(SEEDS[turn + 1] & (1 << 62) - 1)
+    leaders = split.groupBy("band", (F.col("component") == F.col("main")).alias("inside")).agg(
+        F.min(F.col("node").bitwiseXOR(flip)).alias("least"))
+    leaders = leaders.select("band", "inside", F.col("least").bitwiseXOR(flip).alias("leader"))
+    shared = (split.filter("component != main").select("band", "node").join(leaders, "band").filter("node != leader")
+              .groupBy("node", "inside", "leader").agg(F.count(F.lit(1)).alias("m")))
+    best = shared.groupBy("node", "inside").agg(F.max_by("leader", F.struct("m", "leader")).alias("leader"))
+    return best.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+
+
 def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(h1, h2, component) of those of ``lines`` (as ``lines_of`` gives them) that are near another
     line; ``component`` is a number that all lines of a component have."""
@@ -176,15 +238,20 @@ def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     star = materialize(_possible(star, sketches, threshold), "line_pairs")
     found = materialize(_verify(star, texts, threshold), "line_links")
     comp = connected_components(found)
-    named = bands.select("band", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = materialize(named, "named_bands")
+    split = _split(bands.select("band", "node"), comp)
     discard(bands)
-    split = materialize(named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
-                        .groupBy("band").agg(F.max_by("component", "m").alias("main"), F.count(F.lit(1)).alias("parts"))
-                        .filter("parts > 1").select("band", "main"), "split_keys")
-    rest = named.join(split, "band").select("band", "node", "component", "main")
-    rest = materialize(rest.join(sketches, "node"), "split_sketches")
-    discard(named, split, sketches)
+    for turn in range(ROUNDS):
+        near = materialize(_possible(_apart(_to_leaders(split, turn), comp), sketches, threshold), "leader_pairs")
+        links = materialize(_verify(near, texts, threshold), "leader_links")
+        discard(near)
+        if links.isEmpty():
+            break
+        found = materialize(found.unionByName(links), "line_links")
+        comp = connected_components(found)
+        before, split = split, _split(split.select("band", "node"), comp)
+        discard(before, links)
+    rest = materialize(split.join(sketches, "node"), "split_sketches")
+    discard(split, sketches)
     cross = materialize(_cross_pairs(rest, threshold), "line_cross_pairs")
     discard(rest)
     nearest = materialize(_nearest(cross), "nearest_pairs")

@@ -324,3 +324,36 @@ def test_search_overflow(spark):
     df = spark.createDataFrame([(0, [1e16, 1e16]), (1, [1e16, 1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="64 bits"):
         pivot_search.top_k(df, F.col("vec_id") % 50 == 0).collect()
+
+
+def test_long_lines_are_ruled_out_by_sketches_and_links_never(spark):
+    import random
+    rng = random.Random(5)
+    syllables = ["".join(rng.choice("aeinorst") for _ in range(3)) for _ in range(40)]
+    text = lambda n: "".join(rng.choice(syllables) for _ in range(n // 3))
+    grams = lambda s: {s[i:i + line_dedup.SHINGLE_CHARS] for i in range(len(s) - line_dedup.SHINGLE_CHARS + 1)}
+    lines = []
+    for n in (400, 700, 760, 1300, 1440, 1500, 2900, 6000):
+        base = text(n)
+        lines += [base, base[:int(n * 0.93)], base[: n // 2] + text(n // 12) + base[n // 2 + n // 12:], text(n), "ab" * n]
+    texts = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    pairs = spark.createDataFrame([(a, b) for a in range(len(lines)) for b in range(a)], "a long, b long")
+    left = {(r.a, r.b) for r in line_dedup._possible(pairs, line_dedup._sketches(texts), 0.8).collect()}
+    sets = [grams(s) for s in lines]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    every = [(a, b) for a in range(len(lines)) for b in range(a)]
+    links = {p for p in every if alike(*p) >= 0.8}
+    assert len(links) > 15 and links <= left
+    far = {p for p in every if alike(*p) < 0.6}
+    assert not far & left
+
+
+def test_a_round_compares_each_line_with_two_leaders(spark):
+    rows = [(band, node, 0 if node < 30 else node, 0) for band in range(3) for node in range(60)]
+    split = spark.createDataFrame(rows, "band long, node long, component long, main long")
+    seen = set()
+    for turn in range(line_dedup.ROUNDS):
+        pairs = [(r.a, r.b) for r in line_dedup._to_leaders(split, turn).collect()]
+        assert 30 <= len(pairs) <= 60 and all(a > b and a >= 30 for a, b in pairs)
+        seen |= set(pairs)
+    assert len(seen) > 60
