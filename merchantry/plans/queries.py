@@ -497,7 +497,7 @@ def _views(spark, sf_dir, split="random"):
         feed, gold = fg(spark, sf_dir)
         mem = SP.split_random(feed) if split == "random" else SP.split_unseen(gold)
         mem = materialize(mem, f"membership_{split}")
-        v = VW.build_views(feed, gold, mem, labelled_feed=wide(spark, sf_dir))
+        v = VW.build_views(feed, gold, mem, labelled_feed=wide(spark, sf_dir), write=materialize)
         model_feed = materialize(v.model_feed, f"model_view_{split}")
         cache = materialize(v.cache, f"cache_{split}")
         ids = cache.select("txn_id")
