@@ -54,6 +54,7 @@ from merchantry.session import materialize
 
 MAX_BROADCAST_LIST = 200_000   # list entries per broadcast chunk (C6)
 JOIN_CUTOFF = 70.0             # least cutoff of the index join; its overlap bound needs more than 66.7
+SCAN_ROWS = 1 << 10            # most queries of a task of C6
 FREQUENT = 256                 # keys of a kind whose rarity is told apart
 EPS = 1e-9
 
@@ -342,7 +343,11 @@ def _broadcast_chunks(names: DataFrame, max_broadcast: int, scorer: str = "token
 def _scan(queries: DataFrame, names: DataFrame, k: int, cutoff, max_broadcast: int,
           scorer: str = "token_set") -> DataFrame:
     schema = "query string, _chunk int, _pos array<int>, candidates array<string>, scores array<double>"
-    q = queries.select("query").distinct()
+    q = materialize(queries.select("query").distinct(), "queries")
+    # a short table of texts is many scores: it is dealt to tasks by rows, not by bytes
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    n = q.count()
+    q = q.repartition(max(-(-n // SCAN_ROWS), min(4 * cores, n // 64 + 1)))
     parts = []
     for ci, bc in enumerate(_broadcast_chunks(names, max_broadcast, scorer)):
         def run(it, bc=bc, ci=ci):

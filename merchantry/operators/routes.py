@@ -197,7 +197,8 @@ class ChoiceRoute(Route):
         d = feed.select("txn_id", "description", "amount").withColumn(
             "_state", strip_processor_prefix("description"))
         if self.with_candidates:
-            d = d.join(candidates(feed, self.names, self.k), "txn_id", "left")
+            # written: the requests, the answers and the escalated rows read them
+            d = d.join(materialize(candidates(feed, self.names, self.k), "candidates"), "txn_id", "left")
         else:
             matched = self.rules.transform(feed).select("txn_id", F.col("canonical_merchant").alias("_ruled"))
             d = d.withColumn("candidates", F.array().cast("array<string>")).join(matched, "txn_id", "left")
@@ -251,13 +252,14 @@ def run_route(route: Route, train_feed: DataFrame, train_gold: DataFrame, feed:
 
 
 # ------------------------------------------------------------------ Spark ML routes
-def _logreg(n_rows: int, features: str = "features", label: str = "label_idx"):
+def _logreg(n_rows: int, features: str = "features", label: str = "label_idx", weight: str | None = None):
     """Multinomial logistic regression with the penalty of the usual C=1 default:
-    regParam = 1/n, L2, no standardisation."""
+    regParam = 1/n, L2, no standardisation. ``weight`` is a column with the number of rows that a row stands for."""
     from pyspark.ml.classification import LogisticRegression
-    return LogisticRegression(featuresCol=features, labelCol=label, maxIter=1000,
-                              regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0,
-                              standardization=False, family="multinomial")
+    model = LogisticRegression(featuresCol=features, labelCol=label, maxIter=1000,
+                               regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0,
+                               standardization=False, family="multinomial")
+    return model.setWeightCol(weight) if weight else model
 
 
 class MetadataRoute(Route):
@@ -267,20 +269,23 @@ class MetadataRoute(Route):
     name = "metadata"
 
     def fit(self, train_feed, train_gold):
-        from pyspark.ml import Pipeline
+        from pyspark.ml import Pipeline, PipelineModel
         from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+        # the rows are joined once; equal ones are one weighted row of the regression, which passes over them
+        # some hundred times
         j = self._prep(train_feed).join(train_gold.select("txn_id", "category"), "txn_id")
-        n = j.count()
-        stages = [
+        j = materialize(j.select("transaction_type_code", "mcc_s", "log_amt", "category"), "metadata_rows")
+        prepare = Pipeline(stages=[
             StringIndexer(inputCols=["transaction_type_code", "mcc_s"], outputCols=["tc_i", "mcc_i"],
                           handleInvalid="keep"),
             OneHotEncoder(inputCols=["tc_i", "mcc_i"], outputCols=["tc_v", "mcc_v"],
                           handleInvalid="keep", dropLast=True),
             VectorAssembler(inputCols=["tc_v", "mcc_v", "log_amt"], outputCol="features"),
             StringIndexer(inputCol="category", outputCol="label_idx"),
-            _logreg(n),
-        ]
-        self.model = Pipeline(stages=stages).fit(j)
+        ]).fit(j)
+        rows = materialize(j.groupBy(*j.columns).agg(F.count(F.lit(1)).cast("double").alias("weight")), "metadata_weights")
+        model = _logreg(j.count(), weight="weight").fit(prepare.transform(rows))
+        self.model = PipelineModel(stages=[*prepare.stages, model])
         self.labels = self.model.stages[3].labels
         return self
 
@@ -310,18 +315,21 @@ class EmbeddingRoute(Route):
         self.encoder = encoder or letter_counts
 
     def fit(self, train_feed, train_gold):
-        from pyspark.ml import Pipeline
+        from pyspark.ml import PipelineModel
         from pyspark.ml.feature import StringIndexer
         from pyspark.ml.functions import array_to_vector
         j = train_feed.select("txn_id", "description").join(
             train_gold.select("txn_id", "canonical_merchant", "category"), "txn_id")
+        j = materialize(j.drop("txn_id"), "embedding_rows")
         self.vocab = (j.select(F.col("canonical_merchant").alias("name")).filter(F.col("name").isNotNull())
                       .distinct().withColumn("vec", self.encoder(F.col("name"))))
-        x = j.withColumn("features", array_to_vector(self.encoder(F.col("description"))))
-        n = x.count()
-        self.clf = Pipeline(stages=[StringIndexer(inputCol="category", outputCol="label_idx"),
-                                    _logreg(n)]).fit(x)
-        self.labels = self.clf.stages[0].labels
+        # a text is encoded once per category; its rows are one weighted row of the regression
+        indexer = StringIndexer(inputCol="category", outputCol="label_idx").fit(j)
+        x = j.groupBy("description", "category").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        x = materialize(x.withColumn("features", self.encoder(F.col("description"))), "embedding_weights")
+        x = indexer.transform(x.withColumn("features", array_to_vector("features")))
+        self.clf = PipelineModel(stages=[indexer, _logreg(j.count(), weight="weight").fit(x)])
+        self.labels = indexer.labels
         return self
 
     def transform(self, feed):

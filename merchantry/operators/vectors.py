@@ -76,6 +76,8 @@ def nearest_vector(queries: DataFrame, vocab: DataFrame, id_col: str = "id", vec
         return pd.DataFrame({"_id": mine["_id"].to_numpy(), "_row": mine["_row"].to_numpy(),
                              "name": others["name"].to_numpy()[best], "cosine": top})
 
+    # as many partitions as leave cells apart, whatever few bytes they are
+    left, right = (side.repartition(2 * rows * cols, "_r", "_c") for side in (left, right))
     found = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInPandas(
         cell, f"_id {id_type}, _row long, name string, cosine double")
     best = found.groupBy("_row").agg(F.min_by(F.struct("_id", "name", "cosine"), F.struct(-F.col("cosine"), F.col("name"))).alias("b"))

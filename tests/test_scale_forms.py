@@ -108,3 +108,76 @@ def test_row_numbers_are_dense_and_do_not_depend_on_files(spark):
         assert tuple(stats) == (204_000, 204_000, 0, 203_999)
         runs.append(got.groupBy("d", "c").agg(F.min("row_id"), F.max("row_id"), F.count("*")))
     assert sorted(map(str, runs[0].collect())) == sorted(map(str, runs[1].collect()))
+
+
+def _labelled_rows(spark, copies=5):
+    """(feed, gold) of 40 texts, each of them ``copies`` times."""
+    words = ["alpha", "beta", "gamma", "delta"]
+    rows = [(f"T{i * copies + j}", f"{words[i % 4]} shop {'xyz'[i % 3] * (i // 4 + 1)}", "O-1" if i % 3 else "I-2", 5000 + i % 4,
+             float(10 * i + 1), ["Food", "Travel", "Health"][i % 3], f"{words[i % 4]} shop") for i in range(40) for j in range(copies)]
+    d = spark.createDataFrame(rows, "txn_id string, description string, transaction_type_code string, mcc int, amount double, "
+                                    "category string, canonical_merchant string")
+    return (d.drop("category", "canonical_merchant"),
+            d.select("txn_id", "category", "canonical_merchant", F.lit(None).cast("string").alias("txn_type")))
+
+
+def _written(monkeypatch, module):
+    tables, write = {}, module.materialize
+    def kept(df, name, *more):
+        tables[name] = write(df, name, *more)
+        return tables[name]
+    monkeypatch.setattr(module, "materialize", kept)
+    return tables
+
+
+def test_equal_rows_are_one_weighted_row_of_a_regression(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import array_to_vector
+    from merchantry.functions.text import letter_counts
+    from merchantry.operators import routes
+    feed, gold = _labelled_rows(spark)
+    tables = _written(monkeypatch, routes)
+    routes.MetadataRoute().fit(feed, gold)
+    route = routes.EmbeddingRoute().fit(feed, gold)
+    for name in ("metadata_weights", "embedding_weights"):
+        assert tables[name].agg(F.count(F.lit(1)), F.sum("weight")).first()[:] == (40, 200.0)
+    x = feed.join(gold, "txn_id").withColumn("features", array_to_vector(letter_counts("description")))
+    plain = Pipeline(stages=[StringIndexer(inputCol="category", outputCol="label_idx"), routes._logreg(x.count())]).fit(x)
+    assert plain.stages[0].labels == route.labels
+    answers = [{r.txn_id: r.prediction for r in m.transform(x).select("txn_id", "prediction").collect()} for m in (plain, route.clf)]
+    assert answers[0] == answers[1]
+
+
+def test_candidates_are_scored_once_and_by_several_tasks(spark, monkeypatch):
+    from merchantry.operators import fuzzy, routes
+    from merchantry.plans.stand_in_models import first_candidate_chooser
+    feed, gold = _labelled_rows(spark)
+    calls, scan = [], fuzzy._scan
+    def counted(*args):
+        out = scan(*args)
+        calls.append(out.rdd.getNumPartitions())
+        return out
+    monkeypatch.setattr(fuzzy, "_scan", counted)
+    tables = _written(monkeypatch, routes)
+    route = routes.ChoiceRoute(first_candidate_chooser).fit(feed, gold)
+    assert route.transform(feed).count() == 200 and tables["candidates"].count() == 200 and len(calls) == 1
+    many = spark.range(300).select(F.concat(F.lit("alpha shop "), F.col("id").cast("string")).alias("query"))
+    names = spark.createDataFrame([("alpha shop", "Alpha Shop", 0)], "key string, name string, ord long")
+    assert fuzzy.fuzzy_topk(many, names, 1).count() == 300 and calls[-1] > 1
+
+
+def test_views_write_the_rows_of_each_side_once(spark):
+    from merchantry.operators import views
+    from merchantry.session import materialize
+    feed, gold = _labelled_rows(spark)
+    member = feed.select("txn_id", (F.pmod(F.xxhash64("description"), F.lit(3)) == 0).alias("is_eval"))
+    labelled, names = feed.join(gold, "txn_id"), []
+    def write(df, name):
+        names.append(name)
+        return materialize(df, name)
+    plain = views.build_views(feed, gold, member, labelled_feed=labelled)
+    kept = views.build_views(feed, gold, member, labelled_feed=labelled, write=write)
+    assert names == ["train_rows", "eval_rows", "conflicts"]
+    for a, b in zip(plain, kept):
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
