@@ -12,11 +12,12 @@
    character shingles (a shorter line is one shingle) is at least ``threshold``. No pair is compared that
    an exact bound rules out: ``SKETCH_WORDS`` words of parities of each set (more, the longer the line: sets
    much larger than that would differ in half of them) differ at most as often as the sets themselves.
-   Each line is first compared with the band leader it shares most bands with, then, ``ROUNDS`` times,
-   lines outside their band's largest component with new leaders, one from it and one from outside: each
-   takes as many pairs as there are lines. Of the other pairs of a band only those in different components
-   are compared. Of these, each line is first compared with the one whose parities differ least, then pairs
-   still apart are.
+   A band is cut where, by falling size, the next set is too small for any before it. Each line is first compared
+   with the band leader (the line with most copies) it shares most bands with, then, if the pairs left would be more than
+   ``PAIRS_A_ROW`` a line, up to ``ROUNDS`` times, lines outside their band's largest component with new leaders, one
+   from it and one from outside: each takes as many pairs as there are lines. Of the other pairs of a band only those in
+   different components are compared. Of these, each line is first compared with the one whose parities differ least,
+   then pairs still apart are.
 4. Distributed union-find gives the components; of each, the first line (document id, line number)
    stays.
 
@@ -39,9 +40,10 @@ from merchantry.session import discard, materialize
 SHINGLE_CHARS = 5
 THRESHOLD = 0.8
 SKETCH_WORDS = 8
-SKETCH_CHARS = 731             # characters of a line per SKETCH_WORDS words, rounded up to a power of two of them
+SKETCH_CHARS = 256             # characters of a line per SKETCH_WORDS words, rounded up to a power of two of them
 MAX_SKETCH_PARTS = 64
 ROUNDS = 3
+PAIRS_A_ROW = 64               # pairs of a row of the bands, on average, that are compared without a round before
 #: Each seed gives two signature values. The seeds differ in their first bits, so that the values of a
 #: line are mostly those of different shingles.
 SEEDS = [k << 58 | k * 0x1D872B41A3C5F60B % (1 << 58) for k in range(24)]
@@ -68,25 +70,40 @@ def _grams(line: str, size: int) -> Column:
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
-    """(h1, h2, bands) per class of equal lines. Lines are shuffled once, by their keys; their shingles are
-    rows that a hash aggregate takes in where they are made."""
-    distinct = lines.groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    hashed = (distinct.select("h1", "h2", F.explode(_grams("line", SHINGLE_CHARS)).alias("gram"))
-              .select("h1", "h2", F.xxhash64("gram").alias("g")))
+    """(h1, h2, rank, bands) per class of equal lines; ``rank`` is 63 less the number of times its copies can be halved.
+    Lines are shuffled once, by their keys; their shingles are rows that a hash aggregate takes in where they are made."""
+    distinct = lines.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("copies"))
+    rank = (63 - F.floor(F.log2("copies"))).alias("rank")
+    # four bytes a character: a shingle is found by its place and cut out as bytes
+    wide = distinct.select("h1", "h2", rank, F.encode("line", "UTF-32").alias("wide"))
+    places = F.sequence(F.lit(1), F.greatest(F.octet_length("wide") - 4 * SHINGLE_CHARS + 1, F.lit(1)), F.lit(4))
+    hashed = (wide.select("h1", "h2", "rank", "wide", F.explode(places).alias("i"))
+              .select("h1", "h2", "rank", F.xxhash64(F.substring("wide", F.col("i"), F.lit(4 * SHINGLE_CHARS))).alias("g")))
     values = []
     for k, seed in enumerate(SEEDS):
         g = F.col("g").bitwiseXOR(F.lit(seed))
         values += [F.min(g).alias(f"v{2 * k}"), F.max(g).alias(f"v{2 * k + 1}")]
     keys = F.array(*[F.xxhash64(F.lit(i), *[f"v{k}" for k in band]) for i, band in enumerate(BANDS)])
-    return hashed.groupBy("h1", "h2").agg(*values).select("h1", "h2", keys.alias("bands"))
+    return hashed.groupBy("h1", "h2", "rank").agg(*values).select("h1", "h2", "rank", keys.alias("bands"))
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(band, node, leader): members of every band that has two or more lines."""
-    in_band = Window.partitionBy("band")
+    """(band, node): members of every band that has two or more lines."""
     return (classes.select("node", F.explode("bands").alias("band"))
-            .withColumns({"m": F.count(F.lit(1)).over(in_band), "leader": F.min("node").over(in_band)})
-            .filter("m > 1").drop("m"))
+            .withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("band")))
+            .filter("m > 1").select("band", "node"))
+
+
+def _sized_bands(bands: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """(band, node, leader): ``bands`` (band, node) cut where, by falling size of the members' sets, the next one is too
+    small to be alike with any before it; parts of one line go. A part's leader is its least node."""
+    by_size = Window.partitionBy("band").orderBy(F.desc("n"), "node")
+    cut = F.col("n") + 1e-6 < threshold * F.lag("n").over(by_size)
+    runs = (bands.join(sketches.select("node", "n"), "node").withColumn("cut", F.coalesce(cut, F.lit(False)).cast("int"))
+            .withColumn("band", F.xxhash64("band", F.sum("cut").over(by_size))))
+    in_run = Window.partitionBy("band")
+    return (runs.withColumns({"m": F.count(F.lit(1)).over(in_run), "leader": F.min("node").over(in_run)})
+            .filter("m > 1").select("band", "node", "leader"))
 
 
 def _shingles(line: str) -> Column:
@@ -222,18 +239,29 @@ def _to_leaders(split: DataFrame, turn: int) -> DataFrame:
     return best.select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
 
 
+def _is_narrow(split: DataFrame) -> bool:
+    """Whether the pairs of a line outside its band's largest component with another of the band are few for a line."""
+    members = split.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("component") != F.col("main")).alias("out"))
+    rows, pairs = members.agg(F.sum("m"), F.sum(F.col("m").cast("double") * F.col("out"))).first()
+    return (pairs or 0) <= PAIRS_A_ROW * (rows or 0)
+
+
 def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(h1, h2, component) of those of ``lines`` (as ``lines_of`` gives them) that are near another
     line; ``component`` is a number that all lines of a component have."""
-    classes = materialize(line_classes(lines).select(F.monotonically_increasing_id().alias("node"), "*"), "line_classes")
+    # the more copies, the lower the node: what is near to a line is mostly near to the one copied most
+    node = F.shiftleft("rank", 57) + F.monotonically_increasing_id()
+    classes = materialize(line_classes(lines).select(node.alias("node"), "h1", "h2", "bands"), "line_classes")
     bands = materialize(_bands(classes), "line_bands")
     keys = materialize(classes.select("node", "h1", "h2").join(bands.select("node").distinct(), "node", "left_semi"), "line_keys")
     discard(classes)
     texts = materialize(_texts(keys, lines), "line_texts", "zstd")
     sketches = materialize(_sketches(texts), "line_sketches")
+    before, bands = bands, materialize(_sized_bands(bands, sketches, threshold), "sized_bands")
+    discard(before)
     # every line with the leader it shares most bands with
     star = (bands.filter(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("m"))
-            .groupBy("node").agg(F.max_by("leader", F.struct("m", "leader")).alias("leader"))
+            .groupBy("node").agg(F.max_by("leader", F.struct("m", -F.col("leader"))).alias("leader"))
             .select(F.col("node").alias("a"), F.col("leader").alias("b")))
     star = materialize(_possible(star, sketches, threshold), "line_pairs")
     found = materialize(_verify(star, texts, threshold), "line_links")
@@ -241,6 +269,8 @@ def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     split = _split(bands.select("band", "node"), comp)
     discard(bands)
     for turn in range(ROUNDS):
+        if _is_narrow(split):
+            break
         near = materialize(_possible(_apart(_to_leaders(split, turn), comp), sketches, threshold), "leader_pairs")
         links = materialize(_verify(near, texts, threshold), "leader_links")
         discard(near)
