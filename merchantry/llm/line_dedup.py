@@ -4,10 +4,12 @@
    one class.
 2. A class's signature has ``VALUES`` MinHash values of its character shingles of length
    ``SHINGLE_CHARS`` (a shorter line is one shingle), whatever the script, the length and whether or not
-   it has spaces: the smallest and largest of the shingles' hashes under each seed. A band is four
-   values, every value is in two bands: lines 0.8 alike share one of the 24 bands with probability
-   0.9999 if values are independent, lines 0.1 alike with 0.002, and lines with equal sets always.
-   Equal lines meet first, so that each class is hashed once and nothing but texts and bands is shuffled.
+   it has spaces: the smallest and largest of the shingles' hashes under each seed. A band is six values, one of each
+   sixth of the signature, every value is in six bands: lines 0.8 alike share one of the 66 bands with probability
+   0.9999 if values are independent, lines 0.2 alike with 0.004, lines 0.1 alike with 0.00007, and lines with equal
+   sets always. Lines of one language are some 0.1 alike, so that what shares a band is mostly alike.
+   Equal lines meet first, so that each class is hashed once and nothing but texts and bands is shuffled, the bands
+   a sixth at a time.
 3. Candidates are verified exactly: the Jaccard similarity of the sets of all ``SHINGLE_CHARS``
    character shingles (a shorter line is one shingle) is at least ``threshold``. No pair is compared that
    an exact bound rules out: ``SKETCH_WORDS`` words of parities of each set (more, the longer the line: sets
@@ -30,6 +32,8 @@ other columns pass through.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +50,14 @@ ROUNDS = 3
 PAIRS_A_ROW = 64               # pairs of a row of the bands, on average, that are compared without a round before
 #: Each seed gives two signature values. The seeds differ in their first bits, so that the values of a
 #: line are mostly those of different shingles.
-SEEDS = [k << 58 | k * 0x1D872B41A3C5F60B % (1 << 58) for k in range(24)]
+SEEDS = [k * 64 // 33 << 57 | k * 0x1D872B41A3C5F60B % (1 << 57) for k in range(33)]
 VALUES = 2 * len(SEEDS)
-BAND_VALUES = 4
+VALUE_BITS = 16                # of a shingle's hash: what a value keeps of its shingle, four values to a word
+BAND_VALUES = 6
 _STEP = VALUES // BAND_VALUES
-#: Bands: one value from each quarter of the signature, in two arrangements that have no pair of values in common.
-BANDS = [tuple(q * _STEP + (j + q * turn) % _STEP for q in range(BAND_VALUES)) for turn in (0, 1) for j in range(_STEP)]
+_PACKED = 64 // VALUE_BITS
+#: Bands: one value from each sixth of the signature, in six arrangements that have no pair of values in common.
+BANDS = [[tuple(q * _STEP + (j + q * turn) % _STEP for q in range(BAND_VALUES)) for j in range(_STEP)] for turn in range(6)]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -70,8 +76,9 @@ def _grams(line: str, size: int) -> Column:
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
-    """(h1, h2, rank, bands) per class of equal lines; ``rank`` is 63 less the number of times its copies can be halved.
-    Lines are shuffled once, by their keys; their shingles are rows that a hash aggregate takes in where they are made."""
+    """(h1, h2, rank, s0, s1, ...) per class of equal lines; ``rank`` is 63 less the number of times its copies can be
+    halved, the words s0, s1, ... are its signature, VALUE_BITS of each value. Lines are shuffled once, by their keys;
+    their shingles are rows that a hash aggregate takes in where they are made."""
     distinct = lines.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("copies"))
     rank = (63 - F.floor(F.log2("copies"))).alias("rank")
     # four bytes a character: a shingle is found by its place and cut out as bytes
@@ -83,19 +90,34 @@ def line_classes(lines: DataFrame) -> DataFrame:
     for k, seed in enumerate(SEEDS):
         g = F.col("g").bitwiseXOR(F.lit(seed))
         values += [F.min(g).alias(f"v{2 * k}"), F.max(g).alias(f"v{2 * k + 1}")]
-    keys = F.array(*[F.xxhash64(F.lit(i), *[f"v{k}" for k in band]) for i, band in enumerate(BANDS)])
-    return hashed.groupBy("h1", "h2", "rank").agg(*values).select("h1", "h2", "rank", keys.alias("bands"))
+    low = lambda k: F.col(f"v{k}").bitwiseAND(F.lit((1 << VALUE_BITS) - 1))
+    words = [reduce(Column.bitwiseOR, [F.shiftleft(low(k), k % _PACKED * VALUE_BITS) for k in range(w, min(w + _PACKED, VALUES))])
+             for w in range(0, VALUES, _PACKED)]
+    return hashed.groupBy("h1", "h2", "rank").agg(*values).select(
+        "h1", "h2", "rank", *[word.alias(f"s{i}") for i, word in enumerate(words)])
+
+
+def _band_members(classes: DataFrame, turn: int) -> DataFrame:
+    """(band, node): members of every band of an arrangement that has two or more lines. The band is named by a hash
+    of the set of its members, so that bands of the same lines have one name."""
+    value = lambda k: F.shiftrightunsigned(f"s{k // _PACKED}", k % _PACKED * VALUE_BITS).bitwiseAND(F.lit((1 << VALUE_BITS) - 1))
+    keys = F.array(*[F.xxhash64(F.lit(turn * _STEP + j), *[value(k) for k in band]) for j, band in enumerate(BANDS[turn])])
+    members = F.bit_xor(F.xxhash64("node")).over(Window.partitionBy("key"))
+    return (classes.select("node", F.explode(keys).alias("key")).withColumn("band", members)
+            .filter(F.col("band") != F.xxhash64("node")).select("band", "node"))
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(band, node): members of every band that has two or more lines."""
-    return (classes.select("node", F.explode("bands").alias("band"))
-            .withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("band")))
-            .filter("m > 1").select("band", "node"))
+    """(band, node, w): members of every band that has two or more lines, ``w`` bands of the same lines being one. The
+    arrangements are dealt out one after the other, so that no shuffle holds more than the bands of one."""
+    turns = [materialize(_band_members(classes, turn), "turn_bands") for turn in range(len(BANDS))]
+    bands = materialize(reduce(DataFrame.unionByName, turns).groupBy("band", "node").agg(F.count(F.lit(1)).alias("w")), "line_bands")
+    discard(*turns)
+    return bands
 
 
 def _sized_bands(bands: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """(band, node, leader): ``bands`` (band, node) cut where, by falling size of the members' sets, the next one is too
+    """``bands`` (band, node and others) and a leader: cut where, by falling size of the members' sets, the next one is too
     small to be alike with any before it; parts of one line go. A part's leader is its least node."""
     by_size = Window.partitionBy("band").orderBy(F.desc("n"), "node")
     cut = F.col("n") + 1e-6 < threshold * F.lag("n").over(by_size)
@@ -103,7 +125,7 @@ def _sized_bands(bands: DataFrame, sketches: DataFrame, threshold: float) -> Dat
             .withColumn("band", F.xxhash64("band", F.sum("cut").over(by_size))))
     in_run = Window.partitionBy("band")
     return (runs.withColumns({"m": F.count(F.lit(1)).over(in_run), "leader": F.min("node").over(in_run)})
-            .filter("m > 1").select("band", "node", "leader"))
+            .filter("m > 1").select(*bands.columns, "leader"))
 
 
 def _shingles(line: str) -> Column:
@@ -251,8 +273,8 @@ def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     line; ``component`` is a number that all lines of a component have."""
     # the more copies, the lower the node: what is near to a line is mostly near to the one copied most
     node = F.shiftleft("rank", 57) + F.monotonically_increasing_id()
-    classes = materialize(line_classes(lines).select(node.alias("node"), "h1", "h2", "bands"), "line_classes")
-    bands = materialize(_bands(classes), "line_bands")
+    classes = materialize(line_classes(lines).withColumn("node", node).drop("rank"), "line_classes")
+    bands = _bands(classes)
     keys = materialize(classes.select("node", "h1", "h2").join(bands.select("node").distinct(), "node", "left_semi"), "line_keys")
     discard(classes)
     texts = materialize(_texts(keys, lines), "line_texts", "zstd")
@@ -260,7 +282,7 @@ def line_components(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     before, bands = bands, materialize(_sized_bands(bands, sketches, threshold), "sized_bands")
     discard(before)
     # every line with the leader it shares most bands with
-    star = (bands.filter(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("m"))
+    star = (bands.filter(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.sum("w").alias("m"))
             .groupBy("node").agg(F.max_by("leader", F.struct("m", -F.col("leader"))).alias("leader"))
             .select(F.col("node").alias("a"), F.col("leader").alias("b")))
     star = materialize(_possible(star, sketches, threshold), "line_pairs")

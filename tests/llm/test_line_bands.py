@@ -56,3 +56,26 @@ def test_sizes_are_of_sets_so_repeats_within_a_line_part_nothing(spark):
     base = "".join(rng.choices("abcdefghijklmnop", k=200))
     df = spark.createDataFrame([(1, base), (2, base * 2), (3, base * 5), (4, "😀é" + base)], "doc_id long, text string")
     assert {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.lines_removed} == {2, 3, 4}
+
+
+def test_lines_of_one_vocabulary_share_few_bands(spark, monkeypatch):
+    """Lines that only have common words are no candidates; near copies among them are."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("aeinorst", k=rng.randint(2, 6))) for _ in range(120)]
+    lines = [" ".join(rng.choices(words, k=70)) for _ in range(1500)]
+    met = sorted(alike(*rng.sample(lines, 2)) for _ in range(200))
+    assert 0.1 < met[100] < 0.4
+    copies = [lines[i][:120] + "zzzz" + lines[i][120:] for i in range(0, 1500, 50)]
+    rows, write = {}, line_dedup.materialize
+
+    def counting(df, name, codec=None):
+        table = write(df, name, codec)
+        rows.setdefault(name, []).append(table.count())
+        return table
+    monkeypatch.setattr(line_dedup, "materialize", counting)
+    df = spark.createDataFrame(list(enumerate(lines + copies)), "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r.lines_removed}
+    assert gone == set(range(1500, 1530))
+    assert sum(rows["line_keys"]) < 400
+    # the bands are dealt out in several tables, none of which has more than one arrangement of them
+    assert len(rows["turn_bands"]) == len(line_dedup.BANDS) and max(rows["turn_bands"]) < sum(rows["turn_bands"]) / 2
