@@ -46,6 +46,7 @@ THRESHOLD = 0.8
 SKETCH_WORDS = 8
 SKETCH_CHARS = 256             # characters of a line per SKETCH_WORDS words, rounded up to a power of two of them
 MAX_SKETCH_PARTS = 64
+SHINGLES_A_ROW = 4
 ROUNDS = 3
 PAIRS_A_ROW = 64               # pairs of a row of the bands, on average, that are compared without a round before
 #: Each seed gives two signature values. The seeds differ in their first bits, so that the values of a
@@ -83,13 +84,17 @@ def line_classes(lines: DataFrame) -> DataFrame:
     rank = (63 - F.floor(F.log2("copies"))).alias("rank")
     # four bytes a character: a shingle is found by its place and cut out as bytes
     wide = distinct.select("h1", "h2", rank, F.encode("line", "UTF-32").alias("wide"))
-    places = F.sequence(F.lit(1), F.greatest(F.octet_length("wide") - 4 * SHINGLE_CHARS + 1, F.lit(1)), F.lit(4))
-    hashed = (wide.select("h1", "h2", "rank", "wide", F.explode(places).alias("i"))
-              .select("h1", "h2", "rank", F.xxhash64(F.substring("wide", F.col("i"), F.lit(4 * SHINGLE_CHARS))).alias("g")))
+    last = F.greatest(F.octet_length("wide") - 4 * SHINGLE_CHARS + 1, F.lit(1))
+    # several shingles a row, so that the aggregate's buffer is updated less often; the last row repeats the last shingle
+    at = [F.least(F.col("i") + 4 * k, F.col("last")) for k in range(SHINGLES_A_ROW)]
+    hashed = (wide.select("h1", "h2", "rank", "wide", last.alias("last"))
+              .select("h1", "h2", "rank", "wide", "last", F.explode(F.sequence(F.lit(1), "last", F.lit(4 * SHINGLES_A_ROW))).alias("i"))
+              .select("h1", "h2", "rank", *[F.xxhash64(F.substring("wide", i, F.lit(4 * SHINGLE_CHARS))).alias(f"g{k}")
+                                            for k, i in enumerate(at)]))
     values = []
     for k, seed in enumerate(SEEDS):
-        g = F.col("g").bitwiseXOR(F.lit(seed))
-        values += [F.min(g).alias(f"v{2 * k}"), F.max(g).alias(f"v{2 * k + 1}")]
+        g = [F.col(f"g{j}").bitwiseXOR(F.lit(seed)) for j in range(SHINGLES_A_ROW)]
+        values += [F.min(F.least(*g)).alias(f"v{2 * k}"), F.max(F.greatest(*g)).alias(f"v{2 * k + 1}")]
     low = lambda k: F.col(f"v{k}").bitwiseAND(F.lit((1 << VALUE_BITS) - 1))
     words = [reduce(Column.bitwiseOR, [F.shiftleft(low(k), k % _PACKED * VALUE_BITS) for k in range(w, min(w + _PACKED, VALUES))])
              for w in range(0, VALUES, _PACKED)]
@@ -208,7 +213,8 @@ def _cross_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     the band's largest component. ``gap`` is the share of parities that differ."""
     x, y = (rest.select("band", *[F.col(c).alias(f"{c}_{s}") for c in rest.columns if c != "band"]) for s in "ab")
     other = F.col("component_a") != F.col("component_b")
-    return (x.filter("component_a != main_a").join(y, "band").filter(other & _may_link(threshold))
+    once = (F.col("component_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b"))
+    return (x.filter("component_a != main_a").join(y, "band").filter(other & once & _may_link(threshold))
             .select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"),
                     (_differ() / (F.col("n_a") + F.col("n_b"))).alias("gap")).distinct())
 

@@ -79,3 +79,13 @@ def test_lines_of_one_vocabulary_share_few_bands(spark, monkeypatch):
     assert sum(rows["line_keys"]) < 400
     # the bands are dealt out in several tables, none of which has more than one arrangement of them
     assert len(rows["turn_bands"]) == len(line_dedup.BANDS) and max(rows["turn_bands"]) < sum(rows["turn_bands"]) / 2
+
+
+def test_signatures_do_not_depend_on_how_many_shingles_a_row_has(spark, monkeypatch):
+    lines = spark.createDataFrame([("",), ("abcd",), ("abcde",), ("abcdefgh",), ("é😀" * 7,), ("ab" * 90,), ("the quick brown fox",)],
+                                  "text string").selectExpr("1L as doc_id", "text")
+    found = []
+    for rows in (2, line_dedup.SHINGLES_A_ROW, 7):
+        monkeypatch.setattr(line_dedup, "SHINGLES_A_ROW", rows)
+        found.append(sorted(map(tuple, line_dedup.line_classes(line_dedup.lines_of(lines)).collect())))
+    assert len(found[0]) == 6 and found[0] == found[1] == found[2]
