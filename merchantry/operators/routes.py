@@ -76,21 +76,31 @@ class RulesRoute(Route):
         self.default = row[0] if row else K.DEFAULT_CATEGORY
         return self
 
-    def transform(self, feed: DataFrame) -> DataFrame:
+    @staticmethod
+    def texts(feed: DataFrame) -> DataFrame:
+        """The distinct texts of a feed: what is matched, and its fallback, which the rows are joined on."""
+        fallback = derive_canonical(strip_processor_prefix("description"))
+        return feed.select(fallback.alias("_fallback")).withColumn("query", clean_description("_fallback")).distinct()
+
+    def match_texts(self, texts: DataFrame) -> DataFrame:
+        """``texts`` (query, _fallback) with match and label prior, for ``transform``."""
+        best = fuzzy_top1(texts.select("query"), self.index or self.names, self.cutoff, scorer=self.scorer)
+        texts = self._labelled(texts.join(best.select("query", F.col("name").alias("_match")), "query", "left"))
+        return texts.select("_fallback", "_match", "canonical_merchant", "_label_cat")
+
+    def transform(self, feed: DataFrame, matched: DataFrame | None = None) -> DataFrame:
+        """Predictions of ``feed``; ``matched``, if given, is what ``match_texts`` gave for all of its texts or more."""
         d = feed.select("txn_id", "description", "mcc", "amount").withColumn(
-            "_fallback", derive_canonical(strip_processor_prefix("description"))).withColumn(
-            "query", clean_description("_fallback"))
+            "_fallback", derive_canonical(strip_processor_prefix("description")))
         if d.isStreaming:
             # Per-row scoring; a stream cannot be de-duplicated and joined back
             from merchantry.operators.fuzzy import fuzzy_top1_rows
+            d = d.withColumn("query", clean_description("_fallback"))
             d = fuzzy_top1_rows(d, "query", self.names, self.cutoff).drop("_match_score")
             d = self._labelled(d)
         else:
             # match and label prior once per text; the rows are joined once, on the text
-            texts = d.select("query", "_fallback").distinct()
-            best = fuzzy_top1(texts.select("query"), self.index or self.names, self.cutoff, scorer=self.scorer)
-            texts = self._labelled(texts.join(best.select("query", F.col("name").alias("_match")), "query", "left"))
-            d = d.join(texts.drop("query"), "_fallback", "left")
+            d = d.join(self.match_texts(self.texts(feed)) if matched is None else matched, "_fallback", "left")
         d = d.join(self.mcc_prior, "mcc", "left")
         cat = F.coalesce("_mcc_cat", "_label_cat", F.lit(self.default))
         return d.select("txn_id", "canonical_merchant", cat.alias("category"),

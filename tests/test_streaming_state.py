@@ -126,3 +126,37 @@ def test_files_and_state_follow_the_rows_not_the_shuffle_partitions(spark):
                                                                       if r[0] == min((x[2], x[0]) for x in rows if x[1] == r[1])[1]}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_enrich_batches_matches_a_text_once(spark):
+    """Texts that an earlier batch had are not matched again; a later call with another route matches anew."""
+    from merchantry.operators.routes import RulesRoute
+    gold = "txn_id string, category string, canonical_merchant string"
+    train = spark.createDataFrame([("T1", "Corner Bakery #11", 5814, -10.0), ("T2", "BP on Buford Hwy", None, -40.0)],
+                                  "txn_id string, description string, mcc int, amount double")
+    route = RulesRoute().fit(train, spark.createDataFrame([("T1", "Food", "Corner Bakery"), ("T2", "Travel", "BP")], gold))
+    other = RulesRoute().fit(train, spark.createDataFrame([("T1", "Food", "Corner"), ("T2", "Travel", "Buford Hwy")], gold))
+    names = ["Corner Bakery", "BP #5", "Unknown Shop", None, "corner bakery #7", ""]
+    rows = [(f"X{day}{i}", names[(i + day) % 6], None if i % 2 else 5814, -1.0 * i, f"2024-01-0{1 + day}")
+            for day in range(4) for i in range(6)] + [("X9", "Late Cafe", None, 2.0, "2024-01-04")]
+    feed = spark.createDataFrame(rows, "txn_id string, description string, mcc int, amount double, posted_date string") \
+        .withColumn("posted_date", F.to_date("posted_date"))
+    src = SC.write_stream_source(feed)
+    seen, match = [], route.match_texts
+
+    def counting(texts):
+        seen.append([r["_fallback"] for r in texts.collect()])
+        return match(texts)
+    route.match_texts = counting
+    root = SC._root(spark, "s4-once")
+    got = SC.enrich_batches(spark, src, feed.schema, route, max_files=1, root=root)
+    assert len(seen) == 4
+    every = [x for batch in seen for x in batch]
+    assert len(every) == len(set(every)) and seen[1:3] == [[], []] and seen[3] == ["Late Cafe"]
+    del route.match_texts
+    assert sorted(map(str, got.collect())) == sorted(map(str, route.transform(feed).select(got.columns).collect()))
+    more = feed.filter("txn_id like 'X0%'").withColumn("txn_id", F.concat(F.lit("Y"), "txn_id")).withColumn(
+        "posted_date", F.to_date(F.lit("2024-02-01")))
+    SC.write_stream_source(more, path=src)
+    again = SC.enrich_batches(spark, src, feed.schema, other, max_files=1, root=root).filter("txn_id like 'Y%'")
+    assert sorted(map(str, again.collect())) == sorted(map(str, other.transform(more).select(got.columns).collect()))
